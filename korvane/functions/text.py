@@ -21,6 +21,14 @@ def _c(col) -> Column:
     return F.col(col) if isinstance(col, str) else col
 
 
+def let(value: Column, body) -> Column:
+    """``body(value)`` with the value computed once per row.
+
+    A plain expression would be repeated by every use inside a lambda or a CASE branch.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(col) -> Column:
     """Trim every kind of white space on both ends."""
     return F.regexp_replace(_c(col), U + r"^\s+|\s+$", "")
@@ -75,10 +83,13 @@ def capped_body(body: Column, as_json, max_bytes: int, slack: int, step: int = 4
     for the search over cut lengths.
     """
     fits = lambda text: F.octet_length(as_json(text)) + slack <= max_bytes
-    size = F.length(body)
-    cuts = F.concat(F.sequence(size, F.lit(0), F.lit(-step)), F.array(F.lit(0)))
-    found = F.filter(cuts, lambda n: (n == 0) | fits(F.substring(body, F.lit(1), n)))
-    return F.when(fits(body), body).otherwise(F.substring(body, F.lit(1), found[0]))
+
+    def cut(text):
+        cuts = F.concat(F.sequence(F.length(text), F.lit(0), F.lit(-step)), F.array(F.lit(0)))
+        found = F.filter(cuts, lambda n: (n == 0) | fits(F.substring(text, F.lit(1), n)))
+        return F.when(fits(text), text).otherwise(F.substring(text, F.lit(1), found[0]))
+
+    return let(body, cut)
 
 
 def ascii_slug(col) -> Column:
@@ -102,10 +113,12 @@ def normalize(col, strip_punct: bool = False) -> Column:
 
 def truncate_marked(col, n: int) -> Column:
     """Cut long texts and mark the cut."""
-    text = strip(F.coalesce(_c(col), F.lit("")))
-    head = F.regexp_replace(F.substring(text, 1, n - 20), U + r"\s+$", "")
-    return F.when(F.length(text) <= n, text).otherwise(
-        F.concat(head, F.lit(fixed.TRUNCATED_MARK)))
+    def cut(text):
+        head = F.regexp_replace(F.substring(text, 1, n - 20), U + r"\s+$", "")
+        return F.when(F.length(text) <= n, text).otherwise(
+            F.concat(head, F.lit(fixed.TRUNCATED_MARK)))
+
+    return let(strip(F.coalesce(_c(col), F.lit(""))), cut)
 
 
 _MARKDOWN = [
@@ -155,9 +168,9 @@ def word_overlap(query, text) -> Column:
 
 def substring_overlap(query, text) -> Column:
     """Number of distinct query tokens that occur anywhere inside the text."""
-    low = F.lower(_c(text))
-    return F.size(F.filter(F.array_distinct(tokens(F.lower(_c(query)))),
-                           lambda t: F.contains(low, t)))
+    wanted = F.array_distinct(tokens(F.lower(_c(query))))
+    return let(F.lower(_c(text)), lambda low: F.size(F.filter(
+        wanted, lambda t: F.contains(low, t))))
 
 
 def shared_tokens(query, text) -> Column:
@@ -233,11 +246,13 @@ def term_match(col, terms) -> Column:
 # ---- small gates --------------------------------------------------------------------
 
 def contains_any(col, keywords) -> Column:
-    low = F.lower(F.coalesce(_c(col), F.lit("")))
-    found = F.lit(False)
-    for kw in keywords:
-        found = found | F.contains(low, F.lit(kw))
-    return found
+    def any_in(low):
+        found = F.lit(False)
+        for kw in keywords:
+            found = found | F.contains(low, F.lit(kw))
+        return found
+
+    return let(F.lower(F.coalesce(_c(col), F.lit(""))), any_in)
 
 
 def needs_recent(col, keywords=tuple(fixed.RECENT_KEYWORDS)) -> Column:
@@ -261,11 +276,13 @@ def is_replacement(col, pattern: str = fixed.REPLACEMENT_PATTERN) -> Column:
 
 def safe_rewrite(prompt, rewrite) -> Column:
     """The rewrite, or the prompt where the rewrite is blank, an error or too short."""
-    r = strip(F.coalesce(_c(rewrite), F.lit("")))
-    bad = ((r == "") | r.startswith("Lỗi") | r.startswith("Error")
-           | F.contains(r, F.lit("Chưa cấu hình"))
-           | (F.length(r) < 6) | (F.size(tokens(r)) < 2))
-    return F.when(bad, _c(prompt)).otherwise(r)
+    def pick(r):
+        bad = ((r == "") | r.startswith("Lỗi") | r.startswith("Error")
+               | F.contains(r, F.lit("Chưa cấu hình"))
+               | (F.length(r) < 6) | (F.size(tokens(r)) < 2))
+        return F.when(bad, _c(prompt)).otherwise(r)
+
+    return let(strip(F.coalesce(_c(rewrite), F.lit(""))), pick)
 
 
 def parse_score(col) -> Column:

@@ -17,9 +17,9 @@ I = "(?iU)"  # noqa: E741
 
 
 def meaningless(text) -> Column:
-    t = tx.strip(F.coalesce(tx._c(text), F.lit("")))
-    return ((t == "") | tx.has_long_repeat(t) | tx.consonant_run(t) | tx.low_alpha(t)
-            | tx.low_vowel(t) | tx.all_symbols(t))
+    return tx.let(tx.strip(F.coalesce(tx._c(text), F.lit(""))), lambda t: (
+        (t == "") | tx.has_long_repeat(t) | tx.consonant_run(t) | tx.low_alpha(t)
+        | tx.low_vowel(t) | tx.all_symbols(t)))
 
 
 def abuse_kind(text, offensive=fixed.OFFENSIVE_TERMS, jailbreak=fixed.JAILBREAK_PHRASES) -> Column:
@@ -56,25 +56,27 @@ def quick_key(text, keys=tuple(fixed.QUICK_KEYS), word_boundary: bool = False,
     Longest key first: equal or prefix; then, for keys of eight or more characters, anywhere
     in the text. ``word_boundary`` asks for a space after a prefix.
     """
-    norm = tx.normalize(text, strip_punct=True)
     ordered = sorted(keys, key=len, reverse=True)
-    first = lambda c: F.expr("cast(null as string)") if c is None else c
-    match = None
-    for key in ordered:
-        hit = (norm == key) | norm.startswith(key + (" " if word_boundary else ""))
-        match = F.when(hit, F.lit(key)) if match is None else match.when(hit, F.lit(key))
-    for key in ordered:
-        if len(key) >= 8:
-            match = match.when(F.contains(norm, F.lit(key)), F.lit(key))
-    ok = (F.length(norm) <= MAX_QUICK_CHARS) & ~legal_looking(norm, legal)
-    return F.when(ok, first(match))
+
+    def match(norm):
+        out = F.when((F.length(norm) > MAX_QUICK_CHARS) | legal_looking(norm, legal),
+                     F.lit(None).cast("string"))
+        for key in ordered:
+            hit = (norm == key) | norm.startswith(key + (" " if word_boundary else ""))
+            out = out.when(hit, F.lit(key))
+        for key in ordered:
+            if len(key) >= 8:
+                out = out.when(F.contains(norm, F.lit(key)), F.lit(key))
+        return out
+
+    return tx.let(tx.normalize(text, strip_punct=True), match)
 
 
 def is_meta(text, pattern=fixed.META_PATTERN, legal=fixed.LEGAL_QUERY_PATTERN) -> Column:
     """Greeting or ability question, short and not about the law."""
-    norm = tx.normalize(text, strip_punct=True)
-    return ((norm != "") & (F.length(norm) <= MAX_QUICK_CHARS) & ~legal_looking(norm, legal)
-            & norm.rlike(I + pattern))
+    return tx.let(tx.normalize(text, strip_punct=True), lambda norm: (
+        (norm != "") & (F.length(norm) <= MAX_QUICK_CHARS) & ~legal_looking(norm, legal)
+        & norm.rlike(I + pattern)))
 
 
 def answer_of(key: Column, answers: dict[str, str]) -> Column:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..dist import first_per, top_per
 from ..functions import text as tx
-from ..session import cut_lineage
+from ..session import materialize
 
 
 def build_nodes(tables: dict[str, DataFrame], key="key", version="version") -> DataFrame:
@@ -26,6 +26,14 @@ def _existing(edges: DataFrame, nodes: DataFrame) -> DataFrame:
             .join(keys.withColumnRenamed("key", "dst"), "dst", "left_semi"))
 
 
+def _two_way(edges: DataFrame, a: str, b: str) -> DataFrame:
+    """Every edge in both directions, from one read of the edges."""
+    src, dst = F.col("src"), F.col("dst")
+    pair = F.array(F.struct(src.alias("a"), dst.alias("b")), F.struct(dst.alias("a"), src.alias("b")))
+    return edges.select(F.explode(pair).alias("_e")).select(
+        F.col("_e.a").alias(a), F.col("_e.b").alias(b))
+
+
 def hierarchy_edges(children: DataFrame, parents: DataFrame, rel: str, parent_col: str,
                     child_key="key", parent_key="key") -> DataFrame:
     """Parent → child edges, only when both ends exist."""
@@ -37,9 +45,7 @@ def hierarchy_edges(children: DataFrame, parents: DataFrame, rel: str, parent_co
 
 def related_edges(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """Related pairs in both directions, distinct, both ends known."""
-    pairs = pairs.select("src", "dst").distinct()
-    both = pairs.unionByName(pairs.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
-    return _existing(both.distinct(), nodes).withColumn("rel", F.lit(fixed.RELATED))
+    return _existing(_two_way(pairs, "src", "dst").distinct(), nodes).withColumn("rel", F.lit(fixed.RELATED))
 
 
 def citation_edges(articles: DataFrame, key="mapc", code="mapc", body="noidung",
@@ -65,15 +71,10 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int |
     needs no further hop, and any other query has a frontier below ``limit`` nodes, so no
     query's whole neighbourhood is ever shuffled.
     """
-    both = edges.select(F.col("src").alias("_a"), F.col("dst").alias("_b"))
-    both = both.unionByName(edges.select(F.col("dst").alias("_a"), F.col("src").alias("_b")))
-    seen = (seeds.select(query, key).distinct()
-            .withColumns({"base": F.lit(1.0), "hop": F.lit(0)}))
-    frontier = seen
+    both = _two_way(edges, "_a", "_b")
+    seen = frontier = materialize(seeds.select(query, key).distinct()
+                                  .withColumns({"base": F.lit(1.0), "hop": F.lit(0)}), "hop")
     for hop in range(1, hops + 1):
-        if hop > 2:
-            seen = cut_lineage(seen)
-            frontier = seen.filter(F.col("hop") == hop - 1)
         if limit is not None:
             full = seen.groupBy(query).agg(F.count(F.lit(1)).alias("_n")).filter(
                 F.col("_n") >= limit)
@@ -88,7 +89,8 @@ def graph_expand(seeds: DataFrame, edges: DataFrame, hops: int = 2, limit: int |
                 .join(seen, [query, key], "left_anti"))
         if limit is not None:
             step = top_per(step, query, [key], limit).drop("rank")
-        frontier = step.withColumns({"base": F.lit(0.5), "hop": F.lit(hop)})
+        # every hop reads its predecessors more than once, so each is written out
+        frontier = materialize(step.withColumns({"base": F.lit(0.5), "hop": F.lit(hop)}), "hop")
         seen = seen.unionByName(frontier)
     if limit is None:
         return seen

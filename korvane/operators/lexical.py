@@ -7,17 +7,18 @@ from pyspark.sql import Column, DataFrame, functions as F
 from .. import fixed
 from ..dist import top_per
 from ..functions import text as tx
+from ..session import materialize
 
 K1, B = 1.2, 0.75
 
 
 def analyze(col, stop=tuple(fixed.STOPWORDS)) -> Column:
-    """Word tokens, lower case, without stop words and punctuation."""
-    clean = F.transform(tx.words(col), lambda t: F.regexp_replace(t, r"\p{Punct}", ""))
-    if not stop:
-        return F.filter(clean, lambda t: t != "")
-    drop = F.array(*[F.lit(s) for s in stop])
-    return F.filter(clean, lambda t: (t != "") & ~F.array_contains(drop, t))
+    """Word tokens, lower case, without stop words and punctuation.
+
+    The underscore is the only punctuation a word token can hold, so it goes first.
+    """
+    clean = tx.words(F.translate(tx._c(col), "_", ""))
+    return F.filter(clean, lambda t: ~t.isin(*stop)) if stop else clean
 
 
 def phrases(groups) -> list[tuple[str, str]]:
@@ -72,7 +73,9 @@ def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k
     q = postings(queries.withColumnRenamed(q_text, "_q"), query_id, ["_q"], stop, synonyms)
     q = q.select(query_id, "term", F.col("tf").alias("qtf"))
     vocabulary = q.select("term").distinct()
-    posts = postings(docs, id, fields, stop, synonyms).join(vocabulary, "term", "left_semi")
+    # the texts are tokenized once for this table, which two later steps read
+    posts = materialize(postings(docs, id, fields, stop, synonyms)
+                        .join(vocabulary, "term", "left_semi"), "postings")
     sizes = F.array(*[F.struct(F.lit(f).alias("field"), F.size(analyze(f, stop)).alias("len"))
                       for f in fields])
     stats = (docs.select(F.explode(sizes).alias("_s")).select("_s.*").filter("len > 0")

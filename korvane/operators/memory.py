@@ -8,7 +8,7 @@ from .. import fixed
 from ..dist import first_per, top_per
 from ..functions import text as tx
 from ..schemas import FACT_ARRAY
-from ..session import cut_lineage
+from ..session import materialize
 from .vector import user_search
 
 FACT_CHARS = 1800
@@ -95,7 +95,7 @@ def _resolve_chains(links: DataFrame) -> DataFrame:
     the longest chain. ``links`` = (user_id, node, ptr, depth, done)."""
     state = links
     while not state.filter("NOT done").isEmpty():
-        state = cut_lineage(state)
+        state = materialize(state)
         up = state.select("user_id", F.col("node").alias("ptr"), F.col("ptr").alias("_p"),
                           F.col("depth").alias("_d"), F.col("done").alias("_ok"))
         open_, closed = state.filter("NOT done"), state.filter("done")

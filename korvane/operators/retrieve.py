@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from .. import fixed
 from ..functions import text as tx
 from . import fusion as fu
+from ..session import materialize
 from .graph import graph_expand
 from .trust import trust_filter
 from .vector import semantic_search
@@ -129,8 +130,9 @@ def graph_rag(queries: DataFrame, vectors: DataFrame, edges: DataFrame, docs: Da
              .withColumn("passage", tx.passage_text("tenchude", "tendemuc", "tenchuong", "ten",
                                                     "noidung")))
     cols = ["query_id", "block", "rank", "mapc", "ten", "noidung", "passage", "score", "source", "url"]
-    corpus = fu.overlap_rerank(cands, k).withColumns(
-        {"block": F.lit(2), "source": F.lit("phapdien"), "url": F.lit("")})
+    # at most k rows per query, read by the verdict and by the result
+    corpus = materialize(fu.overlap_rerank(cands, k).withColumns(
+        {"block": F.lit(2), "source": F.lit("phapdien"), "url": F.lit("")}), "corpus")
     verdict = fu.is_sufficient(queries, corpus, recent=recent)
     short = verdict.filter("NOT sufficient").select("query_id")
     parts = [corpus.select(cols)]

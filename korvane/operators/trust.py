@@ -17,24 +17,31 @@ def host(url="url") -> Column:
 def domain_score(h: Column, trusted: dict[str, float], untrusted: list[str],
                  default: float = 0.4) -> Column:
     """Weight of the first listed domain inside the host; any untrusted part overrides."""
-    bad = F.lit(False)
-    for p in untrusted:
-        bad = bad | F.contains(h, F.lit(p))
-    score = F.when(bad, F.lit(0.1))
-    for domain, weight in trusted.items():
-        score = score.when(F.contains(h, F.lit(domain)), F.lit(weight))
-    return score.otherwise(F.lit(default))
+    def weigh(h):
+        bad = F.lit(False)
+        for p in untrusted:
+            bad = bad | F.contains(h, F.lit(p))
+        score = F.when(bad, F.lit(0.1))
+        for domain, weight in trusted.items():
+            score = score.when(F.contains(h, F.lit(domain)), F.lit(weight))
+        return score.otherwise(F.lit(default))
+
+    return tx.let(h, weigh)
 
 
 def keyword_hits(keywords, *texts) -> Column:
-    lows = [F.lower(F.coalesce(F.col(t), F.lit(""))) for t in texts]
-    total = F.lit(0)
-    for kw in keywords:
-        found = F.lit(False)
-        for low in lows:
-            found = found | F.contains(low, F.lit(kw))
-        total = total + found.cast("int")
-    return total
+    """Number of keywords found in any of the texts; each text is lowered once."""
+    def count(lows):
+        total = F.lit(0)
+        for kw in keywords:
+            found = F.lit(False)
+            for name in texts:
+                found = found | F.contains(lows[name], F.lit(kw))
+            total = total + found.cast("int")
+        return total
+
+    low = F.struct(*[F.lower(F.coalesce(F.col(t), F.lit(""))).alias(t) for t in texts])
+    return tx.let(low, count)
 
 
 def trust_score(df: DataFrame, trusted=fixed.TRUSTED_DOMAINS, untrusted=fixed.UNTRUSTED_PATTERNS,

@@ -56,10 +56,12 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/korvane/{name}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df):
-    """Reliable checkpoint in the shared folder: survives the loss of executors."""
-    spark = df.sparkSession
-    base = shared_dir(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(base)
-    return df.checkpoint()
+def materialize(df, name: str = "step"):
+    """Write a step to the shared folder and read it back.
+
+    Cuts the lineage of iterative or reused steps, survives the loss of executors, and gives
+    the planner the true size of the step.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
