@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-GROUPS = ["retrieval"]
+GROUPS = ["retrieval", "corpus"]
 
 
 def load():

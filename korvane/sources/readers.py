@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from ..schemas import EVAL_SCHEMA, MESSAGE
 
@@ -25,10 +25,12 @@ def read_tables(spark: SparkSession, src: str, names, jdbc: dict | None = None)
                                                  **parts.get(n, {})).load() for n in names}
 
 
-def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Topic or subtopic catalog: an array of objects with Value, Text, STT and maybe ChuDe."""
+# JSON inputs are one array per file, or one object per line (``lines``), which splits.
+
+def read_catalog(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """Topic or subtopic catalog: objects with Value, Text, STT and maybe ChuDe."""
     raw = spark.read.schema("Value string, Text string, STT string, ChuDe string") \
-        .option("multiLine", True).json(path)
+        .option("multiLine", not lines).json(path)
     return raw.select(F.col("Value").alias("id"), F.col("Text").alias("ten"),
                       F.col("STT").try_cast("int").alias("stt"), F.col("ChuDe").alias("chude_id"))
 
@@ -42,11 +44,12 @@ def read_nodes(spark: SparkSession, path: str) -> DataFrame:
                       F.col("ChuDeID").alias("chude_id"))
 
 
-def shape_pages(raw: DataFrame) -> DataFrame:
-    """(page_id, file_name, html) of whole-text rows; id = file stem, byte-order mark gone."""
+def shape_pages(raw: DataFrame, page_id: Column | None = None) -> DataFrame:
+    """(page_id, file_name, html) of whole-text rows; id = file stem unless given, byte-order
+    mark gone."""
     name = F.col("_metadata.file_name")
-    return raw.select(F.split_part(name, F.lit("."), F.lit(1)).alias("page_id"),
-                      name.alias("file_name"),
+    stem = F.split_part(name, F.lit("."), F.lit(1)) if page_id is None else page_id
+    return raw.select(stem.alias("page_id"), name.alias("file_name"),
                       F.regexp_replace("value", "^﻿", "").alias("html"))
 
 
@@ -60,13 +63,13 @@ def pages_after(pages: DataFrame, checkpoint: str | None, name="file_name") -> D
     return pages if not checkpoint else pages.filter(F.col(name) >= checkpoint)
 
 
-def read_docs(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Array of search documents."""
-    return spark.read.schema(schema).option("multiLine", True).json(path)
+def read_docs(spark: SparkSession, path: str, schema: str, lines: bool = False) -> DataFrame:
+    """Search documents."""
+    return spark.read.schema(schema).option("multiLine", not lines).json(path)
 
 
-def read_eval(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(EVAL_SCHEMA).option("multiLine", True).json(path)
+def read_eval(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    return spark.read.schema(EVAL_SCHEMA).option("multiLine", not lines).json(path)
 
 
 CHAT_JSON = ("struct<title:string,pinned:boolean,created_at:string,updated_at:string,messages:"

@@ -14,7 +14,9 @@ def results_rows(df: DataFrame) -> DataFrame:
                      F.substring("noidung", 1, TEXT_CHARS).alias("noidung"))
 
 
-CSV = {"header": True, "escape": '"', "multiLine": True}
+# texts keep their line breaks, quotes and outer blanks
+CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpace": False,
+       "ignoreTrailingWhiteSpace": False}
 
 
 def write_results_csv(df: DataFrame, path: str) -> None:
