@@ -6,7 +6,7 @@ import importlib
 
 from . import registry
 
-GROUPS = ["retrieval", "corpus"]
+GROUPS = ["retrieval", "corpus", "turns"]
 
 
 def load():
