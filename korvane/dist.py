@@ -52,6 +52,20 @@ def with_group_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
     return df.join(right, cond).drop(*[f"_g_{c}" for c in by])
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Give costly row work more tasks when a small input arrives in very few partitions.
+
+    Inputs with a quarter of the cores or more in partitions, so every large table, and
+    streams pass unchanged.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() * 4 > cores:
+        return df
+    return df.repartition(cores)
+
+
 # ---- ranges -------------------------------------------------------------------------
 
 def range_bounds(df: DataFrame, keys: list[str], parts: int | None = None) -> list:

@@ -15,6 +15,8 @@ from .. import fixed
 
 U = "(?U)"
 WORD = U + r"(\w+)"
+# what ``\s`` means under (?U)
+SPACES = "".join(chr(c) for c in range(0x3001) if chr(c).isspace() and not 0x1C <= c <= 0x1F)
 
 
 def _c(col) -> Column:
@@ -31,7 +33,7 @@ def let(value: Column, body) -> Column:
 
 def strip(col) -> Column:
     """Trim every kind of white space on both ends."""
-    return F.regexp_replace(_c(col), U + r"^\s+|\s+$", "")
+    return F.btrim(_c(col), F.lit(SPACES))
 
 
 def nonblank(col) -> Column:

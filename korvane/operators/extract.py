@@ -8,6 +8,7 @@ pages without an article mark never leave the JVM.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from html import escape
 from html.parser import HTMLParser
 
@@ -15,7 +16,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
-from ..dist import first_per, position_within
+from ..dist import first_per, position_within, spread
 from ..functions import text as tx
 
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source",
@@ -23,11 +24,12 @@ VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "met
 
 
 class _Node:
-    __slots__ = ("tag", "attrs", "kids", "up", "at")
+    __slots__ = ("tag", "attrs", "kids", "up", "at", "no", "last")
 
-    def __init__(self, tag, attrs, up):
+    def __init__(self, tag, attrs, up, no):
         self.tag, self.attrs, self.up, self.kids = tag, dict(attrs), up, []
         self.at = len(up.kids) if up is not None else 0
+        self.no = self.last = no  # document order of the node and of its last descendant
 
     def text(self) -> str:
         return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
@@ -52,11 +54,11 @@ class _Node:
 class _Tree(HTMLParser):
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.top = self.here = _Node("", [], None)
+        self.here = _Node("", [], None, -1)
         self.flat = []
 
     def handle_starttag(self, tag, attrs):
-        node = _Node(tag, attrs, self.here)
+        node = _Node(tag, attrs, self.here, len(self.flat))
         self.here.kids.append(node)
         self.flat.append(node)
         if tag not in VOID:
@@ -65,14 +67,24 @@ class _Tree(HTMLParser):
     def handle_startendtag(self, tag, attrs):
         self.handle_starttag(tag, attrs)
         if tag not in VOID:
-            self.here = self.here.up
+            self._leave(self.here.up)
 
     def handle_endtag(self, tag):
         node = self.here
         while node.up is not None and node.tag != tag:
             node = node.up
         if node.up is not None:
-            self.here = node.up
+            self._leave(node.up)
+
+    def _leave(self, outer):
+        while self.here is not outer:
+            self.here.last = len(self.flat) - 1
+            self.here = self.here.up
+
+    def finish(self):
+        self.close()
+        while self.here.up is not None:
+            self._leave(self.here.up)
 
     def handle_data(self, data):
         kids = self.here.kids
@@ -85,17 +97,18 @@ class _Tree(HTMLParser):
 def _articles(html: str):
     tree = _Tree()
     tree.feed(html)
-    tree.close()
-    order = {id(n): i for i, n in enumerate(tree.flat)}
+    tree.finish()
+    links = lambda n: [x for x in tree.flat[n.no + 1:n.last + 1] if x.tag == "a"]
     bodies = [n for n in tree.flat if n.tag == "p" and n.has_class("pNoiDung")]
+    starts = [n.no for n in bodies]
     for anchor in tree.flat:
         if anchor.tag != "a" or not anchor.attrs.get("name") or not anchor.up.has_class("pDieu"):
             continue
-        title = anchor.following()
-        note = anchor.up.following()
-        body = next((b for b in bodies if order[id(b)] > order[id(anchor.up)]), None)
-        if body is None:
+        title, note = anchor.following(), anchor.up.following()
+        nearest = bisect_right(starts, anchor.up.no)
+        if nearest == len(bodies):
             continue
+        body = bodies[nearest]
         lines, tables, files, related = [], [], [], []
         for kid in body.kids:
             if not isinstance(kid, str) and kid.tag == "table":
@@ -107,27 +120,17 @@ def _articles(html: str):
             files.append(after.attrs.get("href"))
             after = after.following()
         if isinstance(after, _Node) and after.tag == "p" and after.has_class("pChiDan"):
-            related = [n.attrs["onclick"] for n in tree.flat
-                       if n.tag == "a" and n.attrs.get("onclick") and _inside(n, after)]
+            related = [n.attrs["onclick"] for n in links(after) if n.attrs.get("onclick")]
         link = note_text = None
         if note is not None:
             note_text = note if isinstance(note, str) else note.text()
-            if isinstance(note, _Node):
-                inner = [n for n in tree.flat if n.tag == "a" and _inside(n, note)]
-                link = inner[0].attrs.get("href") if inner else None
+            inner = links(note) if isinstance(note, _Node) else []
+            link = inner[0].attrs.get("href") if inner else None
         yield (anchor.attrs["name"], title if isinstance(title, str) else
                title.text() if title is not None else None,
                "".join(lines), note_text, link, tables, files, related)
 
 
-def _inside(node, block) -> bool:
-    while node is not None:
-        if node is block:
-            return True
-        node = node.up
-    return False
-
-
 ARTICLE_TYPE = ("page_id {}, pos int, mapc string, ten string, noidung string, vbqppl string, "
                 "vbqppl_link string, tables array<string>, files array<string>, "
                 "onclicks array<string>")
@@ -146,7 +149,7 @@ def extract_articles(pages: DataFrame, page_id="page_id", html="html") -> DataFr
             yield pd.DataFrame(rows, columns=cols)
 
     marked = pages.select(page_id, html).filter(F.contains(html, F.lit("pDieu")))
-    return marked.mapInPandas(walk, ARTICLE_TYPE.format(key_type))
+    return spread(marked).mapInPandas(walk, ARTICLE_TYPE.format(key_type))
 
 
 def extract_source_note(articles: DataFrame) -> DataFrame:

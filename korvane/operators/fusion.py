@@ -28,47 +28,49 @@ def hit_key(chars: int, *names: str) -> Column:
                       F.substring(F.coalesce(F.col("passage"), F.lit("")), 1, chars))
 
 
-def minmax(df: DataFrame, col: str, out: str, by="query_id") -> DataFrame:
+def minmax(df: DataFrame, col: str, out: str, by=("query_id",)) -> DataFrame:
     """Scale to 0..1 per list; a flat list becomes all ones."""
-    w = W.partitionBy(by)
+    w = W.partitionBy(*by)
     lo, hi = F.min(col).over(w), F.max(col).over(w)
     return df.withColumn(out, F.when(hi - lo < 1e-9, F.lit(1.0))
                          .otherwise((F.col(col) - lo) / (hi - lo)))
 
 
 def hybrid_rank(cands: DataFrame, k: int, alpha: float = 0.6, q_text="q_text",
-                body="noidung") -> DataFrame:
+                body="noidung", by=("query_id",)) -> DataFrame:
     """alpha * scaled vector score + (1 - alpha) * scaled word overlap with the body."""
-    scored = cands.withColumn("lexical_score", tx.word_overlap(q_text, body))
-    scored = minmax(minmax(scored, "score", "_v"), "lexical_score", "_l")
-    scored = (scored.withColumnsRenamed({"score": "vector_score", "rank": "_pos"})
-              .withColumn("score", alpha * F.col("_v") + (1.0 - alpha) * F.col("_l")))
-    return top_per(scored, "query_id", [F.desc("score"), F.asc("_pos")], k).drop("_v", "_l", "_pos")
+    if "lexical_score" not in cands.columns:
+        cands = cands.withColumn("lexical_score", tx.word_overlap(q_text, body))
+    scored = minmax(minmax(cands, "score", "_v", by), "lexical_score", "_l", by)
+    mixed = F.round(alpha * F.col("_v") + (1.0 - alpha) * F.col("_l"), 12)
+    scored = scored.withColumnsRenamed({"score": "vector_score", "rank": "_pos"}).withColumn(
+        "score", mixed)
+    return top_per(scored, by, [F.desc("score"), F.asc("_pos")], k).drop("_v", "_l", "_pos")
 
 
-def two_stage_rank(cands: DataFrame, k: int, block: Column, q_text="q_text") -> DataFrame:
-    """Order the candidates by word overlap with their labelled block."""
-    scored = (cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"})
-              .withColumn("score", tx.word_overlap(q_text, block)))
-    return top_per(scored, "query_id", [F.desc("score"), F.asc("_pos")], k).drop("_pos")
+def two_stage_rank(cands: DataFrame, k: int, overlap: Column, by=("query_id",)) -> DataFrame:
+    """Order the candidates by their overlap with the labelled block."""
+    scored = cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"}).withColumn(
+        "score", overlap)
+    return top_per(scored, by, [F.desc("score"), F.asc("_pos")], k).drop("_pos")
 
 
 def two_stage_v2_rank(cands: DataFrame, contexts: DataFrame, k: int, id="id",
-                      query_vec="query_vec", vec="context_vec") -> DataFrame:
+                      query_vec="query_vec", vec="context_vec", by=("query_id",)) -> DataFrame:
     """Order the candidates by cosine with a supplied full-context vector."""
     scored = (cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"})
               .join(contexts.select(id, vec), id, "left")
               .withColumn("score", F.round(F.coalesce(cosine(query_vec, vec), F.lit(0.0)), 12)))
-    return top_per(scored, "query_id", [F.desc("score"), F.asc("_pos")], k).drop("_pos", vec)
+    return top_per(scored, by, [F.desc("score"), F.asc("_pos")], k).drop("_pos", vec)
 
 
 def score_rerank(cands: DataFrame, scores: DataFrame, k: int = 10, on=("query_id", "id"),
-                 raw="raw_score") -> DataFrame:
+                 raw="raw_score", by=("query_id",)) -> DataFrame:
     """Order the candidates by a supplied relevance text; none counts as 0."""
     scored = (cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"})
               .join(scores.select(*on, raw), list(on), "left")
               .withColumn("score", tx.parse_score(raw)))
-    return top_per(scored, "query_id", [F.desc("score"), F.asc("_pos")], k).drop("_pos", raw)
+    return top_per(scored, by, [F.desc("score"), F.asc("_pos")], k).drop("_pos", raw)
 
 
 def head_rerank(ranked: DataFrame, scores: DataFrame, n: int = 12, on=("query_id", "id"),

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixed
-from ..dist import top_per
+from ..dist import bounded_rows, spread, top_per
 from ..functions import text as tx
 from ..session import materialize
+from .vector import DIGITS, best_positions, key_array
 
 K1, B = 1.2, 0.75
 
@@ -21,77 +26,167 @@ def analyze(col, stop=tuple(fixed.STOPWORDS)) -> Column:
     return F.filter(clean, lambda t: ~t.isin(*stop)) if stop else clean
 
 
-def phrases(groups) -> list[tuple[str, str]]:
-    """(phrase, group token) of the synonym groups."""
-    return [(p.strip().lower(), f"~{i}") for i, g in enumerate(groups) for p in g.split(",")]
+def ngrams(tokens: Column, longest: int, heads: Column) -> Column:
+    """Runs of up to ``longest`` neighbouring tokens that start with one of ``heads``."""
+    starts = F.filter(F.sequence(F.lit(1), F.size(tokens)),
+                      lambda i: F.array_contains(heads, F.get(tokens, i - 1)))
+    return F.flatten(F.transform(starts, lambda i: F.transform(
+        F.sequence(F.lit(1), F.least(F.lit(longest), F.size(tokens) - i + 1)),
+        lambda n: F.array_join(F.slice(tokens, i, n), " "))))
 
 
-def ngrams(tokens: Column, longest: int) -> Column:
-    """All runs of up to ``longest`` neighbouring tokens, blank between them."""
-    def runs(n):
-        return F.when(F.size(tokens) >= n, F.transform(
-            F.sequence(F.lit(1), F.size(tokens) - (n - 1)),
-            lambda i: F.array_join(F.slice(tokens, i, F.lit(n)), " "))).otherwise(
-                F.array().cast("array<string>"))
-    return F.concat(*[runs(n) for n in range(1, longest + 1)])
+def expand(tokens: Column, groups=tuple(fixed.SYNONYM_GROUPS)) -> Column:
+    """Tokens plus one group token (``~N``) for every synonym phrase that occurs.
 
+    Texts without the first word of any phrase pass unchanged.
+    """
+    table: dict[str, list[str]] = {}
+    for i, group in enumerate(groups):
+        for phrase in group.split(","):
+            table.setdefault(phrase.strip().lower(), []).append(f"~{i}")
+    if not table:
+        return tokens
+    heads = F.array(*[F.lit(w) for w in sorted({p.split()[0] for p in table})])
+    names = F.create_map(*[x for p, g in table.items()
+                           for x in (F.lit(p), F.array(*[F.lit(t) for t in g]))])
+    none = F.array().cast("array<string>")
 
-def postings(df: DataFrame, id: str, fields, stop=tuple(fixed.STOPWORDS),
-             synonyms=tuple(fixed.SYNONYM_GROUPS)) -> DataFrame:
-    """(id, field, term, tf, len). Synonym phrases add their group's token.
+    def grown(toks):
+        runs = ngrams(toks, max(len(p.split()) for p in table), heads)
+        found = F.flatten(F.transform(runs, lambda g: F.coalesce(F.try_element_at(names, g), none)))
+        return F.when(F.arrays_overlap(toks, heads), F.concat(toks, found)).otherwise(toks)
+
+    return tx.let(tokens, grown)
 
-    The phrase table is a constant of the analyzer, so its broadcast cannot grow with data.
-    """
-    parts = F.array(*[F.struct(F.lit(f).alias("field"), F.col(f).alias("text")) for f in fields])
-    flat = df.select(id, F.explode(parts).alias("_p")).select(
-        id, "_p.field", analyze("_p.text", stop).alias("_t"))
-    flat = flat.withColumn("len", F.size("_t"))
-    terms = flat.select(id, "field", "len", F.explode("_t").alias("term"))
-    if synonyms:
-        table = phrases(synonyms)
-        longest = max(len(p.split()) for p, _ in table)
-        heads = F.array(*[F.lit(w) for w in sorted({p.split()[0] for p, _ in table})])
-        lookup = F.broadcast(df.sparkSession.createDataFrame(table, "gram string, term string"))
-        grams = (flat.filter(F.arrays_overlap("_t", heads))
-                 .select(id, "field", "len", F.explode(ngrams(F.col("_t"), longest)).alias("gram"))
-                 .join(lookup, "gram").select(id, "field", "len", "term"))
-        terms = terms.unionByName(grams)
-    return terms.groupBy(id, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+# The in-task path holds a (terms x queries) matrix of the query side.
+MAX_QUERIES = 2000
+MAX_CELLS = 16_000_000
+CHUNK_CELLS = 4_000_000
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int = 20, *,
                 query_id="query_id", q_text="q_text", id="id", stop=tuple(fixed.STOPWORDS),
-                synonyms=tuple(fixed.SYNONYM_GROUPS), k1: float = K1, b: float = B) -> DataFrame:
+                synonyms=tuple(fixed.SYNONYM_GROUPS), k1: float = K1, b: float = B,
+                max_queries: int = MAX_QUERIES) -> DataFrame:
     """Best boosted field score per document, top k per query.
 
-    Only terms that some query holds are kept, and they are dropped before the first wide
-    step. Document frequencies and lengths are partial aggregates. The (query, document)
-    sums are combined inside the tasks that expand the postings; common terms are split by
-    the adaptive skew join.
+    Only terms that some query holds count. Up to ``max_queries`` queries (and a bounded term
+    matrix) travel to the documents: every task scores its documents against all of them and
+    hands on its k best per query, so neither postings nor (query, document) pairs are
+    shuffled. A larger query set joins on terms instead.
     """
     fields = list(boosts)
-    q = postings(queries.withColumnRenamed(q_text, "_q"), query_id, ["_q"], stop, synonyms)
-    q = q.select(query_id, "term", F.col("tf").alias("qtf"))
+    docs = spread(docs.select(id, *fields))
+    terms = lambda col: expand(analyze(col, stop), synonyms)
+    q = (queries.select(query_id, F.explode(terms(q_text)).alias("term"))
+         .groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
+    per_field = F.array(*[F.struct(F.lit(f).alias("field"), analyze(f, stop).alias("_t"))
+                          for f in fields])
+    flat = docs.select(id, F.explode(per_field).alias("_f")).select(
+        id, "_f.field", F.size("_f._t").alias("len"), expand(F.col("_f._t"), synonyms).alias("_t"))
+    stats = flat.filter("len > 0").groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
     vocabulary = q.select("term").distinct()
-    # the texts are tokenized once for this table, which two later steps read
-    posts = materialize(postings(docs, id, fields, stop, synonyms)
-                        .join(vocabulary, "term", "left_semi"), "postings")
-    sizes = F.array(*[F.struct(F.lit(f).alias("field"), F.size(analyze(f, stop)).alias("len"))
-                      for f in fields])
-    stats = (docs.select(F.explode(sizes).alias("_s")).select("_s.*").filter("len > 0")
-             .groupBy("field").agg(F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen")))
-    df_counts = posts.groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    counts = (flat.select("field", F.explode(F.array_distinct("_t")).alias("term"))
+              .join(vocabulary, "term", "left_semi")
+              .groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
     # one row per field and query term
-    weights = df_counts.join(F.broadcast(stats), "field").select(
+    weights = counts.join(F.broadcast(stats), "field").select(
         "field", "term", "avglen",
         F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
-    boost = F.create_map(*[F.lit(x) for f in fields for x in (f, float(boosts[f]))])
+
+    few = bounded_rows(queries.select(query_id), max_queries) is not None
+    entries = bounded_rows(q, max_queries * 200) if few else None
+    best = None
+    if entries is not None:
+        names = {t: i for i, t in enumerate(sorted({r[1] for r in entries}))}
+        ids = sorted({r[0] for r in entries})
+        if len(names) * len(ids) <= MAX_CELLS:
+            best = _score_in_tasks(docs, fields, boosts, stop, synonyms, entries, names, ids,
+                                   weights.collect(), k, k1, b, query_id, id, queries)
+    if best is None:
+        best = _score_by_join(flat, q, vocabulary, weights, boosts, k1, b, query_id, id)
+    best = best.withColumn("score", F.round("score", 9))
+    return top_per(best, query_id, [F.desc("score"), F.asc(id)], k)
+
+
+def _score_in_tasks(docs, fields, boosts, stop, synonyms, entries, names, ids, weights, k, k1, b,
+                    query_id, id, queries) -> DataFrame:
+    place = {q: i for i, q in enumerate(ids)}
+    qm = np.zeros((len(names), len(ids)))
+    for q, term, qtf in entries:
+        qm[names[term], place[q]] += qtf
+    idf = {f: np.zeros(len(names)) for f in fields}
+    avg = dict.fromkeys(fields, 1.0)
+    for r in weights:
+        idf[r["field"]][names[r["term"]]] = r["idf"]
+        avg[r["field"]] = r["avglen"]
+    shared = docs.sparkSession.sparkContext.broadcast((qm, idf, avg, sorted(names), ids))
+    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
+                           T.StructField(id, docs.schema[id].dataType),
+                           T.StructField("score", T.DoubleType())])
+    weight = [float(boosts[f]) for f in fields]
+    toks = [F.struct(F.size(analyze(f, stop)).alias("n"), expand(analyze(f, stop), synonyms).alias("t"))
+            .alias(f"_{i}") for i, f in enumerate(fields)]
+
+    def scan(batches):
+        qm, idf, avg, vocab, ids = shared.value
+        value_set = pa.array(vocab, pa.string())
+        arrow = to_arrow_schema(schema)
+        step = max(1, CHUNK_CELLS // max(len(vocab), 1))
+        kept = [(None, None)] * len(ids)
+        for whole in batches:
+            for lo in range(0, whole.num_rows, step):
+                batch = whole.slice(lo, step)
+                rows, doc_ids = batch.num_rows, key_array(batch.column(0).to_pylist())
+                total = None
+                for i, f in enumerate(fields):
+                    col = batch.column(i + 1)
+                    size, lists = col.flatten()
+                    length = size.to_numpy(zero_copy_only=False)
+                    row = lists.value_parent_indices().to_numpy()
+                    term = pc.index_in(lists.flatten(), value_set=value_set)
+                    hit = pc.is_valid(term).to_numpy(zero_copy_only=False)
+                    cell = row[hit] * len(vocab) + term.drop_null().to_numpy()
+                    tf = np.bincount(cell, minlength=rows * len(vocab)).reshape(rows, -1)
+                    damp = k1 * (1 - b + b * length / avg[f])
+                    gain = tf / (tf + damp[:, None]) * idf[f]
+                    part = weight[i] * (gain @ qm)
+                    total = part if total is None else np.maximum(total, part)
+                total = np.round(total, DIGITS)
+                for j in range(len(ids)):
+                    pos = np.flatnonzero(total[:, j] > 0)
+                    if not len(pos):
+                        continue
+                    s, d = total[pos, j], doc_ids[pos]
+                    if kept[j][0] is not None:
+                        s, d = np.concatenate([kept[j][0], s]), np.concatenate([kept[j][1], d])
+                    top = best_positions(s, d, k)
+                    kept[j] = (s[top], d[top])
+        out = {query_id: [], id: [], "score": []}
+        for q, (s, d) in zip(ids, kept):
+            if s is not None:
+                out[query_id].extend([q] * len(s))
+                out[id].extend(d.tolist())
+                out["score"].extend(s.tolist())
+        yield pa.RecordBatch.from_pydict(out, schema=arrow)
+
+    return docs.select(id, *toks).mapInArrow(scan, schema)
+
+
+def _score_by_join(flat, q, vocabulary, weights, boosts, k1, b, query_id, id) -> DataFrame:
+    """Postings of the query terms joined on the term; sums are combined in the tasks that
+    expand them and heavy terms are split by the adaptive skew join."""
+    posts = materialize(
+        flat.select(id, "field", "len", F.explode("_t").alias("term"))
+        .join(vocabulary, "term", "left_semi")
+        .groupBy(id, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
+    boost = F.create_map(*[F.lit(x) for f, w in boosts.items() for x in (f, float(w))])
     tf, dl = F.col("tf"), F.col("len")
     gain = F.col("idf") * tf / (tf + k1 * (1 - b + b * dl / F.col("avglen")))
     weighted = posts.join(weights, ["field", "term"]).select(
         id, "field", "term", (gain * F.element_at(boost, F.col("field"))).alias("_g"))
     sums = (weighted.join(q, "term").groupBy(query_id, id, "field")
             .agg(F.sum(F.col("_g") * F.col("qtf")).alias("_s")))
-    best = sums.groupBy(query_id, id).agg(F.max("_s").alias("score"))
-    best = best.withColumn("score", F.round("score", 9))
-    return top_per(best, query_id, [F.desc("score"), F.asc(id)], k)
+    return sums.groupBy(query_id, id).agg(F.max("_s").alias("score")).filter("score > 0")

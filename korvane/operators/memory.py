@@ -95,13 +95,12 @@ def _resolve_chains(links: DataFrame) -> DataFrame:
     the longest chain. ``links`` = (user_id, node, ptr, depth, done)."""
     state = links
     while not state.filter("NOT done").isEmpty():
-        state = materialize(state)
         up = state.select("user_id", F.col("node").alias("ptr"), F.col("ptr").alias("_p"),
                           F.col("depth").alias("_d"), F.col("done").alias("_ok"))
         open_, closed = state.filter("NOT done"), state.filter("done")
-        state = closed.unionByName(open_.join(up, ["user_id", "ptr"]).select(
+        state = materialize(closed.unionByName(open_.join(up, ["user_id", "ptr"]).select(
             "user_id", "node", F.col("_p").alias("ptr"),
-            (F.col("depth") + F.col("_d")).alias("depth"), F.col("_ok").alias("done")))
+            (F.col("depth") + F.col("_d")).alias("depth"), F.col("_ok").alias("done"))), "chains")
     return state
 
 
@@ -114,7 +113,7 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
     under its new id, so later decisions on the old id do nothing. That makes every memory a
     chain of decisions; chains are followed by joins, so no user is folded in one task.
     """
-    d = guard_decisions(decisions)
+    d = materialize(guard_decisions(decisions), "decisions")
     adds = d.filter("action = 'ADD'")
     tries = d.filter("action IN ('UPDATE', 'DELETE')")
     alive = active(mem)
@@ -128,7 +127,8 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
                 F.col("seq").cast("bigint").alias("_born"), F.lit(False).alias("_base"))))
     hits = tries.join(born, ["user_id", "target_id"]).filter(
         F.col("_born").isNull() | (F.col("seq") > F.col("_born")))
-    first = first_per(hits, ["user_id", "target_id"], ["seq"])
+    # read by the chain rounds, the end states, the history and the report
+    first = materialize(first_per(hits, ["user_id", "target_id"], ["seq"]), "attempts")
     roots = _resolve_chains(first.select(
         "user_id", F.col("new_id").alias("node"), F.col("target_id").alias("ptr"),
         F.lit(1).alias("depth"), F.col("_base").alias("done")))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..functions import text as tx
@@ -24,28 +24,32 @@ def candidates(queries: DataFrame, vectors: DataFrame, docs: DataFrame, n: int)
     return hits.join(queries.select("query_id", "q_text", "query_vec"), "query_id").join(docs, "id")
 
 
-def _block():
-    return tx.labelled_block("tenchude", "tendemuc", "tenchuong", "ten", "noidung", "vbqppl")
+def block_overlap() -> Column:
+    return tx.word_overlap("q_text", tx.labelled_block(
+        "tenchude", "tendemuc", "tenchuong", "ten", "noidung", "vbqppl"))
 
 
-def _semantic(q, v, d, k, **kw):
-    return candidates(q, v, d, k)
+# Rankers of a candidate list; ``by`` names the list, ``kw`` the supplied side tables.
 
+def _semantic(c, k, by, **kw):
+    return c.filter(F.col("rank") <= k)
 
-def _hybrid(q, v, d, k, alpha=0.6, **kw):
-    return fu.hybrid_rank(candidates(q, v, d, MULTIPLIER * k), k, alpha)
 
+def _hybrid(c, k, by, alpha=0.6, **kw):
+    return fu.hybrid_rank(c, k, alpha, by=by)
 
-def _two_stage(q, v, d, k, **kw):
-    return fu.two_stage_rank(candidates(q, v, d, MULTIPLIER * k), k, _block())
 
+def _two_stage(c, k, by, **kw):
+    overlap = F.col("block_overlap") if "block_overlap" in c.columns else block_overlap()
+    return fu.two_stage_rank(c, k, overlap, by=by)
 
-def _two_stage_v2(q, v, d, k, contexts=None, **kw):
-    return fu.two_stage_v2_rank(candidates(q, v, d, MULTIPLIER * k), contexts, k)
 
+def _two_stage_v2(c, k, by, contexts=None, **kw):
+    return fu.two_stage_v2_rank(c, contexts, k, by=by)
 
-def _score(q, v, d, k, scores=None, **kw):
-    return fu.score_rerank(candidates(q, v, d, MULTIPLIER * k), scores, k)
+
+def _score(c, k, by, scores=None, **kw):
+    return fu.score_rerank(c, scores, k, by=by)
 
 
 STRATEGIES = {"semantic_search": _semantic, "hybrid_search": _hybrid,
@@ -53,29 +57,41 @@ STRATEGIES = {"semantic_search": _semantic, "hybrid_search": _hybrid,
               "hybrid_rerank": _score}
 
 
+def _ranker(strategy: str):
+    if strategy not in STRATEGIES:
+        raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(STRATEGIES)}")
+    return STRATEGIES[strategy]
+
+
 def retrieve(queries: DataFrame, vectors: DataFrame, docs: DataFrame, strategy: str, k: int = 20,
              **kw) -> DataFrame:
     """``queries`` = (query_id, q_text, query_vec), ``vectors`` = (id, embedding), ``docs`` =
     (id, ten, noidung, ...)."""
-    if strategy not in STRATEGIES:
-        raise ValueError(f"unknown strategy {strategy!r}; known: {sorted(STRATEGIES)}")
-    return STRATEGIES[strategy](queries, vectors, docs, k, **kw).withColumn(
+    rank = _ranker(strategy)
+    pool = k if strategy == "semantic_search" else MULTIPLIER * k
+    return rank(candidates(queries, vectors, docs, pool), k, ["query_id"], **kw).withColumn(
         "strategy", F.lit(strategy))
 
 
 def sweep(queries, vectors, docs, strategies, ks, **kw) -> DataFrame:
-    """(strategy, k, query_id, id, rank): lists of different k are computed each, since the
-    candidate pool grows with k; only the plain search shares one list."""
-    from .metrics import at_cutoffs
+    """(strategy, k, query_id, id, rank) for every strategy and cut-off.
+
+    The pool of k is the first 2k of one candidate list, so one search and one reading of the
+    texts serve all of them; the ranking itself is done per (query, k), because scaling and
+    reranking depend on the pool.
+    """
+    ks = list(ks)
+    pool = candidates(queries, vectors, docs, MULTIPLIER * max(ks))
+    slim = materialize(pool.select(
+        "query_id", "id", "score", "rank", "query_vec",
+        tx.word_overlap("q_text", "noidung").alias("lexical_score"),
+        block_overlap().alias("block_overlap")), "pool")
+    lists = (slim.withColumn("k", F.explode(F.array(*[F.lit(k) for k in ks])))
+             .filter(F.col("rank") <= MULTIPLIER * F.col("k")))
     parts = []
     for s in strategies:
-        if s == "semantic_search":
-            one = at_cutoffs(semantic_search(queries, vectors, max(ks)), ks)
-            parts.append(one.select(F.lit(s).alias("strategy"), "k", "query_id", "id", "rank"))
-            continue
-        for k in ks:
-            got = retrieve(queries, vectors, docs, s, k, **kw)
-            parts.append(got.select("strategy", F.lit(k).alias("k"), "query_id", "id", "rank"))
+        ranked = _ranker(s)(lists, max(ks), ["query_id", "k"], **kw).filter(F.col("rank") <= F.col("k"))
+        parts.append(ranked.select(F.lit(s).alias("strategy"), "k", "query_id", "id", "rank"))
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 

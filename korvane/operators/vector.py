@@ -26,12 +26,12 @@ def _matrix(column) -> np.ndarray:
     return np.divide(m, size, out=np.zeros_like(m), where=size > 0)
 
 
-def _ids(values) -> np.ndarray:
+def key_array(values) -> np.ndarray:
     arr = np.asarray(list(values))
     return arr.astype(str) if arr.dtype == object else arr
 
 
-def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
+def best_positions(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k best scores, ties by id."""
     if len(scores) > k:
         kth = np.partition(scores, len(scores) - k)[len(scores) - k]
@@ -44,7 +44,7 @@ def _best(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def _block(q_ids, q_mat, v_ids, v_mat, k):
     scores = np.round(q_mat @ v_mat.T, DIGITS)
     for i, q in enumerate(q_ids):
-        best = _best(scores[i], v_ids, k)
+        best = best_positions(scores[i], v_ids, k)
         yield q, v_ids[best], scores[i][best]
 
 
@@ -72,12 +72,12 @@ def _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec) -> D
             mat = flat.astype(np.float64).reshape(batch.num_rows, dim)
             size = np.linalg.norm(mat, axis=1, keepdims=True)
             mat = np.divide(mat, size, out=np.zeros_like(mat), where=size > 0)
-            ids = _ids(batch.column(0).to_pylist())
+            ids = key_array(batch.column(0).to_pylist())
             for i, (_, b_ids, b_scores) in enumerate(_block(q_ids, q_mat, ids, mat, k)):
                 if kept[i] is not None:
                     b_ids = np.concatenate([kept[i][0], b_ids])
                     b_scores = np.concatenate([kept[i][1], b_scores])
-                    best = _best(b_scores, b_ids, k)
+                    best = best_positions(b_scores, b_ids, k)
                     b_ids, b_scores = b_ids[best], b_scores[best]
                 kept[i] = (b_ids, b_scores)
         out_q, out_v, out_s = [], [], []
@@ -123,7 +123,7 @@ def _blocked_knn(queries, vectors, k, query_id, query_vec, id, vec, by, block_ro
             vs = right[right[vec].str.len() == dim]
             if len(vs):
                 for q_id, ids, scores in _block(qs[query_id].tolist(), _matrix(qs[query_vec]),
-                                                _ids(vs[id]), _matrix(vs[vec]), k):
+                                                key_array(vs[id]), _matrix(vs[vec]), k):
                     out.append(pd.DataFrame({query_id: q_id, id: ids, "score": scores}))
         return (pd.concat(out) if out
                 else pd.DataFrame({query_id: [], id: [], "score": []}))

@@ -8,7 +8,7 @@ from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import fusion as fu, metrics as me
 from ..operators.lexical import bm25_search
-from ..operators.retrieve import STRATEGIES, graph_rag, graph_tool, retrieve, sweep, vector_tool
+from ..operators.retrieve import STRATEGIES, block_overlap, graph_rag, graph_tool, retrieve, sweep, vector_tool
 from ..operators.vector import semantic_search, semantic_search_lsh, user_search
 from .common import (DOCS_SQL, HITS_SQL, VECTORS_SQL, WS, docs, gold, hits, query_rows,
                      query_vectors, rich_hits, s_passage, s_tokens, s_words, table, vectors)
@@ -215,8 +215,7 @@ def hybrid_rank(spark, d):
 SELECT query_id, id, round(block, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (
     PARTITION BY query_id ORDER BY block DESC, rank) AS r FROM pool WHERE k = 20) WHERE r <= 20""")
 def two_stage_rank(spark, d):
-    block = tx.labelled_block("tenchude", "tendemuc", "tenchuong", "ten", "noidung", "vbqppl")
-    return fu.two_stage_rank(rich_hits(spark, d, 40), 20, block).select(
+    return fu.two_stage_rank(rich_hits(spark, d, 40), 20, block_overlap()).select(
         "query_id", "id", F.round("score", 6).alias("score"), "rank")
 
 

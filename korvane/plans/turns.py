@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..dist import spread
 from ..functions import text as tx
 from ..operators import cache as ca, chats as ch, extract as ex, gate as ga, memory as mm, trust as tr
 from ..operators.answers import answer_similarity, bleu, rouge_l
@@ -34,7 +35,7 @@ TURNS_SQL = "turns AS (SELECT conv_id, turn, role, CASE (conv_id + turn) % {n} {
 
 
 def turns(spark, d, source=None):
-    c = source if source is not None else table(spark, d, "conversations")
+    c = source if source is not None else spread(table(spark, d, "conversations"))
     m = (F.col("conv_id") + F.col("turn")) % N
     text = None
     for i, t in enumerate(TRIGGERS):
