@@ -55,13 +55,13 @@ def with_group_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Give costly row work more tasks when a small input arrives in very few partitions.
 
-    Inputs with a quarter of the cores or more in partitions, so every large table, and
-    streams pass unchanged.
+    An input with a partition per core or more, so every large table, and streams pass
+    unchanged. (A small file is often one row group: several partitions, one with rows.)
     """
     if df.isStreaming:
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() * 4 > cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores)
 
