@@ -40,25 +40,14 @@ def first_per(df: DataFrame, by, order) -> DataFrame:
     return top_per(df, by, order, 1, "_first").drop("_first")
 
 
-def with_group_stats(df: DataFrame, by: list[str], **aggs: Column) -> DataFrame:
-    """Attach per-group aggregates through a partial aggregate and a join.
-
-    A window would bring a hot group into one task; here only the aggregate does the
-    grouping and the join back can be broadcast or split by the adaptive planner.
-    """
-    stats = df.groupBy(*by).agg(*[c.alias(n) for n, c in aggs.items()])
-    right = stats.select(*[F.col(c).alias(f"_g_{c}") for c in by], *aggs)
-    cond = reduce(lambda a, b: a & b, [df[c].eqNullSafe(right[f"_g_{c}"]) for c in by])
-    return df.join(right, cond).drop(*[f"_g_{c}" for c in by])
-
-
 def spread(df: DataFrame) -> DataFrame:
     """Give costly row work more tasks when a small input arrives in very few partitions.
 
-    An input with a partition per core or more, so every large table, and streams pass
-    unchanged. (A small file is often one row group: several partitions, one with rows.)
+    An input with a partition per core or more, so every large table, passes unchanged, and
+    so do streams and results of a shuffle. (A small file is often one row group: several
+    partitions, one with rows.)
     """
-    if df.isStreaming:
+    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
         return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
@@ -151,13 +140,3 @@ def position_within(df: DataFrame, group, order, name: str = "pos", start: int =
     return (local.withColumn(name, (F.col("_r") + F.coalesce("_off", F.lit(0))
                                     + F.lit(start - 1)).cast("long"))
             .drop("_b", "_r", "_off"))
-
-
-# ---- ordered collections ------------------------------------------------------------
-
-def ordered_list(order, value) -> Column:
-    """``collect_list`` of ``value`` in ``order``; callers bound the group first."""
-    return F.transform(
-        F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.expr(value).alias("v")
-                                             if isinstance(value, str) else value.alias("v")))),
-        lambda s: s["v"])

@@ -126,20 +126,34 @@ def ids_to_keys(table: DataFrame, ids: DataFrame, key: str = "mapc", id: str = "
     return number_rows(table.select(key), key, id).join(ids.select(id).distinct(), id, "left_semi")
 
 
+def remap_gold_rows(gold: DataFrame, old_ids: DataFrame, new_ids: DataFrame,
+                    key: str = "mapc") -> DataFrame:
+    """(query_id, pos, old_id, id): gold ids through their key to new ids, null if unmapped.
+
+    Gold lists stay rows, so the length of a list does not matter.
+    """
+    flat = gold.select("query_id", "pos", F.col("id").alias("old_id"))
+    return (flat.join(old_ids.select(F.col("id").alias("old_id"), key), "old_id", "left")
+            .join(new_ids.select(key, "id"), key, "left").drop(key))
+
+
+def remap_summary(rows: DataFrame) -> DataFrame:
+    """Mapped and total gold ids per query."""
+    return rows.groupBy("query_id").agg(F.count("id").alias("mapped"),
+                                        F.count(F.lit(1)).alias("total"))
+
+
 def remap_gold(evals: DataFrame, old_ids: DataFrame, new_ids: DataFrame,
                key: str = "mapc") -> DataFrame:
-    """Gold ids through their key to new ids; unmapped ids drop out, order is kept.
+    """The same for evaluation items (query_id, gold_docs): new list, old list and counts.
 
-    ``evals`` = (query_id, gold_docs); the id lists are bounded by the evaluation items.
+    An item's list is rebuilt next to the item, so it is as long as the item already is.
     """
-    flat = evals.select("query_id", F.posexplode("gold_docs").alias("_pos", "_old"))
-    mapped = (flat.join(old_ids.select(F.col("id").alias("_old"), key), "_old", "left")
-              .join(new_ids.select(key, F.col("id").alias("_new")), key, "left"))
-    lists = mapped.groupBy("query_id").agg(
-        F.transform(F.array_sort(F.collect_list(F.when(F.col("_new").isNotNull(),
-                                                       F.struct("_pos", "_new")))),
-                    lambda s: s["_new"]).alias("_docs"))
-    out = evals.join(lists, "query_id", "left")
+    rows = remap_gold_rows(evals.select("query_id", F.posexplode("gold_docs").alias("pos", "id")),
+                           old_ids, new_ids, key)
+    lists = rows.filter("id IS NOT NULL").groupBy("query_id").agg(F.transform(
+        F.array_sort(F.collect_list(F.struct("pos", "id"))), lambda s: s["id"]).alias("_docs"))
     docs = F.coalesce("_docs", F.array().cast("array<bigint>"))
-    return out.select("query_id", docs.alias("gold_docs"), F.col("gold_docs").alias("gold_docs_old"),
-                      F.size(docs).alias("mapped"), F.size("gold_docs").alias("total"))
+    return evals.join(lists, "query_id", "left").select(
+        "query_id", docs.alias("gold_docs"), F.col("gold_docs").alias("gold_docs_old"),
+        F.size(docs).alias("mapped"), F.size("gold_docs").alias("total"))

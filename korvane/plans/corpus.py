@@ -213,22 +213,29 @@ def fetch_by_id(spark, d):
                                                         F.md5("text").alias("body"))
 
 
-@query("gold_remap", """WITH new AS (SELECT doc_id AS mapc, row_number() OVER (ORDER BY doc_id) AS id
-    FROM labels),
-g AS (SELECT label::BIGINT AS query_id, vec_id AS old FROM embeddings),
-m AS (SELECT query_id, old, new.id FROM g LEFT JOIN new ON new.mapc = old)
-SELECT query_id, coalesce(string_agg(id::VARCHAR, ',' ORDER BY old) FILTER (id IS NOT NULL), '')
-    AS gold_docs, count(id) AS mapped, count(*) AS total FROM m GROUP BY query_id""")
-def gold_remap(spark, d):
+GOLD_SQL = """WITH new AS (SELECT doc_id AS mapc, row_number() OVER (ORDER BY doc_id) AS id FROM labels),
+m AS (SELECT label::BIGINT AS query_id, vec_id AS pos, vec_id AS old_id, new.id FROM embeddings
+    LEFT JOIN new ON new.mapc = vec_id)"""
+
+
+def _remapped(spark, d):
     e = table(spark, d, "embeddings")
-    # gold lists of the evaluation items; their size is the size of one item
-    evals = e.groupBy(F.col("label").cast("long").alias("query_id")).agg(
-        F.sort_array(F.collect_list("vec_id")).alias("gold_docs"))
+    gold = e.select(F.col("label").cast("long").alias("query_id"), F.col("vec_id").alias("pos"),
+                    F.col("vec_id").alias("id"))
     old = e.select(F.col("vec_id").alias("id"), F.col("vec_id").alias("mapc"))
     new = co.assign_ids(table(spark, d, "labels").select(F.col("doc_id").alias("mapc")), "mapc")
-    return me.remap_gold(evals, old, new).select(
-        "query_id", F.array_join(F.col("gold_docs").cast("array<string>"), ",").alias("gold_docs"),
-        "mapped", "total")
+    return me.remap_gold_rows(gold, old, new)
+
+
+@query("gold_remap", f"{GOLD_SQL} SELECT * FROM m")
+def gold_remap(spark, d):
+    return _remapped(spark, d)
+
+
+@query("gold_summary", f"""{GOLD_SQL}
+SELECT query_id, count(id) AS mapped, count(*) AS total FROM m GROUP BY query_id""")
+def gold_summary(spark, d):
+    return me.remap_summary(_remapped(spark, d))
 
 
 @query("rejects", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus
@@ -567,8 +574,7 @@ def page_checkpoint(spark, d):
 @query("json_roundtrip", """SELECT 'catalog' AS kind, r_regionkey::VARCHAR AS id, r_name AS text,
     r_regionkey::BIGINT AS n FROM region
 UNION ALL SELECT 'document', item_id::VARCHAR, md5(text), length(text) FROM benchmark
-UNION ALL SELECT 'chat', conv_id::VARCHAR, md5(string_agg(role || text, '' ORDER BY turn)), count(*)
-FROM conversations GROUP BY conv_id""")
+UNION ALL SELECT 'chat', conv_id || '.' || (turn // 4), md5(role || text), turn % 4 FROM conversations""")
 def json_roundtrip(spark, d):
     base = scratch_path(spark, "json")
     table(spark, d, "region").select(F.col("r_regionkey").cast("string").alias("Value"),
@@ -576,20 +582,21 @@ def json_roundtrip(spark, d):
                                      F.col("r_regionkey").cast("string").alias("STT")
                                      ).write.json(f"{base}/catalog")
     table(spark, d, "benchmark").write.json(f"{base}/docs")
-    # one JSON object per chat; turns of a chat are few
-    c = table(spark, d, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(
+    # one JSON object per chat page of four turns
+    c = table(spark, d, "conversations").withColumn("page", F.floor(F.col("turn") / 4))
+    c = c.groupBy("conv_id", "page").agg(F.transform(F.array_sort(
         F.collect_list(F.struct("turn", "role", "text"))),
         lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
-    chat = F.struct(F.lit("t").alias("title"), "messages")
-    c.select(F.to_json(F.create_map(F.col("conv_id").cast("string"), chat)).alias("value")
+    key = F.concat_ws(".", F.col("conv_id").cast("string"), F.col("page").cast("string"))
+    c.select(F.to_json(F.create_map(key, F.struct(F.lit("t").alias("title"), "messages"))).alias("value")
              ).write.text(f"{base}/chats")
     catalog = rd.read_catalog(spark, f"{base}/catalog", lines=True).select(
         F.lit("catalog").alias("kind"), "id", F.col("ten").alias("text"), F.col("stt").cast("long").alias("n"))
     found = rd.read_docs(spark, f"{base}/docs", "item_id long, text string", lines=True).select(
         F.lit("document"), F.col("item_id").cast("string"), F.md5("text"), F.length("text").cast("long"))
     chats = rd.parse_chats_json(spark.read.text(f"{base}/chats")).select(
-        F.lit("chat"), "chat_id", F.md5(F.array_join(F.transform(
-            "messages", lambda m: F.concat(m["role"], m["content"])), "")), F.size("messages").cast("long"))
+        "chat_id", F.posexplode("messages").alias("n", "m")).select(
+        F.lit("chat"), "chat_id", F.md5(F.concat("m.role", "m.content")), F.col("n").cast("long"))
     return catalog.union(found).union(chats)
 
 

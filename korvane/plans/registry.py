@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..session import prepare
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
@@ -23,7 +25,7 @@ def query(name: str, sql: str | None = None):
     def register(fn):
         if name in QUERIES:
             raise ValueError(f"query {name} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: _wide(fn(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: _wide(fn(prepare(spark), sf_dir))
         if sql is not None:
             ORACLE[name] = sql
         return fn

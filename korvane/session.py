@@ -15,6 +15,9 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # a union of two shuffled sides must not rely on both keeping equal partition counts, as
+    # the adaptive planner changes them side by side
+    "spark.sql.unionOutputPartitioning": "false",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -37,6 +40,13 @@ def local_session(cpus: int | None = None, memory: str = "20g") -> SparkSession:
     return spark
 
 
+def prepare(spark: SparkSession) -> SparkSession:
+    """Set the one setting plans need in a session made elsewhere."""
+    key = "spark.sql.unionOutputPartitioning"
+    spark.conf.set(key, SETTINGS[key])
+    return spark
+
+
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 

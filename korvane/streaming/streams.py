@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from ..operators.cache import cache_lookup, cache_put
 from ..operators.extract import extract_articles
 from ..operators.gate import route_turns
 from ..operators.memory import apply_decisions
+from ..schemas import MEMORY_SCHEMA
 from ..sources.readers import shape_pages
 
 
@@ -51,27 +52,50 @@ def run_to_table(sdf: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return sdf.sparkSession.read.schema(sdf.schema).parquet(out)
 
 
-def memory_stream(decisions: DataFrame, state_root: str, first: DataFrame,
-                  checkpoint: str) -> Callable[[], DataFrame]:
+def memory_stream(decisions: DataFrame, state_root: str, first: DataFrame | None,
+                  checkpoint: str, buckets: int = 256) -> Callable[[], DataFrame]:
     """Keep the memory table up to date from a stream of decisions.
 
-    Every micro-batch writes a new version of the table next to the old ones, named by its
-    batch number; a replayed batch rewrites the same version from the same input, so a
-    restart changes nothing. Returns the reader of the last version.
+    Users are hashed to buckets and each micro-batch writes only the buckets it touches, as
+    ``batch=N/bucket=B``; the last batch of a bucket is its current state. A replayed batch
+    reads what lies before it and overwrites its own output, so a restart changes nothing.
+    ``first`` starts a new table and is left out on a restart. Returns a reader.
     """
     spark = decisions.sparkSession
-    version = lambda n: f"{state_root}/v{n}"
-    first.write.mode("overwrite").parquet(version(-1))
-    last = {"n": -1}
+    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
+    columns = MEMORY_SCHEMA.names
+
+    def save(mem: DataFrame, n: int) -> None:
+        # a bucket with a very busy user is split over several tasks and files
+        (mem.select(*columns).withColumn("bucket", bucket).hint("rebalance", "bucket")
+         .write.mode("overwrite").partitionBy("bucket").parquet(f"{state_root}/batch={n}"))
+
+    def current(before: int | None = None, only: list[int] | None = None) -> DataFrame:
+        schema = T.StructType([*MEMORY_SCHEMA.fields, T.StructField("batch", T.IntegerType()),
+                               T.StructField("bucket", T.IntegerType())])
+        table = spark.read.schema(schema).parquet(state_root)
+        if before is not None:
+            table = table.filter(F.col("batch") < before)
+        if only is not None:
+            table = table.filter(F.col("bucket").isin(only))
+        newest: dict[int, list[int]] = {}
+        for b, n in table.groupBy("bucket").agg(F.max("batch")).collect():  # one row per bucket
+            newest.setdefault(n, []).append(b)
+        keep = F.lit(False)
+        for n, bs in newest.items():
+            keep = keep | ((F.col("batch") == n) & F.col("bucket").isin(bs))
+        return table.filter(keep).select(*columns)
 
     def apply(batch: DataFrame, n: int) -> None:
-        mem = spark.read.schema(first.schema).parquet(version(n - 1))
-        out, _, _ = apply_decisions(mem, batch)
-        out.select(*first.columns).write.mode("overwrite").parquet(version(n))
-        last["n"] = n
-
+        rows = batch.persist()
+        touched = [r[0] for r in rows.select(bucket).distinct().collect()]
+        if touched:
+            save(apply_decisions(current(n, touched), rows)[0], n)
+        rows.unpersist()
+
+    if first is not None:
+        save(first, -1)
     query = (decisions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
              .trigger(availableNow=True).start())
     query.awaitTermination()
-    return lambda: spark.read.schema(first.schema).parquet(version(last["n"]))
-
+    return current
