@@ -28,6 +28,17 @@ def hit_key(chars: int, *names: str) -> Column:
                       F.substring(F.coalesce(F.col("passage"), F.lit("")), 1, chars))
 
 
+def attach(cands: DataFrame, table: DataFrame, on) -> DataFrame:
+    """Left join of a bounded candidate list with a large table.
+
+    The table is cut to the candidates' keys first, which the planner can do with a broadcast
+    of those keys; a plain left join would shuffle the whole table.
+    """
+    on = list(on)
+    near = table.join(cands.select(*on).distinct(), on, "left_semi")
+    return cands.join(near, on, "left")
+
+
 def minmax(df: DataFrame, col: str, out: str, by=("query_id",)) -> DataFrame:
     """Scale to 0..1 per list; a flat list becomes all ones."""
     w = W.partitionBy(*by)
@@ -58,8 +69,8 @@ def two_stage_rank(cands: DataFrame, k: int, overlap: Column, by=("query_id",))
 def two_stage_v2_rank(cands: DataFrame, contexts: DataFrame, k: int, id="id",
                       query_vec="query_vec", vec="context_vec", by=("query_id",)) -> DataFrame:
     """Order the candidates by cosine with a supplied full-context vector."""
-    scored = (cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"})
-              .join(contexts.select(id, vec), id, "left")
+    scored = (attach(cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"}),
+                     contexts.select(id, vec), [id])
               .withColumn("score", F.round(F.coalesce(cosine(query_vec, vec), F.lit(0.0)), 12)))
     return top_per(scored, by, [F.desc("score"), F.asc("_pos")], k).drop("_pos", vec)
 
@@ -67,8 +78,8 @@ def two_stage_v2_rank(cands: DataFrame, contexts: DataFrame, k: int, id="id",
 def score_rerank(cands: DataFrame, scores: DataFrame, k: int = 10, on=("query_id", "id"),
                  raw="raw_score", by=("query_id",)) -> DataFrame:
     """Order the candidates by a supplied relevance text; none counts as 0."""
-    scored = (cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"})
-              .join(scores.select(*on, raw), list(on), "left")
+    scored = (attach(cands.withColumnsRenamed({"score": "vector_score", "rank": "_pos"}),
+                     scores.select(*on, raw), on)
               .withColumn("score", tx.parse_score(raw)))
     return top_per(scored, by, [F.desc("score"), F.asc("_pos")], k).drop("_pos", raw)
 
@@ -78,7 +89,7 @@ def head_rerank(ranked: DataFrame, scores: DataFrame, n: int = 12, on=("query_id
     """Only the first n rows take the supplied score and are re-sorted; the tail keeps its
     ranks, so it never enters the sort."""
     head = ranked.filter(F.col("rank") <= n).withColumnRenamed("rank", "_pos").drop("score")
-    head = (head.join(scores.select(*on, raw), list(on), "left")
+    head = (attach(head, scores.select(*on, raw), on)
             .withColumn("score", tx.parse_score(raw)))
     head = top_per(head, "query_id", [F.desc("score"), F.asc("_pos")], n).drop("_pos", raw)
     return head.unionByName(ranked.filter(F.col("rank") > n))
@@ -101,7 +112,7 @@ def hydrate(keys: DataFrame, primary: DataFrame, fallback: DataFrame, key="mapc"
     cols = [c for c in primary.columns if c != key]
     wanted = keys.filter(tx.nonblank(key).isNotNull()).withColumn(key, tx.strip(key))
     first = wanted.join(primary, key, "inner")
-    missing = wanted.join(primary.select(key), key, "left_anti")
+    missing = wanted.join(first.select(key).distinct(), key, "left_anti")
     second = missing.join(fallback.select(key, *cols), key, "inner")
     return first.unionByName(second)
 

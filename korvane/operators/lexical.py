@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixed
@@ -35,6 +35,10 @@ def ngrams(tokens: Column, longest: int, heads: Column) -> Column:
         lambda n: F.array_join(F.slice(tokens, i, n), " "))))
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
 def expand(tokens: Column, groups=tuple(fixed.SYNONYM_GROUPS)) -> Column:
     """Tokens plus one group token (``~N``) for every synonym phrase that occurs.
 
@@ -46,9 +50,10 @@ def expand(tokens: Column, groups=tuple(fixed.SYNONYM_GROUPS)) -> Column:
             table.setdefault(phrase.strip().lower(), []).append(f"~{i}")
     if not table:
         return tokens
-    heads = F.array(*[F.lit(w) for w in sorted({p.split()[0] for p in table})])
-    names = F.create_map(*[x for p, g in table.items()
-                           for x in (F.lit(p), F.array(*[F.lit(t) for t in g]))])
+    # one parsed expression each: hundreds of single literals would cost a second to build
+    array = lambda items: "array(" + ", ".join(_quote(i) for i in items) + ")"
+    heads = F.expr(array(sorted({p.split()[0] for p in table})))
+    names = F.expr("map(" + ", ".join(f"{_quote(p)}, {array(g)}" for p, g in table.items()) + ")")
     none = F.array().cast("array<string>")
 
     def grown(toks):
@@ -63,6 +68,7 @@ def expand(tokens: Column, groups=tuple(fixed.SYNONYM_GROUPS)) -> Column:
 MAX_QUERIES = 2000
 MAX_CELLS = 16_000_000
 CHUNK_CELLS = 4_000_000
+ANY = "~any"
 
 
 def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int = 20, *,
@@ -85,16 +91,18 @@ def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k
                           for f in fields])
     flat = docs.select(id, F.explode(per_field).alias("_f")).select(
         id, "_f.field", F.size("_f._t").alias("len"), expand(F.col("_f._t"), synonyms).alias("_t"))
-    stats = flat.filter("len > 0").groupBy("field").agg(
-        F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
+    # one pass counts documents per term and, under a reserved term, per field with their length
     vocabulary = q.select("term").distinct()
-    counts = (flat.select("field", F.explode(F.array_distinct("_t")).alias("term"))
-              .join(vocabulary, "term", "left_semi")
-              .groupBy("field", "term").agg(F.count(F.lit(1)).alias("df")))
-    # one row per field and query term
-    weights = counts.join(F.broadcast(stats), "field").select(
-        "field", "term", "avglen",
-        F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    marked = F.concat(F.array_distinct("_t"), F.array(F.lit(ANY)))
+    counts = (flat.filter("len > 0").select("field", "len", F.explode(marked).alias("term"))
+              .join(vocabulary.union(vocabulary.limit(1).select(F.lit(ANY))), "term", "left_semi")
+              .groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("sum")))
+    per_term = W.partitionBy("field")  # one row per field and query term
+    whole = lambda c: F.max(F.when(F.col("term") == ANY, F.col(c))).over(per_term)
+    weights = (counts.withColumns({"n": whole("df"), "total": whole("sum")})
+               .filter(F.col("term") != ANY).select(
+        "field", "term", (F.col("total") / F.col("n")).alias("avglen"),
+        F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
 
     few = bounded_rows(queries.select(query_id), max_queries) is not None
     entries = bounded_rows(q, max_queries * 200) if few else None

@@ -43,7 +43,8 @@ def retrieve_memories(queries: DataFrame, mem: DataFrame, k: int = 5, core: int
     always = queries.select("query_id", "user_id").join(cores, "user_id").select(
         "query_id", "mem_id", F.lit(1.0).alias("score"), (F.col("rank") + k).alias("rank"),
         F.lit(1).alias("_src"))
-    found = first_per(near.unionByName(always), ["query_id", "mem_id"], ["_src"])
+    # at most k + core rows per query; written out so that the facts are not shuffled for them
+    found = materialize(first_per(near.unionByName(always), ["query_id", "mem_id"], ["_src"]), "found")
     return found.drop("_src").join(mem.select("mem_id", "user_id", "mem_type", "fact"), "mem_id")
 
 

@@ -19,9 +19,14 @@ TEXT_CAP = 12_000
 
 
 def candidates(queries: DataFrame, vectors: DataFrame, docs: DataFrame, n: int) -> DataFrame:
-    """Top-n hits with the query's text and vector and the document's columns."""
-    hits = semantic_search(queries, vectors, n)
-    return hits.join(queries.select("query_id", "q_text", "query_vec"), "query_id").join(docs, "id")
+    """Top-n hits with the query's text and vector and the document's columns.
+
+    The hits meet the documents first and alone, so that the small side can be broadcast; the
+    pool, n rows per query, is written out because the rankers read it several times.
+    """
+    pool = docs.join(semantic_search(queries, vectors, n), "id")
+    return materialize(pool.join(queries.select("query_id", "q_text", "query_vec"), "query_id"),
+                       "pool")
 
 
 def block_overlap() -> Column:

@@ -13,6 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..dist import bounded_rows, first_per, top_per
+from ..session import materialize
 
 MAX_BROADCAST_QUERIES = 4096
 BLOCK_ROWS = 20_000
@@ -55,15 +56,19 @@ def _fields(queries, vectors, query_id, id):
                          T.StructField("score", T.DoubleType())])
 
 
-def _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec) -> DataFrame:
+def _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec, by) -> DataFrame:
+    """Queries ``rows`` = (id, vector, *by) in every task; the vectors pass by once."""
     spark = vectors.sparkSession
     dim = len(rows[0][1])
+    members: dict[tuple, list[int]] = {}
+    for i, r in enumerate(rows):
+        members.setdefault(tuple(r[2:]), []).append(i)
     shared = spark.sparkContext.broadcast(
-        ([r[0] for r in rows], _matrix([r[1] for r in rows])))
+        ([r[0] for r in rows], _matrix([r[1] for r in rows]), members))
     schema = _fields(queries, vectors, query_id, id)
 
     def scan(batches):
-        q_ids, q_mat = shared.value
+        q_ids, q_mat, members = shared.value
         kept = [None] * len(q_ids)
         for batch in batches:
             if batch.num_rows == 0:
@@ -73,13 +78,16 @@ def _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec) -> D
             size = np.linalg.norm(mat, axis=1, keepdims=True)
             mat = np.divide(mat, size, out=np.zeros_like(mat), where=size > 0)
             ids = key_array(batch.column(0).to_pylist())
-            for i, (_, b_ids, b_scores) in enumerate(_block(q_ids, q_mat, ids, mat, k)):
-                if kept[i] is not None:
-                    b_ids = np.concatenate([kept[i][0], b_ids])
-                    b_scores = np.concatenate([kept[i][1], b_scores])
-                    best = best_positions(b_scores, b_ids, k)
-                    b_ids, b_scores = b_ids[best], b_scores[best]
-                kept[i] = (b_ids, b_scores)
+            for group, pos in _rows_by_group(batch, 2):
+                mine = members.get(group, [])
+                for i, (_, b_ids, b_scores) in zip(mine, _block(
+                        mine, q_mat[mine], ids[pos], mat[pos], k)):
+                    if kept[i] is not None:
+                        b_ids = np.concatenate([kept[i][0], b_ids])
+                        b_scores = np.concatenate([kept[i][1], b_scores])
+                        best = best_positions(b_scores, b_ids, k)
+                        b_ids, b_scores = b_ids[best], b_scores[best]
+                    kept[i] = (b_ids, b_scores)
         out_q, out_v, out_s = [], [], []
         for q, pair in zip(q_ids, kept):
             if pair is not None:
@@ -91,10 +99,25 @@ def _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec) -> D
 
     from pyspark.sql.pandas.types import to_arrow_schema
     arrow_schema = to_arrow_schema(schema)
-    usable = vectors.select(id, vec).filter((F.size(vec) == dim) & F.col(id).isNotNull())
+    usable = vectors.select(id, vec, *by).filter((F.size(vec) == dim) & F.col(id).isNotNull())
+    if by:  # at most one row per query
+        usable = usable.join(F.broadcast(queries.select(*by).distinct()), by, "left_semi") \
+            .select(id, vec, *by)
     return usable.mapInArrow(scan, schema)
 
 
+def _rows_by_group(batch, first: int):
+    """(group, row positions) of the columns from ``first`` on; one group if there are none."""
+    if batch.num_columns == first:
+        yield (), slice(None)
+        return
+    groups: dict[tuple, list[int]] = {}
+    columns = [batch.column(c).to_pylist() for c in range(first, batch.num_columns)]
+    for i, key in enumerate(zip(*columns)):
+        groups.setdefault(key, []).append(i)
+    yield from groups.items()
+
+
 def _blocked_knn(queries, vectors, k, query_id, query_vec, id, vec, by, block_rows) -> DataFrame:
     """Both sides cut into bounded blocks inside each group; every block pair meets once.
 
@@ -140,20 +163,18 @@ def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, *, query_id=
 
     Up to ``max_broadcast`` queries travel to the vectors, which are then scanned once with
     no shuffle; more queries meet the vectors block by block. ``by`` restricts candidates to
-    rows with equal values.
+    rows with equal values. The result, at most k rows per query, is written out: it is the
+    costly step, later steps read it repeatedly, and its true size lets the planner broadcast
+    it to the large tables it is joined with.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rows = None
-    if not by:
-        rows = bounded_rows(queries.select(query_id, query_vec)
-                            .filter(F.col(query_vec).isNotNull()), max_broadcast)
-        if rows is not None and len({len(r[1]) for r in rows}) != 1:
-            rows = None
-    if rows:
-        cand = _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec)
+    rows = bounded_rows(queries.select(query_id, query_vec, *by)
+                        .filter(F.col(query_vec).isNotNull()), max_broadcast)
+    if rows and len({len(r[1]) for r in rows}) == 1:
+        cand = _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec, by)
     else:
         cand = _blocked_knn(queries, vectors, k, query_id, query_vec, id, vec, by, block_rows)
-    return top_per(cand, query_id, [F.desc("score"), F.asc(id)], k)
+    return materialize(top_per(cand, query_id, [F.desc("score"), F.asc(id)], k), "hits")
 
 
 def user_search(queries, vectors, k, *, user="user_id", **kw) -> DataFrame:

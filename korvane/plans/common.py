@@ -106,5 +106,5 @@ def hits(spark, d, k: int) -> DataFrame:
 def rich_hits(spark, d, k: int) -> DataFrame:
     """Hits with the query's text and the document's columns."""
     q = query_rows(spark, d)
-    return (semantic_search(q, vectors(spark, d), k).join(q.select("query_id", "q_text"), "query_id")
-            .join(docs(spark, d), "id"))
+    return (docs(spark, d).join(semantic_search(q, vectors(spark, d), k), "id")
+            .join(q.select("query_id", "q_text"), "query_id"))

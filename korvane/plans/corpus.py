@@ -49,6 +49,23 @@ def hierarchy_denorm(spark, d):
     return _denorm(spark, d).select("mapc", "ten", "noidung", "tenchuong", "tendemuc", "tenchude")
 
 
+@query("denorm_own_keys", """SELECT l_orderkey AS mapc, l_linenumber AS pos, l_partkey, p_name AS tenchuong,
+    coalesce(s_name, '') AS tendemuc, coalesce(n_name, '') AS tenchude FROM lineitem LEFT JOIN part ON p_partkey = l_partkey
+LEFT JOIN supplier ON s_suppkey = l_suppkey LEFT JOIN nation ON n_nationkey = l_linenumber""")
+def denorm_own_keys(spark, d):
+    """Lines as articles with their own keys to part, supplier and nation."""
+    art = table(spark, d, "lineitem").select(
+        F.col("l_orderkey").alias("mapc"), F.col("l_linenumber").alias("pos"), "l_partkey",
+        F.col("l_partkey").alias("chuong_id"), F.col("l_suppkey").alias("demuc_id"),
+        F.col("l_linenumber").alias("chude_id"))
+    none = F.lit(None).cast("long")
+    ch = table(spark, d, "part").select(F.col("p_partkey").alias("mapc"), F.col("p_name").alias("ten"), none.alias("demuc_id"))
+    sub = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("ten"), none.alias("chude_id"))
+    top = table(spark, d, "nation").select(F.col("n_nationkey").alias("id"), F.col("n_name").alias("ten"))
+    return co.denormalize(art, ch, sub, top, blanks=True).select(
+        "mapc", "pos", "l_partkey", "tenchuong", "tendemuc", "tenchude")
+
+
 @query("block_text", f"""WITH {DENORM_SQL}
 SELECT mapc, concat_ws(chr(10) || chr(10), nullif(trim(tenchude), ''), nullif(trim(tendemuc), ''),
     nullif(trim(tenchuong), ''), nullif(trim(ten), ''), nullif(trim(noidung), '')) AS block FROM den""")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..dist import position_within
 from ..functions import text as tx
 from ..functions.vectors import cosine
 from ..operators import fusion as fu, metrics as me
@@ -90,6 +91,18 @@ def average_metrics(spark, d):
     return me.average_metrics(_per_query(spark, d)).withColumn("value", F.round("value", 6))
 
 
+@query("metrics_missing", f"""WITH {METRIC_CTE}
+SELECT 'semantic_search' AS strategy, k.k, item_id AS query_id, round(coalesce(p.precision, 0), 6) AS precision,
+    round(coalesce(p.ndcg, 0), 6) AS ndcg FROM benchmark CROSS JOIN {KS_SQL} k LEFT JOIN per p
+    ON p.query_id = item_id AND p.k = k.k""")
+def metrics_missing(spark, d):
+    lists = table(spark, d, "benchmark").select(
+        F.lit("semantic_search").alias("strategy"), F.explode(F.array(*[F.lit(k) for k in KS])).alias("k"),
+        F.col("item_id").alias("query_id"))
+    return me.with_missing(_per_query(spark, d), lists).select(
+        "strategy", "k", "query_id", F.round("precision", 6).alias("precision"), F.round("ndcg", 6).alias("ndcg"))
+
+
 SWEEP_CTE = f"""{HITS_SQL},
 pool AS (SELECT h.*, k, len(list_intersect(list_distinct({s_words('q_text')}), {s_words('noidung')}))
       / len(list_distinct({s_words('q_text')})) AS lex,
@@ -498,9 +511,8 @@ c AS (SELECT b.item_id AS query_id, coalesce(round(least(greatest(m * (CASE WHEN
     FROM benchmark b LEFT JOIN a ON a.query_id = b.item_id)
 SELECT query_id, confidence, confidence < 0.4 OR coalesce(corpus, 0) = 0 AS warning FROM c""")
 def confidence(spark, d):
-    from ..dist import top_per
-    # lists are bounded: 20 corpus rows plus the pages of a query
-    ranked = top_per(_mixed(spark, d), "query_id", ["pos"], 1 << 30)
+    # a query may have any number of pages, so its list is numbered range by range
+    ranked = position_within(_mixed(spark, d), "query_id", "pos", "rank", start=1)
     asked = table(spark, d, "benchmark").select(
         F.col("item_id").alias("query_id"), (F.col("item_id") % 8).alias("iterations"))
     return fu.confidence(ranked, asked)

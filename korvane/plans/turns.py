@@ -789,6 +789,19 @@ def stream_cache(spark, d):
     return st.run_to_table(found, f"{base}/out", f"{base}/check")
 
 
+@query("stream_cache_put", """SELECT event_id AS entry_id, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at
+FROM events WHERE event_type <> 'signup'""")
+def stream_cache_put(spark, d):
+    """Events as turns; every one arrives twice and is stored once."""
+    e = _stream(spark, d, "events")
+    text = F.when(F.col("event_type") == "signup", F.lit("xin chào")).otherwise(F.col("event_type"))
+    sent = e.select(F.col("event_id").alias("entry_id"), text.alias("text"), F.col("ts").cast("timestamp").alias("created_at"),
+                    F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy")).drop("_copy")
+    kept = st.cache_put_stream(sent).select("entry_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+    base = scratch_path(spark, "put")
+    return st.run_to_table(kept, f"{base}/out", f"{base}/check")
+
+
 @query("stream_memory", f"WITH {APPLIED_SQL} SELECT * FROM mem")
 def stream_memory(spark, d):
     base = scratch_path(spark, "memory")

@@ -525,3 +525,69 @@ def test_no_cartesian_products(spark, name):
 def test_gate_needs_no_shuffle(spark):
     df = spark.createDataFrame([("xin chào",)], "text string")
     assert "Exchange" not in plan(ga.route_turns(df, {"xin chào": "x"}))
+
+
+# ---- sinks and streams ---------------------------------------------------------------------------
+
+
+def test_load_and_resume(spark, tmp_path):
+    from korvane.sources.writers import write_load
+    df = spark.createDataFrame([(1, "ok"), (2, ""), (3, "ok")], "id int, text string")
+    good, bad = co.load_with_rejects(df, {"empty": F.col("text") == ""})
+    out, err = str(tmp_path / "out"), str(tmp_path / "err")
+    write_load(good.filter("id = 1"), bad, out, err, resume=False)
+    rest = co.load_increment(good, spark.read.parquet(out))
+    assert [r.id for r in rest.collect()] == [3]
+    write_load(rest, bad.limit(0), out, err)
+    assert sorted(r.id for r in spark.read.parquet(out).collect()) == [1, 3]
+    assert [(r.id, r.error) for r in spark.read.parquet(err).collect()] == [(2, "empty")]
+    assert co.load_increment(good, spark.read.parquet(out), resume=False).count() == 2
+
+
+def test_page_stream_resumes(spark, tmp_path):
+    from korvane.streaming.streams import ingest_stream, run_to_table
+    src = tmp_path / "in"
+    src.mkdir()
+
+    def run():
+        return run_to_table(ingest_stream(spark, str(src), 1), str(tmp_path / "out"), str(tmp_path / "check"))
+
+    (src / "a.html").write_text(PAGE, encoding="utf-8")
+    assert run().count() == 2
+    (src / "b.html").write_text(PAGE, encoding="utf-8")
+    assert {(r.page_id, r.mapc) for r in run().collect()} == {(p, m) for p in "ab" for m in ("101", "102")}
+
+
+def test_memory_stream_replays_and_restarts(spark, tmp_path):
+    from korvane.streaming.streams import memory_stream
+    fields = ("user_id string, seq long, action string, fact string, mem_type string, target_id long, merged_fact string, "
+              "reason string, new_id long, at timestamp")
+    src, root, check = (str(tmp_path / x) for x in ("in", "state", "check"))
+    first = spark.createDataFrame([("u", 1, "a", "core", None, 1, False, None), ("v", 2, "b", "core", None, 1, False, None)],
+                                  "user_id string, mem_id long, fact string, mem_type string, timestamp timestamp, "
+                                  "version int, deleted boolean, deleted_at timestamp")
+
+    def send(*rows):
+        spark.createDataFrame([(*r, None) for r in rows], fields).coalesce(1).write.mode("append").parquet(src)
+        return spark.readStream.schema(fields).parquet(src)
+
+    memory_stream(send(("u", 1, "UPDATE", "c", "core", 1, None, "r", 101)), root, first, check)
+    latest = memory_stream(send(("u", 2, "UPDATE", "d", "core", 101, None, "r", 102), ("w", 3, "ADD", "e", "core", None, None, "r", 103)),
+                           root, None, check)
+    got = {(r.user_id, r.mem_id, r.fact, r.version) for r in latest().collect()}
+    assert got == {("u", 102, "d", 3), ("v", 2, "b", 1), ("w", 103, "e", 1)}
+
+
+def test_retag_needs_valid_claims(spark):
+    df = spark.createDataFrame([(1, "demo_a"), (2, "x_b"), (3, "demo_c")], "id int, user_id string")
+    claims = spark.createDataFrame([("demo_a", "U"), ("x_b", "V"), ("demo_c", "")], "anonymous_id string, uid string")
+    assert {(r.id, r.user_id, r.moved) for r in ch.retag_user(df, claims).collect()} == {
+        (1, "U", True), (2, "x_b", False), (3, "demo_c", False)}
+
+
+def test_bounded_lists_do_not_shuffle_the_corpus(spark):
+    from korvane.plans.common import docs, query_rows, vectors
+    d = "/root/testdata/sf0.001"
+    hits = ve.semantic_search(query_rows(spark, d), vectors(spark, d), 5)
+    text = plan(docs(spark, d).join(hits, "id"))
+    assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
