@@ -591,3 +591,15 @@ def test_bounded_lists_do_not_shuffle_the_corpus(spark):
     hits = ve.semantic_search(query_rows(spark, d), vectors(spark, d), 5)
     text = plan(docs(spark, d).join(hits, "id"))
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text
+
+
+def test_workers_do_not_need_the_package(tmp_path):
+    import subprocess
+    import sys
+
+    from pyspark import cloudpickle
+    path = tmp_path / "f.bin"
+    path.write_bytes(cloudpickle.dumps((_bleu, ex._articles, ve._block, lx.best_positions)))
+    code = f"import pickle; f = pickle.load(open({str(path)!r}, 'rb')); print(f[0]('a b', 'a b'), len(list(f[1]({PAGE!r}))))"
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
+    assert out.stdout.split()[-1] == "2", out.stderr
