@@ -164,14 +164,14 @@ def chunk_fixed(col, n: int = 5) -> Column:
 def word_overlap(query, text) -> Column:
     """Share of the query's distinct words found in the text, 0 for an empty query."""
     q = F.array_distinct(words(query))
-    hit = F.array_intersect(q, words(text))
+    hit = F.array_intersect(q, words(F.coalesce(_c(text), F.lit(""))))
     return F.when(F.size(q) == 0, F.lit(0.0)).otherwise(F.size(hit) / F.size(q))
 
 
 def substring_overlap(query, text) -> Column:
     """Number of distinct query tokens that occur anywhere inside the text."""
     wanted = F.array_distinct(tokens(F.lower(_c(query))))
-    return let(F.lower(_c(text)), lambda low: F.size(F.filter(
+    return let(F.lower(F.coalesce(_c(text), F.lit(""))), lambda low: F.size(F.filter(
         wanted, lambda t: F.contains(low, t))))
 
 

@@ -21,10 +21,12 @@ TEXT_CAP = 12_000
 def candidates(queries: DataFrame, vectors: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Top-n hits with the query's text and vector and the document's columns.
 
-    The hits meet the documents first and alone, so that the small side can be broadcast; the
-    pool, n rows per query, is written out because the rankers read it several times.
+    A hit without a document stays, with empty texts. The hits meet the documents first and
+    alone, so that the small side can be broadcast; the pool, n rows per query, is written out
+    because the rankers read it several times.
     """
-    pool = docs.join(semantic_search(queries, vectors, n), "id")
+    pool = fu.attach(semantic_search(queries, vectors, n), docs, ["id"])
+    pool = pool.fillna("", subset=[c for c in docs.columns if c != "id"])
     return materialize(pool.join(queries.select("query_id", "q_text", "query_vec"), "query_id"),
                        "pool")
 
@@ -103,7 +105,8 @@ def sweep(queries, vectors, docs, strategies, ks, **kw) -> DataFrame:
 def vector_tool(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """Pool of min(max(3k, k), 40), hydrated at base score 0.8, overlap-reranked, first k."""
     pool = min(max(3 * k, k), 40)
-    hits = candidates(queries, vectors, docs, pool).drop("score")
+    hits = docs.join(semantic_search(queries, vectors, pool).drop("score"), "id").join(
+        queries.select("query_id", "q_text"), "query_id")
     return rerank_tool(hits.withColumn("base_score", F.lit(0.8)), k)
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.vectors import mean_vectors
+from ..operators.fusion import attach
 from ..operators.vector import semantic_search
 from ..sources.readers import read_table
 
@@ -56,9 +57,11 @@ docs AS (SELECT doc_id AS id, doc_id::VARCHAR AS mapc, split_part(text, chr(10),
 qt AS (SELECT item_id AS query_id, text AS q_text FROM benchmark)"""
 
 HITS_SQL = VECTORS_SQL + "," + DOCS_SQL + """,
-hits AS (SELECT r.query_id, r.id, r.label, r.score, r.rank, q.q_text, d.mapc, d.ten, d.noidung,
-    d.tenchuong, d.tendemuc, d.tenchude, d.vbqppl
-    FROM ranked r JOIN qt q USING (query_id) JOIN docs d USING (id))"""
+hits AS (SELECT r.query_id, r.id, r.label, r.score, r.rank, q.q_text, r.id::VARCHAR AS mapc,
+    coalesce(d.ten, '') AS ten, coalesce(d.noidung, '') AS noidung, coalesce(d.tenchuong, '') AS tenchuong,
+    coalesce(d.tendemuc, '') AS tendemuc, coalesce(d.tenchude, '') AS tenchude,
+    coalesce(d.vbqppl, '') AS vbqppl
+    FROM ranked r JOIN qt q USING (query_id) LEFT JOIN docs d USING (id))"""
 
 
 # Spark inputs --------------------------------------------------------------------------
@@ -104,7 +107,9 @@ def hits(spark, d, k: int) -> DataFrame:
 
 
 def rich_hits(spark, d, k: int) -> DataFrame:
-    """Hits with the query's text and the document's columns."""
-    q = query_rows(spark, d)
-    return (docs(spark, d).join(semantic_search(q, vectors(spark, d), k), "id")
+    """Hits with the query's text and the document's columns, empty where there is none."""
+    q, d0 = query_rows(spark, d), docs(spark, d).drop("mapc")
+    found = attach(semantic_search(q, vectors(spark, d), k), d0, ["id"])
+    return (found.fillna("", subset=[c for c in d0.columns if c != "id"])
+            .withColumn("mapc", F.col("id").cast("string"))
             .join(q.select("query_id", "q_text"), "query_id"))

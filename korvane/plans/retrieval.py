@@ -297,7 +297,8 @@ TOOL_SUBSTR = SUBSTR.replace("coalesce(noidung, '')", "substr(noidung, 1, 12000)
 
 
 @query("vector_tool", f"""WITH {HITS_SQL},
-rr AS (SELECT query_id, mapc, rank, 0.8 + 0.05 * {TOOL_SUBSTR} AS s FROM hits WHERE rank <= 30)
+rr AS (SELECT query_id, mapc, rank, 0.8 + 0.05 * {TOOL_SUBSTR} AS s FROM hits
+    WHERE rank <= 30 AND id IN (SELECT id FROM docs))
 SELECT query_id, mapc, round(s, 6) AS score, r AS rank FROM (SELECT *, row_number() OVER (
     PARTITION BY query_id ORDER BY round(s, 9) DESC, rank) AS r FROM rr) WHERE r <= 10""")
 def vector_tool_query(spark, d):
@@ -378,7 +379,7 @@ def web_rows(spark, d):
 
 
 @query("graph_rag", f"""WITH {HITS_SQL}, {DOC_EDGES_SQL}, {WEB_SQL},
-seeds AS (SELECT query_id, mapc AS key FROM hits WHERE rank <= 5),
+seeds AS (SELECT query_id, mapc AS key FROM hits WHERE rank <= 5 AND id IN (SELECT id FROM docs)),
 {grow_sql('seeds', 'ue')},
 rr AS (SELECT g.query_id, d.mapc, d.ten, d.noidung, g.rank, qt.q_text, g.base + 0.05 * {SUBSTR} AS s
     FROM grown g JOIN docs d ON d.mapc = g.key JOIN qt USING (query_id)),
