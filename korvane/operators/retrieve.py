@@ -18,17 +18,20 @@ MULTIPLIER = 2
 TEXT_CAP = 12_000
 
 
+def _pool(queries: DataFrame, vectors: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    # the hits meet the documents first and alone, so that the small side can be broadcast
+    pool = fu.attach(semantic_search(queries, vectors, n), docs, ["id"])
+    pool = pool.fillna("", subset=[c for c in docs.columns if c != "id"])
+    return pool.join(queries.select("query_id", "q_text", "query_vec"), "query_id")
+
+
 def candidates(queries: DataFrame, vectors: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     """Top-n hits with the query's text and vector and the document's columns.
 
-    A hit without a document stays, with empty texts. The hits meet the documents first and
-    alone, so that the small side can be broadcast; the pool, n rows per query, is written out
-    because the rankers read it several times.
+    A hit without a document stays, with empty texts. The pool, n rows per query, is written
+    out because the rankers read it several times.
     """
-    pool = fu.attach(semantic_search(queries, vectors, n), docs, ["id"])
-    pool = pool.fillna("", subset=[c for c in docs.columns if c != "id"])
-    return materialize(pool.join(queries.select("query_id", "q_text", "query_vec"), "query_id"),
-                       "pool")
+    return materialize(_pool(queries, vectors, docs, n), "pool")
 
 
 def block_overlap() -> Column:
@@ -88,7 +91,7 @@ def sweep(queries, vectors, docs, strategies, ks, **kw) -> DataFrame:
     reranking depend on the pool.
     """
     ks = list(ks)
-    pool = candidates(queries, vectors, docs, MULTIPLIER * max(ks))
+    pool = _pool(queries, vectors, docs, MULTIPLIER * max(ks))
     slim = materialize(pool.select(
         "query_id", "id", "score", "rank", "query_vec",
         tx.word_overlap("q_text", "noidung").alias("lexical_score"),
