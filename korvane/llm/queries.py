@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from pyspark.sql import functions as F
+
+from korvane.session import materialize, scratch_path
+
+from . import quality_rules, warc
 from .registry import ORACLE, QUERIES, query, table
 
 
@@ -11,5 +15,20 @@ def op4(spark, sf_dir):
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op9_warc_transactions", warc.SQL)
+def op9(spark, sf_dir):
+    path = scratch_path(spark, "warc")
+    warc.write_archives(table(spark, sf_dir, "pages"), path)
+    records = materialize(warc.read_records(spark, path), "warc-records")
+    again = F.col("record_type") == "revisit"
+    return warc.assemble(records).select(
+        warc.capture_of(F.col("capture_id")).cast("long").alias("page_id"),
+        F.when(again, F.col("http_bytes")).otherwise(F.octet_length("payload").cast("long"))
+        .alias("payload_bytes"),
+        F.when(again, F.col("digest")).otherwise(warc.base32_sha1(F.col("payload")))
+        .alias("payload_digest"), "record_type",
+        warc.capture_of(F.col("refers_to")).cast("long").alias("refers_to"))
+
+
 def load():
     return QUERIES, ORACLE
