@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import quality_rules, warc
+from . import quality_rules, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
 
@@ -15,6 +15,12 @@ def op4(spark, sf_dir):
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
 
 
+@query("op5_winnowing", winnowing.SQL)
+def op5(spark, sf_dir):
+    return winnowing.decontaminate(table(spark, sf_dir, "documents"),
+                                   table(spark, sf_dir, "benchmark"))
+
+
 @query("op9_warc_transactions", warc.SQL)
 def op9(spark, sf_dir):
     path = scratch_path(spark, "warc")
