@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import quality_rules, warc, winnowing
+from . import jaccard, quality_rules, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
 
@@ -36,5 +36,10 @@ def op9(spark, sf_dir):
         warc.capture_of(F.col("refers_to")).cast("long").alias("refers_to"))
 
 
+@query("op10_jaccard_pigeonhole")
+def op10(spark, sf_dir):
+    return jaccard.join(table(spark, sf_dir, "documents"))
+
+
 def load():
     return QUERIES, ORACLE
