@@ -6,10 +6,16 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import jaccard, quality_rules, warc, winnowing
+from . import jaccard, quality_mil, quality_rules, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
 
+@query("op1_attention_mil")
+def op1(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op4_compression_bands")
 def op4(spark, sf_dir):
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
@@ -27,12 +33,15 @@ def op9(spark, sf_dir):
     warc.write_archives(table(spark, sf_dir, "pages"), path)
     records = materialize(warc.read_records(spark, path), "warc-records")
     again = F.col("record_type") == "revisit"
-    return warc.assemble(records).select(
-        warc.capture_of(F.col("capture_id")).cast("long").alias("page_id"),
-        F.when(again, F.col("http_bytes")).otherwise(F.octet_length("payload").cast("long"))
-        .alias("payload_bytes"),
-        F.when(again, F.col("digest")).otherwise(warc.base32_sha1(F.col("payload")))
-        .alias("payload_digest"), "record_type",
+    # what the contract asks of a payload is taken from it where it was read, before any join
+    records = records.withColumns({
+        "payload_bytes": F.when(again, F.col("http_bytes"))
+        .otherwise(F.octet_length("payload").cast("long")),
+        "payload_digest": F.when(again, F.col("digest"))
+        .otherwise(warc.base32_sha1(F.col("payload")))})
+    return warc.assemble(records, ["payload_bytes", "payload_digest"]).select(
+        warc.capture_of(F.col("capture_id")).cast("long").alias("page_id"), "payload_bytes",
+        "payload_digest", "record_type",
         warc.capture_of(F.col("refers_to")).cast("long").alias("refers_to"))
 
 
