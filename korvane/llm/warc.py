@@ -201,13 +201,18 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
         .mapInArrow(_parse, RECORD)
 
 
-def assemble(records: DataFrame) -> DataFrame:
+def assemble(records: DataFrame, carried=("payload",)) -> DataFrame:
     """One nested row per response or revisit, with its request and metadata records.
 
+    ``carried`` names what of the response travels through the join: its payload, or what was
+    derived from it before.
+
     ``WARC-Concurrent-To`` may stand on either side, and metadata may name the request instead
     of the response. Of several requests (or metadata records) of a capture the smallest id counts.
     """
-    main = records.filter(F.col("record_type").isin("response", "revisit"))
+    main = records.filter(F.col("record_type").isin("response", "revisit")).select(
+        "record_id", "record_type", "concurrent_to", "target_uri", "refers_to", "digest",
+        "http_bytes", "truncated", *carried)
     side = records.filter(F.col("record_type").isin("request", "metadata"))
     links = side.select(F.col("record_id").alias("side_id"), "record_type",
                         F.explode("concurrent_to").alias("main_id"))
@@ -230,7 +235,8 @@ def assemble(records: DataFrame) -> DataFrame:
     found = materialize(found, "warc-sides")
     return main.join(found.withColumnRenamed("main_id", "record_id"), "record_id", "left") \
         .select(F.col("record_id").alias("capture_id"), "record_type", "target_uri", "refers_to",
-                "digest", "http_bytes", "payload", "request", "metadata", "truncated")
+                "digest", "http_bytes", *carried, "request",
+                "metadata", "truncated")
 
 
 SQL = f"""
