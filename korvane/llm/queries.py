@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import jaccard, quality_mil, quality_rules, warc, winnowing
+from . import jaccard, quality_mil, quality_rules, toxicity, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
 
@@ -27,6 +27,12 @@ def op5(spark, sf_dir):
                                    table(spark, sf_dir, "benchmark"))
 
 
+@query("op6_levenshtein_lexicon")
+def op6(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+
+
 @query("op9_warc_transactions", warc.SQL)
 def op9(spark, sf_dir):
     path = scratch_path(spark, "warc")
