@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import jaccard, quality_mil, quality_rules, toxicity, warc, winnowing
+from . import jaccard, quality_mil, quality_rules, quotes, toxicity, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
 
@@ -33,6 +33,11 @@ def op6(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op7_quotation_links")
+def op7(spark, sf_dir):
+    return quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
+
+
 @query("op9_warc_transactions", warc.SQL)
 def op9(spark, sf_dir):
     path = scratch_path(spark, "warc")
