@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import jaccard, quality_mil, quality_rules, quotes, toxicity, warc, winnowing
+from . import jaccard, line_dedup, quality_mil, quality_rules, quotes, toxicity, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
 
@@ -16,6 +16,11 @@ def op1(spark, sf_dir):
     return quality_mil.score(docs, quality_mil.train(docs, table(spark, sf_dir, "labels")))
 
 
+@query("op2_segment_edit_join")
+def op2(spark, sf_dir):
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
 @query("op4_compression_bands")
 def op4(spark, sf_dir):
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
