@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import jaccard, line_dedup, quality_mil, quality_rules, quotes, toxicity, warc, winnowing
+from . import jaccard, line_dedup, quality_mil, quality_rules, quotes, \
+    sentencepiece_sa, toxicity, warc, winnowing
 from .registry import ORACLE, QUERIES, query, table
 
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 @query("op1_attention_mil")
 def op1(spark, sf_dir):
@@ -43,6 +46,16 @@ def op7(spark, sf_dir):
     return quotes.conversations(quotes.as_mail(table(spark, sf_dir, "conversations")))
 
 
+@query("op8_suffix_array_pieces")
+def op8(spark, sf_dir, model_path=PIECES):
+    """Ids of every text, and whether decoding them gives the text again."""
+    model = sentencepiece_sa.Model.read(model_path)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    both = sentencepiece_sa.decode(sentencepiece_sa.encode(docs, model), model)
+    return both.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids",
+                       (F.col("decoded") == F.coalesce("text", F.lit(""))).alias("round_trip"))
+
+
 @query("op9_warc_transactions", warc.SQL)
 def op9(spark, sf_dir):
     path = scratch_path(spark, "warc")
