@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import jaccard, line_dedup, quality_mil, quality_rules, quotes, \
-    sentencepiece_sa, toxicity, warc, winnowing
+from . import (jaccard, line_dedup, quality_mil, quality_rules, quotes, sentencepiece_sa, toxicity,
+               training_order, warc, winnowing)
 from .registry import ORACLE, QUERIES, query, table
 
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 
 
@@ -24,6 +25,20 @@ def op2(spark, sf_dir):
     return line_dedup.report(table(spark, sf_dir, "documents"))
 
 
+@query("op3_feistel_shards")
+def op3(spark, sf_dir, rank_path=RANKS):
+    """Every sequence with its slot, its documents and the digest of its record in the shards."""
+    path = scratch_path(spark, "shards")
+    order = training_order.materialise(table(spark, sf_dir, "documents"),
+                                       training_order.Tokenizer(rank_path), path)
+    if order.isEmpty():
+        return order.withColumn("sha256", F.lit(None).cast("string"))
+    stored = training_order.read_slots(spark, path) \
+        .select("slot", F.sha2("data", 256).alias("sha256"))
+    return order.join(stored, "slot").select("slot", "index", F.col("used").cast("long").alias("used"),
+                                             "docs", "sha256")
+
+
 @query("op4_compression_bands")
 def op4(spark, sf_dir):
     return quality_rules.score_rules(table(spark, sf_dir, "documents"))
