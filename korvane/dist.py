@@ -2,8 +2,8 @@
 
 Top-k and keep-first are written as ``row_number`` cuts: Spark then plans a partial
 ``WindowGroupLimit`` before the shuffle, so a key that owns a third of the rows sends at
-most k rows per task. Numbering that has no cut goes over ranges of the sort key instead of
-one window per group, so neither a global order nor a hot group ends in one task.
+most k rows per task. Numbering that has no cut goes over Spark's ranges of the sort key instead
+of one window per group, so neither a global order nor a hot group ends in one task.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-SAMPLES_PER_RANGE = 32
+from .session import materialize
 
 
 def bounded_rows(df: DataFrame, max_rows: int):
@@ -40,103 +40,48 @@ def first_per(df: DataFrame, by, order) -> DataFrame:
     return top_per(df, by, order, 1, "_first").drop("_first")
 
 
-def spread(df: DataFrame) -> DataFrame:
-    """Give costly row work more tasks when a small input arrives in very few partitions.
+# ---- positions ----------------------------------------------------------------------
 
-    An input with a partition per core or more, so every large table, passes unchanged, and
-    so do streams and results of a shuffle. (A small file is often one row group: several
-    partitions, one with rows.)
-    """
-    if df.isStreaming or "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return df
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores)
-
-
-# ---- ranges -------------------------------------------------------------------------
+def _placed(df: DataFrame, keys: list[str], parts: int | None) -> DataFrame:
+    """``df`` with ``_i``, its consecutive number from 0 in key order.
 
-def range_bounds(df: DataFrame, keys: list[str], parts: int | None = None) -> list:
-    """Split points of the sort key for about ``parts`` even ranges.
-
-    The sample is the rows with the smallest hash, so a recomputed job sees the same split
-    points; the driver receives at most ``parts * SAMPLES_PER_RANGE`` key values.
+    Spark's range partitioning deals the rows out; equal keys are told apart by a hash of the
+    whole row, so a repeated key is spread as well. The sorted ranges are written once: what a row
+    found as its place there stays its place, and one count per range gives the offsets.
     """
-    parts = parts or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if parts <= 1:
-        return []
-    sample = (df.select(*keys).orderBy(F.xxhash64(*keys)).limit(parts * SAMPLES_PER_RANGE)
-              .orderBy(*keys).collect())
-    step = len(sample) / parts
-    if step < 1:
-        return []
-    picks = [tuple(sample[int(i * step)]) for i in range(1, parts)]
-    return sorted(set(picks), key=picks.index)
-
-
-def range_bucket(df: DataFrame, keys: list[str], bounds: list) -> Column:
-    """Number of split points below the row's key: a balanced tree of comparisons."""
-    types = {f.name: f.dataType for f in df.schema.fields}
-    row = F.struct(*[F.col(k) for k in keys])
-
-    def lit_row(values):
-        return F.struct(*[F.lit(v).cast(types[k]).alias(k) for k, v in zip(keys, values)])
-
-    def pick(lo: int, hi: int) -> Column:
-        if lo == hi:
-            return F.lit(lo)
-        mid = (lo + hi) // 2
-        return F.when(row <= lit_row(bounds[mid]), pick(lo, mid)).otherwise(pick(mid + 1, hi))
-
-    return pick(0, len(bounds))
+    tie = F.xxhash64(*[c for c in df.columns])
+    ranged = (df.withColumn("_tie", tie).repartitionByRange(*([parts] if parts else []), *keys, "_tie")
+              .sortWithinPartitions(*keys, "_tie").drop("_tie"))
+    placed = materialize(ranged.withColumn("_at", F.monotonically_increasing_id()), "ranges")
+    part, row = F.shiftright("_at", 33), F.col("_at").bitwiseAND((1 << 33) - 1)
+    sizes = placed.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    before = W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)
+    # one row per range
+    offsets = sizes.select("_p", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off"))
+    return (placed.withColumn("_p", part).join(F.broadcast(offsets), "_p")
+            .withColumn("_i", row + F.col("_off")).drop("_p", "_at", "_off"))
 
 
 def number_rows(df: DataFrame, keys, name: str = "id", start: int = 1,
                 parts: int | None = None) -> DataFrame:
     """Consecutive numbers over the whole table in key order, without a global window."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    bounds = range_bounds(df, keys, parts)
-    tagged = df.withColumn("_b", range_bucket(df, keys, bounds))
-    offsets = (tagged.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-               # at most one row per range
-               .withColumn("_off", F.coalesce(
-                   F.sum("_n").over(W.orderBy("_b").rowsBetween(W.unboundedPreceding, -1)),
-                   F.lit(0))))
-    local = tagged.withColumn("_r", F.row_number().over(W.partitionBy("_b").orderBy(*keys)))
-    return (local.join(F.broadcast(offsets.select("_b", "_off")), "_b")
-            .withColumn(name, (F.col("_r") + F.col("_off") + F.lit(start - 1)).cast("long"))
-            .drop("_b", "_r", "_off"))
+    return _placed(df, keys, parts).withColumn(name, (F.col("_i") + start).cast("long")).drop("_i")
 
 
 def position_within(df: DataFrame, group, order, name: str = "pos", start: int = 0,
                     parts: int | None = None) -> DataFrame:
     """Running number inside each group; a hot group is spread over many ranges.
 
-    Groups are contiguous in (group, order), so only those that straddle a split point need
-    an offset: at most two rows per range, which bounds the broadcast.
+    A group is contiguous in (group, order), so a row's position is its number in the table less
+    the smallest number of its group.
     """
     group = [group] if isinstance(group, str) else list(group)
     order = [order] if isinstance(order, str) else list(order)
-    keys = group + order
-    bounds = range_bounds(df, keys, parts)
-    tagged = df.withColumn("_b", range_bucket(df, keys, bounds))
-    local = tagged.withColumn(
-        "_r", F.row_number().over(W.partitionBy("_b", *group).orderBy(*order)))
-    if bounds:
-        sizes = tagged.groupBy(*group, "_b").agg(F.count(F.lit(1)).alias("_n"))
-        before = W.partitionBy(*group).orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-        offsets = (sizes.withColumn("_off", F.sum("_n").over(before))
-                   .filter(F.col("_off").isNotNull())
-                   .select(*[F.col(g).alias(f"_o_{g}") for g in group],
-                           F.col("_b").alias("_ob"), "_off"))
-        cond = reduce(lambda a, b: a & b,
-                      [local[g].eqNullSafe(offsets[f"_o_{g}"]) for g in group],
-                      local["_b"] == offsets["_ob"])
-        local = (local.join(F.broadcast(offsets), cond, "left")
-                 .drop("_ob", *[f"_o_{g}" for g in group]))
-    else:
-        local = local.withColumn("_off", F.lit(0))
-    return (local.withColumn(name, (F.col("_r") + F.coalesce("_off", F.lit(0))
-                                    + F.lit(start - 1)).cast("long"))
-            .drop("_b", "_r", "_off"))
+    rows = materialize(_placed(df, group + order, parts), "numbered")
+    first = materialize(rows.groupBy(*group).agg(F.min("_i").alias("_first")), "group-starts") \
+        .select(*[F.col(g).alias(f"_o_{g}") for g in group], "_first")
+    same = reduce(lambda a, b: a & b, [rows[g].eqNullSafe(first[f"_o_{g}"]) for g in group])
+    return (rows.join(first, same)
+            .withColumn(name, (F.col("_i") - F.col("_first") + start).cast("long"))
+            .drop("_i", "_first", *[f"_o_{g}" for g in group]))

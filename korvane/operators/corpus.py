@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..dist import number_rows
 from ..functions import text as tx
+from ..session import materialize
 
 METADATA_BYTES = 64_000
 
@@ -76,33 +77,41 @@ def fetch_by_id(ids: DataFrame, table: DataFrame, id="id") -> DataFrame:
 
 def reject_invalid(df: DataFrame, pk: list[str], fks: dict[str, DataFrame],
                    order) -> tuple[DataFrame, DataFrame]:
-    """(clean, rejects with reason): later duplicates of a key and dangling references.
+    """(clean, rejects with reason): missing keys, later rows of a key and dangling references.
 
-    Which row of a repeated key is the first is found by aggregating the order key, so a
-    heavily repeated key is combined before the shuffle.
+    Every row is in one of the two outputs. The first row of a key by ``order`` stays, rows that
+    tie there are told apart by a hash of all columns, and of equal rows one stays; a repeated key
+    is combined before the shuffle, and the join with its first row is one that Spark can split.
     """
     order = [order] if isinstance(order, str) else list(order)
-    firsts = df.groupBy(*pk).agg(F.min(F.struct(*order)).alias("_first"))
-    tagged = df.join(firsts, pk).withColumn(
-        "_dup", F.struct(*order) != F.col("_first")).drop("_first")
-    reason = F.when(F.col("_dup"), F.lit("duplicate key"))
+    whole = F.xxhash64(*df.columns)
+    rank = F.struct(*order, whole.alias("_h"), F.monotonically_increasing_id().alias("_u"))
+    rows = materialize(df.withColumn("_rank", rank), "ranked")
+    known_key = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in pk])
+    firsts = materialize(rows.filter(known_key).groupBy(*pk).agg(F.min("_rank").alias("_first")),
+                         "first-of-key")
+    tagged = rows.join(firsts, pk, "left")
+    reason = F.when(~known_key, F.lit("missing key")).when(
+        F.col("_rank") != F.col("_first"), F.lit("duplicate key"))
     for col, ref in fks.items():
         known = ref.select(F.col(ref.columns[0]).alias(f"_k_{col}")).distinct()
         tagged = tagged.join(known, tagged[col] == F.col(f"_k_{col}"), "left")
         reason = reason.when(F.col(col).isNotNull() & F.col(f"_k_{col}").isNull(),
                              F.lit(f"missing {col}"))
-    tagged = tagged.withColumn("reason", reason).drop("_dup", *[f"_k_{c}" for c in fks])
+    tagged = tagged.withColumn("reason", reason).select(*df.columns, "reason")
     return (tagged.filter("reason IS NULL").drop("reason"),
             tagged.filter("reason IS NOT NULL"))
 
 
-def load_with_rejects(df: DataFrame, rules: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
+def load_with_rejects(df: DataFrame, rules: dict[str, Column],
+                      unknown: str = "unknown: ") -> tuple[DataFrame, DataFrame]:
     """(good, bad): ``rules`` maps an error text to the condition that raises it.
 
-    Bad rows keep their id, names, text length and the first error that applies.
+    Bad rows keep their id, names, text length and the first error that applies; a rule that is
+    null for a row (a value is missing) rejects it as well, with ``unknown`` before its text.
     """
-    error = reduce(lambda acc, kv: F.coalesce(acc, F.when(kv[1], F.lit(kv[0]))),
-                   rules.items(), F.lit(None).cast("string"))
+    error = reduce(lambda acc, kv: F.coalesce(acc, F.when(kv[1], F.lit(kv[0])).when(
+        kv[1].isNull(), F.lit(unknown + kv[0]))), rules.items(), F.lit(None).cast("string"))
     tagged = df.withColumn("error", error)
     return (tagged.filter("error IS NULL").drop("error"), tagged.filter("error IS NOT NULL"))
 
@@ -116,15 +125,5 @@ def load_increment(df: DataFrame, target: DataFrame | None, key="id",
 
 
 def first_nonempty(*dfs: DataFrame) -> DataFrame:
-    """All rows of the first store that has any.
-
-    Only a one-row probe per store is aggregated; the rows themselves are not moved.
-    """
-    probes = reduce(lambda a, b: a.unionByName(b), [
-        df.limit(1).select(F.lit(i).alias("_p")) for i, df in enumerate(dfs)])
-    winner = probes.agg(F.min("_p").alias("_w"))
-    tagged = reduce(lambda a, b: a.unionByName(b), [
-        df.withColumn("_p", F.lit(i)) for i, df in enumerate(dfs)])
-    return (tagged.join(F.broadcast(winner), F.col("_p") == F.col("_w"), "left_semi")
-            .drop("_p"))
-
+    """All rows of the first store that has any; a one-row probe each decides, then one is read."""
+    return next((df for df in dfs if not df.isEmpty()), dfs[-1])

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import fixed
-from ..dist import bounded_rows, spread, top_per
+from ..dist import bounded_rows, top_per
 from ..functions import text as tx
 from ..session import materialize
 from .vector import DIGITS, best_positions, key_array
@@ -83,7 +83,7 @@ def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k
     shuffled. A larger query set joins on terms instead.
     """
     fields = list(boosts)
-    docs = spread(docs.select(id, *fields))
+    docs = docs.select(id, *fields)
     terms = lambda col: expand(analyze(col, stop), synonyms)
     q = (queries.select(query_id, F.explode(terms(q_text)).alias("term"))
          .groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")))

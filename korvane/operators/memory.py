@@ -27,6 +27,9 @@ def parse_facts(df: DataFrame, raw="raw", keep=("turn_id",), types=tuple(fixed.M
 
 
 def active(mem: DataFrame) -> DataFrame:
+    """The memories that are not deleted; a table without the mark has none that are."""
+    if "deleted" not in mem.columns:
+        return mem
     return mem.filter(~F.coalesce(F.col("deleted"), F.lit(False)))
 
 
@@ -34,8 +37,9 @@ def retrieve_memories(queries: DataFrame, mem: DataFrame, k: int = 5, core: int
     """Top-k memories of the user by cosine, then up to ``core`` core rows with score 1.
 
     ``queries`` = (query_id, user_id, query_vec); ``mem`` = (mem_id, user_id, mem_type, fact,
-    embedding). A row found both ways keeps its cosine.
+    embedding, maybe deleted). A row found both ways keeps its cosine; deleted rows are not found.
     """
+    mem = active(mem)
     near = user_search(queries, mem, k, id="mem_id").select(
         "query_id", "mem_id", F.round("score", 4).alias("score"), "rank", F.lit(0).alias("_src"))
     cores = top_per(mem.filter("mem_type = 'core'").select("user_id", "mem_id"), "user_id",
@@ -60,8 +64,11 @@ def memory_context(found: DataFrame, by="query_id", order=("rank", "mem_id")) ->
 
 
 def similar_memories(cands: DataFrame, mem: DataFrame, k: int = 5) -> DataFrame:
-    """Nearest existing memories per candidate; candidates without any get action ADD."""
-    near = user_search(cands, mem, k, id="mem_id")
+    """Nearest existing memories per candidate; candidates without any get action ADD.
+
+    Deleted memories are no neighbours.
+    """
+    near = user_search(cands, active(mem), k, id="mem_id")
     return cands.select("query_id").join(near, "query_id", "left").withColumn(
         "action", F.when(F.col("mem_id").isNull(), F.lit("ADD")))
 

@@ -255,14 +255,20 @@ def gold_summary(spark, d):
     return me.remap_summary(_remapped(spark, d))
 
 
-@query("rejects", """WITH o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus
-    ORDER BY o_orderkey) AS r FROM orders),
-t AS (SELECT o_orderkey, CASE WHEN r > 1 THEN 'duplicate key' WHEN l.doc_id IS NULL
+@query("rejects", """WITH s AS (SELECT o_orderkey, nullif(o_custkey, 7) AS o_custkey, o_orderstatus
+    FROM orders UNION ALL SELECT o_orderkey, nullif(o_custkey, 7), o_orderstatus FROM orders
+    WHERE o_orderpriority = '1-URGENT'),
+o AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, o_orderstatus ORDER BY o_orderkey) AS r FROM s),
+t AS (SELECT o_orderkey, CASE WHEN o_custkey IS NULL OR o_orderstatus IS NULL THEN 'missing key'
+    WHEN r > 1 THEN 'duplicate key' WHEN l.doc_id IS NULL
     THEN 'missing o_custkey' END AS reason FROM o LEFT JOIN labels l ON l.doc_id = o_custkey)
 SELECT o_orderkey, coalesce(reason, 'clean') AS reason FROM t""")
 def rejects(spark, d):
+    """Orders with some customers missing and the urgent ones twice, so every rule has rows."""
+    o = table(spark, d, "orders").withColumn("o_custkey", F.nullif("o_custkey", F.lit(7)))
+    o = o.unionByName(o.filter("o_orderpriority = '1-URGENT'"))
     clean, bad = co.reject_invalid(
-        table(spark, d, "orders").select("o_orderkey", "o_custkey", "o_orderstatus"),
+        o.select("o_orderkey", "o_custkey", "o_orderstatus"),
         ["o_custkey", "o_orderstatus"], {"o_custkey": table(spark, d, "labels").select("doc_id")},
         "o_orderkey")
     return clean.select("o_orderkey", F.lit("clean").alias("reason")).unionByName(
@@ -270,10 +276,12 @@ def rejects(spark, d):
 
 
 @query("load_rejects", """SELECT doc_id, length(text) AS len_text, CASE WHEN length(text) > 2000
-    THEN 'text too long' WHEN lang <> 'en' THEN 'other language' ELSE 'loaded' END AS error
+    THEN 'text too long' WHEN lang = 'de' THEN 'unknown: other language'
+    WHEN lang <> 'en' THEN 'other language' ELSE 'loaded' END AS error
 FROM documents""")
 def load_rejects(spark, d):
-    t = table(spark, d, "documents").withColumn("len_text", F.length("text"))
+    t = table(spark, d, "documents").withColumns(
+        {"len_text": F.length("text"), "lang": F.nullif("lang", F.lit("de"))})
     good, bad = co.load_with_rejects(t, {"text too long": F.col("len_text") > 2000,
                                          "other language": F.col("lang") != "en"})
     return good.withColumn("error", F.lit("loaded")).unionByName(bad).select(

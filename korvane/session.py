@@ -23,8 +23,9 @@ SETTINGS = {
 }
 
 
-def local_session(cpus: int | None = None, memory: str = "20g") -> SparkSession:
-    """A local session for tests and the bench."""
+def local_session(cpus: int | None = None, memory: str | None = None) -> SparkSession:
+    """A local session for tests and the bench; ``KORVANE_MEMORY`` sets its heap."""
+    memory = memory or os.environ.get("KORVANE_MEMORY", "8g")
     cpus = cpus or os.cpu_count() or 8
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -50,12 +51,15 @@ def prepare(spark: SparkSession) -> SparkSession:
 def shared_dir(spark: SparkSession) -> str:
     """Folder every executor can reach, as the cluster names it.
 
-    Only where the cluster names none (tests on one machine) a temporary folder is set.
+    Only a local session may do without one (tests on one machine): it gets a temporary folder.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         base = spark.sparkContext.getCheckpointDir()
     if not base:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = tempfile.mkdtemp(prefix="korvane-")
         spark.sparkContext.setCheckpointDir(base)
     return base

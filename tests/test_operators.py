@@ -31,9 +31,18 @@ def test_numbering_with_hot_group(spark):
 
 def test_numbering_spreads_a_hot_group(spark):
     df = spark.range(5000).select(F.lit(1).alias("g"), F.col("id").alias("o"))
-    bounds = dist.range_bounds(df, ["g", "o"], 8)
-    sizes = df.groupBy(dist.range_bucket(df, ["g", "o"], bounds).alias("b")).count().collect()
-    assert len(sizes) == 8 and max(r["count"] for r in sizes) < 5000 / 2
+    df = df.withColumn("x", F.col("o")).withColumn("o", F.lit(7))       # one key for all rows
+    placed = dist._placed(df, ["g", "o"], 8).withColumn("b", F.spark_partition_id())
+    sizes = placed.groupBy("b").count().collect()
+    assert len(sizes) > 3 and max(r["count"] for r in sizes) < 5000 / 2
+    got = [r.p for r in dist.position_within(df, "g", "o", "p", parts=8).collect()]
+    assert sorted(got) == list(range(5000))
+
+
+def test_numbering_survives_many_partitions(spark):
+    df = spark.range(3000).select((F.col("id") % 7).alias("g"), F.col("id").alias("o"))
+    ids = dist.number_rows(df, ["g", "o"], "n", parts=2000)
+    assert ids.agg(F.min("n"), F.max("n"), F.count_distinct("n")).first() == (1, 3000, 3000)
 
 
 # ---- vectors -----------------------------------------------------------------------------------
