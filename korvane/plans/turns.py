@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..dist import spread
 from ..functions import text as tx
 from ..operators import cache as ca, chats as ch, extract as ex, gate as ga, memory as mm, trust as tr
 from ..operators.answers import answer_similarity, bleu, rouge_l
