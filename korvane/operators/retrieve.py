@@ -145,7 +145,8 @@ def graph_rag(queries: DataFrame, vectors: DataFrame, edges: DataFrame, docs: Da
               *, seed_k: int = 5, hops: int = 2, k: int = 20, recent=tuple(fixed.RECENT_KEYWORDS),
               **trust) -> DataFrame:
     """Whole flow: seeds, expansion, overlap rerank; web rows where that is not enough,
-    realtime rows in front, the calculation hint first.
+    realtime rows in front, the calculation hint first. Web and realtime rows come by trust and
+    keep their trust score, level and label.
 
     ``web`` and ``realtime`` are supplied results in hit shape, ``hints`` = (query_id, hint).
     """
@@ -156,26 +157,32 @@ def graph_rag(queries: DataFrame, vectors: DataFrame, edges: DataFrame, docs: Da
              .join(queries.select("query_id", "q_text"), "query_id")
              .withColumn("passage", tx.passage_text("tenchude", "tendemuc", "tenchuong", "ten",
                                                     "noidung")))
+    labels = ["trust_score", "trust_level", "source_label"]
     cols = ["query_id", "block", "rank", "mapc", "ten", "noidung", "passage", "score", "source", "url"]
+
+    def unlabelled(df):
+        return df.select(*cols, F.lit(None).cast("double").alias(labels[0]),
+                         *[F.lit(None).cast("string").alias(c) for c in labels[1:]])
+
     # at most k rows per query, read by the verdict and by the result
     corpus = materialize(fu.overlap_rerank(cands, k).withColumns(
         {"block": F.lit(2), "source": F.lit("phapdien"), "url": F.lit("")}), "corpus")
     verdict = fu.is_sufficient(queries, corpus, recent=recent)
     short = verdict.filter("NOT sufficient").select("query_id")
-    parts = [corpus.select(cols)]
+    parts = [unlabelled(corpus)]
 
     def web_rows(df, block):
-        return trust_filter(df, **trust).withColumnRenamed("pos", "rank").withColumn(
-            "block", F.lit(block)).select(cols)
+        return trust_filter(df, by="query_id", **trust).withColumn("block", F.lit(block)) \
+            .select(*cols, *labels)
 
     parts.append(web_rows(web.join(short, "query_id", "left_semi"), 3))
     if realtime is not None:
         parts.append(web_rows(realtime, 1))
     if hints is not None:
-        parts.append(hints.filter(tx.nonblank("hint").isNotNull()).select(
+        parts.append(unlabelled(hints.filter(tx.nonblank("hint").isNotNull()).select(
             "query_id", F.lit(0).alias("block"), F.lit(1).alias("rank"),
             F.lit(None).cast("string").alias("mapc"), F.lit("Yêu cầu tính toán").alias("ten"),
             F.col("hint").alias("noidung"),
             F.concat(F.lit("[Hướng dẫn tính toán]\n"), "hint").alias("passage"),
-            F.lit(1.0).alias("score"), F.lit("system").alias("source"), F.lit("").alias("url")))
+            F.lit(1.0).alias("score"), F.lit("system").alias("source"), F.lit("").alias("url"))))
     return reduce(lambda a, b: a.unionByName(b), parts)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed
 from ..functions import text as tx
@@ -60,10 +60,19 @@ def trust_class(df: DataFrame) -> DataFrame:
         "source_label", F.element_at(label, F.col("trust_level")))
 
 
-def trust_filter(df: DataFrame, **lists) -> DataFrame:
-    """Score, class, drop the low class; ``source`` becomes web. Callers order the rows."""
-    scored = trust_class(trust_score(df, **lists))
-    return scored.filter("trust_level <> 'low'").withColumn("source", F.lit("web"))
+def trust_filter(df: DataFrame, by=None, order=("pos",), rank: str = "rank", **lists) -> DataFrame:
+    """Score, class, drop the low class; ``source`` becomes web.
+
+    With ``by`` (the query) the rows of each query get their ``rank``: the more trusted first,
+    equally trusted ones in their given ``order``.
+    """
+    kept = trust_class(trust_score(df, **lists)).filter("trust_level <> 'low'") \
+        .withColumn("source", F.lit("web"))
+    if by is None:
+        return kept
+    by = [by] if isinstance(by, str) else list(by)
+    best_first = W.partitionBy(*by).orderBy(F.desc("trust_score"), *order)
+    return kept.withColumn(rank, F.row_number().over(best_first))
 
 
 def shape_web(results: DataFrame, chars: int = 800, answers: DataFrame | None = None,

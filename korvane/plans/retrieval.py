@@ -392,11 +392,13 @@ ok AS (SELECT query_id, count(*) >= 3 AND avg(CASE WHEN r <= 3 THEN s END) >= 0.
     GROUP BY query_id),
 w AS (SELECT *, {TRUST_SQL} AS t FROM (SELECT *, {HOST_SQL} AS host FROM web0))
 SELECT query_id, 2::BIGINT AS block, r AS rank, coalesce(mapc, '') AS mapc, round(s, 6) AS score,
-    '' AS url FROM corpus
-UNION ALL SELECT query_id, 3, pos, '', 0.5, url FROM w JOIN qv USING (query_id) WHERE t >= 0.4
+    '' AS url, NULL::DOUBLE AS trust_score, NULL AS source_label FROM corpus
+UNION ALL SELECT query_id, 3, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, pos), '', 0.5, url,
+    t, CASE WHEN t >= 0.7 THEN '[Web]' ELSE '[Web - tham khảo]' END
+    FROM w JOIN qv USING (query_id) WHERE t >= 0.4
     AND query_id IN (SELECT item_id FROM benchmark)
     AND query_id NOT IN (SELECT query_id FROM ok WHERE good)
-UNION ALL SELECT qv.query_id, 0, 1, '', 1.0, '' FROM qv JOIN qt USING (query_id)""")
+UNION ALL SELECT qv.query_id, 0, 1, '', 1.0, '', NULL, NULL FROM qv JOIN qt USING (query_id)""")
 def graph_rag_query(spark, d):
     q = query_rows(spark, d)
     hints = q.select("query_id", F.concat(F.lit("sum of "), F.length("q_text").cast("string"))
@@ -404,7 +406,7 @@ def graph_rag_query(spark, d):
     return graph_rag(q, vectors(spark, d), _doc_edges(spark, d), docs(spark, d),
                      web_rows(spark, d), hints=hints, recent=("that",), **TRUST_LISTS).select(
         "query_id", "block", "rank", F.coalesce("mapc", F.lit("")).alias("mapc"),
-        F.round("score", 6).alias("score"), "url")
+        F.round("score", 6).alias("score"), "url", "trust_score", "source_label")
 
 
 @query("retrieve", f"""WITH {SWEEP_CTE.split('ng AS (')[0].rstrip().rstrip(',')}

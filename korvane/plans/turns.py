@@ -274,11 +274,14 @@ def trust_score(spark, d):
 
 @query("trust_filter", f"""WITH {PAGE_SQL}
 SELECT page_id, trust_score, CASE WHEN trust_score >= 0.7 THEN 'high' ELSE 'medium' END AS trust_level,
-    CASE WHEN trust_score >= 0.7 THEN '[Web]' ELSE '[Web - tham khảo]' END AS source_label, 'web' AS source
+    CASE WHEN trust_score >= 0.7 THEN '[Web]' ELSE '[Web - tham khảo]' END AS source_label, 'web' AS source,
+    row_number() OVER (PARTITION BY page_id % 40 ORDER BY trust_score DESC, page_id) AS rank
 FROM ts WHERE trust_score >= 0.4""")
 def trust_filter(spark, d):
-    return tr.trust_filter(_pages(spark, d), **TRUST_LISTS).select(
-        "page_id", "trust_score", "trust_level", "source_label", "source")
+    """All pages as the results of 40 queries, the more trusted first."""
+    pages = _pages(spark, d).withColumns({"query_id": F.col("page_id") % 40, "pos": F.col("page_id")})
+    return tr.trust_filter(pages, by="query_id", **TRUST_LISTS).select(
+        "page_id", "trust_score", "trust_level", "source_label", "source", "rank")
 
 
 @query("shape_web", f"""WITH {PAGE_SQL}
