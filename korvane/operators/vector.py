@@ -1,6 +1,6 @@
 """Nearest neighbours by cosine, for many queries at once.
 
-Every path ranks inside the task and sends only k rows per query and task (or block) to the
+Tiles of both sides meet in a task, which ranks there and sends only k rows per query to the
 shuffle, never the pairs. Scores are kept to 12 decimals so that equal vectors tie in
 whichever block they were computed; ties go to the smaller id.
 """
@@ -9,14 +9,13 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ..dist import bounded_rows, first_per, top_per
+from ..dist import first_per, top_per
 from ..session import materialize
 
-MAX_BROADCAST_QUERIES = 4096
-BLOCK_ROWS = 20_000
+QUERY_ROWS, VECTOR_ROWS = 4_096, 16_384     # of a tile that a task holds
+STEP_QUERIES, STEP_VECTORS = 512, 4_096     # of a score matrix: 16 MB
 DIGITS = 12
 
 
@@ -43,10 +42,19 @@ def best_positions(scores: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 
 
 def _block(q_ids, q_mat, v_ids, v_mat, k):
-    scores = np.round(q_mat @ v_mat.T, DIGITS)
-    for i, q in enumerate(q_ids):
-        best = best_positions(scores[i], v_ids, k)
-        yield q, v_ids[best], scores[i][best]
+    """(query, ids, scores) of the k best; the score matrix never exceeds one step."""
+    for lo in range(0, len(q_ids), STEP_QUERIES):
+        some = q_mat[lo:lo + STEP_QUERIES]
+        best = [(v_ids[:0], np.zeros(0))] * len(some)
+        for at in range(0, len(v_ids), STEP_VECTORS):
+            ids = v_ids[at:at + STEP_VECTORS]
+            scores = np.round(some @ v_mat[at:at + STEP_VECTORS].T, DIGITS)
+            for i in range(len(some)):
+                top = best_positions(scores[i], ids, k)
+                both = np.concatenate([best[i][0], ids[top]]), np.concatenate([best[i][1], scores[i][top]])
+                top = best_positions(both[1], both[0], k)
+                best[i] = both[0][top], both[1][top]
+        yield from ((q, *pair) for q, pair in zip(q_ids[lo:lo + STEP_QUERIES], best))
 
 
 def _fields(queries, vectors, query_id, id):
@@ -56,93 +64,41 @@ def _fields(queries, vectors, query_id, id):
                          T.StructField("score", T.DoubleType())])
 
 
-def _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec, by) -> DataFrame:
-    """Queries ``rows`` = (id, vector, *by) in every task; the vectors pass by once."""
-    spark = vectors.sparkSession
-    dim = len(rows[0][1])
-    members: dict[tuple, list[int]] = {}
-    for i, r in enumerate(rows):
-        members.setdefault(tuple(r[2:]), []).append(i)
-    shared = spark.sparkContext.broadcast(
-        ([r[0] for r in rows], _matrix([r[1] for r in rows]), members))
-    schema = _fields(queries, vectors, query_id, id)
-
-    def scan(batches):
-        q_ids, q_mat, members = shared.value
-        kept = [None] * len(q_ids)
-        for batch in batches:
-            if batch.num_rows == 0:
-                continue
-            flat = batch.column(1).flatten().to_numpy(zero_copy_only=False)
-            mat = flat.astype(np.float64).reshape(batch.num_rows, dim)
-            size = np.linalg.norm(mat, axis=1, keepdims=True)
-            mat = np.divide(mat, size, out=np.zeros_like(mat), where=size > 0)
-            ids = key_array(batch.column(0).to_pylist())
-            for group, pos in _rows_by_group(batch, 2):
-                mine = members.get(group, [])
-                for i, (_, b_ids, b_scores) in zip(mine, _block(
-                        mine, q_mat[mine], ids[pos], mat[pos], k)):
-                    if kept[i] is not None:
-                        b_ids = np.concatenate([kept[i][0], b_ids])
-                        b_scores = np.concatenate([kept[i][1], b_scores])
-                        best = best_positions(b_scores, b_ids, k)
-                        b_ids, b_scores = b_ids[best], b_scores[best]
-                    kept[i] = (b_ids, b_scores)
-        out_q, out_v, out_s = [], [], []
-        for q, pair in zip(q_ids, kept):
-            if pair is not None:
-                out_q.extend([q] * len(pair[0]))
-                out_v.extend(pair[0].tolist())
-                out_s.extend(pair[1].tolist())
-        yield pa.RecordBatch.from_pydict({query_id: out_q, id: out_v, "score": out_s},
-                                         schema=arrow_schema)
-
-    from pyspark.sql.pandas.types import to_arrow_schema
-    arrow_schema = to_arrow_schema(schema)
-    usable = vectors.select(id, vec, *by).filter((F.size(vec) == dim) & F.col(id).isNotNull())
-    if by:  # at most one row per query
-        usable = usable.join(F.broadcast(queries.select(*by).distinct()), by, "left_semi") \
-            .select(id, vec, *by)
-    return usable.mapInArrow(scan, schema)
-
-
-def _rows_by_group(batch, first: int):
-    """(group, row positions) of the columns from ``first`` on; one group if there are none."""
-    if batch.num_columns == first:
-        yield (), slice(None)
-        return
-    groups: dict[tuple, list[int]] = {}
-    columns = [batch.column(c).to_pylist() for c in range(first, batch.num_columns)]
-    for i, key in enumerate(zip(*columns)):
-        groups.setdefault(key, []).append(i)
-    yield from groups.items()
-
-
-def _blocked_knn(queries, vectors, k, query_id, query_vec, id, vec, by, block_rows) -> DataFrame:
-    """Both sides cut into bounded blocks inside each group; every block pair meets once.
-
-    A group that owns a third of the vectors becomes many blocks, so no task holds more than
-    ``block_rows`` rows of either side.
+def _tiled_knn(queries, vectors, k, query_id, query_vec, id, vec, by, query_rows,
+               vector_rows) -> DataFrame:
+    """Both sides cut into tiles inside each group; every pair of tiles meets once, by its numbers.
+
+    A group that owns a third of the vectors becomes many tiles, so no task holds more than a tile
+    of either side, and each pair of tiles sends k rows per query on.
     """
-    by = list(by)
-    cols_q, cols_v = [*by, query_id, query_vec], [*by, id, vec]
-    if not by:
-        queries, vectors = (d.withColumn("_all", F.lit(0)) for d in (queries, vectors))
-        by, cols_q, cols_v = ["_all"], ["_all", *cols_q], ["_all", *cols_v]
-    blocks = lambda d, n: d.groupBy(*by).agg(
-        F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias(n))
-    counts = blocks(queries, "_nq").join(blocks(vectors, "_nv"), by)
-    part = lambda key, n: F.pmod(F.xxhash64(key), F.col(n)).cast("int")
-    spread = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    q = (queries.select(*cols_q).join(counts, by).withColumn("_qb", part(query_id, "_nq"))
-         .withColumn("_vb", spread("_nv")).select(*by, "_qb", "_vb", query_id, query_vec))
-    v = (vectors.select(*cols_v).join(counts, by).withColumn("_vb", part(id, "_nv"))
-         .withColumn("_qb", spread("_nq")).select(*by, "_qb", "_vb", id, vec))
+    queries = queries.select(*by, query_id, query_vec).filter(F.col(query_vec).isNotNull())
+    vectors = vectors.select(*by, id, vec).filter(F.col(vec).isNotNull() & F.col(id).isNotNull())
+
+    def tiles(df, rows, name):
+        return df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / rows).cast("int").alias(name))
+
+    if by:
+        counts = tiles(queries, query_rows, "_nq").join(tiles(vectors, vector_rows, "_nv"), by)
+        queries, vectors = queries.join(counts, by), vectors.join(counts, by)
+    else:       # two numbers
+        sizes = {"_nq": tiles(queries, query_rows, "n").first()[0],
+                 "_nv": tiles(vectors, vector_rows, "n").first()[0]}
+        sizes = {c: F.lit(max(1, n)) for c, n in sizes.items()}
+        queries, vectors = queries.withColumns(sizes), vectors.withColumns(sizes)
+
+    def part(key, n):
+        return F.pmod(F.xxhash64(key), F.col(n)).cast("int")
+
+    def every(n):
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    q = queries.withColumn("_qb", part(query_id, "_nq")).withColumn("_vb", every("_nv")) \
+        .drop("_nq", "_nv")
+    v = vectors.withColumn("_vb", part(id, "_nv")).withColumn("_qb", every("_nq")).drop("_nq", "_nv")
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        right = right[right[vec].notna()]
-        for dim, qs in left[left[query_vec].notna()].groupby(left[query_vec].str.len()):
+        for dim, qs in left.groupby(left[query_vec].str.len()):
             vs = right[right[vec].str.len() == dim]
             if len(vs):
                 for q_id, ids, scores in _block(qs[query_id].tolist(), _matrix(qs[query_vec]),
@@ -158,22 +114,16 @@ def _blocked_knn(queries, vectors, k, query_id, query_vec, id, vec, by, block_ro
 
 def semantic_search(queries: DataFrame, vectors: DataFrame, k: int, *, query_id="query_id",
                     query_vec="query_vec", id="id", vec="embedding", by=(),
-                    max_broadcast=MAX_BROADCAST_QUERIES, block_rows=BLOCK_ROWS) -> DataFrame:
-    """Exact top-k by cosine: ``(query_id, id, score, rank)``.
-
-    Up to ``max_broadcast`` queries travel to the vectors, which are then scanned once with
-    no shuffle; more queries meet the vectors block by block. ``by`` restricts candidates to
-    rows with equal values. The result, at most k rows per query, is written out: it is the
-    costly step, later steps read it repeatedly, and its true size lets the planner broadcast
-    it to the large tables it is joined with.
+                    query_rows=QUERY_ROWS, vector_rows=VECTOR_ROWS) -> DataFrame:
+    """Exact top-k by cosine: ``(query_id, id, score, rank)``, the same plan for any number of queries.
+
+    Tiles of queries meet tiles of vectors; ``by`` restricts candidates to rows with equal values.
+    Vectors of another length than the query's, null vectors and null ids are no candidates. The
+    result, at most k rows per query, is written out: it is the costly step, later steps read it
+    repeatedly, and its true size lets the planner broadcast it to the large tables it is joined with.
     """
     by = [by] if isinstance(by, str) else list(by)
-    rows = bounded_rows(queries.select(query_id, query_vec, *by)
-                        .filter(F.col(query_vec).isNotNull()), max_broadcast)
-    if rows and len({len(r[1]) for r in rows}) == 1:
-        cand = _broadcast_knn(rows, queries, vectors, k, query_id, query_vec, id, vec, by)
-    else:
-        cand = _blocked_knn(queries, vectors, k, query_id, query_vec, id, vec, by, block_rows)
+    cand = _tiled_knn(queries, vectors, k, query_id, query_vec, id, vec, by, query_rows, vector_rows)
     return materialize(top_per(cand, query_id, [F.desc("score"), F.asc(id)], k), "hits")
 
 
@@ -183,14 +133,19 @@ def user_search(queries, vectors, k, *, user="user_id", **kw) -> DataFrame:
 
 
 def semantic_search_lsh(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int,
-                        tables: int = 8, bits: int = 6, seed: int = 7, query_id="query_id",
-                        query_vec="query_vec", id="id", vec="embedding",
-                        block_rows=BLOCK_ROWS) -> DataFrame:
+                        tables: int = 8, bits: int | None = None, bucket: int = 512, seed: int = 7,
+                        query_id="query_id", query_vec="query_vec", id="id",
+                        vec="embedding") -> DataFrame:
     """Approximate top-k: random hyperplane buckets, exact scores inside the buckets.
 
+    The number of hyperplanes of a table follows the number of vectors, so that a bucket holds
+    about ``bucket`` of them at any size and the work grows with the vectors and not their square.
+
     Buckets are blocked like any other group, so a crowded bucket is split and only k rows
     per query and block are emitted.
     """
+    if bits is None:
+        bits = min(30, max(1, int(np.ceil(np.log2(max(1, vectors.count()) / bucket)))))
     planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
     weights = 2 ** np.arange(bits)
 
@@ -206,8 +161,8 @@ def semantic_search_lsh(queries: DataFrame, vectors: DataFrame, k: int, *, dim:
         usable = df.select(key, col).filter(F.size(col) == dim)
         return usable.select(key, col, F.posexplode(signatures(col)).alias("_t", "_sig"))
 
-    cand = _blocked_knn(bucketed(queries, query_id, query_vec), bucketed(vectors, id, vec), k,
-                        query_id, query_vec, id, vec, ["_t", "_sig"], block_rows)
+    cand = _tiled_knn(bucketed(queries, query_id, query_vec), bucketed(vectors, id, vec), k,
+                      query_id, query_vec, id, vec, ["_t", "_sig"], QUERY_ROWS, VECTOR_ROWS)
     unique = first_per(cand, [query_id, id], [F.desc("score")])
     return top_per(unique, query_id, [F.desc("score"), F.asc(id)], k)
 

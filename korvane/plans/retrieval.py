@@ -25,6 +25,19 @@ def knn_cosine(spark, d):
     return hits(spark, d, 10).withColumn("score", F.round("score", 6))
 
 
+@query("knn_vectors", """WITH ev AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+sims AS (SELECT q.vec_id AS query_id, v.vec_id AS id, round(list_inner_product(q.e, v.e) /
+    (sqrt(list_inner_product(q.e, q.e)) * sqrt(list_inner_product(v.e, v.e))), 12) AS score
+    FROM ev q, ev v WHERE q.vec_id % 20 = 0)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM sims) WHERE rank <= 10""")
+def knn_vectors(spark, d):
+    """Every vector whose id is divisible by 20 asks all vectors."""
+    q = table(spark, d, "embeddings").filter("vec_id % 20 = 0").select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    return semantic_search(q, vectors(spark, d), 10).withColumn("score", F.round("score", 6))
+
+
 @query("knn_filtered", f"""WITH {VECTORS_SQL}
 SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT query_id, id, score,
     row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank

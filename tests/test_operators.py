@@ -76,11 +76,11 @@ def _lists(df):
     return out
 
 
-@pytest.mark.parametrize("max_broadcast,block", [(1000, 20_000), (0, 7)])
-def test_knn_both_paths(spark, max_broadcast, block):
+@pytest.mark.parametrize("query_rows,vector_rows", [(1000, 20_000), (2, 7)])
+def test_knn_any_tiles(spark, query_rows, vector_rows):
     vec, rows = _vectors(spark, 60)
     q = vec.filter("id < 10").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    got = ve.semantic_search(q, vec, 5, max_broadcast=max_broadcast, block_rows=block)
+    got = ve.semantic_search(q, vec, 5, query_rows=query_rows, vector_rows=vector_rows)
     assert _lists(got) == _brute(rows[:10], rows, 5)
 
 
@@ -89,11 +89,25 @@ def test_knn_string_ids_and_groups(spark):
     v = vec.withColumn("user_id", F.when(F.col("id") < 30, "hot").otherwise("cold")).withColumn(
         "id", F.concat(F.lit("v"), F.lpad(F.col("id").cast("string"), 3, "0")))
     q = spark.createDataFrame([("q", "hot", rows[0][1])], "query_id string, user_id string, query_vec array<float>")
-    got = _lists(ve.user_search(q, v, 4, block_rows=8))
+    got = _lists(ve.user_search(q, v, 4, vector_rows=8))
     want = _brute([("q", rows[0][1])], [r for r in rows if r[0] < 30], 4)
     assert got == {"q": [f"v{i:03d}" for i in want["q"]]}
 
 
+def test_knn_has_no_product_without_broadcasts(spark):
+    vec, _ = _vectors(spark, 60)
+    q = vec.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for by in ([], ["g"]):
+            a, b = q.withColumn("g", F.col("query_id") % 2), vec.withColumn("g", F.col("id") % 2)
+            text = plan(ve._tiled_knn(a, b, 3, "query_id", "query_vec", "id", "embedding", by, 7, 9))
+            assert "CartesianProduct" not in text and "NestedLoop" not in text
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+
+
 def test_lsh_recall(spark):
     rng = np.random.default_rng(5)
     base = rng.standard_normal((20, 16))
