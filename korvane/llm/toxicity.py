@@ -25,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from korvane.session import materialize
+
 from .arrays import slices
 from .labelled import held_out, training_rows
 
@@ -152,19 +154,18 @@ def features(text: str | None, automaton: Automaton, window: int) -> list[float]
     if not text:
         return [0.0] * N_FEATURES
     exact = near = quoted = heaviest = crowd = 0.0
-    spans = list(WORD.finditer(text))
-    words = [m.group().lower() for m in spans]
-    match, cache = automaton.match, automaton._cache
-    hits = []
-    for i, w in enumerate(words):
-        found = cache[w] if w in cache else match(w)
-        if found is not None:
-            hits.append((i, found))
+    words = WORD.findall(text.lower())
+    found = {w: automaton.match(w) for w in set(words)}
+    hits = [(i, found[w]) for i, w in enumerate(words) if found[w] is not None] \
+        if any(found.values()) else []
+    if not hits:
+        return [0.0] * N_FEATURES
+    text = text.lower()
+    starts = [m.start() for m in WORD.finditer(text)]
     for k, (i, (cost, weight, _)) in enumerate(hits):
         weight = -weight
         close = sum(1 for j in (k - 1, k + 1) if 0 <= j < len(hits) and abs(hits[j][0] - i) <= window)
-        line = text.rfind("\n", 0, spans[i].start()) + 1
-        before = text[line:spans[i].start()]
+        before = text[text.rfind("\n", 0, starts[i]) + 1:starts[i]]
         around = words[max(0, i - window):i + window + 1]
         if before.lstrip().startswith(">") or len(QUOTES.findall(before)) % 2 \
                 or any(w in REPORT for w in around):
@@ -180,30 +181,36 @@ def features(text: str | None, automaton: Automaton, window: int) -> list[float]
             math.log1p(100 * rate), float(bool(hits)), float(len(hits) > 1)]
 
 
-def lexicon(rows: DataFrame, settings: Settings) -> list[tuple[str, bool, float]]:
+def term_counts(rows: DataFrame) -> DataFrame:
+    """(term, stem, p0, c0, p1, c1): toxic and all documents with a term, by half of the rows."""
+    words = rows.select("label", "half", "row", F.explode(F.array_distinct(
+        F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"))
+    stems = [F.when(F.length("w") > n, F.struct(F.substring("w", 1, n).alias("term"),
+                                                F.lit(True).alias("stem"))) for n in STEM_LENGTHS]
+    terms = words.select("label", "half", "row", F.explode(F.array_compact(F.array(
+        F.struct(F.col("w").alias("term"), F.lit(False).alias("stem")), *stems))).alias("t"))
+    # a document's words are one task's rows, so its repeats fold before they travel
+    return terms.select("label", "half", "row", "t.*").distinct().groupBy("term", "stem").agg(*[
+        x for h in (0, 1) for x in (F.sum(F.when(F.col("half") == h, F.col("label")).otherwise(0))
+                                    .alias(f"p{h}"), F.count_if(F.col("half") == h).alias(f"c{h}"))])
+
+
+def lexicon(counts: DataFrame, sizes: dict, halves: tuple, settings: Settings) \
+        -> list[tuple[str, bool, float]]:
     """Terms that lean towards label 1, with the log of the ratio as weight.
 
     A term must beat the chance of the best of all candidate terms (likelihood ratio test).
     """
-    words = rows.select("label", F.explode(F.array_distinct(
-        F.regexp_extract_all(F.lower("text"), F.lit(r"\p{L}+"), F.lit(0)))).alias("w"), "row")
-    stems = [F.when(F.length("w") > n, F.struct(F.substring("w", 1, n).alias("term"),
-                                                F.lit(True).alias("stem"))) for n in STEM_LENGTHS]
-    terms = words.select("label", "row", F.explode(F.array_compact(F.array(
-        F.struct(F.col("w").alias("term"), F.lit(False).alias("stem")), *stems))).alias("t"))
-    terms = terms.select("label", "row", "t.*").distinct()
-    total = rows.agg(F.coalesce(F.sum("label"), F.lit(0)).alias("pos"), F.count("label").alias("n"))
-    pos, n = total.first()
+    pos, n = (sum(sizes.get(h, (0, 0))[i] for h in halves) for i in (0, 1))
     if not pos or pos == n:
         return []
-    counts = terms.groupBy("term", "stem").agg(F.sum("label").alias("p"), F.count("label").alias("c")) \
-        .filter("c > 1")
+    p, c = (sum((F.col(f"{x}{h}") for h in halves[1:]), F.col(f"{x}{halves[0]}")) for x in "pc")
+    counts = counts.select("term", "stem", p.alias("p"), c.alias("c")).filter("c > 1")
     candidates = max(2, counts.count())
     lean = (F.col("p") / pos) / ((F.col("c") - F.col("p") + 0.5) / (n - pos))
-    none = F.lit(0.0)
     p, q, base = F.col("p"), F.col("c") - F.col("p"), pos / n
     gain = 2 * (p * F.log(p / (F.col("c") * base))
-                + F.when(q > 0, q * F.log(q / (F.col("c") * (1 - base)))).otherwise(none))
+                + F.when(q > 0, q * F.log(q / (F.col("c") * (1 - base)))).otherwise(F.lit(0.0)))
     best = (counts.withColumns({"lean": lean, "gain": gain})
             .filter((F.col("lean") >= settings.lean) & (F.col("gain") >= 2 * math.log(candidates)))
             .orderBy(F.desc("gain"), "term", "stem").limit(settings.terms))
@@ -255,20 +262,24 @@ def _featured(rows: DataFrame, keep: str, types: str, terms: list, settings: Set
 
 def train(docs: DataFrame, labels: DataFrame, label: str = "toxic",
           settings: Settings = Settings(), id_col: str = "doc_id", text_col: str = "text") -> Model:
-    rows = training_rows(docs, labels, label, settings.train_docs, id_col, text_col).select(
-        F.xxhash64("id", "text").alias("row"), "text", (F.col("label") > 0).cast("int").alias("label"))
-    half = F.col("row").bitwiseAND(1)
+    row = F.xxhash64("id", "text")
+    rows = materialize(
+        training_rows(docs, labels, label, settings.train_docs, id_col, text_col)
+        .select(row.alias("row"), row.bitwiseAND(1).cast("int").alias("half"), "text",
+                (F.col("label") > 0).cast("int").alias("label")), "toxic-sample")
+    sizes = {r[0]: (r[1], r[2]) for r in rows.groupBy("half").agg(F.sum("label"), F.count("label"))
+             .collect()}
+    counts = materialize(term_counts(rows), "toxic-terms")
     x, y = [], []
-    for fold in (0, 1):
-        terms = lexicon(rows.filter(half == fold), settings)
-        other = rows.filter(half != fold)
+    for half in (0, 1):
+        terms = lexicon(counts, sizes, (half,), settings)
         # bounded by ``train_docs``
-        got = _featured(other, "label", "int", terms, settings).collect()
+        got = _featured(rows.filter(F.col("half") != half), "label", "int", terms, settings).collect()
         x += [r[1] for r in got]
         y += [r[0] for r in got]
     y = np.array(y, float)
     prior = float(y.mean()) if len(y) else 0.0
-    terms = lexicon(rows, settings)
+    terms = lexicon(counts, sizes, (0, 1), settings)
     weights = logistic(np.array(x), y) if 0 < prior < 1 else None
     return Model(terms, weights, prior, settings)
 
