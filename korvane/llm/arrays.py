@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F
 
 SLICE_BYTES = 2 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)          # odd, so it has an inverse modulo 2**64
@@ -110,3 +111,21 @@ def grams(hashes: np.ndarray, texts: np.ndarray, n: int) -> tuple[np.ndarray, np
 def signed(x: np.ndarray) -> np.ndarray:
     """The same 64 bits as Spark's long."""
     return np.ascontiguousarray(x).view(np.int64)
+
+
+def text_hash(text_col: str) -> Column:
+    """With the id this names a document; rows that share both are repeated rows."""
+    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
+
+
+def on_document(base: DataFrame, found: DataFrame, how: str) -> DataFrame:
+    """Join ``found`` (id, h, ...) to ``base`` (id, h, ...), null ids included."""
+    found = found.toDF("_found_id", "_found_h", *found.columns[2:])
+    return base.join(found, base["id"].eqNullSafe(found["_found_id"])
+                     & (base["h"] == found["_found_h"]), how)
+
+
+def packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(d, id, h): the row as one struct, so that its column names meet no others."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("d"),
+                       F.col(id_col).alias("id"), text_hash(text_col).alias("h"))

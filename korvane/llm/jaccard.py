@@ -27,7 +27,7 @@ from korvane.session import materialize
 
 from . import arrays as A
 from .bitmaps import Bitmap, build
-from .links import cluster
+from .links import cluster, near_pairs
 
 BITS = 26                 # eight megabytes, whatever the number of keys
 
@@ -207,15 +207,16 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
                     out["dels"][doc] += [(k, bd, x) for k, x in zip(
                         A.signed(s["del"][c:d]).tolist(), s["seg"][s["group"][c:d]].tolist())]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array([x.tobytes() for x in name], pa.binary()),
+                    [part.column(0), part.column(2), pa.array([x.tobytes() for x in name], pa.binary()),
                      pa.array(sizes, pa.int64()), pa.array(out["plans"], pa.list_(PLAN)),
                      pa.array(out["segs"], pa.list_(SEGMENT)),
                      pa.array(out["dels"], pa.list_(SEGMENT)),
                      pa.array(out["elements"], pa.list_(pa.int64()))],
-                    names=["id", "node", "n", "plans", "segs", "dels", "elements"])
+                    names=["id", "h", "node", "n", "plans", "segs", "dels", "elements"])
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, f"id {id_type}, node binary, n long, "
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                       A.text_hash(text_col).alias("_h")).mapInArrow(
+        run, f"id {id_type}, h long, node binary, n long, "
              "plans array<struct<b:int,filled:int,lone:boolean>>, segs array<struct<k:long,b:int,g:int>>, "
              "dels array<struct<k:long,b:int,g:int>>, elements array<long>")
 
@@ -253,9 +254,12 @@ def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
                        F.coalesce(level, F.lit(0)).alias("level"))
 
 
-def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
-         scheme: Scheme = Scheme(), bits: int = BITS) -> DataFrame:
-    """One row per document: its id, the size of its set and its component's smallest id."""
+def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+            scheme: Scheme = Scheme(), bits: int = BITS) -> DataFrame:
+    """(id, h, n, first) per row; ``first`` (unknown, id, h) is the component's first document.
+
+    It is null for a document that has no other in its component.
+    """
     keys = key_rows(docs, text_col, scheme).groupBy("key") \
         .agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("key")
     base = materialize(alive_sets(docs, id_col, text_col, scheme, build(keys, "key", bits)), "sets")
@@ -265,24 +269,59 @@ def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
              F.any_value("segs").alias("segs"), F.any_value("dels").alias("dels"),
              F.any_value("elements").alias("elements")), "alive")
     elements = sets.select("node", "elements")
+    own = F.transform(F.filter("plans", lambda p: ~p["lone"]), lambda p: p["filled"])
+    keys = sets.select("node", "n", F.array_min(own).alias("filled"),
+                       F.transform("segs", lambda x: x["k"]).alias("keys"),
+                       F.exists("plans", lambda p: p["lone"]).alias("lone"))
 
     def test(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b")
+        """Pairs that share too few segments go on these alone, the others meet their elements."""
+        both = pairs.join(keys.toDF("a", "na", "fa", "ka", "la"), "a") \
+            .join(keys.toDF("b", "nb", "fb", "kb", "lb"), "b")
+        least = F.least("fa", "fb") - differ(F.col("na"), F.col("nb"))
+        some = materialize(both.filter(F.col("la") | F.col("lb") | (
+            F.size(F.array_intersect("ka", "kb")) >= least)).select("a", "b"), "likely")
+        both = some.join(elements.toDF("a", "ea"), "a").join(elements.toDF("b", "eb"), "b")
         same = F.size(F.array_intersect("ea", "eb"))
         return both.filter(scheme.q * same >= scheme.p * (F.size("ea") + F.size("eb") - same))
 
-    labels = cluster(bucket_rows(sets, scheme), test,
-                     lambda large, small: scheme.q * small >= scheme.p * large)
-    # classes of one document with no link name themselves
-    nodes = base.filter("n > 0").groupBy("node").agg(F.min("id").alias("least"),
+    def sizes(large, small):
+        return scheme.q * small >= scheme.p * large
+
+    def differ(one, two):
+        return F.floor((one + two) * (scheme.q - scheme.p) / (scheme.q + scheme.p))
+
+    labels = cluster(bucket_rows(sets, scheme), test, sizes,
+                     narrow=lambda members: near_pairs(members, elements, differ, sizes, True))
+    # classes of one document with no link have no entry here
+    place = F.struct(F.col("id").isNull().alias("unknown"), "id", "h")
+    nodes = base.filter("n > 0").groupBy("node").agg(F.min(place).alias("least"),
                                                      F.count(F.lit(1)).alias("copies"))
     nodes = nodes.join(labels, "node", "left").filter("copies > 1 or comp is not null")
     nodes = materialize(nodes.withColumn("comp", F.coalesce("comp", "node")), "classes")
-    least = nodes.groupBy("comp").agg(F.min("least").alias("component"))
-    names_ = materialize(nodes.join(materialize(least, "least"), "comp")
-                         .select("node", "component"), "names")
-    linked = F.col("n") > 0
-    return base.select("id", "n", F.when(linked, F.col("node")).alias("node")) \
-        .join(names_, "node", "left") \
-        .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                F.coalesce("component", "id").alias("component_id"))
+    least = nodes.groupBy("comp").agg(F.min("least").alias("first"))
+    names_ = materialize(nodes.join(materialize(least, "least"), "comp").select("node", "first"),
+                         "names")
+    return base.select("id", "h", "n", F.when(F.col("n") > 0, F.col("node")).alias("node")) \
+        .join(names_, "node", "left").select("id", "h", "n", "first")
+
+
+def join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+         scheme: Scheme = Scheme()) -> DataFrame:
+    """One row per document: its id, the size of its set and its component's smallest id."""
+    return classes(docs, id_col, text_col, scheme).select(
+        F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+        F.coalesce("first.id", "id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
+             scheme: Scheme = Scheme()) -> DataFrame:
+    """The first document of every component, with all its columns; repeated rows become one."""
+    rows = classes(docs, id_col, text_col, scheme).filter("first is not null")
+    first = (F.col("first.id").eqNullSafe(F.col("id"))) & (F.col("first.h") == F.col("h"))
+    decided = materialize(rows.groupBy("id", "h").agg(F.max(first).alias("stays"),
+                                                      F.count("h").alias("times")), "decided")
+    marked = A.on_document(A.packed(docs, id_col, text_col), decided, "left")
+    single = marked.filter("stays is null or (stays and times = 1)").select("d")
+    repeated = marked.filter("stays and times > 1").dropDuplicates(["id", "h"]).select("d")
+    return single.union(repeated).select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])

@@ -4,18 +4,23 @@ Rows ``(bucket, node, size, full, level)`` say which nodes a bucket holds. A row
 one that others may meet there, one with ``level`` above 0 looks for partners: at level 1 it meets
 the full rows if it is full itself, at level 2 also those that are not. Two stars per bucket
 connect nearly all that belongs together; then only pairs of *different* components that still
-share a bucket are tested, every one of them, so the components are exact whatever the stars found.
+share a bucket matter, and none of those that may link is left out, so the components are exact
+whatever the stars found.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from korvane.session import materialize
 
 
+#: Rows of a bucket up to which its pairs cost less than setting its nodes apart; both ways are exact.
+SMALL = 32
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp) of all nodes in ``edges`` (a, b), by contraction.
 
@@ -59,15 +64,21 @@ def _mixed(rows: DataFrame, seed: int) -> DataFrame:
         F.xxhash64(F.lit(seed), "node").alias("h"), F.col("node").alias("centre"),
         F.col("comp").alias("centre_comp"), F.col("size").alias("centre_size"))))
     return rows.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
-                                      centre.alias("c")) \
-        .filter((F.col("lo") != F.col("hi")) & F.col("c").isNotNull()).select("bucket", "c.*")
+                                      centre.alias("c"), F.max("level").alias("level"),
+                                      F.count("node").alias("held")) \
+        .filter((F.col("lo") != F.col("hi")) & F.col("c").isNotNull() & (F.col("level") > 0)) \
+        .select("bucket", "held", "c.*")
 
 
 def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
-            sizes: Callable[[Column, Column], Column], stars: int = 2) -> DataFrame:
+            sizes: Callable[[Column, Column], Column], stars: int = 2,
+            narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(node, comp) of all nodes with a link; ``test`` keeps the linked pairs of (a, b).
 
-    ``sizes(large, small)`` says whether nodes of these sizes can link at all.
+    ``sizes(large, small)`` says whether nodes of these sizes can link at all. ``narrow`` takes
+    the nodes that share undecided buckets of more than ``SMALL`` rows with a centre (centre, centre_size, node, comp, size) and gives all
+    pairs (a, b) of different components among each centre's nodes that may link; without it
+    these are the pairs of the bucket rows.
     """
     rows = materialize(rows, "rows")
     labels, linked = None, None
@@ -90,8 +101,11 @@ def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
         absorb(pairs.select(F.least("node", "centre").alias("a"),
                             F.greatest("node", "centre").alias("b")))
     now = _labelled(rows, labels)
-    left = materialize(now.join(materialize(_mixed(now, -1), "mixed").select("bucket"), "bucket",
-                                "left_semi"), "left")
+    mixed = materialize(_mixed(now, -1), "mixed")
+    left = now.join(mixed.select("bucket", "held"), "bucket")
+    if narrow is not None:
+        left = left.filter(F.col("held") <= SMALL)
+    left = materialize(left, "left")
     one, two = left.filter("level > 0").alias("one"), left.alias("two")
     meets = (F.col("two.full") & (F.col("one.full") | (F.col("one.level") > 1))) \
         | (F.col("one.full") & (F.col("one.level") > 1))
@@ -99,6 +113,67 @@ def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
                      & (F.col("one.comp") != F.col("two.comp")) & meets
                      & (F.col("one.size") >= F.col("two.size"))
                      & sizes(F.col("one.size"), F.col("two.size")))
-    absorb(pairs.select(F.least("one.node", "two.node").alias("a"),
-                        F.greatest("one.node", "two.node").alias("b")))
+    pairs = pairs.select(F.least("one.node", "two.node").alias("a"),
+                         F.greatest("one.node", "two.node").alias("b"))
+    if narrow is not None:
+        pairs = pairs.union(narrow(materialize(
+            now.join(mixed.filter(F.col("held") > SMALL), "bucket")
+            .select("centre", "centre_size", "node", "comp", "size").distinct(), "members")))
+    absorb(pairs)
     return labels
+
+
+def near_pairs(members: DataFrame, elements: DataFrame, differ: Callable[[Column, Column], Column],
+               sizes: Callable[[Column, Column], Column], sure: bool) -> DataFrame:
+    """Pairs among a centre's nodes that may link, found from what sets them apart from it.
+
+    Nodes are sets (``elements``: node, array), and linked ones differ in at most ``differ`` of
+    their sizes elements. With X and Y the differences of two sets to their centre, the sets differ
+    in |X| + |Y| - 2 |X and Y in common|, so they must share T = (|X| + |Y| - H) / 2 elements of X
+    and Y, and if T > 0 at least one among the rarest |X| - T + 1 and |Y| - T + 1. Thousands of
+    variants of one text have their own changes, so they share no such element and meet in no pair.
+
+    ``sure`` says that nodes within ``differ`` of the centre are linked with it. Then a pair of
+    different components has a node farther away, and T is above 0. Else the pairs with T up to 0,
+    both very close to the centre, are given as well.
+    """
+    apart = (members.join(elements.toDF("node", "e"), "node")
+             .join(elements.toDF("centre", "c"), "centre")
+             .select("centre", "centre_size", "node", "comp", "size",
+                     F.concat(F.array_except("e", "c"), F.array_except("c", "e")).alias("x")))
+    far = F.size("x") > differ(F.col("size"), F.col("centre_size"))
+    apart = materialize(apart.withColumns({"n": F.size("x"), "far": far}), "apart")
+    direct = apart.filter(~F.col("far") & (F.col("node") != F.col("centre"))) \
+        .select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"))
+    tokens = apart.select("centre", "node", "comp", "size", "n", "far", F.explode("x").alias("t"))
+    rare = materialize(tokens.groupBy("centre", "t").agg(F.count("t").alias("df"))
+                       .filter("df > 1"), "token-counts")
+    order = W.partitionBy("centre", "node").orderBy(F.coalesce("df", F.lit(1)), "t")
+    placed = materialize(
+        tokens.join(rare, ["centre", "t"], "left").withColumn("pos", F.row_number().over(order))
+        .filter("df > 1"), "tokens")
+
+    def meet(left, right):
+        one, two = left.alias("one"), right.alias("two")
+        small, large = F.least("one.size", "two.size"), F.greatest("one.size", "two.size")
+        spare = F.col("one.n") + F.col("two.n") - differ(F.col("one.size"), F.col("two.size"))
+        both = (F.col("one.centre") == F.col("two.centre")) & (F.col("one.comp") != F.col("two.comp")) \
+            & sizes(large, small)
+        return one, two, both, spare
+
+    def named(pairs):
+        return pairs.select(F.least("one.node", "two.node").alias("a"),
+                            F.greatest("one.node", "two.node").alias("b"))
+
+    one, two, both, spare = meet(placed.filter("far") if sure else placed, placed)
+    share = F.ceil(spare / 2)
+    found = direct.union(named(one.join(
+        two, both & (F.col("one.t") == F.col("two.t")) & (share > 0)
+        & (F.col("one.pos") <= F.col("one.n") - share + 1)
+        & (F.col("two.pos") <= F.col("two.n") - share + 1))))
+    if not sure:
+        close = apart.select("centre", "node", "comp", "size", "n")
+        one, two, both, spare = meet(close, close)
+        found = found.union(named(one.join(
+            two, both & (F.col("one.node") < F.col("two.node")) & (spare <= 0))))
+    return found
