@@ -19,6 +19,7 @@ their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -27,14 +28,17 @@ from pyspark.sql import DataFrame, functions as F
 
 from korvane.session import materialize
 
-from .arrays import slices
+from .arrays import on_document, packed, slices, text_hash
 from .bitmaps import Bitmap, build
-from .links import cluster
+from .links import cluster, near_pairs
 
 BITS = 26
 CELLS = 1 << 20           # characters of one side in a block of pairs
 
 
+GRAM = 4                  # letters of the grams that keep variants of one line apart
+
+
 @dataclass(frozen=True)
 class Rule:
     least: int = 24       # characters of the shortest line that is compared
@@ -44,6 +48,7 @@ class Rule:
         return 1 if length < self.long else 2
 
 
+@lru_cache(maxsize=10_000)
 def cuts(length: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 even segments, the longer ones last."""
     size, more = divmod(length, tau + 1)
@@ -51,22 +56,35 @@ def cuts(length: int, tau: int) -> list[tuple[int, int]]:
     return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
 
 
-def _key(length: int, i: int, text: str) -> int:
-    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass"), length * 8 + i)
+class Slices:
+    """Hashes of a line's substrings, cut from its encoded bytes."""
+
+    def __init__(self, line: str):
+        self.raw = line.encode("utf-8", "surrogatepass")
+        self.at = None
+        if len(self.raw) != len(line):                    # where each character starts
+            code = np.frombuffer(self.raw, np.uint8)
+            self.at = [*np.flatnonzero((code & 0xC0) != 0x80).tolist(), len(self.raw)]
+
+    def key(self, length: int, i: int, start: int, size: int) -> int:
+        end = start + size
+        if self.at is not None:
+            start, end = self.at[start], self.at[end]
+        return xxhash.xxh3_64_intdigest(self.raw[start:end], length * 8 + i)
 
 
-def index_keys(line: str, rule: Rule) -> list[int]:
-    n = len(line)
-    return [_key(n, i, line[s:s + size]) for i, (s, size) in enumerate(cuts(n, rule.tau(n)))]
+def index_keys(line: str, rule: Rule, cut: Slices | None = None) -> list[int]:
+    n, cut = len(line), cut or Slices(line)
+    return [cut.key(n, i, s, size) for i, (s, size) in enumerate(cuts(n, rule.tau(n)))]
 
 
-def probe_keys(line: str, rule: Rule):
+def probe_keys(line: str, rule: Rule, cut: Slices | None = None):
     """Keys under which a line no longer than this one, within its edits, may be indexed.
 
     The starts are those at which segment i can stand if the edits left of it are fewer than its
     number and those right of it fewer than the segments there.
     """
-    n = len(line)
+    n, cut = len(line), cut or Slices(line)
     for length in range(n, rule.least - 1, -1):
         tau, gap = rule.tau(length), n - length
         if gap > tau:       # shorter lines allow no more edits, so the gap stays too wide
@@ -75,7 +93,7 @@ def probe_keys(line: str, rule: Rule):
             lo = max(start - i, start + gap - (tau - i), 0)
             hi = min(start + i, start + gap + (tau - i), n - size)
             for at in range(lo, hi + 1):
-                yield _key(length, i, line[at:at + size])
+                yield cut.key(length, i, at, size)
 
 
 def _name(line: str) -> bytes:
@@ -115,10 +133,6 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFr
         run, f"id {id_type}, h long, line int, node binary, n int, keys array<long>")
 
 
-def text_hash(text_col: str):
-    return F.xxhash64(F.coalesce(F.col(text_col), F.lit("")))
-
-
 def probe_rows(docs: DataFrame, text_col: str, rule: Rule, some, several) -> DataFrame:
     """(bucket, node, size): probes that another line's key may answer."""
     def run(batches):
@@ -129,8 +143,9 @@ def probe_rows(docs: DataFrame, text_col: str, rule: Rule, some, several) -> Dat
                          if len(x) >= rule.least}
                 key, node, size, own = [], [], [], []
                 for line in lines:
-                    name, mine = _name(line), set(index_keys(line, rule))
-                    for k in set(probe_keys(line, rule)):
+                    name, cut = _name(line), Slices(line)
+                    mine = set(index_keys(line, rule, cut))
+                    for k in set(probe_keys(line, rule, cut)):
                         key.append(k), node.append(name), size.append(len(line))
                         own.append(k in mine)
                 keys = np.array(key, np.uint64)
@@ -251,10 +266,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
     index = lines.filter("keys is not null").select("node", "n", F.explode("keys").alias("k"))
     low = _low_half(F.col("node"))
     keys = materialize(index.groupBy("k").agg(F.min(low).alias("lo"), F.max(low).alias("hi"))
-                       .select("k", (F.col("lo") != F.col("hi")).alias("several")), "keys")
+                       .select("k", "lo", (F.col("lo") != F.col("hi")).alias("several")), "keys")
+    probes = probe_rows(docs, text_col, rule, build(keys, "k", bits),
+                        build(keys.filter("several"), "k", bits)).distinct()
+    # the bitmaps let some pass; what stays shares a key with another line for certain
     probes = materialize(
-        probe_rows(docs, text_col, rule, build(keys, "k", bits),
-                   build(keys.filter("several"), "k", bits)).distinct(), "probes")
+        probes.join(keys.withColumnRenamed("k", "bucket"), "bucket")
+        .filter(F.col("several") | (F.col("lo") != low)).select("bucket", "node", "size"), "probes")
     full = index.join(probes.select(F.col("bucket").alias("k")).distinct(), "k", "left_semi") \
         .select(F.col("k").alias("bucket"), "node", F.col("n").alias("size"), F.lit(True).alias("full"),
                 F.lit(0).alias("level")).distinct()
@@ -268,7 +286,18 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return linked(both, rule)
 
-    labels = cluster(rows, test, lambda large, small: large - small <= 2)
+    grams = texts.select("node", F.array_distinct(F.transform(
+        F.sequence(F.lit(1), F.length("text") - GRAM + 1),
+        lambda i: F.xxhash64(F.substr("text", i, F.lit(GRAM))))).alias("grams"))
+
+    def differ(one, two):       # an edit takes at most four grams and brings at most four
+        return 2 * GRAM * F.when(F.least(one, two) < rule.long, 1).otherwise(2)
+
+    def sizes(large, small):
+        return large - small <= 2
+
+    labels = cluster(rows, test, sizes,
+                     narrow=lambda members: near_pairs(members, grams, differ, sizes, False))
     place = F.struct(F.col("id").cast("string").isNotNull().alias("known"), "id", "h", "line")
     nodes = lines.groupBy("node").agg(F.min(place).alias("first"), F.count("line").alias("times"))
     nodes = nodes.join(labels, "node", "left").filter("times > 1 or comp is not null")
@@ -288,29 +317,25 @@ def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """One row per document: id, compared lines, removed lines and their numbers."""
     found = materialize(removals(docs, id_col, text_col, rule), "removals")
     base = docs.select(F.col(id_col).alias("id"), text_hash(text_col).alias("h"))
-    return _attached(base, found).select(
+    return on_document(base, found, "left").select(
         F.col("id").alias(id_col), F.coalesce("n_lines", F.lit(0)).cast("long").alias("n_lines"),
         F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"),
         F.coalesce("removed", F.array().cast("array<int>")).alias("removed"))
 
 
-def _attached(base: DataFrame, found: DataFrame) -> DataFrame:
-    found = found.toDF("_found_id", "_found_h", *found.columns[2:])
-    return base.join(found, base["id"].eqNullSafe(found["_found_id"])
-                     & (base["h"] == found["_found_h"]), "left")
-
-
 def drop_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                rule: Rule = Rule()) -> DataFrame:
-    """The documents without the lines that repeat an earlier one; all columns pass on."""
+    """The documents without the lines that repeat an earlier one; all columns pass on.
+
+    A document that keeps nothing but blanks after losing lines goes.
+    """
     names = docs.columns
     found = materialize(removals(docs, id_col, text_col, rule).filter(F.size("removed") > 0),
                         "removals")
-    base = docs.select(F.struct(*names).alias("d"), F.col(id_col).alias("id"),
-                       text_hash(text_col).alias("h"))
     text = F.col(f"d.`{text_col}`")
     left = F.array_join(F.filter(F.split(text, "\n", -1),
                                  lambda x, i: ~F.array_contains("removed", i)), "\n")
-    return _attached(base, found).select(*[
-        (F.when(F.col("removed").isNull(), text).otherwise(left) if c == text_col
-         else F.col(f"d.`{c}`")).alias(c) for c in names])
+    rest = on_document(packed(docs, id_col, text_col), found, "left").select(
+        "d", "removed", F.when(F.col("removed").isNull(), text).otherwise(left).alias("left"))
+    return rest.filter(F.col("removed").isNull() | (F.trim(F.regexp_replace("left", r"\s", "")) != "")) \
+        .select(*[(F.col("left") if c == text_col else F.col(f"d.`{c}`")).alias(c) for c in names])
