@@ -123,20 +123,23 @@ def answers(messages: DataFrame, links: DataFrame) -> DataFrame:
         .select("conv", "turn", "role", F.col("own").alias("text"), F.col("f.to_turn").alias("reply_to"),
                 F.coalesce("n_quotes", F.lit(0)).alias("n_quotes"),
                 F.coalesce("n_linked", F.lit(0)).alias("n_linked")), "answers")
-    jump = materialize(up.filter("reply_to is not null")
-                       .select("conv", "turn", F.col("reply_to").alias("top"),
-                               F.lit(1).cast("long").alias("depth")), "jump")
-    while True:
-        ahead = jump.select("conv", F.col("turn").alias("top"), F.col("top").alias("next"),
-                            F.col("depth").alias("more"))
+    # pointer doubling; a message whose pointer has reached a thread's first turn is done
+    open_ = materialize(up.filter("reply_to is not null")
+                        .select("conv", "turn", F.col("reply_to").alias("top"),
+                                F.lit(1).cast("long").alias("depth")), "open")
+    done = None
+    while not open_.isEmpty():
+        known = open_ if done is None else open_.union(done)
         step = materialize(
-            jump.join(ahead, ["conv", "top"], "left").select(
-                "conv", "turn", F.coalesce("next", "top").alias("top"),
-                (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
-                F.col("next").isNotNull().alias("moved")), "jump")
-        jump = step.drop("moved")
-        if step.filter("moved").isEmpty():
-            break
+            open_.join(known.select("conv", F.col("turn").alias("top"), F.col("top").alias("next"),
+                                    F.col("depth").alias("more")), ["conv", "top"], "left")
+            .select("conv", "turn", F.coalesce("next", "top").alias("top"),
+                    (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"),
+                    F.col("next").isNull().alias("done")), "step")
+        ended = step.filter("done").drop("done")
+        done = ended if done is None else done.union(ended)
+        open_ = step.filter("not done").drop("done")
+    jump = open_ if done is None else done
     return up.join(jump, ["conv", "turn"], "left") \
         .withColumns({"thread": F.coalesce("top", "turn"), "depth": F.coalesce("depth", F.lit(0))}) \
         .drop("top")
