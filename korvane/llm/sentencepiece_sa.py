@@ -22,6 +22,7 @@ from __future__ import annotations
 import re
 import struct
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -116,7 +117,7 @@ class Encoder:
         self.usable = sorted(usable, key=lambda p: (len(p), p))
         self.usable_ids = np.array([self.id_of[p] for p in self.usable], np.int64)
         self.longest = max(map(len, self.usable))
-        self.stable: dict[int, bool] = {}
+        self._forget_pairs()
         self._clear()
 
     def _clear(self):
@@ -147,19 +148,26 @@ class Encoder:
         """Whether each pair of ids keeps its border; ``before`` is -1 at the start of a word."""
         size = len(self.model.pieces)
         pairs, back = np.unique((before + 1) * size + after, return_inverse=True)
-        out = np.ones(len(pairs), bool)
-        for i, key in enumerate(pairs.tolist()):
-            if key < size:
-                continue
-            known = self.stable.get(key)
-            if known is None:
+        at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+        out = self.keeps[at]
+        new = np.flatnonzero((self.pairs[at] != pairs) & (pairs >= size))
+        if len(new):
+            found = []
+            for key in pairs[new].tolist():
                 one, two = (self.model.pieces[x] for x in (key // size - 1, key % size))
-                known = self.stable[key] = self._merged(one + two, len(one)) is not None
-            out[i] = known
-        if len(self.stable) > CACHED_PAIRS:
-            self.stable.clear()
+                found.append(self._merged(one + two, len(one)) is not None)
+            out[new] = found
+            if len(self.pairs) > CACHED_PAIRS:
+                self._forget_pairs()
+            where = np.searchsorted(self.pairs, pairs[new])
+            self.pairs = np.insert(self.pairs, where, pairs[new])
+            self.keeps = np.insert(self.keeps, where, found)
+        out[pairs < size] = True
         return out[back]
 
+    def _forget_pairs(self):
+        self.pairs, self.keeps = np.full(1, -1), np.ones(1, bool)
+
     # -- suffix array --------------------------------------------------------------------
 
     def _suffixes(self, codes: np.ndarray) -> np.ndarray:
@@ -270,10 +278,10 @@ class Encoder:
             self._clear()
         units = [self.units.findall((BLANK if self.model.prefix else "") + t.replace(" ", BLANK))
                  if t else [] for t in texts]
-        new = {u for row in units for u in row if u not in self.words}
-        if new:
+        flat = list(chain.from_iterable(units))
+        if new := set(flat).difference(self.words):
             self._learn(sorted(new))
-        index = np.array([self.words[u] for row in units for u in row], np.int64)
+        index = np.fromiter(map(self.words.__getitem__, flat), np.int64, len(flat))
         sizes = np.diff(self.ends)[index]
         ids = self.ids[np.repeat(self.ends[index] - (np.cumsum(sizes) - sizes), sizes)
                        + np.arange(sizes.sum())]
