@@ -126,20 +126,21 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, shared, lengths: lis
                         each[doc].append({"n": n, "print": g, "start": start, "words": [
                             raw[starts[i]:ends[i]].decode() for i in range(lo, hi)]})
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(range(key, key + rows), pa.int64()), part.column(0),
+                    [pa.array(range(key, key + rows), pa.int64()), part.column(0), part.column(2),
                      pa.array(sizes, pa.int64()), pa.array(each, pa.list_(CANDIDATE))],
-                    names=["key", "id", "n_words", "found"])
+                    names=["key", "id", "h", "n_words", "found"])
                 key += rows
 
-    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text")).mapInArrow(
-        run, f"key long, id {id_type.simpleString()}, n_words long, "
+    return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
+                       A.text_hash(text_col).alias("_h")).mapInArrow(
+        run, f"key long, id {id_type.simpleString()}, h long, n_words long, "
              "found array<struct<n:int,print:long,start:int,words:array<string>>>")
 
 
 def spans(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           item_col: str = "item_id", item_text: str = "text", window: int = WINDOW,
           gram: int = GRAM, bits: int = BITS) -> tuple[DataFrame, DataFrame]:
-    """(a row per document: key, id, n_words; the occurrences: key, start, n, item)."""
+    """(a row per document: key, id, h, n_words; the occurrences: key, start, n, item)."""
     items = materialize(item_words(benchmark, item_col, item_text), "items")
     prints = materialize(item_prints(items, window, gram), "prints")
     # at most one value per length up to the window
@@ -175,6 +176,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         F.coalesce(F.col("hit") > 0, F.lit(False)).alias("contaminated"))
 
 
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
+                      text_col: str = "text", **names) -> DataFrame:
+    """The documents that share no window with an item, with all their columns."""
+    base, found = spans(docs, benchmark, id_col, text_col, **names)
+    hit = materialize(base.join(found.select("key").distinct(), "key", "left_semi")
+                      .select("id", "h").distinct(), "contaminated")
+    return A.on_document(A.packed(docs, id_col, text_col), hit, "left_anti") \
+        .select(*[F.col(f"d.`{c}`").alias(c) for c in docs.columns])
+
+
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS k, doc_id, regexp_extract_all(
         translate(coalesce(text, ''), '{UPPER}', '{SMALL}'), '{WORD}') AS w FROM documents),
