@@ -213,8 +213,12 @@ def lexicon(counts: DataFrame, sizes: dict, halves: tuple, settings: Settings) \
                 + F.when(q > 0, q * F.log(q / (F.col("c") * (1 - base)))).otherwise(F.lit(0.0)))
     best = (counts.withColumns({"lean": lean, "gain": gain})
             .filter((F.col("lean") >= settings.lean) & (F.col("gain") >= 2 * math.log(candidates)))
-            .orderBy(F.desc("gain"), "term", "stem").limit(settings.terms))
-    return [(r["term"], r["stem"], math.log(r["lean"])) for r in best.collect()]
+            .orderBy(F.desc("gain"), "term", "stem").limit(settings.terms)).collect()
+    # a stem that stands for one longer term alone says no more than that term
+    same = {(r["term"][:n], r["p"], r["c"]) for r in best for n in STEM_LENGTHS
+            if len(r["term"]) > n or (len(r["term"]) == n and not r["stem"])}
+    return [(r["term"], r["stem"], math.log(r["lean"])) for r in best
+            if not (r["stem"] and (r["term"], r["p"], r["c"]) in same)]
 
 
 @dataclass
