@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import Counter
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions import text as tx
 from ..functions.vectors import cosine
+from ..session import materialize
 
 BLEU_K = 5  # constant of the fourth published smoothing rule
 
@@ -36,24 +36,6 @@ def _rouge_l(response: str, gold: str, token: re.Pattern) -> float:
     return 2 * p * r / (p + r) if p + r else 0.0
 
 
-def _bleu(response: str, gold: str) -> float:
-    hyp, ref = response.split(), gold.split()
-    precisions, smooth = [], 1
-    for n in range(1, 5):
-        h = Counter(tuple(hyp[i:i + n]) for i in range(len(hyp) - n + 1))
-        r = Counter(tuple(ref[i:i + n]) for i in range(len(ref) - n + 1))
-        hits, total = sum(min(c, r[g]) for g, c in h.items()), max(1, len(hyp) - n + 1)
-        if n == 1 and hits == 0:
-            return 0.0
-        if hits == 0 and len(hyp) > 1:
-            precisions.append(math.log(len(hyp)) / (2 ** smooth * BLEU_K) / total)
-            smooth += 1
-        else:
-            precisions.append(hits / total)
-    brevity = 1.0 if len(hyp) > len(ref) else math.exp(1 - len(ref) / len(hyp))
-    return brevity * math.exp(sum(0.25 * math.log(p) for p in precisions if p > 0))
-
-
 def rouge_l(response, gold, ascii_only: bool = False) -> Column:
     """ROUGE-L F. ``ascii_only`` keeps ``[a-z0-9]`` runs only, as the usual tokenizer does;
     the default keeps letters of any script. No stemming."""
@@ -66,13 +48,41 @@ def rouge_l(response, gold, ascii_only: bool = False) -> Column:
     return score(response, gold)
 
 
-def bleu(response, gold) -> Column:
-    """Sentence BLEU up to 4-grams over white-space tokens, smoothed."""
-    @F.pandas_udf("double")
-    def score(r: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([_bleu(x or "", y or "") for x, y in zip(r, g)], dtype=float)
-
-    return score(response, gold)
+def with_bleu(df: DataFrame, response: str, gold: str, out: str = "bleu") -> DataFrame:
+    """Sentence BLEU up to 4-grams over white-space tokens, smoothed.
+
+    The n-grams of both texts are rows; their clipped counts are sums that combine before they
+    travel. Null texts are empty ones and score 0.
+    """
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()), "answers")
+    sides = rows.select("_row", tx.tokens(F.coalesce(response, F.lit(""))).alias("h"),
+                        tx.tokens(F.coalesce(gold, F.lit(""))).alias("r"))
+
+    def grams(side: str) -> DataFrame:
+        def of(n):
+            return F.when(F.size(side) >= n, F.transform(
+                F.sequence(F.lit(1), F.size(side) - (n - 1)), lambda i: F.struct(
+                    F.lit(n).alias("n"), F.array_join(F.slice(side, i, n), " ").alias("g"))))
+
+        runs = [of(n) for n in range(1, 5)]
+        return sides.select("_row", F.explode(F.flatten(F.array_compact(F.array(*runs)))).alias("x"),
+                            *[F.lit(int(side == s)).alias(s) for s in "hr"])
+
+    hits = (grams("h").union(grams("r")).groupBy("_row", "x").agg(F.sum("h").alias("h"), F.sum("r").alias("r"))
+            .groupBy("_row").agg(*[F.sum(F.when(F.col("x.n") == n, F.least("h", "r"))).alias(f"_{n}")
+                                   for n in range(1, 5)]))
+    found = sides.select("_row", F.size("h").alias("hl"), F.size("r").alias("rl")) \
+        .join(hits, "_row", "left").fillna(0)
+    logs, zeros = F.lit(0.0), F.lit(0)
+    for n in range(1, 5):
+        none = F.col(f"_{n}") == 0
+        zeros = zeros + none.cast("int")
+        share = F.when(none, F.log("hl") / (F.pow(F.lit(2), zeros) * BLEU_K)).otherwise(F.col(f"_{n}"))
+        share = share / F.greatest(F.lit(1), F.col("hl") - (n - 1))
+        logs = logs + F.when(share > 0, 0.25 * F.log(share)).otherwise(0)
+    brevity = F.when(F.col("hl") > F.col("rl"), 1.0).otherwise(F.exp(1 - F.col("rl") / F.col("hl")))
+    score = F.when(F.col("_1") == 0, 0.0).otherwise(brevity * F.exp(logs))
+    return rows.join(found.select("_row", score.alias(out)), "_row").drop("_row")
 
 
 def answer_similarity(response_vec, gold_vec) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from .. import fixed
 from ..functions import text as tx
 from ..operators import cache as ca, chats as ch, extract as ex, gate as ga, memory as mm, trust as tr
-from ..operators.answers import answer_similarity, bleu, rouge_l
+from ..operators.answers import answer_similarity, with_bleu, rouge_l
 from ..session import scratch_path
 from ..streaming import streams as st
 from .common import (HITS_SQL, VECTORS_SQL, WCLS, WS, query_vectors, s_strip, s_tokens, s_words, table,
@@ -750,7 +750,8 @@ q AS (SELECT conv_id, turn, max(hl) AS hl, max(rl) AS rl, max(hits) FILTER (n =
 SELECT conv_id, turn, round(CASE WHEN h1 = 0 THEN 0 ELSE (CASE WHEN hl > rl THEN 1 ELSE exp(1 - rl / hl) END) * exp(s / 4)
     END, 6) AS bleu FROM q""")
 def bleu_query(spark, d):
-    return _pairs(spark, d).select("conv_id", "turn", F.round(bleu("text", "gold"), 6).alias("bleu"))
+    return with_bleu(_pairs(spark, d), "text", "gold").select("conv_id", "turn",
+                                                              F.round("bleu", 6).alias("bleu"))
 
 
 @query("answer_similarity", """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings)

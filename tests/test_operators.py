@@ -12,7 +12,7 @@ from korvane import dist
 from korvane.operators import (cache as ca, chats as ch, corpus as co, extract as ex, fusion as fu,
                                gate as ga, graph as gr, lexical as lx, memory as mm, metrics as me,
                                retrieve as rt, trust as tr, vector as ve)
-from korvane.operators.answers import _bleu, _lcs, _rouge_l, rouge_l
+from korvane.operators.answers import _lcs, _rouge_l, rouge_l, with_bleu
 
 # ---- skew-safe numbering -------------------------------------------------------------------
 
@@ -512,8 +512,15 @@ def test_answers(spark):
     df = spark.createDataFrame([("a b c", "a x c", .0), ("", "a", .0)], "r string, g string, z double")
     got = [r[0] for r in df.select(rouge_l("r", "g")).collect()]
     assert got[0] == pytest.approx(2 / 3) and got[1] == 0
-    assert _bleu("a b c d e", "a b c d e") == pytest.approx(1.0)
-    assert _bleu("x y", "a b") == 0 and _bleu("", "a") == 0
+    pairs = [("a b c d e", "a b c d e"), ("x y", "a b"), ("", "a"), (None, "a"), ("a b", None),
+             ("a a b c", "a b b c d"), ("a", "a b c")]
+    df = spark.createDataFrame(pairs, "r string, g string")
+    got = {(r.r, r.g): r.bleu for r in with_bleu(df, "r", "g").collect()}
+    assert got[pairs[0]] == pytest.approx(1.0) and not any(got[p] for p in pairs[1:5])
+    # 3/4, 2/3, none of 2, none of 1; shorter than the gold text by one
+    want = np.exp(1 - 5 / 4) * np.prod([3 / 4, 2 / 3, np.log(4) / 10 / 2, np.log(4) / 20]) ** 0.25
+    assert got[pairs[5]] == pytest.approx(want)
+    assert got[pairs[6]] == pytest.approx(np.exp(1 - 3))
     import re
     assert _rouge_l("Luật đất", "luật đất đai", re.compile(r"\w+")) == pytest.approx(0.8)
 
@@ -622,7 +629,7 @@ def test_workers_do_not_need_the_package(tmp_path):
 
     from pyspark import cloudpickle
     path = tmp_path / "f.bin"
-    path.write_bytes(cloudpickle.dumps((_bleu, ex._articles, ve._block, lx.best_positions)))
+    path.write_bytes(cloudpickle.dumps((_lcs, ex._articles, ve._block, lx.best_positions)))
     code = f"import pickle; f = pickle.load(open({str(path)!r}, 'rb')); print(f[0]('a b', 'a b'), len(list(f[1]({PAGE!r}))))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert out.stdout.split()[-1] == "2", out.stderr
