@@ -38,6 +38,7 @@ PATTERN = (r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!
 LENGTH = 8192             # ids of a sequence
 SHARD = 1024              # records of a shard: 16 MB
 ROUNDS = 4
+STEP = 64                 # records handed on together when shards are read
 
 
 class Tokenizer:
@@ -177,11 +178,19 @@ def read_slots(spark: SparkSession, path: str, start: int = 0, length: int = LEN
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").load(path) \
         .select(F.col("shard").cast("long").alias("shard"), "content") \
         .filter(F.col("shard") >= start // per_shard)
-    number = F.floor(F.octet_length("content") / stride).cast("int")
-    records = F.transform(F.sequence(F.lit(0), number - 1), lambda i: F.struct(
-        (F.col("shard") * per_shard + i).alias("slot"),
-        F.substring(F.col("content"), i * stride + 1, F.lit(2 * length)).alias("data")))
-    return files.select(F.explode(records).alias("r")).select("r.*").filter(F.col("slot") >= start)
+
+    def cut(batches):
+        for batch in batches:
+            for shard, content in zip(batch.column(0).to_pylist(), batch.column(1)):
+                raw = memoryview(content.as_buffer())
+                for lo in range(0, len(raw) // stride, STEP):
+                    some = range(lo, min(lo + STEP, len(raw) // stride))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([shard * per_shard + i for i in some], pa.int64()),
+                         pa.array([bytes(raw[i * stride:i * stride + 2 * length]) for i in some],
+                                  pa.binary())], names=["slot", "data"])
+
+    return files.mapInArrow(cut, "slot long, data binary").filter(F.col("slot") >= start)
 
 
 def materialise(docs: DataFrame, tokenizer: Tokenizer, path: str, key: int = 2024,
