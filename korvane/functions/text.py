@@ -41,6 +41,11 @@ def nonblank(col) -> Column:
     return F.nullif(_c(col), F.lit(""))
 
 
+def head(col, chars: int | None) -> Column:
+    """The first ``chars`` characters; the whole value for ``None``."""
+    return _c(col) if chars is None else F.substring(_c(col), 1, chars)
+
+
 def tokens(col) -> Column:
     """White-space tokens without empties."""
     return F.filter(F.split(_c(col), U + r"\s+"), lambda t: t != "")

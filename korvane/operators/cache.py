@@ -14,14 +14,14 @@ THRESHOLD = 0.92
 TTL_SECONDS = 86_400
 
 
-def live_entries(cache: DataFrame, now, limit: int = SCAN_LIMIT) -> DataFrame:
-    """The newest entries that have not expired; the scan limit is part of the lookup."""
-    return cache.filter(F.col("expires_at") > now).orderBy(
-        F.desc("created_at"), F.desc("entry_id")).limit(limit)
+def live_entries(cache: DataFrame, now, limit: int | None = SCAN_LIMIT) -> DataFrame:
+    """The newest entries that have not expired; ``None`` looks at all of them."""
+    live = cache.filter(F.col("expires_at") > now).orderBy(F.desc("created_at"), F.desc("entry_id"))
+    return live if limit is None else live.limit(limit)
 
 
 def cache_lookup(queries: DataFrame, cache: DataFrame, now, *, threshold: float = THRESHOLD,
-                 limit: int = SCAN_LIMIT, query_id="query_id", query_vec="query_vec",
+                 limit: int | None = SCAN_LIMIT, query_id="query_id", query_vec="query_vec",
                  vec="embedding") -> DataFrame:
     """(query_id, entry_id, score) for queries with an entry at or above the threshold.
 

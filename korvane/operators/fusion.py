@@ -22,10 +22,10 @@ def is_web(col="source") -> Column:
     return F.coalesce(F.col(col).isin(WEB), F.lit(False))
 
 
-def hit_key(chars: int, *names: str) -> Column:
-    """First non-empty of the key columns, else the head of the passage."""
+def hit_key(chars: int | None, *names: str) -> Column:
+    """First non-empty of the key columns, else the head of the passage (all of it for ``None``)."""
     return F.coalesce(*[tx.nonblank(n) for n in names],
-                      F.substring(F.coalesce(F.col("passage"), F.lit("")), 1, chars))
+                      tx.head(F.coalesce(F.col("passage"), F.lit("")), chars))
 
 
 def attach(cands: DataFrame, table: DataFrame, on) -> DataFrame:
@@ -96,9 +96,9 @@ def head_rerank(ranked: DataFrame, scores: DataFrame, n: int = 12, on=("query_id
 
 
 def overlap_rerank(cands: DataFrame, k: int, q_text="q_text", base="base_score", pos="pos",
-                   weight: float = 0.05) -> DataFrame:
+                   weight: float = 0.05, key_chars: int | None = 80) -> DataFrame:
     """Drop repeated keys, then base score plus a bonus per query token found in the text."""
-    unique = first_per(cands.withColumn("_key", hit_key(80, "mapc")), ["query_id", "_key"], [pos])
+    unique = first_per(cands.withColumn("_key", hit_key(key_chars, "mapc")), ["query_id", "_key"], [pos])
     body = F.concat(F.coalesce("ten", F.lit("")), F.lit(" "), F.coalesce("noidung", F.lit("")))
     scored = unique.withColumn("score", F.col(base) + tx.substring_overlap(q_text, body) * weight)
     return top_per(scored, "query_id", [F.desc("score"), F.asc(pos)], k).drop("_key")
@@ -123,23 +123,24 @@ def get_article(articles: DataFrame, key_value: str, key="mapc") -> DataFrame:
 
 
 def merge_queries(hits: DataFrame, max_queries: int = 6, each: int = 8, turn="turn_id",
-                  qpos="query_pos") -> DataFrame:
+                  qpos="query_pos", key_chars: int | None = 80) -> DataFrame:
     """Lists of several queries of one turn, concatenated; first occurrence of a key stays."""
     kept = (hits.filter((F.col(qpos) < max_queries) & (F.col("rank") <= each))
-            .withColumn("_key", hit_key(80, "mapc", "url")))
+            .withColumn("_key", hit_key(key_chars, "mapc", "url")))
     unique = first_per(kept, [turn, "_key"], [qpos, "rank"])
     return top_per(unique.withColumnRenamed("rank", "_r"), turn, [qpos, "_r"],
                    max_queries * each).drop("_key", "_r")
 
 
-def final_dedup(hits: DataFrame, n: int = 20, by="query_id", pos="pos") -> DataFrame:
+def final_dedup(hits: DataFrame, n: int = 20, by="query_id", pos="pos",
+                key_chars: int | None = 100) -> DataFrame:
     """One row per key, web rows before corpus rows, first n."""
-    unique = first_per(hits.withColumn("_key", hit_key(100, "mapc", "url")), [by, "_key"], [pos])
+    unique = first_per(hits.withColumn("_key", hit_key(key_chars, "mapc", "url")), [by, "_key"], [pos])
     return top_per(unique, by, [F.desc(is_web()), F.asc(pos)], n).drop("_key")
 
 
 def bucket_merge(steps: DataFrame, max_extend: int = 12, by="turn_id", step="step",
-                 rank="rank") -> DataFrame:
+                 rank="rank", key_chars: int | None = 80) -> DataFrame:
     """Append each step's first rows, skipping keys the bucket already holds.
 
     A row known only by its passage is compared within its own step, as the bucket keeps no
@@ -147,7 +148,7 @@ def bucket_merge(steps: DataFrame, max_extend: int = 12, by="turn_id", step="ste
     """
     named = F.coalesce(tx.nonblank("mapc"), tx.nonblank("url"))
     kept = (steps.filter(F.col(rank) <= max_extend)
-            .withColumn("_key", hit_key(80, "mapc", "url")).filter("_key <> ''")
+            .withColumn("_key", hit_key(key_chars, "mapc", "url")).filter("_key <> ''")
             .withColumn("_scope", F.when(named.isNotNull(), F.lit(-1)).otherwise(F.col(step))))
     return first_per(kept, [by, "_scope", "_key"], [step, rank]).drop("_key", "_scope")
 

@@ -15,15 +15,15 @@ FACT_CHARS = 1800
 
 
 def parse_facts(df: DataFrame, raw="raw", keep=("turn_id",), types=tuple(fixed.MEMORY_TYPES),
-                sensitive=tuple(fixed.SENSITIVE_PATTERNS)) -> DataFrame:
-    """Facts of supplied extraction texts; broken JSON gives none."""
+                sensitive=tuple(fixed.SENSITIVE_PATTERNS), chars: int | None = FACT_CHARS) -> DataFrame:
+    """Facts of supplied extraction texts, cut to ``chars``; broken JSON gives none."""
     items = F.from_json(tx.strip_json_fence(raw), FACT_ARRAY)
     flat = df.select(*keep, F.posexplode(items).alias("pos", "_i"))
     fact = tx.strip(F.coalesce("_i.fact", F.lit("")))
     kind = F.lower(tx.strip(F.coalesce("_i.type", F.lit(""))))
     flat = flat.select(*keep, "pos", fact.alias("fact"), kind.alias("type"))
     good = (F.col("fact") != "") & F.col("type").isin(*types) & ~tx.has_sensitive("fact", sensitive)
-    return flat.filter(good).withColumn("fact", F.substring("fact", 1, FACT_CHARS))
+    return flat.filter(good).withColumn("fact", tx.head("fact", chars))
 
 
 def active(mem: DataFrame) -> DataFrame:

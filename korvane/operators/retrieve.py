@@ -15,7 +15,9 @@ from .trust import trust_filter
 from .vector import semantic_search
 
 MULTIPLIER = 2
-TEXT_CAP = 12_000
+TEXT_CAP = 12_000         # characters of a body that overlap is counted in
+POOL = 40                 # candidates of one tool call
+EXPANDED = 40             # articles of one graph expansion
 
 
 def _pool(queries: DataFrame, vectors: DataFrame, docs: DataFrame, n: int) -> DataFrame:
@@ -105,17 +107,18 @@ def sweep(queries, vectors, docs, strategies, ks, **kw) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
-def vector_tool(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
-    """Pool of min(max(3k, k), 40), hydrated at base score 0.8, overlap-reranked, first k."""
-    pool = min(max(3 * k, k), 40)
+def vector_tool(queries: DataFrame, vectors: DataFrame, docs: DataFrame, k: int = 10,
+                most: int | None = POOL) -> DataFrame:
+    """Pool of 3k, ``most`` at most, hydrated at base score 0.8, overlap-reranked, first k."""
+    pool = 3 * k if most is None else min(3 * k, most)
     hits = docs.join(semantic_search(queries, vectors, pool).drop("score"), "id").join(
         queries.select("query_id", "q_text"), "query_id")
     return rerank_tool(hits.withColumn("base_score", F.lit(0.8)), k)
 
 
-def rerank_tool(hits: DataFrame, k: int, pos="rank") -> DataFrame:
+def rerank_tool(hits: DataFrame, k: int, pos="rank", chars: int | None = TEXT_CAP) -> DataFrame:
     """Overlap rerank on capped texts, the stored text kept whole in the result."""
-    cands = hits.withColumns({"_n": F.col("noidung"), "noidung": F.substring("noidung", 1, TEXT_CAP),
+    cands = hits.withColumns({"_n": F.col("noidung"), "noidung": tx.head("noidung", chars),
                               "passage": tx.passage_text("tenchude", "tendemuc", "tenchuong", "ten",
                                                          "noidung")}).withColumnRenamed(pos, "pos")
     return fu.overlap_rerank(cands, k).drop("noidung", "pos", "base_score") \
@@ -123,13 +126,13 @@ def rerank_tool(hits: DataFrame, k: int, pos="rank") -> DataFrame:
 
 
 def graph_tool(seeds: DataFrame, edges: DataFrame, docs: DataFrame, queries: DataFrame,
-               hops: int = 2, keep: int = 20) -> DataFrame:
-    """At most 40 expanded articles per call, overlap-reranked, first 20.
+               hops: int = 2, keep: int = 20, limit: int = EXPANDED) -> DataFrame:
+    """At most ``limit`` expanded articles per call, overlap-reranked, first ``keep``.
 
     ``seeds`` = (query_id, mapc, pos); a call without text uses its first five codes.
     """
     grown = graph_expand(seeds.select("query_id", F.col("mapc").alias("key")), edges,
-                         max(1, hops), 40)
+                         max(1, hops), limit)
     codes = seeds.filter(F.col("pos") < 5).groupBy("query_id").agg(F.array_join(F.transform(
         F.array_sort(F.collect_list(F.struct("pos", "mapc"))), lambda s: s["mapc"]), " ").alias("_codes"))
     text = seeds.select("query_id").distinct().join(queries.select("query_id", "q_text"), "query_id",
@@ -142,7 +145,7 @@ def graph_tool(seeds: DataFrame, edges: DataFrame, docs: DataFrame, queries: Dat
 
 def graph_rag(queries: DataFrame, vectors: DataFrame, edges: DataFrame, docs: DataFrame,
               web: DataFrame, realtime: DataFrame | None = None, hints: DataFrame | None = None,
-              *, seed_k: int = 5, hops: int = 2, k: int = 20, recent=tuple(fixed.RECENT_KEYWORDS),
+              *, seed_k: int = 5, hops: int = 2, k: int = 20, limit: int = EXPANDED, recent=tuple(fixed.RECENT_KEYWORDS),
               **trust) -> DataFrame:
     """Whole flow: seeds, expansion, overlap rerank; web rows where that is not enough,
     realtime rows in front, the calculation hint first. Web and realtime rows come by trust and
@@ -151,7 +154,7 @@ def graph_rag(queries: DataFrame, vectors: DataFrame, edges: DataFrame, docs: Da
     ``web`` and ``realtime`` are supplied results in hit shape, ``hints`` = (query_id, hint).
     """
     seeds = semantic_search(queries, vectors, seed_k).join(docs.select("id", "mapc"), "id")
-    grown = graph_expand(seeds.select("query_id", F.col("mapc").alias("key")), edges, hops, 40)
+    grown = graph_expand(seeds.select("query_id", F.col("mapc").alias("key")), edges, hops, limit)
     cands = (grown.select("query_id", F.col("key").alias("mapc"), F.col("base").alias("base_score"),
                           F.col("rank").alias("pos")).join(docs, "mapc")
              .join(queries.select("query_id", "q_text"), "query_id")

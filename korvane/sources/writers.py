@@ -5,13 +5,15 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions import text as tx
+
 TEXT_CHARS = 500
 
 
-def results_rows(df: DataFrame) -> DataFrame:
-    """The exported columns: body cut to 500 characters."""
+def results_rows(df: DataFrame, chars: int | None = TEXT_CHARS) -> DataFrame:
+    """The exported columns, the body cut to ``chars`` characters."""
     return df.select("query", F.col("id").alias("offset"), "score", "strategy", "ten",
-                     F.substring("noidung", 1, TEXT_CHARS).alias("noidung"))
+                     tx.head("noidung", chars).alias("noidung"))
 
 
 # texts keep their line breaks, quotes and outer blanks
@@ -19,8 +21,8 @@ CSV = {"header": True, "escape": '"', "multiLine": True, "ignoreLeadingWhiteSpac
        "ignoreTrailingWhiteSpace": False}
 
 
-def write_results_csv(df: DataFrame, path: str) -> None:
-    results_rows(df).write.mode("overwrite").options(**CSV).csv(path)
+def write_results_csv(df: DataFrame, path: str, chars: int | None = TEXT_CHARS) -> None:
+    results_rows(df, chars).write.mode("overwrite").options(**CSV).csv(path)
 
 
 def write_by_category(df: DataFrame, path: str, category="category") -> None:

@@ -633,3 +633,13 @@ def test_workers_do_not_need_the_package(tmp_path):
     code = f"import pickle; f = pickle.load(open({str(path)!r}, 'rb')); print(f[0]('a b', 'a b'), len(list(f[1]({PAGE!r}))))"
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, timeout=60)
     assert out.stdout.split()[-1] == "2", out.stderr
+
+
+def test_cuts_are_parameters(spark):
+    df = spark.createDataFrame([(1, 1, "x" * 90 + "a"), (1, 2, "x" * 90 + "b")], "query_id int, pos int, passage string")
+    df = df.withColumns({"mapc": F.lit(None).cast("string"), "url": F.lit(None).cast("string"),
+                         "source": F.lit("phapdien")})
+    assert fu.final_dedup(df, key_chars=80).count() == 1
+    assert fu.final_dedup(df).count() == fu.final_dedup(df, key_chars=None).count() == 2
+    raw = spark.createDataFrame([(1, '[{"fact": "' + "f" * 3000 + '", "type": "core"}]')], "turn_id int, raw string")
+    assert [len(mm.parse_facts(raw, **kw).first().fact) for kw in ({}, {"chars": None}, {"chars": 5})] == [1800, 3000, 5]
