@@ -32,7 +32,14 @@ class _Node:
         self.no = self.last = no  # document order of the node and of its last descendant
 
     def text(self) -> str:
-        return "".join(k if isinstance(k, str) else k.text() for k in self.kids)
+        out, todo = [], self.kids[::-1]
+        while todo:                       # a page may nest deeper than calls may
+            k = todo.pop()
+            if isinstance(k, str):
+                out.append(k)
+            else:
+                todo += k.kids[::-1]
+        return "".join(out)
 
     def has_class(self, name) -> bool:
         return name in (self.attrs.get("class") or "").split()
@@ -43,12 +50,21 @@ class _Node:
         return rest[0] if rest else None
 
     def html(self) -> str:
-        attrs = "".join(f' {k}="{escape(v or "")}"' for k, v in self.attrs.items())
-        if self.tag in VOID:
-            return f"<{self.tag}{attrs}/>"
-        inner = "".join(escape(k, quote=False) if isinstance(k, str) else k.html()
-                        for k in self.kids)
-        return f"<{self.tag}{attrs}>{inner}</{self.tag}>"
+        out, todo = [], [self]
+        while todo:
+            k = todo.pop()
+            if isinstance(k, tuple):      # the end of an element
+                out.append(k[0])
+            elif isinstance(k, str):
+                out.append(escape(k, quote=False))
+            else:
+                attrs = "".join(f' {n}="{escape(v or "")}"' for n, v in k.attrs.items())
+                if k.tag in VOID:
+                    out.append(f"<{k.tag}{attrs}/>")
+                else:
+                    out.append(f"<{k.tag}{attrs}>")
+                    todo += [(f"</{k.tag}>",), *k.kids[::-1]]
+        return "".join(out)
 
 
 class _Tree(HTMLParser):

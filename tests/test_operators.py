@@ -643,3 +643,11 @@ def test_cuts_are_parameters(spark):
     assert fu.final_dedup(df).count() == fu.final_dedup(df, key_chars=None).count() == 2
     raw = spark.createDataFrame([(1, '[{"fact": "' + "f" * 3000 + '", "type": "core"}]')], "turn_id int, raw string")
     assert [len(mm.parse_facts(raw, **kw).first().fact) for kw in ({}, {"chars": None}, {"chars": 5})] == [1800, 3000, 5]
+
+
+def test_deeply_nested_pages_are_read():
+    deep = "<div>" * 5000 + "body & soul<br>" + "</div>" * 5000
+    page = ('<p class="pDieu"><a name="1"></a>Title</p><p class="pNoiDung">' + deep + "<table>" + "<tr><td>x" * 3000
+            + "</table></p>")
+    (found,) = ex._articles(page)
+    assert found[0] == "1" and "body & soul" in found[2]
