@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 import uuid
@@ -79,3 +80,13 @@ def materialize(df, name: str = "step"):
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished steps.
+
+    They go when the driver collects the steps' plans as garbage; a long chain of small steps
+    gives it little reason to, while the files of all steps pile up on the executors.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
