@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from korvane.session import materialize
+from korvane.session import materialize, release
 
 from . import arrays as A
 from .bitmaps import Bitmap, build
@@ -229,6 +229,7 @@ def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
     count = rows.groupBy("k").agg(F.count_if("full").alias("n_full"), F.count("k").alias("n_all")) \
         .filter("n_full > 0 and n_all > 1")
     rows = materialize(rows.join(materialize(count, "counts"), "k"), "shared")
+    release(sets.sparkSession)
     exact = F.sum(F.when(F.col("full"), F.col("n_full") - 1).otherwise(0))
     one_off = F.sum(F.when(F.col("full"), F.col("n_all") - F.col("n_full"))
                     .otherwise(F.col("n_full")))
@@ -262,12 +263,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     keys = key_rows(docs, text_col, scheme).groupBy("key") \
         .agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("key")
-    base = materialize(alive_sets(docs, id_col, text_col, scheme, build(keys, "key", bits)), "sets")
+    shared = build(keys, "key", bits)
+    release(docs.sparkSession)
+    base = materialize(alive_sets(docs, id_col, text_col, scheme, shared), "sets")
     sets = materialize(
         base.filter("plans is not null").groupBy("node")
         .agg(F.any_value("n").alias("n"), F.any_value("plans").alias("plans"),
              F.any_value("segs").alias("segs"), F.any_value("dels").alias("dels"),
              F.any_value("elements").alias("elements")), "alive")
+    release(docs.sparkSession)
     elements = sets.select("node", "elements")
     own = F.transform(F.filter("plans", lambda p: ~p["lone"]), lambda p: p["filled"])
     keys = sets.select("node", "n", F.array_min(own).alias("filled"),

@@ -26,7 +26,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from korvane.session import materialize
+from korvane.session import materialize, release
 
 from .arrays import on_document, packed, slices, text_hash
 from .bitmaps import Bitmap, build
@@ -278,6 +278,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
                 F.lit(0).alias("level")).distinct()
     rows = materialize(full.union(probes.select("bucket", "node", "size", F.lit(False),
                                                 F.lit(2))), "candidates")
+    release(docs.sparkSession)
     wanted = build(rows.select(_low_half(F.col("node")).alias("name")).distinct(), "name", bits)
     texts = materialize(line_texts(docs, text_col, rule, wanted).groupBy("node")
                         .agg(F.any_value("text").alias("text")), "texts")

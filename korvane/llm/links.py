@@ -14,7 +14,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from korvane.session import materialize
+from korvane.session import materialize, release
 
 
 #: Rows of a bucket up to which its pairs cost less than setting its nodes apart; both ways are exact.
@@ -91,6 +91,7 @@ def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
         good = materialize(test(materialize(pairs.distinct(), "pairs")).select("a", "b"), "linked")
         linked = good if linked is None else linked.union(good)
         labels = components(linked)
+        release(rows.sparkSession)
 
     for seed in range(stars):
         now = _labelled(rows, labels)
