@@ -32,6 +32,7 @@ from .arrays import slices
 
 BLANK = "▁"
 SLICE = 8 << 20
+MATCHED = 300_000         # letters of one suffix array
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 1_000_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6       # piece types of the model format that matter here
@@ -263,7 +264,15 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         plain = [w for w in words if w[0] in self.id_of]
         odd = [w for w in words if w[0] not in self.id_of]
-        ids, counts = self._match(plain) if plain else (np.zeros(0, np.int32), np.zeros(0, int))
+        ids, counts = np.zeros(0, np.int32), np.zeros(0, np.int64)
+        ends = np.cumsum([len(w) + 1 for w in plain])
+        lo = 0
+        while lo < len(plain):             # the edges of a text are several times its letters
+            before = ends[lo - 1] if lo else 0
+            hi = max(lo + 1, int(np.searchsorted(ends, before + MATCHED, "right")))
+            more = self._match(plain[lo:hi])
+            ids, counts = np.concatenate([ids, more[0]]), np.concatenate([counts, more[1]])
+            lo = hi
         for w in odd:
             raw = [self.bytes_of.get(b, self.unknown) for b in w.encode("utf-8", "replace")] \
                 if self.bytes_of else [self.unknown]
