@@ -4,7 +4,8 @@ Hashing cuts the universe of word n-grams into the segments of a size band; two
 the threshold differ in at most H elements, so of a set's non-empty segments at most H differ
 from its partner's. Segment subsets are counted over all documents; only sets with enough
 segments that some other set has too stay ("alive"). For these also the subsets with one element
-deleted are indexed: a segment probed that way only misses partners that differ there twice.
+deleted are indexed: a segment probed that way only misses partners that differ there twice. Of a
+single element nothing is left to index, so such a segment is probed whole only.
 Segments and levels are then chosen per set by what their buckets cost, until they must catch
 every partner, and all links are verified on the whole sets.
 
@@ -108,8 +109,9 @@ def names(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 def signatures(g, sizes, rows: np.ndarray, scheme: Scheme):
     """Per (set, band): plan arrays; per non-empty segment: its plan, number, key and elements.
 
-    A set with no more non-empty segments than may differ is indexed by its single elements
-    instead (segment -1): a partner that shares none of its segments is such a set as well.
+    A set with no more non-empty segments than may differ ("lone") is indexed by its single
+    elements as well (segment -1): a partner that shares none of its segments is such a set too.
+    A partner that is not shares a segment with it, so lone sets have their segments like others.
     """
     begin = np.cumsum(sizes) - sizes
     at, band = scheme.plans(sizes[rows])
@@ -136,10 +138,12 @@ def signatures(g, sizes, rows: np.ndarray, scheme: Scheme):
     lone = filled <= may
     group = np.repeat(np.arange(len(head)), counts)
     dels = A.mix((sums[group] - part) ^ salt[group])
+    one = counts == 1
     single = A.mix(element ^ A.mix(band[plan].astype(np.uint64) + np.uint64(77)))
     return {"doc": doc, "band": band, "filled": filled, "may": may, "lone": lone,
             "seg_plan": seg_plan, "seg": seg, "key": keys, "plan": plan, "group": group,
-            "del": dels, "single": single, "counts": counts}
+            "del": dels, "single": single, "one": one,
+            "ones": np.bincount(seg_plan[one], minlength=len(doc))}
 
 
 def key_rows(docs: DataFrame, text_col: str, scheme: Scheme) -> DataFrame:
@@ -153,9 +157,8 @@ def key_rows(docs: DataFrame, text_col: str, scheme: Scheme) -> DataFrame:
                 _, rows = np.unique(name[:, 0], return_index=True)
                 s = signatures(g, sizes, rows, scheme)
                 lone = s["lone"][s["plan"]]
-                keep = ~s["lone"][s["seg_plan"]]
-                keys = np.concatenate([s["key"][keep], s["single"][lone]])
-                plan = np.concatenate([s["seg_plan"][keep], s["plan"][lone]])
+                keys = np.concatenate([s["key"], s["single"][lone]])
+                plan = np.concatenate([s["seg_plan"], s["plan"][lone]])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(A.signed(keys)), pa.array(A.signed(name[s["doc"][plan], 0]))],
                     names=["key", "name"])
@@ -163,8 +166,9 @@ def key_rows(docs: DataFrame, text_col: str, scheme: Scheme) -> DataFrame:
     return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "key long, name long")
 
 
-SEGMENT = pa.struct([("k", pa.int64()), ("b", pa.int32()), ("g", pa.int32())])
-PLAN = pa.struct([("b", pa.int32()), ("filled", pa.int32()), ("lone", pa.bool_())])
+SEGMENT = pa.struct([("k", pa.int64()), ("b", pa.int32()), ("g", pa.int32()), ("one", pa.bool_())])
+PLAN = pa.struct([("b", pa.int32()), ("filled", pa.int32()), ("ones", pa.int32()),
+                  ("lone", pa.bool_())])
 
 
 def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shared) -> DataFrame:
@@ -182,7 +186,8 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
                 s = signatures(g, sizes, first, scheme)
                 hits = np.bincount(s["seg_plan"][present(s["key"])], minlength=len(s["doc"]))
                 singles = np.bincount(s["plan"][present(s["single"])], minlength=len(s["doc"]))
-                alive = np.where(s["lone"], singles > 0, hits >= s["filled"] - s["may"])
+                alive = np.where(s["lone"], (singles > 0) | (hits > 0),
+                                 hits >= s["filled"] - s["may"])
                 band = s["band"]
                 begin = np.cumsum(sizes) - sizes
                 out = {"plans": [None] * rows, "segs": [None] * rows, "dels": [None] * rows,
@@ -198,14 +203,17 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
                         for k in out:
                             out[k][doc] = []
                         out["elements"][doc] = A.signed(g[begin[doc]:begin[doc] + sizes[doc]])
-                    out["plans"][doc].append((bd, int(s["filled"][i]), bool(s["lone"][i])))
+                    out["plans"][doc].append((bd, int(s["filled"][i]), int(s["ones"][i]),
+                                              bool(s["lone"][i])))
                     if s["lone"][i]:
-                        out["segs"][doc] += [(k, bd, -1) for k in A.signed(s["single"][c:d]).tolist()]
-                        continue
-                    out["segs"][doc] += [(k, bd, x) for k, x in zip(
-                        A.signed(s["key"][a:b]).tolist(), s["seg"][a:b].tolist())]
-                    out["dels"][doc] += [(k, bd, x) for k, x in zip(
-                        A.signed(s["del"][c:d]).tolist(), s["seg"][s["group"][c:d]].tolist())]
+                        out["segs"][doc] += [(k, bd, -1, False)
+                                             for k in A.signed(s["single"][c:d]).tolist()]
+                    out["segs"][doc] += [(k, bd, x, o) for k, x, o in zip(
+                        A.signed(s["key"][a:b]).tolist(), s["seg"][a:b].tolist(),
+                        s["one"][a:b].tolist())]
+                    more = c + np.flatnonzero(~s["one"][s["group"][c:d]])
+                    out["dels"][doc] += [(k, bd, x, False) for k, x in zip(
+                        A.signed(s["del"][more]).tolist(), s["seg"][s["group"][more]].tolist())]
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([x.tobytes() for x in name], pa.binary()),
                      pa.array(sizes, pa.int64()), pa.array(out["plans"], pa.list_(PLAN)),
@@ -217,8 +225,9 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
                        A.text_hash(text_col).alias("_h")).mapInArrow(
         run, f"id {id_type}, h long, node binary, n long, "
-             "plans array<struct<b:int,filled:int,lone:boolean>>, segs array<struct<k:long,b:int,g:int>>, "
-             "dels array<struct<k:long,b:int,g:int>>, elements array<long>")
+             "plans array<struct<b:int,filled:int,ones:int,lone:boolean>>, "
+             "segs array<struct<k:long,b:int,g:int,one:boolean>>, "
+             "dels array<struct<k:long,b:int,g:int,one:boolean>>, elements array<long>")
 
 
 def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
@@ -234,19 +243,23 @@ def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
     one_off = F.sum(F.when(F.col("full"), F.col("n_all") - F.col("n_full"))
                     .otherwise(F.col("n_full")))
     costs = rows.filter("g >= 0").groupBy("node", "n", "b", "g") \
-        .agg(exact.alias("exact"), one_off.alias("more"))
-    # a segment that no bucket lists costs nothing at level 2 and so gives two units
-    plans = sets.select("node", F.explode("plans").alias("p")).select("node", "p.b", "p.filled")
+        .agg(exact.alias("exact"), one_off.alias("more"), F.max("one").alias("one"))
+    # a segment that no bucket lists costs nothing at level 2 and so gives two units; one element
+    # gives one unit, as a partner may have nothing there and so no key
+    plans = sets.select("node", F.explode("plans").alias("p")) \
+        .select("node", "p.b", (2 * F.col("p.filled") - F.col("p.ones")).alias("all"))
     both = W.partitionBy("node", "b")
-    units = costs.withColumn("listed", F.count("g").over(both)).select(
-        "node", "n", "b", "g", "listed", F.explode(F.array(
-            F.struct(F.lit(1).alias("level"), F.col("exact").alias("cost")),
-            F.struct(F.lit(2).alias("level"), F.greatest("exact", "more").alias("cost"))))
+    exact = F.struct(F.lit(1).alias("level"), F.col("exact").alias("cost"))
+    more = F.struct(F.lit(2).alias("level"), F.greatest("exact", "more").alias("cost"))
+    listed = F.sum(F.when(F.col("one"), 1).otherwise(2)).over(both)
+    units = costs.withColumn("listed", listed).select(
+        "node", "n", "b", "g", "listed", F.explode(
+            F.when(F.col("one"), F.array(exact)).otherwise(F.array(exact, more)))
         .alias("u")).select("node", "n", "b", "g", "listed", "u.*")
     order = both.orderBy("cost", "level", "g")
     differ = F.floor(2 * F.col("n") * (scheme.q - scheme.p) / (scheme.q + scheme.p))
     chosen = (units.withColumn("turn", F.row_number().over(order)).join(plans, ["node", "b"])
-              .filter(F.col("turn") <= differ + 1 - 2 * (F.col("filled") - F.col("listed")))
+              .filter(F.col("turn") <= differ + 1 - (F.col("all") - F.col("listed")))
               .groupBy("node", "b", "g").agg(F.max("level").alias("level")))
     rows = rows.join(materialize(chosen, "chosen"), ["node", "b", "g"], "left")
     level = F.when(F.col("g") < 0, F.lit(1)).when(F.col("full") | (F.col("level") == 2),

@@ -507,6 +507,23 @@ def test_jaccard_join_matches_brute_force(spark, n, p):
     assert want == {} and jaccard.join(empty(spark), scheme=scheme).count() == 0
 
 
+@pytest.mark.parametrize("p", [85, 80])
+def test_jaccard_finds_every_small_pair(spark, p):
+    """Pairs of 4 to 40 shingles with words of their own, so that each pair stands alone."""
+    rng, rows, want = random.Random(p), [], set()
+    for i in range(12_000):
+        n, gone, more = rng.randint(4, 40), rng.choice([0, 0, 1, 1, 2, 3]), rng.choice([0, 1, 1, 2, 3])
+        one = [f"p{i}w{j}" for j in range(n)]
+        two = one[gone:] + [f"p{i}x{j}" for j in range(more)]
+        rows += [(2 * i, " ".join(one)), (2 * i + 1, " ".join(two))]
+        if 100 * (n - gone) >= p * (n + more):
+            want.add(2 * i + 1)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = jaccard.join(docs, scheme=jaccard.Scheme(n=1, p=p)).filter("doc_id <> component_id")
+    found = {r.doc_id for r in got.collect()}
+    assert len(want) > 4000 and found == want, (len(want), len(want - found), len(found - want))
+
+
 # -- queries and pipeline -------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["op5_winnowing", "op9_warc_transactions"])
