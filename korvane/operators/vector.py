@@ -132,30 +132,69 @@ def user_search(queries, vectors, k, *, user="user_id", **kw) -> DataFrame:
     return semantic_search(queries, vectors, k, by=user, **kw)
 
 
+def _chance(scores: np.ndarray, bits: int, tables: int) -> float:
+    """Mean chance that vectors with these cosines share a bucket in one of the tables."""
+    same = (1 - np.arccos(np.clip(scores, -1, 1)) / np.pi) ** bits
+    return float(np.mean(1 - (1 - same) ** tables))
+
+
+def lsh_tables(scores: np.ndarray, bits: int, recall: float) -> int:
+    """Fewest tables with which the chance at these cosines is at least ``recall``."""
+    most = 1
+    while _chance(scores, bits, most) < recall:
+        most *= 2
+    least = most // 2
+    while most - least > 1:
+        mid = (least + most) // 2
+        least, most = (mid, most) if _chance(scores, bits, mid) < recall else (least, mid)
+    return most
+
+
 def semantic_search_lsh(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int,
-                        tables: int = 8, bits: int | None = None, bucket: int = 512, seed: int = 7,
+                        tables: int | None = None, bits: int | None = None, bucket: int = 512,
+                        recall: float = 0.9, sample: int = 256, seed: int = 7,
                         query_id="query_id", query_vec="query_vec", id="id",
                         vec="embedding") -> DataFrame:
     """Approximate top-k: random hyperplane buckets, exact scores inside the buckets.
 
-    The number of hyperplanes of a table follows the number of vectors, so that a bucket holds
-    about ``bucket`` of them at any size and the work grows with the vectors and not their square.
+    Hyperplanes and tables are chosen together. The cosine of the k-th neighbour is measured by the
+    exact search of ``sample`` queries, and a number of hyperplanes gets as many tables as bring a
+    neighbour that far into a shared bucket with the chance ``recall``; of these choices with buckets
+    of ``bucket`` vectors or more the one with the least work is taken, counting a table's copy of a
+    row as much as scoring ``bucket`` vectors. Where no number pays, none is left: one bucket, exact.
 
     Buckets are blocked like any other group, so a crowded bucket is split and only k rows
     per query and block are emitted.
     """
-    if bits is None:
-        bits = min(30, max(1, int(np.ceil(np.log2(max(1, vectors.count()) / bucket)))))
-    planes = np.random.default_rng(seed).standard_normal((tables * bits, dim))
+    if tables is None or bits is None:
+        some = queries.select(query_id, query_vec).filter(F.size(query_vec) == dim) \
+            .orderBy(F.xxhash64(query_id)).limit(sample)
+        near = semantic_search(some, vectors, k, query_id=query_id, query_vec=query_vec, id=id, vec=vec)
+        found = near.groupBy(query_id).agg(F.min("score").alias("score")).collect()    # of the sample
+        scores = np.array([r["score"] for r in found] or [1.0])
+        if bits is None:
+            n = max(1, vectors.count())
+            most = min(30, max(0, int(np.log2(max(1, n / bucket)))))
+            cost = {b: (tables or lsh_tables(scores, b, recall)) * (n / 2 ** b + bucket)
+                    for b in range(most + 1)
+                    if tables is None or _chance(scores, b, tables) >= recall}
+            bits = min(cost, key=cost.get)
+        tables = tables or lsh_tables(scores, bits, recall)
+    planes = np.random.default_rng(seed).standard_normal((tables, bits, dim))
     weights = 2 ** np.arange(bits)
+    step = max(1, 256 // max(1, bits))      # tables whose signs are held at a time
 
     @F.pandas_udf("array<int>")
     def signatures(col: pd.Series) -> pd.Series:
         mat = np.asarray([np.asarray(v, dtype=np.float64) for v in col])
         if len(mat) == 0:
             return pd.Series([], dtype=object)
-        signs = (mat @ planes.T > 0).reshape(len(mat), tables, bits)
-        return pd.Series(list((signs * weights).sum(axis=2).astype(np.int32)))
+        out = np.zeros((len(mat), tables), np.int32)
+        for lo in range(0, tables, step):
+            some = planes[lo:lo + step]
+            signs = (mat @ some.reshape(-1, dim).T > 0).reshape(len(mat), len(some), bits)
+            out[:, lo:lo + step] = (signs * weights).sum(axis=2)
+        return pd.Series(list(out))
 
     def bucketed(df, key, col):
         usable = df.select(key, col).filter(F.size(col) == dim)

@@ -119,6 +119,18 @@ def test_lsh_recall(spark):
     assert ve.recall_against(approx, exact).first()[0] > 0.9
 
 
+@pytest.mark.parametrize("bits", [None, 6, 11])
+def test_lsh_recall_with_the_hyperplanes_of_a_large_table(spark, bits):
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((60, 32))
+    rows = [(i, [float(x) for x in base[i % 60] + 0.7 * rng.standard_normal(32)]) for i in range(1500)]
+    vec = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = vec.filter("id < 100").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    exact = ve.semantic_search(q, vec, 10)
+    approx = ve.semantic_search_lsh(q, vec, 10, dim=32, bits=bits, **({"bucket": 20} if bits is None else {}))
+    assert ve.recall_against(approx, exact).first()[0] >= 0.9
+
+
 # ---- metrics -----------------------------------------------------------------------------------
 
 
