@@ -250,6 +250,18 @@ def test_rules_match_a_plain_version(spark, small):
     assert quality_rules.score_rules(empty(spark)).count() == 0
 
 
+def test_bands_reject_junk_and_keep_clean_rows(spark):
+    """Documents that pass the base rule, of the labelled third that no limit was taken from."""
+    from korvane.llm.labelled import held_out
+    sf = "/root/testdata/sf0.1"
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(held_out(F.col("doc_id")))
+    docs = spark.read.parquet(f"{sf}/documents.parquet").join(labels, "doc_id")
+    got = quality_rules.score_rules(docs.select("doc_id", "text")).filter("not base_failed") \
+        .join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")))
+    share = dict(map(tuple, got.collect()))
+    assert share[1] > 0.99 and share[0] < 0.8
+
+
 # -- 5 ------------------------------------------------------------------------------------
 
 def plain_winnow(rows, items):
