@@ -6,8 +6,8 @@ from pyspark.sql import functions as F
 
 from korvane.session import materialize, scratch_path
 
-from . import (jaccard, line_dedup, quality_mil, quality_rules, quotes, sentencepiece_sa, toxicity,
-               training_order, warc, winnowing)
+from . import (jaccard, licences, line_dedup, merkle, quality_mil, quality_rules, quotes, sentencepiece_sa, toxicity,
+               training_order, warc, whitening, winnowing)
 from .registry import ORACLE, QUERIES, query, table
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -94,5 +94,20 @@ def op10(spark, sf_dir):
     return jaccard.join(table(spark, sf_dir, "documents"))
 
 
+@query("op11_bidiagonal_whitening")
+def op11(spark, sf_dir):
+    return whitening.report(table(spark, sf_dir, "embeddings"))
+
+
+@query("op12_licence_automaton")
+def op12(spark, sf_dir):
+    return licences.report(table(spark, sf_dir, "documents"))
+
+
+@query("op13_merkle_climb", merkle.SQL)
+def op13(spark, sf_dir):
+    return merkle.report(table(spark, sf_dir, "documents"), claims=merkle.lowered())
+
+
 def load():
     return QUERIES, ORACLE

@@ -538,7 +538,7 @@ def test_jaccard_finds_every_small_pair(spark, p):
 
 # -- queries and pipeline -------------------------------------------------------------------
 
-@pytest.mark.parametrize("name", ["op5_winnowing", "op9_warc_transactions"])
+@pytest.mark.parametrize("name", ["op5_winnowing", "op9_warc_transactions", "op13_merkle_climb"])
 def test_queries_equal_their_sql(spark, name):
     q, sql = load()
     con = duckdb.connect()
@@ -588,5 +588,5 @@ def test_pipeline_stages_match_plain_versions(spark):
 def test_entry_has_all_queries():
     import __spark_entry__ as entry
     have = entry.queries()
-    assert "pipeline" in have and all(any(k.startswith(f"op{n}_") for k in have) for n in range(1, 11))
+    assert "pipeline" in have and all(any(k.startswith(f"op{n}_") for k in have) for n in range(1, 14))
     assert isinstance(T.StructType(), T.StructType) and set(entry.oracle_sql()) <= set(have)
