@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import fixed
 from ..dist import first_per, top_per
@@ -112,7 +112,8 @@ def _resolve_chains(links: DataFrame) -> DataFrame:
     return state
 
 
-def apply_decisions(mem: DataFrame, decisions: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+def apply_decisions(mem: DataFrame, decisions: DataFrame, *, upsert: bool = False,
+                    begin: dict[str, Column] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(memories, history, report) after a batch of decisions.
 
     ``decisions`` = (user_id, seq, action, fact, mem_type, target_id, merged_fact, reason, at,
@@ -120,7 +121,14 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
     first update or delete after a memory's creation consumes its id and an update goes on
     under its new id, so later decisions on the old id do nothing. That makes every memory a
     chain of decisions; chains are followed by joins, so no user is folded in one task.
+
+    ``embedding`` and ``source_chat_id`` are kept where the memories have them: an added memory takes
+    both from its decision, an update takes the new fact's embedding and keeps the chat. With
+    ``upsert``, an update whose target is unknown or consumed begins a memory of its own, at version
+    2 as it replaces one. ``begin`` gives further columns of ``mem`` for memories that begin here.
     """
+    begin = begin or {}
+    kept = [c for c in ("source_chat_id", "embedding") if c in mem.columns]
     d = materialize(guard_decisions(decisions), "decisions")
     adds = d.filter("action = 'ADD'")
     tries = d.filter("action IN ('UPDATE', 'DELETE')")
@@ -137,6 +145,15 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
         F.col("_born").isNull() | (F.col("seq") > F.col("_born")))
     # read by the chain rounds, the end states, the history and the report
     first = materialize(first_per(hits, ["user_id", "target_id"], ["seq"]), "attempts")
+    fresh = adds.withColumn("_version", F.lit(1))
+    if upsert:
+        stray = tries.filter("action = 'UPDATE'").join(first.select("user_id", "new_id"),
+                                                       ["user_id", "new_id"], "left_anti")
+        stray = materialize(stray.withColumn("fact", F.col("merged_fact")), "upserts")
+        fresh = fresh.unionByName(stray.withColumn("_version", F.lit(2)))
+        starts = stray.select("user_id", F.col("new_id").alias("target_id"), F.lit(True).alias("_new"))
+        first = first.join(starts, ["user_id", "target_id"], "left").withColumn(
+            "_base", F.col("_base") | F.coalesce("_new", F.lit(False))).drop("_new")
     roots = _resolve_chains(first.select(
         "user_id", F.col("new_id").alias("node"), F.col("target_id").alias("ptr"),
         F.lit(1).alias("depth"), F.col("_base").alias("done")))
@@ -148,28 +165,40 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame) -> tuple[DataFrame, Da
         at_update("new_id").alias("_id"), at_update("merged_fact").alias("_fact"),
         at_update("mem_type").alias("_type"), at_update("at").alias("_at"),
         F.count(F.when(upd, F.lit(1))).cast("int").alias("_ups"),
-        F.max(F.when(~upd, F.col("at"))).alias("_gone"))
+        F.max(F.when(~upd, F.col("at"))).alias("_gone"), F.max(~upd).alias("_deleted"),
+        *[at_update(c).alias("_embedding") for c in kept if c == "embedding" and c in d.columns])
     start = mem.select("user_id", "mem_id", "fact", "mem_type", "timestamp", "version",
-                       F.coalesce("deleted", F.lit(False)).alias("deleted"), "deleted_at")
-    start = start.unionByName(adds.select(
+                       F.coalesce("deleted", F.lit(False)).alias("deleted"), "deleted_at", *kept, *begin)
+    given = {c: F.col(c) if c in d.columns else F.lit(None).cast(mem.schema[c].dataType) for c in kept}
+    start = start.unionByName(fresh.select(
         "user_id", F.col("new_id").alias("mem_id"), "fact", "mem_type",
-        F.col("at").alias("timestamp"), F.lit(1).alias("version"), F.lit(False).alias("deleted"),
-        F.lit(None).cast(mem.schema["deleted_at"].dataType).alias("deleted_at")))
+        F.col("at").alias("timestamp"), F.col("_version").alias("version"),
+        F.lit(False).alias("deleted"),
+        F.lit(None).cast(mem.schema["deleted_at"].dataType).alias("deleted_at"),
+        *[v.alias(c) for c, v in given.items()])
+        .withColumns({c: v.cast(mem.schema[c].dataType) for c, v in begin.items()}))
     out = start.join(ends.withColumnRenamed("root", "mem_id"), ["user_id", "mem_id"], "left").select(
         "user_id", F.coalesce("_id", "mem_id").alias("mem_id"),
         F.coalesce("_fact", "fact").alias("fact"), F.coalesce("_type", "mem_type").alias("mem_type"),
         F.coalesce("_at", "timestamp").alias("timestamp"),
         (F.col("version") + F.coalesce("_ups", F.lit(0))).alias("version"),
-        (F.col("deleted") | F.col("_gone").isNotNull()).alias("deleted"),
-        F.coalesce("_gone", "deleted_at").alias("deleted_at"))
+        (F.col("deleted") | F.coalesce("_deleted", F.lit(False))).alias("deleted"),
+        F.coalesce("_gone", "deleted_at").alias("deleted_at"),
+        *[F.coalesce("_embedding", c).alias(c) if c == "embedding" and c in d.columns else F.col(c)
+          for c in kept], *begin)
     none = F.lit(None).cast("string")
-    history = adds.select(
-        "user_id", F.col("new_id").alias("root"), F.lit(0).alias("depth"), "action", "fact", "at",
-        none.alias("reason"), none.alias("negated_by")).unionByName(applied.select(
-            "user_id", "root", "depth", "action",
+    history = fresh.select(
+        "user_id", F.col("new_id").alias("root"), F.lit(0).alias("depth"),
+        F.col("new_id").alias("mem_id"), "action", "fact", "at",
+        F.when(F.col("_version") > 1, F.col("reason")).alias("reason"),
+        none.alias("negated_by")).unionByName(applied.select(
+            "user_id", "root", "depth", F.when(upd, F.col("new_id")).otherwise(
+                F.col("target_id")).alias("mem_id"), "action",
             F.when(upd, F.col("merged_fact")).alias("fact"), "at", "reason",
             F.when(~upd, F.col("fact")).alias("negated_by")))
     done = applied.select("user_id", "new_id", F.lit(True).alias("_done"))
+    if upsert:
+        done = done.unionByName(stray.select("user_id", "new_id", F.lit(True).alias("_done")))
     report = d.join(done, ["user_id", "new_id"], "left").select(
         "user_id", "seq", F.substring("fact", 1, 80).alias("fact"),
         F.when(F.col("action").isin("UPDATE", "DELETE") & F.col("_done").isNull(), F.lit("SKIP"))

@@ -74,6 +74,12 @@ def vectors(spark, d) -> DataFrame:
     return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
 
 
+def with_vector(spark, d, rows: DataFrame, id_col: str) -> DataFrame:
+    """Every row with the vector whose number is its id modulo the number of vectors."""
+    e = table(spark, d, "embeddings")
+    return rows.join(e, F.pmod(F.col(id_col), F.lit(e.count())) == F.col("vec_id"))
+
+
 def query_vectors(spark, d) -> DataFrame:
     means = mean_vectors(table(spark, d, "embeddings"), "label", "embedding")
     return means.select(F.col("label").cast("long").alias("query_id"),

@@ -5,13 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..dist import position_within
 from ..functions import text as tx
 from ..operators import cache as ca, chats as ch, extract as ex, gate as ga, memory as mm, trust as tr
 from ..operators.answers import answer_similarity, with_bleu, rouge_l
 from ..session import scratch_path
 from ..streaming import streams as st
 from .common import (HITS_SQL, VECTORS_SQL, WCLS, WS, query_vectors, s_strip, s_tokens, s_words, table,
-                     vectors)
+                     vectors, with_vector)
 from .corpus import LINES_SQL, NORM_P, law_pages
 from .registry import query
 from .retrieval import HOST_SQL, TRUST_LISTS, TRUST_SQL
@@ -505,12 +506,12 @@ TYPES_SQL = "['core', 'episodic', 'semantic', 'procedural']"
 
 
 def memories(spark, d):
+    """Every document is a memory of the user its vector is labelled with."""
     kinds = F.array(*[F.lit(t) for t in fixed.MEMORY_TYPES])
-    e = table(spark, d, "embeddings")
-    t = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), F.col("text").alias("fact"))
-    return e.join(t, "vec_id").select(
-        F.col("vec_id").alias("mem_id"), F.col("label").cast("long").alias("user_id"),
-        F.element_at(kinds, (F.col("vec_id") % 4 + 1).cast("int")).alias("mem_type"), "fact", "embedding")
+    t = table(spark, d, "documents").select(F.col("doc_id").alias("mem_id"), F.col("text").alias("fact"))
+    return with_vector(spark, d, t, "mem_id").select(
+        "mem_id", F.col("label").cast("long").alias("user_id"),
+        F.element_at(kinds, (F.col("mem_id") % 4 + 1).cast("int")).alias("mem_type"), "fact", "embedding")
 
 
 def _memory_queries(spark, d):
@@ -518,12 +519,12 @@ def _memory_queries(spark, d):
 
 
 RETRIEVED_SQL = f"""{VECTORS_SQL},
-mem AS (SELECT vec_id AS id, {TYPES_SQL}[1 + vec_id % 4] AS mem_type, text AS fact FROM embeddings
-    JOIN documents ON doc_id = vec_id),
-near AS (SELECT query_id, id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id
-    ORDER BY score DESC, id) AS rank FROM sims JOIN mem USING (id) WHERE label = query_id),
-core AS (SELECT label AS query_id, ev.id, 1.0::DOUBLE AS score, 5 + row_number() OVER (PARTITION BY label ORDER BY ev.id)
-    AS rank FROM ev JOIN mem ON mem.id = ev.id WHERE mem_type = 'core'),
+mem AS (SELECT doc_id AS id, {TYPES_SQL}[1 + doc_id % 4] AS mem_type, text AS fact, ev.id AS vec, ev.label AS owner
+    FROM documents JOIN ev ON ev.id = doc_id % (SELECT count(*) FROM embeddings)),
+near AS (SELECT query_id, m.id, round(score, 4) AS score, row_number() OVER (PARTITION BY query_id
+    ORDER BY score DESC, m.id) AS rank FROM sims s JOIN mem m ON s.id = m.vec WHERE s.label = query_id),
+core AS (SELECT owner AS query_id, id, 1.0::DOUBLE AS score, 5 + row_number() OVER (PARTITION BY owner ORDER BY id)
+    AS rank FROM mem WHERE mem_type = 'core'),
 found AS (SELECT * FROM near WHERE rank <= 5 UNION ALL SELECT * FROM core WHERE rank <= 13
     AND (query_id, id) NOT IN (SELECT (query_id, id) FROM near WHERE rank <= 5))"""
 
@@ -562,8 +563,8 @@ def _base(spark, d):
         F.lit(None).cast("timestamp").alias("deleted_at"))
 
 
-def _decisions(spark, d, orders=None):
-    """Orders as decisions on the memory of their customer, in order-key order."""
+def _decisions(spark, d, orders=None, target=None):
+    """Orders as decisions on the memory of their customer (or on ``target``), in order-key order."""
     o = orders if orders is not None else table(spark, d, "orders")
     c = table(spark, d, "customer").select("c_custkey", "c_nationkey")
     act = F.create_map(*[F.lit(x) for x in ("O", "UPDATE", "F", "ADD", "P", "DELETE")])
@@ -571,7 +572,7 @@ def _decisions(spark, d, orders=None):
         F.col("c_nationkey").cast("string").alias("user_id"), F.col("o_orderkey").alias("seq"),
         F.element_at(act, F.col("o_orderstatus")).alias("action"),
         F.concat(F.lit("fact "), F.col("o_orderpriority")).alias("fact"), F.lit("core").alias("mem_type"),
-        F.when(F.col("o_orderkey") % 10 > 0, F.col("o_custkey")).alias("target_id"),
+        (F.when(F.col("o_orderkey") % 10 > 0, F.col("o_custkey")) if target is None else target).alias("target_id"),
         F.lit(None).cast("string").alias("merged_fact"), F.lit("r").alias("reason"),
         F.col("o_orderdate").cast("timestamp").alias("at"),
         (F.col("o_orderkey") + F.lit(10 ** 9)).alias("new_id"))
@@ -608,16 +609,39 @@ def decision_report(spark, d):
     coalesce('fact ' || arg_max(o_orderpriority, o_orderkey), c_name) AS fact, 1 + count(o_orderkey) AS version
 FROM customer LEFT JOIN orders ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey, c_name""")
 def decision_chains(spark, d):
-    o = table(spark, d, "orders")
-    prev = o.select(F.col("o_custkey").alias("_c"), F.col("o_orderkey").alias("_k"))
-    from ..dist import position_within
-    seqd = position_within(o, "o_custkey", "o_orderkey", "n")
-    before = seqd.select(F.col("o_custkey").alias("_c"), (F.col("n") + 1).alias("_n"), F.col("o_orderkey").alias("_k"))
-    linked = seqd.join(before, (F.col("o_custkey") == F.col("_c")) & (F.col("n") == F.col("_n")), "left")
-    base = _decisions(spark, d, linked.withColumn("o_orderstatus", F.lit("O")))
-    keyed = base.drop("target_id").join(linked.select(F.col("o_orderkey").alias("seq"), F.coalesce(
-        F.col("_k") + F.lit(10 ** 9), F.col("o_custkey")).alias("target_id")), "seq")
-    return mm.apply_decisions(_base(spark, d), keyed)[0].select("user_id", "mem_id", "fact", "version")
+    return mm.apply_decisions(_base(spark, d), _chained(spark, d, _linked(spark, d)))[0].select(
+        "user_id", "mem_id", "fact", "version")
+
+
+def _linked(spark, d):
+    """Orders as updates, each with the order before it on the same customer as ``before``."""
+    seqd = position_within(table(spark, d, "orders"), "o_custkey", "o_orderkey", "n")
+    before = seqd.select(F.col("o_custkey").alias("_c"), (F.col("n") + 1).alias("_n"),
+                         F.col("o_orderkey").alias("before"))
+    return seqd.join(before, (F.col("o_custkey") == F.col("_c")) & (F.col("n") == F.col("_n")), "left") \
+        .drop("_c", "_n").withColumn("o_orderstatus", F.lit("O"))
+
+
+def _chained(spark, d, linked):
+    target = F.coalesce(F.col("before") + F.lit(10 ** 9), F.col("o_custkey"))
+    return _decisions(spark, d, linked, target)
+
+
+# an update of an id that no one knows begins a memory; the chat and the embedding stay with it
+@query("memory_upsert", f"""WITH {APPLIED_SQL},
+stray AS (SELECT user_id, new_id, fact, seq FROM dec WHERE act = 'UPDATE' AND NOT lost AND seq NOT IN (SELECT seq FROM one))
+SELECT user_id, mem_id, fact, version, deleted, CASE WHEN mem_id >= 1000000000 AND version = 1 THEN 'chat ' || mem_id % 7 END
+    AS chat, CASE WHEN mem_id >= 1000000000 THEN mem_id % 5 ELSE -1 END AS first FROM mem
+UNION ALL SELECT user_id, new_id, fact, 2, false, 'chat ' || new_id % 7, new_id % 5 FROM stray""")
+def memory_upsert(spark, d):
+    base = _base(spark, d).withColumns({"source_chat_id": F.lit(None).cast("string"),
+                                        "embedding": F.array(F.lit(-1.0).cast("float"))})
+    made = _decisions(spark, d).withColumns({
+        "source_chat_id": F.concat(F.lit("chat "), F.col("new_id") % 7),
+        "embedding": F.array((F.col("new_id") % 5).cast("float"))})
+    return mm.apply_decisions(base, made, upsert=True)[0].select(
+        "user_id", "mem_id", "fact", "version", "deleted", F.col("source_chat_id").alias("chat"),
+        F.element_at("embedding", 1).cast("long").alias("first"))
 
 
 @query("guard_decisions", """WITH t AS (SELECT event_id, CASE event_type WHEN 'click' THEN 'delete' WHEN 'view' THEN 'UPDATE'
@@ -676,17 +700,20 @@ def turn_report(spark, d):
 # ---- cache --------------------------------------------------------------------------------------
 
 CACHE_SQL = f"""{VECTORS_SQL},
-en AS (SELECT vec_id AS entry_id, ts AS created_at, ts + INTERVAL 1 DAY AS expires_at FROM embeddings JOIN events ON event_id = vec_id),
+en AS (SELECT event_id AS entry_id, event_id % (SELECT count(*) FROM embeddings) AS vec, ts AS created_at,
+    ts + INTERVAL 1 DAY AS expires_at FROM events),
 nw AS (SELECT max(created_at) AS now FROM en),
-live AS (SELECT entry_id, row_number() OVER (ORDER BY created_at DESC, entry_id DESC) AS age FROM en, nw
+live AS (SELECT entry_id, vec, row_number() OVER (ORDER BY created_at DESC, entry_id DESC) AS age FROM en, nw
     WHERE expires_at > now)"""
 
 
 def _cache(spark, d):
-    e = table(spark, d, "embeddings").join(table(spark, d, "events").select(
-        F.col("event_id").alias("vec_id"), F.col("ts").alias("created_at")), "vec_id")
-    return e.select(F.col("vec_id").alias("entry_id"), "embedding", "created_at",
-                    (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
+    """Every event is an entry."""
+    e = table(spark, d, "events").select(F.col("event_id").alias("entry_id"),
+                                         F.col("ts").cast("timestamp").alias("created_at"))
+    return with_vector(spark, d, e, "entry_id").select(
+        "entry_id", "embedding", "created_at",
+        (F.col("created_at") + F.expr("INTERVAL 1 DAY")).alias("expires_at"))
 
 
 def _now(spark, d):
@@ -695,10 +722,10 @@ def _now(spark, d):
 
 @query("cache_lookup", f"""WITH {CACHE_SQL},
 c AS (SELECT query_id, entry_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, age) AS r
-    FROM live JOIN sims ON id = entry_id WHERE age <= 500)
-SELECT query_id, entry_id, round(score, 6) AS score FROM c WHERE r = 1 AND score >= 0.4""")
+    FROM live JOIN sims ON id = vec WHERE age <= 500)
+SELECT query_id, entry_id, round(score, 6) AS score FROM c WHERE r = 1 AND score >= 0.2""")
 def cache_lookup(spark, d):
-    return ca.cache_lookup(query_vectors(spark, d), _cache(spark, d), _now(spark, d), threshold=0.4).withColumn(
+    return ca.cache_lookup(query_vectors(spark, d), _cache(spark, d), _now(spark, d), threshold=0.2).withColumn(
         "score", F.round("score", 6))
 
 
@@ -780,37 +807,96 @@ def stream_gate(spark, d):
     return st.run_to_table(routed, f"{base}/out", f"{base}/check")
 
 
+LOTS = 4
+
+
+def _end(spark, d):
+    return table(spark, d, "events").agg(F.max("ts").cast("timestamp")).first()[0]
+
+
+# the queries of a lot see what the lots before it stored and their own clock has not outlived
 @query("stream_cache", f"""WITH {CACHE_SQL},
-c AS (SELECT query_id, entry_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) *
-    sqrt(list_inner_product(v.e, v.e))), 12) AS score, age FROM (SELECT id AS query_id, e FROM ev) q, live JOIN ev v ON v.id = entry_id WHERE age <= 500),
+clock AS (SELECT lot, now - INTERVAL (6 * ({LOTS - 1} - lot)) HOUR AS tick FROM nw, (SELECT unnest(range({LOTS})) AS lot)),
+seen AS (SELECT lot, entry_id, vec, row_number() OVER (PARTITION BY lot ORDER BY created_at DESC, entry_id DESC) AS age
+    FROM en JOIN clock ON entry_id % {LOTS} < lot AND expires_at > tick),
+c AS (SELECT q.id AS query_id, entry_id, round(list_inner_product(q.e, v.e) / (sqrt(list_inner_product(q.e, q.e)) *
+    sqrt(list_inner_product(v.e, v.e))), 12) AS score, age FROM seen JOIN ev q ON q.id % {LOTS} = lot
+    JOIN ev v ON v.id = vec WHERE age <= 500),
 b AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, age) AS r FROM c)
-SELECT query_id, entry_id FROM b WHERE r = 1 AND score >= 0.92""")
+SELECT query_id, entry_id FROM b WHERE r = 1 AND score >= 0.3""")
 def stream_cache(spark, d):
-    asked = _stream(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
-    found = st.cache_lookup_stream(asked, _cache(spark, d), _now(spark, d)).select("query_id", "entry_id")
+    """Lookups and inserts take turns over four lots, each stream with its own checkpoint."""
     base = scratch_path(spark, "cache")
-    return st.run_to_table(found, f"{base}/out", f"{base}/check")
+    end = _end(spark, d)
+    asks = table(spark, d, "embeddings").select(F.col("vec_id").alias("query_id"),
+                                                F.col("embedding").alias("query_vec"))
+    entries = _cache(spark, d).drop("expires_at").withColumn("text", F.lit("stored answer"))
+    cache = st.cache_table(spark, f"{base}/table", _cache(spark, d).schema)
+    found = None
+    for lot in range(LOTS):
+        def clock(n):
+            return F.lit(end) - F.make_dt_interval(hours=F.lit(6 * (LOTS - 1 - n)))
+        asks.filter(F.col("query_id") % LOTS == lot).write.mode("append").parquet(f"{base}/asks")
+        found = st.cache_lookup_stream(
+            spark.readStream.schema(asks.schema).parquet(f"{base}/asks"), cache, clock, f"{base}/found",
+            f"{base}/asked", threshold=0.3)
+        entries.filter(F.col("entry_id") % LOTS == lot).write.mode("append").parquet(f"{base}/puts")
+        st.cache_put_stream(spark.readStream.schema(entries.schema).parquet(f"{base}/puts"), cache,
+                            f"{base}/put", clock)
+    return found.select("query_id", "entry_id")
 
 
 @query("stream_cache_put", """SELECT event_id AS entry_id, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at
 FROM events WHERE event_type <> 'signup'""")
 def stream_cache_put(spark, d):
-    """Events as turns; every one arrives twice and is stored once."""
-    e = _stream(spark, d, "events")
-    text = F.when(F.col("event_type") == "signup", F.lit("xin chào")).otherwise(F.col("event_type"))
-    sent = e.select(F.col("event_id").alias("entry_id"), text.alias("text"), F.col("ts").cast("timestamp").alias("created_at"),
-                    F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy")).drop("_copy")
-    kept = st.cache_put_stream(sent).select("entry_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+    """Events as turns in shuffled files, a micro-batch each; every one arrives twice and is stored once."""
     base = scratch_path(spark, "put")
-    return st.run_to_table(kept, f"{base}/out", f"{base}/check")
+    text = F.when(F.col("event_type") == "signup", F.lit("xin chào")).otherwise(F.col("event_type"))
+    sent = table(spark, d, "events").select(
+        F.col("event_id").alias("entry_id"), text.alias("text"), F.col("ts").cast("timestamp").alias("created_at"),
+        F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
+    sent.repartition(LOTS, F.xxhash64("entry_id", "copy")).drop("copy").write.parquet(f"{base}/in")
+    schema = ca.cache_put(sent).select("entry_id", "created_at", "expires_at").schema
+    incoming = spark.readStream.schema(sent.drop("copy").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    stored = st.cache_put_stream(incoming, st.cache_table(spark, f"{base}/table", schema), f"{base}/check",
+                                 most_pieces=3)
+    return stored().select("entry_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
+
+
+def _streamed(spark, d, orders, decide):
+    """The memory stream over four lots of orders in key order."""
+    base = scratch_path(spark, "memory")
+    edges = table(spark, d, "orders").approxQuantile("o_orderkey", [0.25, 0.5, 0.75], 0.01)
+    lot = sum(((F.col("o_orderkey") > e).cast("int") for e in edges), F.lit(0))
+    tables = None
+    for k in range(LOTS):
+        orders.filter(lot == k).write.mode("append").parquet(f"{base}/in")
+        incoming = spark.readStream.schema(orders.schema).parquet(f"{base}/in")
+        tables = st.memory_stream(decide(incoming), f"{base}/state", _base(spark, d) if k == 0 else None,
+                                  f"{base}/check", buckets=16)
+    return tables
 
 
 @query("stream_memory", f"WITH {APPLIED_SQL} SELECT * FROM mem")
 def stream_memory(spark, d):
-    base = scratch_path(spark, "memory")
-    decisions = _decisions(spark, d, _stream(spark, d, "orders"))
-    latest = st.memory_stream(decisions, f"{base}/state", _base(spark, d), f"{base}/check")
-    return latest().select("user_id", "mem_id", "fact", "mem_type", "version", "deleted")
+    tables = _streamed(spark, d, table(spark, d, "orders"), lambda o: _decisions(spark, d, o))
+    return tables().select("user_id", "mem_id", "fact", "mem_type", "version", "deleted")
+
+
+# every decision targets the id its predecessor made, so chains go on from batch to batch
+@query("stream_memory_history", """SELECT c_nationkey::VARCHAR AS user_id, c_custkey AS root, row_number() OVER (
+    PARTITION BY o_custkey ORDER BY o_orderkey) AS depth, 1000000000 + o_orderkey AS mem_id, 'UPDATE' AS action,
+    'fact ' || o_orderpriority AS fact, 'r' AS reason FROM orders JOIN customer ON c_custkey = o_custkey""")
+def stream_memory_history(spark, d):
+    tables = _streamed(spark, d, _linked(spark, d), lambda o: _chained(spark, d, o))
+    return tables.history().select("user_id", "root", "depth", "mem_id", "action", "fact", "reason")
+
+
+@query("stream_memory_report", f"""WITH {APPLIED_SQL}
+SELECT user_id, seq, fact, CASE WHEN act = 'ADD' THEN 'ADD' WHEN lost THEN CASE act WHEN 'UPDATE' THEN 'SKIP' ELSE 'NOOP' END
+    WHEN seq IN (SELECT seq FROM one) THEN act ELSE 'SKIP' END AS action FROM dec""")
+def stream_memory_report(spark, d):
+    return _streamed(spark, d, table(spark, d, "orders"), lambda o: _decisions(spark, d, o)).report()
 
 
 @query("stream_ingest", f"""WITH {LINES_SQL}

@@ -31,6 +31,25 @@ MEMORY_SCHEMA = T.StructType([
     T.StructField("deleted_at", T.TimestampType()),
 ])
 
+HISTORY = T.StructType([
+    T.StructField("user_id", T.StringType()),
+    T.StructField("root", T.LongType()),
+    T.StructField("depth", T.IntegerType()),
+    T.StructField("mem_id", T.LongType()),
+    T.StructField("action", T.StringType()),
+    T.StructField("fact", T.StringType()),
+    T.StructField("at", T.TimestampType()),
+    T.StructField("reason", T.StringType()),
+    T.StructField("negated_by", T.StringType()),
+])
+
+REPORT = T.StructType([
+    T.StructField("user_id", T.StringType()),
+    T.StructField("seq", T.LongType()),
+    T.StructField("fact", T.StringType()),
+    T.StructField("action", T.StringType()),
+])
+
 MESSAGE = T.StructType([
     T.StructField("role", T.StringType()),
     T.StructField("content", T.StringType()),

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
+from ..dist import first_per
 from ..operators.cache import cache_lookup, cache_put
 from ..operators.extract import extract_articles
 from ..operators.gate import route_turns
 from ..operators.memory import apply_decisions
-from ..schemas import MEMORY_SCHEMA
+from ..schemas import HISTORY, MEMORY_SCHEMA, REPORT
 from ..sources.readers import shape_pages
+from .store import PieceTable
 
 
 def gate_stream(turns: DataFrame, answers: dict[str, str], **kw) -> DataFrame:
@@ -19,16 +21,84 @@ def gate_stream(turns: DataFrame, answers: dict[str, str], **kw) -> DataFrame:
     return route_turns(turns, answers, **kw)
 
 
-def cache_lookup_stream(queries: DataFrame, cache: DataFrame, now, **kw) -> DataFrame:
-    """Stream of queries against a stored cache snapshot."""
-    return cache_lookup(queries, cache, now, **kw)
+def shared_log(sdf: DataFrame, out: str, checkpoint: str,
+               rows: Callable[[DataFrame, int], DataFrame], schema: T.StructType) -> DataFrame:
+    """Drain what is there; ``rows`` of each micro-batch become its folder ``batch=N`` of a log, which
+    a replayed batch overwrites. Returns the log as a table."""
+    def apply(batch: DataFrame, n: int) -> None:
+        rows(batch, n).select(*schema.names).write.mode("overwrite").parquet(f"{out}/batch={n}")
+
+    _drain(sdf, apply, checkpoint)
+    return _log(sdf.sparkSession, out, schema)
+
+
+def _log(spark: SparkSession, out: str, schema: T.StructType) -> DataFrame:
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField("batch", T.LongType())])) \
+        .parquet(out).select(*schema.names)
+
+
+def _drain(sdf: DataFrame, apply: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    (sdf.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
+     .trigger(availableNow=True).start().awaitTermination())
+
+
+def cache_table(spark: SparkSession, root: str, entries: T.StructType, key: str = "entry_id",
+                buckets: int = 16) -> PieceTable:
+    """Where streamed cache entries are kept, with ``expires_at`` among their columns."""
+    return PieceTable(spark, root, entries, key, buckets, until="expires_at")
+
+
+def cache_lookup_stream(queries: DataFrame, cache: PieceTable | DataFrame, now, out: str,
+                        checkpoint: str, **kw) -> DataFrame:
+    """Answers of a stream of queries, each from the entries stored when its micro-batch runs.
+
+    ``now`` is a time or, per micro-batch, a function of its number; left out, it is the time the
+    batch runs. An entry put between two batches is found by the second, one that has expired by
+    its clock is not.
+    """
+    def answer(batch: DataFrame, n: int) -> DataFrame:
+        entries = cache.read() if isinstance(cache, PieceTable) else cache
+        return cache_lookup(batch, entries, _clock(now, n), **kw)
+
+    id_col = kw.get("query_id", "query_id")
+    schema = T.StructType([queries.schema[id_col], cache.schema["entry_id"],
+                           T.StructField("score", T.DoubleType())])
+    return shared_log(queries, out, checkpoint, answer, schema)
+
+
+def _clock(now, n: int):
+    if now is None:
+        return F.current_timestamp()
+    return now(n) if callable(now) else now
 
 
-def cache_put_stream(turns: DataFrame, watermark: str = "1 day", key: str = "entry_id") -> DataFrame:
-    """Entries to append: small talk is left out and a replayed entry is dropped while its
-    state lives, which is the entry's own life time."""
-    entries = cache_put(turns)
-    return entries.withWatermark("created_at", watermark).dropDuplicatesWithinWatermark([key])
+def cache_put_stream(turns: DataFrame, cache: PieceTable, checkpoint: str, now=None,
+                     most_pieces: int = 32, **kw) -> Callable[[], DataFrame]:
+    """Store a stream of entries; small talk is left out. Returns a reader of what is stored.
+
+    However late an entry comes it is stored, once: entries that the table holds already do not come
+    in again, whatever batch or replay brings them, and of the same entry twice in a batch the
+    earliest stays. With ``now`` (as in ``cache_lookup_stream``), pieces whose entries have all expired
+    go. A batch adds pieces; a bucket of ``most_pieces`` is written anew as one.
+    """
+    key = cache.key
+
+    def apply(batch: DataFrame, n: int) -> None:
+        new = first_per(cache_put(batch, **kw), key, ["created_at", "expires_at"])
+        new = new.join(cache.read(n).select(key), key, "left_anti").select(*cache.schema.names)
+        held: dict[int, int] = {}
+        for p in cache.pieces(n):
+            held[p.bucket] = held.get(p.bucket, 0) + 1
+        full = sorted(b for b, pieces in held.items() if pieces >= most_pieces)
+        clock = turns.sparkSession.range(1).select(
+            F.lit(_clock(now, n)).cast("timestamp")).first()[0] if now is not None else None
+        if full:
+            old = cache.read(n, full)
+            new = new.unionByName(old if clock is None else old.filter(F.col("expires_at") > F.lit(clock)))
+        cache.write(new, n, full, None if clock is None else lambda p: p.until is None or p.until > clock)
+
+    _drain(turns, apply, checkpoint)
+    return cache.read
 
 
 def page_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -52,50 +122,64 @@ def run_to_table(sdf: DataFrame, out: str, checkpoint: str) -> DataFrame:
     return sdf.sparkSession.read.schema(sdf.schema).parquet(out)
 
 
+#: What the memory stream keeps of a memory: its columns, the id and version it began with.
+MEMORY_STATE = T.StructType([
+    *MEMORY_SCHEMA.fields, T.StructField("source_chat_id", T.StringType()),
+    T.StructField("embedding", T.ArrayType(T.FloatType())),
+    T.StructField("root", T.LongType()), T.StructField("v0", T.IntegerType())])
+
+
+class MemoryTables:
+    """Readers of a memory stream's tables; calling it gives the memories."""
+
+    def __init__(self, state: PieceTable):
+        self.state = state
+
+    def __call__(self) -> DataFrame:
+        return self.state.read().drop("root", "v0")
+
+    def history(self) -> DataFrame:
+        """Every decision that took effect, as in ``apply_decisions``, over all batches."""
+        return _log(self.state.spark, f"{self.state.root}/history", HISTORY)
+
+    def report(self) -> DataFrame:
+        """What became of every decision."""
+        return _log(self.state.spark, f"{self.state.root}/report", REPORT)
+
+
 def memory_stream(decisions: DataFrame, state_root: str, first: DataFrame | None,
-                  checkpoint: str, buckets: int = 256) -> Callable[[], DataFrame]:
-    """Keep the memory table up to date from a stream of decisions.
+                  checkpoint: str, buckets: int = 256, **kw) -> MemoryTables:
+    """Keep the memory table, its history and its report up to date from a stream of decisions.
 
-    Users are hashed to buckets and each micro-batch writes only the buckets it touches, as
-    ``batch=N/bucket=B``; the last batch of a bucket is its current state. A replayed batch
-    reads what lies before it and overwrites its own output, so a restart changes nothing.
-    ``first`` starts a new table and is left out on a restart. Returns a reader.
+    Users are hashed to buckets and each micro-batch writes only the buckets it touches; the
+    manifest names the live version of each and superseded ones are deleted. History and report of
+    a batch are its own folders. A replayed batch reads what lies before it and overwrites its
+    output, so a restart changes nothing. ``first`` starts a new table and is left out on a restart.
     """
-    spark = decisions.sparkSession
-    bucket = F.pmod(F.xxhash64("user_id"), F.lit(buckets)).cast("int")
-    columns = MEMORY_SCHEMA.names
-
-    def save(mem: DataFrame, n: int) -> None:
-        # a bucket with a very busy user is split over several tasks and files
-        (mem.select(*columns).withColumn("bucket", bucket).hint("rebalance", "bucket")
-         .write.mode("overwrite").partitionBy("bucket").parquet(f"{state_root}/batch={n}"))
-
-    def current(before: int | None = None, only: list[int] | None = None) -> DataFrame:
-        schema = T.StructType([*MEMORY_SCHEMA.fields, T.StructField("batch", T.IntegerType()),
-                               T.StructField("bucket", T.IntegerType())])
-        table = spark.read.schema(schema).parquet(state_root)
-        if before is not None:
-            table = table.filter(F.col("batch") < before)
-        if only is not None:
-            table = table.filter(F.col("bucket").isin(only))
-        newest: dict[int, list[int]] = {}
-        for b, n in table.groupBy("bucket").agg(F.max("batch")).collect():  # one row per bucket
-            newest.setdefault(n, []).append(b)
-        keep = F.lit(False)
-        for n, bs in newest.items():
-            keep = keep | ((F.col("batch") == n) & F.col("bucket").isin(bs))
-        return table.filter(keep).select(*columns)
+    state = PieceTable(decisions.sparkSession, state_root, MEMORY_STATE, "user_id", buckets)
+
+    def begun(mem: DataFrame) -> DataFrame:
+        more = {f.name: F.lit(None).cast(f.dataType) for f in MEMORY_STATE if f.name not in mem.columns}
+        return mem.withColumns(more | {"root": F.col("mem_id"), "v0": F.col("version")})
 
     def apply(batch: DataFrame, n: int) -> None:
         rows = batch.persist()
-        touched = [r[0] for r in rows.select(bucket).distinct().collect()]
-        if touched:
-            save(apply_decisions(current(n, touched), rows)[0], n)
+        touched = [r[0] for r in rows.select(state.bucket()).distinct().collect()]  # at most ``buckets``
+        before = state.read(n, touched)
+        out, history, report = apply_decisions(before, rows, begin={
+            "root": F.col("mem_id"), "v0": F.col("version")}, **kw)
+        # a chain goes on where earlier batches left it
+        at = before.select(F.col("user_id").alias("_u"), F.col("mem_id").alias("_m"),
+                           F.col("root").alias("_root"), (F.col("version") - F.col("v0")).alias("_steps"))
+        history = history.join(at, (F.col("user_id") == F.col("_u")) & (F.col("root") == F.col("_m")), "left") \
+            .withColumns({"root": F.coalesce("_root", "root"),
+                          "depth": (F.col("depth") + F.coalesce("_steps", F.lit(0))).cast("int")})
+        history.select(*HISTORY.names).write.mode("overwrite").parquet(f"{state_root}/history/batch={n}")
+        report.select(*REPORT.names).write.mode("overwrite").parquet(f"{state_root}/report/batch={n}")
+        state.write(out, n, touched)
         rows.unpersist()
 
     if first is not None:
-        save(first, -1)
-    query = (decisions.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
-             .trigger(availableNow=True).start())
-    query.awaitTermination()
-    return current
+        state.write(begun(first), -1)
+    _drain(decisions, apply, checkpoint)
+    return MemoryTables(state)

@@ -620,6 +620,76 @@ def test_memory_stream_replays_and_restarts(spark, tmp_path):
     assert got == {("u", 102, "d", 3), ("v", 2, "b", 1), ("w", 103, "e", 1)}
 
 
+def test_memory_stream_keeps_history_and_only_live_versions(spark, tmp_path):
+    import os
+    from korvane.streaming.streams import memory_stream
+    fields = ("user_id string, seq long, action string, fact string, mem_type string, target_id long, merged_fact string, "
+              "reason string, new_id long, at timestamp, source_chat_id string, embedding array<float>")
+    root, check = str(tmp_path / "state"), str(tmp_path / "check")
+    rows = [("u", 1, "ADD", "a", None, 101), ("u", 2, "UPDATE", "b", 101, 102), ("v", 3, "ADD", "x", None, 103),
+            ("u", 4, "UPDATE", "c", 102, 104), ("u", 5, "UPDATE", "lost", 101, 105), ("u", 6, "DELETE", "no", 104, 106),
+            ("v", 7, "UPDATE", "y", 103, 107), ("w", 8, "UPDATE", "new", 999, 108), ("w", 9, "UPDATE", "newer", 108, 109),
+            ("u", 10, "NOOP", "n", None, 110), ("w", 11, "ADD", "", None, 111)]
+    made = [(u, s, act, f, "core", t, None, f"r{s}", n, None, f"chat{s}", [float(s)]) for u, s, act, f, t, n in rows]
+    empty = spark.createDataFrame([], "user_id string, mem_id long, fact string, mem_type string, timestamp timestamp, "
+                                  "version int, deleted boolean, deleted_at timestamp, source_chat_id string, embedding array<float>")
+    out, history, report = mm.apply_decisions(empty, spark.createDataFrame(made, fields), upsert=True)
+    for i in range(0, len(made), 3):                           # four batches
+        spark.createDataFrame(made[i:i + 3], fields).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        tables = memory_stream(spark.readStream.schema(fields).parquet(str(tmp_path / "in")), root,
+                               empty if i == 0 else None, check, buckets=4, upsert=True)
+    key = lambda r: repr(r)
+    cols = ["user_id", "mem_id", "fact", "version", "deleted", "source_chat_id", "embedding"]
+    same = lambda a, b, *c: sorted(map(tuple, a.select(*c).collect()), key=key) == sorted(
+        map(tuple, b.select(*c).collect()), key=key)
+    assert same(tables(), out, *cols)
+    assert same(tables.history(), history, "user_id", "root", "depth", "mem_id", "action", "fact", "reason", "negated_by")
+    assert same(tables.report(), report, "user_id", "seq", "fact", "action")
+    got = {(r.user_id, r.mem_id, r.fact, r.version, r.deleted, r.source_chat_id, r.embedding[0]) for r in tables().collect()}
+    assert got == {("u", 104, "c", 3, True, "chat1", 4.0), ("u", 105, "lost", 2, False, "chat5", 5.0),
+                   ("v", 107, "y", 2, False, "chat3", 7.0), ("w", 109, "newer", 3, False, "chat8", 9.0)}
+    live = {(p.version, p.bucket) for p in tables.state.pieces()}
+    held = {(int(v[8:]), int(b[7:])) for v in os.listdir(f"{root}/data") for b in os.listdir(f"{root}/data/{v}")
+            if b.startswith("bucket=")}
+    assert live <= held and len(tables.state.batches()) == 2
+    assert held == {(p.version, p.bucket) for n in (3, 4) for p in tables.state.pieces(n)}
+
+
+def test_cache_stream_sees_new_entries_and_its_clock(spark, tmp_path):
+    import datetime as dt
+    from korvane.streaming import streams as st
+    day = dt.datetime(2024, 1, 1, tzinfo=dt.timezone.utc)
+    entry = "entry_id long, text string, embedding array<double>, created_at timestamp"
+    cache = st.cache_table(spark, str(tmp_path / "cache"), spark.createDataFrame([], entry + ", expires_at timestamp").drop("text").schema)
+    hours = iter([0, 1, 30, 50])
+
+    def put(rows, now=None):
+        spark.createDataFrame([(i, t, v, day + dt.timedelta(hours=h)) for i, t, v, h in rows], entry).coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "puts"))
+        return st.cache_put_stream(spark.readStream.schema(entry).parquet(str(tmp_path / "puts")), cache,
+                                   str(tmp_path / "put"), now, most_pieces=2)
+
+    def ask(i, v):
+        now = day + dt.timedelta(hours=next(hours))
+        spark.createDataFrame([(i, v)], "query_id long, query_vec array<double>").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "asks"))
+        sdf = spark.readStream.schema("query_id long, query_vec array<double>").parquet(str(tmp_path / "asks"))
+        found = st.cache_lookup_stream(sdf, cache, lambda n: F.lit(now), str(tmp_path / "found"), str(tmp_path / "asked"))
+        return {r.query_id: r.entry_id for r in found.collect()}
+
+    assert ask(1, [1.0, 0.0]) == {}                                    # nothing stored yet
+    put([(10, "a", [1.0, 0.0], 0), (10, "a", [1.0, 0.0], 0), (11, "hi", [1.0, 0.0], 0), (12, "b", [0.0, 1.0], -90)])
+    assert ask(2, [1.0, 0.0]) == {2: 10}                               # put between two batches
+    put([(10, "a", [1.0, 0.0], 5), (13, "c", [0.0, 1.0], 20)])         # sent again, later: not stored twice
+    assert ask(3, [1.0, 0.0]) == {2: 10}                               # expired by the clock
+    assert ask(4, [0.0, 1.0]) == {2: 10}                               # expired as well after two days
+    reader = put([(14, "late", [1.0, 1.0], -1000)])
+    assert sorted(r.entry_id for r in reader().collect()) == [10, 12, 13, 14]
+    reader = put([(15, "new", [1.0, 1.0], 60)], now=day + dt.timedelta(hours=61))
+    assert 15 in [r.entry_id for r in reader().collect()]
+    assert all(p.until > (day + dt.timedelta(hours=61)).replace(tzinfo=None) for p in cache.pieces())
+
+
 def test_retag_needs_valid_claims(spark):
     df = spark.createDataFrame([(1, "demo_a"), (2, "x_b"), (3, "demo_c")], "id int, user_id string")
     claims = spark.createDataFrame([("demo_a", "U"), ("x_b", "V"), ("demo_c", "")], "anonymous_id string, uid string")
