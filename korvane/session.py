@@ -79,7 +79,17 @@ def materialize(df, name: str = "step"):
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    step = df.sparkSession.read.schema(df.schema).parquet(path)
+    step.step_path = path
+    return step
+
+
+def discard(*steps) -> None:
+    """Delete steps written by ``materialize`` that no plan reads any more."""
+    for step in steps:
+        spark = step.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(step.step_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def release(spark: SparkSession) -> None:
