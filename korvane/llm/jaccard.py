@@ -24,7 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from korvane.session import materialize, release
+from korvane.session import discard, materialize, release
 
 from . import arrays as A
 from .bitmaps import Bitmap, build
@@ -171,6 +171,21 @@ PLAN = pa.struct([("b", pa.int32()), ("filled", pa.int32()), ("ones", pa.int32()
                   ("lone", pa.bool_())])
 
 
+def _lists(has: np.ndarray, row: np.ndarray, kind: pa.DataType, columns: list) -> pa.Array:
+    """A list per row from values that name their row; null for rows that have no lists."""
+    order = np.argsort(row, kind="stable")
+    ends = np.zeros(len(has) + 1, np.int32)
+    np.cumsum(np.bincount(row, minlength=len(has)), out=ends[1:])
+    if pa.types.is_struct(kind):
+        fields = [kind.field(i) for i in range(kind.num_fields)]
+        values = pa.StructArray.from_arrays(
+            [pa.array(c[order].astype(f.type.to_pandas_dtype()), f.type) for c, f in zip(columns, fields)],
+            fields=fields)
+    else:
+        values = pa.array(columns[0][order], kind)
+    return pa.ListArray.from_arrays(pa.array(ends), values, mask=pa.array(~has))
+
+
 def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shared) -> DataFrame:
     """A row per document; of sets that may have a partner also the plans, keys and elements."""
     id_type = docs.schema[id_col].dataType.simpleString()
@@ -188,38 +203,29 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
                 singles = np.bincount(s["plan"][present(s["single"])], minlength=len(s["doc"]))
                 alive = np.where(s["lone"], (singles > 0) | (hits > 0),
                                  hits >= s["filled"] - s["may"])
-                band = s["band"]
-                begin = np.cumsum(sizes) - sizes
-                out = {"plans": [None] * rows, "segs": [None] * rows, "dels": [None] * rows,
-                       "elements": [None] * rows}
+                doc, band, lone = s["doc"], s["band"], s["lone"]
+                has = np.zeros(rows, bool)
+                has[doc[alive]] = True
                 at = np.flatnonzero(alive)
-                ends = np.searchsorted(s["seg_plan"], at, "right")
-                starts = np.searchsorted(s["seg_plan"], at, "left")
-                e_ends = np.searchsorted(s["plan"], at, "right")
-                e_starts = np.searchsorted(s["plan"], at, "left")
-                for i, a, b, c, d in zip(at, starts, ends, e_starts, e_ends):
-                    doc, bd = s["doc"][i], int(band[i])
-                    if out["plans"][doc] is None:
-                        for k in out:
-                            out[k][doc] = []
-                        out["elements"][doc] = A.signed(g[begin[doc]:begin[doc] + sizes[doc]])
-                    out["plans"][doc].append((bd, int(s["filled"][i]), int(s["ones"][i]),
-                                              bool(s["lone"][i])))
-                    if s["lone"][i]:
-                        out["segs"][doc] += [(k, bd, -1, False)
-                                             for k in A.signed(s["single"][c:d]).tolist()]
-                    out["segs"][doc] += [(k, bd, x, o) for k, x, o in zip(
-                        A.signed(s["key"][a:b]).tolist(), s["seg"][a:b].tolist(),
-                        s["one"][a:b].tolist())]
-                    more = c + np.flatnonzero(~s["one"][s["group"][c:d]])
-                    out["dels"][doc] += [(k, bd, x, False) for k, x in zip(
-                        A.signed(s["del"][more]).tolist(), s["seg"][s["group"][more]].tolist())]
+                seg = np.flatnonzero(alive[s["seg_plan"]])
+                sole = np.flatnonzero((alive & lone)[s["plan"]])
+                gone = np.flatnonzero(alive[s["plan"]] & ~s["one"][s["group"]])
+                of_seg, of_sole, of_gone = s["seg_plan"][seg], s["plan"][sole], s["plan"][gone]
+                no = np.zeros(len(sole), bool)
+                segs = _lists(has, np.concatenate([doc[of_sole], doc[of_seg]]), SEGMENT, [
+                    A.signed(np.concatenate([s["single"][sole], s["key"][seg]])),
+                    np.concatenate([band[of_sole], band[of_seg]]),
+                    np.concatenate([no - 1, s["seg"][seg]]), np.concatenate([no, s["one"][seg]])])
+                dels = _lists(has, doc[of_gone], SEGMENT, [
+                    A.signed(s["del"][gone]), band[of_gone], s["seg"][s["group"][gone]],
+                    np.zeros(len(gone), bool)])
+                plans = _lists(has, doc[at], PLAN, [band[at], s["filled"][at], s["ones"][at], lone[at]])
+                owner = np.repeat(np.arange(rows), sizes)
+                mine = np.flatnonzero(has[owner])
+                elements = _lists(has, owner[mine], pa.int64(), [A.signed(g[mine])])
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), part.column(2), pa.array([x.tobytes() for x in name], pa.binary()),
-                     pa.array(sizes, pa.int64()), pa.array(out["plans"], pa.list_(PLAN)),
-                     pa.array(out["segs"], pa.list_(SEGMENT)),
-                     pa.array(out["dels"], pa.list_(SEGMENT)),
-                     pa.array(out["elements"], pa.list_(pa.int64()))],
+                     pa.array(sizes, pa.int64()), plans, segs, dels, elements],
                     names=["id", "h", "node", "n", "plans", "segs", "dels", "elements"])
 
     return docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"),
@@ -231,13 +237,15 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
 
 
 def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
-    """Rows for ``cluster``: probes chosen by cost, so that they must catch every partner."""
+    """Rows for ``cluster``, written: probes chosen by cost, so that they must catch every partner."""
     full = sets.select("node", "n", F.explode("segs").alias("s"), F.lit(True).alias("full"))
     less = sets.select("node", "n", F.explode("dels").alias("s"), F.lit(False).alias("full"))
     rows = full.union(less).select("node", "n", "s.*", "full")
     count = rows.groupBy("k").agg(F.count_if("full").alias("n_full"), F.count("k").alias("n_all")) \
         .filter("n_full > 0 and n_all > 1")
-    rows = materialize(rows.join(materialize(count, "counts"), "k"), "shared")
+    counts = materialize(count, "counts")
+    rows = materialize(rows.join(counts, "k"), "shared")
+    discard(counts)
     release(sets.sparkSession)
     exact = F.sum(F.when(F.col("full"), F.col("n_full") - 1).otherwise(0))
     one_off = F.sum(F.when(F.col("full"), F.col("n_all") - F.col("n_full"))
@@ -261,11 +269,14 @@ def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
     chosen = (units.withColumn("turn", F.row_number().over(order)).join(plans, ["node", "b"])
               .filter(F.col("turn") <= differ + 1 - (F.col("all") - F.col("listed")))
               .groupBy("node", "b", "g").agg(F.max("level").alias("level")))
-    rows = rows.join(materialize(chosen, "chosen"), ["node", "b", "g"], "left")
+    shared, chosen = rows, materialize(chosen, "chosen")
+    rows = rows.join(chosen, ["node", "b", "g"], "left")
     level = F.when(F.col("g") < 0, F.lit(1)).when(F.col("full") | (F.col("level") == 2),
                                                   F.col("level"))
-    return rows.select(F.col("k").alias("bucket"), "node", F.col("n").alias("size"), "full",
-                       F.coalesce(level, F.lit(0)).alias("level"))
+    rows = materialize(rows.select(F.col("k").alias("bucket"), "node", F.col("n").alias("size"), "full",
+                                   F.coalesce(level, F.lit(0)).alias("level")), "rows")
+    discard(shared, chosen)
+    return rows
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -278,12 +289,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         .agg(F.min("name").alias("lo"), F.max("name").alias("hi")).filter("lo <> hi").select("key")
     shared = build(keys, "key", bits)
     release(docs.sparkSession)
-    base = materialize(alive_sets(docs, id_col, text_col, scheme, shared), "sets")
+    wide = materialize(alive_sets(docs, id_col, text_col, scheme, shared), "sets")
     sets = materialize(
-        base.filter("plans is not null").groupBy("node")
+        wide.filter("plans is not null").groupBy("node")
         .agg(F.any_value("n").alias("n"), F.any_value("plans").alias("plans"),
              F.any_value("segs").alias("segs"), F.any_value("dels").alias("dels"),
              F.any_value("elements").alias("elements")), "alive")
+    base = materialize(wide.select("id", "h", "node", "n"), "documents")
+    discard(wide)
     release(docs.sparkSession)
     elements = sets.select("node", "elements")
     own = F.transform(F.filter("plans", lambda p: ~p["lone"]), lambda p: p["filled"])

@@ -19,7 +19,6 @@ their names.
 from __future__ import annotations
 
 from dataclasses import dataclass
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -48,12 +47,11 @@ class Rule:
         return 1 if length < self.long else 2
 
 
-@lru_cache(maxsize=10_000)
 def cuts(length: int, tau: int) -> list[tuple[int, int]]:
     """(start, length) of the tau + 1 even segments, the longer ones last."""
     size, more = divmod(length, tau + 1)
-    sizes = [size] * (tau + 1 - more) + [size + 1] * more
-    return [(sum(sizes[:i]), s) for i, s in enumerate(sizes)]
+    short = tau + 1 - more
+    return [(i * size + max(0, i - short), size + (i >= short)) for i in range(tau + 1)]
 
 
 class Slices:

@@ -73,14 +73,14 @@ def _mixed(rows: DataFrame, seed: int) -> DataFrame:
 def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
             sizes: Callable[[Column, Column], Column], stars: int = 2,
             narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
-    """(node, comp) of all nodes with a link; ``test`` keeps the linked pairs of (a, b).
+    """(node, comp) of all nodes with a link; ``test`` keeps the linked pairs of (a, b). ``rows`` are
+    read several times, so they should be a written step.
 
     ``sizes(large, small)`` says whether nodes of these sizes can link at all. ``narrow`` takes
     the nodes that share undecided buckets of more than ``SMALL`` rows with a centre (centre, centre_size, node, comp, size) and gives all
     pairs (a, b) of different components among each centre's nodes that may link; without it
     these are the pairs of the bucket rows.
     """
-    rows = materialize(rows, "rows")
     labels, linked = None, None
 
     def fits(x, y):

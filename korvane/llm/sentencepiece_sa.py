@@ -329,10 +329,11 @@ def _appended(df: DataFrame, column: str, kind: T.DataType, run) -> DataFrame:
 
 def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "ids") -> DataFrame:
     """All columns and the piece ids of ``text_col``."""
-    shared, names = docs.sparkSession.sparkContext.broadcast(model), docs.columns
+    # plain values, as workers need not have this package
+    shared, names = docs.sparkSession.sparkContext.broadcast(vars(model)), docs.columns
 
     def run(batches):
-        encoder = Encoder(shared.value)
+        encoder = Encoder(Model(**shared.value))
         for batch in batches:
             for part in slices(batch, text_col, SLICE):
                 ids = encoder.encode(part.column(names.index(text_col)).to_pylist())
@@ -343,10 +344,10 @@ def encode(docs: DataFrame, model: Model, text_col: str = "text", out: str = "id
 
 def decode(df: DataFrame, model: Model, ids_col: str = "ids", out: str = "decoded") -> DataFrame:
     """All columns and the text of ``ids_col``."""
-    shared, names = df.sparkSession.sparkContext.broadcast(model), df.columns
+    shared, names = df.sparkSession.sparkContext.broadcast(vars(model)), df.columns
 
     def run(batches):
-        decoder = Decoder(shared.value)
+        decoder = Decoder(Model(**shared.value))
         for batch in batches:
             texts = decoder.decode(batch.column(names.index(ids_col)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(texts, pa.string())],

@@ -87,11 +87,14 @@ def feistel_slot(index: Column, n: int, key: int, rounds: int = ROUNDS) -> Colum
 def sequences(docs: DataFrame, id_col: str, text_col: str, tokenizer: Tokenizer,
               length: int) -> DataFrame:
     """(task, place, used, docs, data): packed sequences, ``data`` compressed little-endian ids."""
-    shared = docs.sparkSession.sparkContext.broadcast(tokenizer)
+    # plain values, as workers need not have this package
+    shared = docs.sparkSession.sparkContext.broadcast(vars(tokenizer))
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        encoding, end = shared.value.open(), shared.value.end
+        told = Tokenizer.__new__(Tokenizer)
+        vars(told).update(shared.value)
+        encoding, end = told.open(), told.end
         pack = zstandard.ZstdCompressor(level=9).compress
         task, place = TaskContext.get().partitionId(), 0
         ids, owners = [], []              # what is not yet a full sequence
@@ -162,7 +165,7 @@ def write_shards(rows: DataFrame, path: str, per_shard: int = SHARD) -> None:
                 names=["shard", "slot", "data"])
 
     shard = F.floor(F.col("slot") / per_shard).cast("long")
-    (rows.select(shard.alias("shard"), "slot", "data").repartition("shard")
+    (rows.select(shard.alias("shard"), "slot", "data").repartitionByRange("shard")
      .mapInArrow(unpack, "shard long, slot long, data binary")
      # sorted last, so that the writer finds its order and does not sort again
      .sortWithinPartitions("shard", "slot")
