@@ -2,21 +2,21 @@
 
 from __future__ import annotations
 
-import re
-
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as tx
+from ..functions.stem import porter
 from ..functions.vectors import cosine
 from ..session import materialize
 
 BLEU_K = 5  # constant of the fourth published smoothing rule
 
 
-def _lcs(a: list[str], b: list[str]) -> int:
+def _lcs(a, b) -> int:
     """Length of the longest common subsequence, one machine word row per token of ``b``."""
-    where: dict[str, int] = {}
+    where: dict = {}
     for i, t in enumerate(a):
         where[t] = where.get(t, 0) | (1 << i)
     full = (1 << len(a)) - 1
@@ -27,25 +27,38 @@ def _lcs(a: list[str], b: list[str]) -> int:
     return len(a) - row.bit_count()
 
 
-def _rouge_l(response: str, gold: str, token: re.Pattern) -> float:
-    a, b = token.findall(gold.lower()), token.findall(response.lower())
-    if not a or not b:
-        return 0.0
-    lcs = _lcs(a, b)
-    p, r = lcs / len(b), lcs / len(a)
-    return 2 * p * r / (p + r) if p + r else 0.0
-
+def _numbers(tokens: pa.ListArray, seen: dict[str, int], stem: bool) -> list[np.ndarray]:
+    """Token numbers per row; every different token of a batch is stemmed once."""
+    coded = tokens.flatten().dictionary_encode()
+    words = [porter(w) if stem and len(w) > 3 else w for w in coded.dictionary.to_pylist()]
+    number = np.array([seen.setdefault(w, len(seen)) for w in words], np.int64)
+    flat = number[coded.indices.to_numpy(zero_copy_only=False)]
+    return np.split(flat, np.cumsum(tokens.value_lengths().to_numpy(zero_copy_only=False))[:-1])
 
-def rouge_l(response, gold, ascii_only: bool = False) -> Column:
-    """ROUGE-L F. ``ascii_only`` keeps ``[a-z0-9]`` runs only, as the usual tokenizer does;
-    the default keeps letters of any script. No stemming."""
-    token = re.compile(r"[a-z0-9]+" if ascii_only else r"\w+")
 
-    @F.pandas_udf("double")
-    def score(r: pd.Series, g: pd.Series) -> pd.Series:
-        return pd.Series([_rouge_l(x or "", y or "", token) for x, y in zip(r, g)], dtype=float)
+def rouge_l(response, gold, ascii_only: bool = False, stem: bool = False) -> Column:
+    """ROUGE-L F over lower-case tokens; null texts are empty and score 0.
 
-    return score(response, gold)
+    ``ascii_only`` keeps ``[a-z0-9]`` runs only, as the usual tokenizer does; the default keeps letters
+    of any script. ``stem`` compares the Porter stems of tokens of more than three letters. Texts
+    are tokenised by Spark, tasks see batches of tokens.
+    """
+    pattern = "([a-z0-9]+)" if ascii_only else tx.WORD
+
+    def words(c):
+        return F.regexp_extract_all(F.lower(F.coalesce(tx._c(c), F.lit(""))), F.lit(pattern), F.lit(1))
+
+    @F.arrow_udf("double")
+    def score(r: pa.Array, g: pa.Array) -> pa.Array:
+        seen: dict[str, int] = {}
+        pairs = zip(_numbers(r, seen, stem), _numbers(g, seen, stem)) if len(r) else ()
+        out = []
+        for b, a in pairs:
+            same = _lcs(a.tolist(), b.tolist()) if len(a) and len(b) else 0
+            out.append(2 * same / (len(a) + len(b)) if same else 0.0)
+        return pa.array(out, pa.float64())
+
+    return score(words(response), words(gold))
 
 
 def with_bleu(df: DataFrame, response: str, gold: str, out: str = "bleu") -> DataFrame:

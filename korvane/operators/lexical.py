@@ -2,17 +2,12 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window as W, functions as F, types as T
-from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .. import fixed
-from ..dist import bounded_rows, top_per
+from ..dist import top_per
 from ..functions import text as tx
 from ..session import materialize
-from .vector import DIGITS, best_positions, key_array
 
 K1, B = 1.2, 0.75
 
@@ -64,137 +59,56 @@ def expand(tokens: Column, groups=tuple(fixed.SYNONYM_GROUPS)) -> Column:
     return tx.let(tokens, grown)
 
 
-# The in-task path holds a (terms x queries) matrix of the query side.
-MAX_QUERIES = 2000
-MAX_CELLS = 16_000_000
-CHUNK_CELLS = 4_000_000
 ANY = "~any"
 
 
+def postings(docs: DataFrame, fields: list[str], vocabulary: DataFrame, id: str, stop,
+             synonyms) -> DataFrame:
+    """(id, field, len, term, tf) of the terms in ``vocabulary``; ``~any`` marks every field with words.
+
+    Every field is tokenised once. Counts are combined in the scan, so a document's postings travel
+    as (term, count) and its text does not.
+    """
+    per_field = F.array(*[F.struct(F.lit(i).alias("field"), analyze(f, stop).alias("t"))
+                          for i, f in enumerate(fields)])
+    flat = docs.select(id, F.explode(per_field).alias("f")).filter(F.size("f.t") > 0)
+    terms = F.concat(expand(F.col("f.t"), synonyms), F.array(F.lit(ANY)))
+    rows = flat.select(id, "f.field", F.size("f.t").alias("len"), F.explode(terms).alias("term"))
+    marker = vocabulary.sparkSession.createDataFrame([(ANY,)], "term string")
+    return rows.join(vocabulary.union(marker), "term", "left_semi") \
+        .groupBy(id, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+
+
+def impacts(posts: DataFrame, boosts: list[float], k1: float, b: float, id: str) -> DataFrame:
+    """(id, field, term, g): what one occurrence of the term in a query adds to the field's score."""
+    whole = posts.filter(F.col("term") == ANY).groupBy("field").agg(
+        F.count(F.lit(1)).alias("n"), F.avg("len").alias("avglen"))
+    df = posts.filter(F.col("term") != ANY).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
+    weights = df.join(F.broadcast(whole), "field").select(     # a row per field
+        "field", "term", "avglen", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    boost = F.array(*[F.lit(float(w)) for w in boosts])
+    tf = F.col("tf")
+    gain = F.col("idf") * tf / (tf + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
+    return posts.join(weights, ["field", "term"]).select(
+        id, "field", "term", (gain * F.get(boost, F.col("field"))).alias("g"))
+
+
 def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k: int = 20, *,
                 query_id="query_id", q_text="q_text", id="id", stop=tuple(fixed.STOPWORDS),
-                synonyms=tuple(fixed.SYNONYM_GROUPS), k1: float = K1, b: float = B,
-                max_queries: int = MAX_QUERIES) -> DataFrame:
+                synonyms=tuple(fixed.SYNONYM_GROUPS), k1: float = K1, b: float = B) -> DataFrame:
     """Best boosted field score per document, top k per query.
 
-    Only terms that some query holds count. Up to ``max_queries`` queries (and a bounded term
-    matrix) travel to the documents: every task scores its documents against all of them and
-    hands on its k best per query, so neither postings nor (query, document) pairs are
-    shuffled. A larger query set joins on terms instead.
+    One plan for any number of queries: impact postings of the queries' terms are written once, dealt
+    out by document and summed there, so (query, document) pairs are never shuffled; each task hands
+    on ``k`` rows per query, cut by the score that is returned.
     """
-    fields = list(boosts)
-    docs = docs.select(id, *fields)
-    terms = lambda col: expand(analyze(col, stop), synonyms)
-    q = (queries.select(query_id, F.explode(terms(q_text)).alias("term"))
-         .groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")))
-    per_field = F.array(*[F.struct(F.lit(f).alias("field"), analyze(f, stop).alias("_t"))
-                          for f in fields])
-    flat = docs.select(id, F.explode(per_field).alias("_f")).select(
-        id, "_f.field", F.size("_f._t").alias("len"), expand(F.col("_f._t"), synonyms).alias("_t"))
-    # one pass counts documents per term and, under a reserved term, per field with their length
-    vocabulary = q.select("term").distinct()
-    marked = F.concat(F.array_distinct("_t"), F.array(F.lit(ANY)))
-    counts = (flat.filter("len > 0").select("field", "len", F.explode(marked).alias("term"))
-              .join(vocabulary.union(vocabulary.limit(1).select(F.lit(ANY))), "term", "left_semi")
-              .groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"), F.sum("len").alias("sum")))
-    per_term = W.partitionBy("field")  # one row per field and query term
-    whole = lambda c: F.max(F.when(F.col("term") == ANY, F.col(c))).over(per_term)
-    weights = (counts.withColumns({"n": whole("df"), "total": whole("sum")})
-               .filter(F.col("term") != ANY).select(
-        "field", "term", (F.col("total") / F.col("n")).alias("avglen"),
-        F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf")))
-
-    few = bounded_rows(queries.select(query_id), max_queries) is not None
-    entries = bounded_rows(q, max_queries * 200) if few else None
-    best = None
-    if entries is not None:
-        names = {t: i for i, t in enumerate(sorted({r[1] for r in entries}))}
-        ids = sorted({r[0] for r in entries})
-        if len(names) * len(ids) <= MAX_CELLS:
-            best = _score_in_tasks(docs, fields, boosts, stop, synonyms, entries, names, ids,
-                                   weights.collect(), k, k1, b, query_id, id, queries)
-    if best is None:
-        best = _score_by_join(flat, q, vocabulary, weights, boosts, k1, b, query_id, id)
-    best = best.withColumn("score", F.round("score", 9))
+    terms = expand(analyze(q_text, stop), synonyms)
+    q = materialize(queries.select(query_id, F.explode(terms).alias("term"))
+                    .groupBy(query_id, "term").agg(F.count(F.lit(1)).alias("qtf")), "query-terms")
+    posts = materialize(postings(docs.select(id, *boosts), list(boosts), q.select("term").distinct(), id,
+                                 stop, synonyms), "postings")
+    gains = impacts(posts, list(boosts.values()), k1, b, id)
+    field = (gains.repartition(id).join(q, "term").groupBy(query_id, id, "field")
+             .agg(F.sum(F.col("g") * F.col("qtf")).alias("s")))
+    best = field.groupBy(query_id, id).agg(F.round(F.max("s"), 9).alias("score")).filter("score > 0")
     return top_per(best, query_id, [F.desc("score"), F.asc(id)], k)
-
-
-def _score_in_tasks(docs, fields, boosts, stop, synonyms, entries, names, ids, weights, k, k1, b,
-                    query_id, id, queries) -> DataFrame:
-    place = {q: i for i, q in enumerate(ids)}
-    qm = np.zeros((len(names), len(ids)))
-    for q, term, qtf in entries:
-        qm[names[term], place[q]] += qtf
-    idf = {f: np.zeros(len(names)) for f in fields}
-    avg = dict.fromkeys(fields, 1.0)
-    for r in weights:
-        idf[r["field"]][names[r["term"]]] = r["idf"]
-        avg[r["field"]] = r["avglen"]
-    shared = docs.sparkSession.sparkContext.broadcast((qm, idf, avg, sorted(names), ids))
-    schema = T.StructType([T.StructField(query_id, queries.schema[query_id].dataType),
-                           T.StructField(id, docs.schema[id].dataType),
-                           T.StructField("score", T.DoubleType())])
-    weight = [float(boosts[f]) for f in fields]
-    toks = [F.struct(F.size(analyze(f, stop)).alias("n"), expand(analyze(f, stop), synonyms).alias("t"))
-            .alias(f"_{i}") for i, f in enumerate(fields)]
-
-    def scan(batches):
-        qm, idf, avg, vocab, ids = shared.value
-        value_set = pa.array(vocab, pa.string())
-        arrow = to_arrow_schema(schema)
-        step = max(1, CHUNK_CELLS // max(len(vocab), 1))
-        kept = [(None, None)] * len(ids)
-        for whole in batches:
-            for lo in range(0, whole.num_rows, step):
-                batch = whole.slice(lo, step)
-                rows, doc_ids = batch.num_rows, key_array(batch.column(0).to_pylist())
-                total = None
-                for i, f in enumerate(fields):
-                    col = batch.column(i + 1)
-                    size, lists = col.flatten()
-                    length = size.to_numpy(zero_copy_only=False)
-                    row = lists.value_parent_indices().to_numpy()
-                    term = pc.index_in(lists.flatten(), value_set=value_set)
-                    hit = pc.is_valid(term).to_numpy(zero_copy_only=False)
-                    cell = row[hit] * len(vocab) + term.drop_null().to_numpy()
-                    tf = np.bincount(cell, minlength=rows * len(vocab)).reshape(rows, -1)
-                    damp = k1 * (1 - b + b * length / avg[f])
-                    gain = tf / (tf + damp[:, None]) * idf[f]
-                    part = weight[i] * (gain @ qm)
-                    total = part if total is None else np.maximum(total, part)
-                total = np.round(total, DIGITS)
-                for j in range(len(ids)):
-                    pos = np.flatnonzero(total[:, j] > 0)
-                    if not len(pos):
-                        continue
-                    s, d = total[pos, j], doc_ids[pos]
-                    if kept[j][0] is not None:
-                        s, d = np.concatenate([kept[j][0], s]), np.concatenate([kept[j][1], d])
-                    top = best_positions(s, d, k)
-                    kept[j] = (s[top], d[top])
-        out = {query_id: [], id: [], "score": []}
-        for q, (s, d) in zip(ids, kept):
-            if s is not None:
-                out[query_id].extend([q] * len(s))
-                out[id].extend(d.tolist())
-                out["score"].extend(s.tolist())
-        yield pa.RecordBatch.from_pydict(out, schema=arrow)
-
-    return docs.select(id, *toks).mapInArrow(scan, schema)
-
-
-def _score_by_join(flat, q, vocabulary, weights, boosts, k1, b, query_id, id) -> DataFrame:
-    """Postings of the query terms joined on the term; sums are combined in the tasks that
-    expand them and heavy terms are split by the adaptive skew join."""
-    posts = materialize(
-        flat.select(id, "field", "len", F.explode("_t").alias("term"))
-        .join(vocabulary, "term", "left_semi")
-        .groupBy(id, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf")), "postings")
-    boost = F.create_map(*[F.lit(x) for f, w in boosts.items() for x in (f, float(w))])
-    tf, dl = F.col("tf"), F.col("len")
-    gain = F.col("idf") * tf / (tf + k1 * (1 - b + b * dl / F.col("avglen")))
-    weighted = posts.join(weights, ["field", "term"]).select(
-        id, "field", "term", (gain * F.element_at(boost, F.col("field"))).alias("_g"))
-    sums = (weighted.join(q, "term").groupBy(query_id, id, "field")
-            .agg(F.sum(F.col("_g") * F.col("qtf")).alias("_s")))
-    return sums.groupBy(query_id, id).agg(F.max("_s").alias("score")).filter("score > 0")

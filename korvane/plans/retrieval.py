@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from .. import fixed
 from ..dist import position_within
 from ..functions import text as tx
 from ..functions.vectors import cosine
@@ -462,6 +463,54 @@ def bm25_multi(spark, d):
         "score", F.round("score", 6))
 
 
+# all five fields, with synonym phrases mixed into texts and queries
+PHRASES = sorted({p.strip() for g in fixed.SYNONYM_GROUPS for p in g.split(",")})
+PHRASES_SQL = "[" + ", ".join(f"'{p}'" for p in PHRASES) + "]"
+GROUPS_SQL = ", ".join(f"('{p.strip().lower()}', '~{i}')" for i, g in enumerate(fixed.SYNONYM_GROUPS)
+                       for p in g.split(","))
+BOOSTS = {"tenchude": 1.0, "tendemuc": 1.5, "tenchuong": 2.0, "ten": 10.0, "noidung": 9.0}
+
+
+def _terms_sql(col):
+    return (f"list_filter(list_transform({s_words(col)}, lambda x: regexp_replace(x, '[!-/:-@\\[-`{{-~]', '', 'g')), "
+            "lambda x: x <> '' AND x NOT IN ('chứ', 'đó', 'này', 'là', 'vậy', 'cứ', 'gì'))")
+
+
+def _grown_sql(keys, rows):
+    """Terms and synonym groups of token lists ``l``."""
+    return f"""SELECT {keys}, len(l) AS len, unnest(l) AS term FROM {rows}
+    UNION ALL SELECT {keys}, len, g AS term FROM (SELECT {keys}, len(l) AS len, unnest(flatten(list_transform([1, 2, 3, 4],
+        lambda n: list_transform(range(1, greatest(len(l) - n + 2, 1)), lambda i: array_to_string(l[i:i + n - 1], ' ')))))
+        AS phrase FROM {rows}) JOIN (VALUES {GROUPS_SQL}) AS syn(phrase, g) USING (phrase)"""
+
+
+@query("bm25_fields", rf"""WITH t AS (SELECT *, text || ' ' || {PHRASES_SQL}[1 + doc_id % {len(PHRASES)}] || ' x '
+        || {PHRASES_SQL}[1 + doc_id * 7 % {len(PHRASES)}] AS body FROM documents),
+f AS (SELECT doc_id AS id, unnest(range(5)) AS field, unnest([source, lang, lang || '-' || source,
+    split_part(text, chr(10), 1), body]) AS t FROM t),
+tk AS (SELECT id, field, {_terms_sql('t')} AS l FROM f),
+st AS (SELECT field, count(*) AS n, avg(len(l)) AS avglen FROM tk WHERE len(l) > 0 GROUP BY field),
+post AS (SELECT id, field, len, term, count(*) AS tf FROM ({_grown_sql('id, field', 'tk')}) GROUP BY ALL),
+dfc AS (SELECT field, term, count(*) AS df FROM post GROUP BY field, term),
+qk AS (SELECT query_id, {_terms_sql('t')} AS l FROM (SELECT item_id AS query_id,
+    text || ' ' || {PHRASES_SQL}[1 + item_id * 3 % {len(PHRASES)}] AS t FROM benchmark)),
+q AS (SELECT query_id, term, count(*) AS qtf FROM ({_grown_sql('query_id', 'qk')}) GROUP BY query_id, term),
+s AS (SELECT query_id, id, field, sum(qtf * [1, 1.5, 2, 10, 9][1 + field] * ln(1 + (n - df + 0.5) / (df + 0.5)) * tf /
+      (tf + 1.2 * (1 - 0.75 + 0.75 * len / avglen))) AS s
+    FROM post JOIN dfc USING (field, term) JOIN st USING (field) JOIN q USING (term) GROUP BY ALL),
+b AS (SELECT query_id, id, round(max(s), 9) AS score FROM s GROUP BY query_id, id)
+SELECT query_id, id, round(score, 6) AS score, rank FROM (SELECT *, row_number() OVER (
+    PARTITION BY query_id ORDER BY score DESC, id) AS rank FROM b) WHERE rank <= 20""")
+def bm25_fields(spark, d):
+    phrase = lambda c, n: F.element_at(F.array(*[F.lit(p) for p in PHRASES]), (
+        1 + F.col(c) * n % len(PHRASES)).cast("int"))
+    q = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(
+        "text", F.lit(" "), phrase("item_id", 3)).alias("q_text"))
+    corpus = docs(spark, d).withColumn("noidung", F.concat(
+        "noidung", F.lit(" "), phrase("id", 1), F.lit(" x "), phrase("id", 7)))
+    return bm25_search(q, corpus, BOOSTS, 20).withColumn("score", F.round("score", 6))
+
+
 # ---- merging and gates over lists ---------------------------------------------------------
 
 MIXED_SQL = f"""{HITS_SQL}, {WEB_SQL},

@@ -752,11 +752,46 @@ def _pairs(spark, d):
         "conv_id", "turn", "text", "gold")
 
 
-@query("rouge_l")
+# rows of the table of common subsequences: each is the running maximum of what the one before allows
+def _rouge_sql(tokens):
+    return f"""WITH c AS (SELECT * FROM conversations WHERE role = 'assistant'),
+p AS (SELECT a.conv_id, a.turn, {tokens('b.text')} AS g, {tokens('a.text')} AS r FROM c a JOIN c b
+    ON b.conv_id = a.conv_id AND b.turn = a.turn + 2),
+l AS (SELECT *, CASE WHEN len(g) = 0 OR len(r) = 0 THEN 0 ELSE list_reduce(list_concat(
+    [list_transform(g, lambda x: 0)], list_transform(r, lambda t: list_transform(g, lambda x: (x = t)::INT))),
+    lambda row, hit: list_transform(range(1, len(hit) + 1), lambda i: list_max(list_transform(range(1, i + 1),
+        lambda k: greatest(row[k], CASE WHEN k = 1 THEN 0 ELSE row[k - 1] END + hit[k])))))[-1] END AS same FROM p)
+SELECT conv_id, turn, round(CASE WHEN same = 0 THEN 0 ELSE 2 * same / (len(g) + len(r)) END, 6) AS rouge_l FROM l"""
+
+
+@query("rouge_l", _rouge_sql(s_words))
 def rouge_l_query(spark, d):
     return _pairs(spark, d).select("conv_id", "turn", F.round(rouge_l("text", "gold"), 6).alias("rouge_l"))
 
 
+# words of up to three letters have no stems; behind them stands one word with one of these endings
+ENDINGS = ["", "s", "ing", "ed", "sses", "ness"]
+ENDINGS_LEFT = ["", "", "", "", "ss", ""]
+
+
+def _ended(c, n):
+    k = F.pmod(F.col("conv_id") * n + F.col("turn"), F.lit(len(ENDINGS))).cast("int")
+    return F.concat(F.regexp_replace(F.lower(c), "[a-z0-9]{4,}", ""), F.lit(" blurk"),
+                    F.get(F.array(*[F.lit(e) for e in ENDINGS]), k))
+
+
+def _ended_sql(c):
+    n = 1 if c.startswith("a") else 5
+    return (f"regexp_extract_all(regexp_replace(lower({c}), '[a-z0-9]{{4,}}', '', 'g') || ' blurk' || "
+            f"{ENDINGS_LEFT}[1 + (a.conv_id * {n} + a.turn) % {len(ENDINGS)}], '[a-z0-9]+')")
+
+
+@query("rouge_l_stem", _rouge_sql(_ended_sql))
+def rouge_l_stem(spark, d):
+    pairs = _pairs(spark, d).withColumns({"r": _ended("text", 1), "g": _ended("gold", 5)})
+    return pairs.select("conv_id", "turn", F.round(rouge_l("r", "g", ascii_only=True, stem=True), 6).alias("rouge_l"))
+
+
 def _grams(n, col):
     return (f"list_transform(range(1, (len({col}) - {n - 2})::BIGINT), lambda i: array_to_string({col}[i:i + {n - 1}], ' '))")
 
