@@ -153,7 +153,11 @@ ARTICLE_TYPE = ("page_id {}, pos int, mapc string, ten string, noidung string, v
 
 
 def extract_articles(pages: DataFrame, page_id="page_id", html="html") -> DataFrame:
-    """One row per article anchor, with its note, tables, files and raw related handlers."""
+    """One row per article anchor, with its note, tables, files and raw related handlers.
+
+    Marked pages are dealt out by their id before the walk: it takes far longer than moving a page,
+    and the files of a small or oddly cut input would leave most tasks without pages.
+    """
     key_type = pages.schema[page_id].dataType.simpleString()
     cols = ["page_id", "pos", "mapc", "ten", "noidung", "vbqppl", "vbqppl_link", "tables",
             "files", "onclicks"]
@@ -165,7 +169,7 @@ def extract_articles(pages: DataFrame, page_id="page_id", html="html") -> DataFr
             yield pd.DataFrame(rows, columns=cols)
 
     marked = pages.select(page_id, html).filter(F.contains(html, F.lit("pDieu")))
-    return marked.mapInPandas(walk, ARTICLE_TYPE.format(key_type))
+    return marked.repartition(page_id).mapInPandas(walk, ARTICLE_TYPE.format(key_type))
 
 
 def extract_source_note(articles: DataFrame) -> DataFrame:

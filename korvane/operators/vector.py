@@ -206,6 +206,103 @@ def semantic_search_lsh(queries: DataFrame, vectors: DataFrame, k: int, *, dim:
     return top_per(unique, query_id, [F.desc("score"), F.asc(id)], k)
 
 
+# ---- inverted file ------------------------------------------------------------------------
+
+def _centres(sample: np.ndarray, cells: int, rounds: int, seed: int) -> np.ndarray:
+    """Unit centres of ``cells`` groups of unit vectors, balanced: in every round a centre that holds
+    more than twice its share is split, in place of the one that holds least."""
+    rng = np.random.default_rng(seed)
+    centres = sample[rng.choice(len(sample), cells, replace=False)]
+    for turn in range(rounds):
+        near = np.argmax(sample @ centres.T, axis=1)
+        sizes = np.bincount(near, minlength=cells)
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, sample)
+        size = np.linalg.norm(sums, axis=1, keepdims=True)
+        centres = np.where(size > 0, np.divide(sums, size, out=np.zeros_like(sums), where=size > 0), centres)
+        if turn < rounds - 1:
+            heavy = np.flatnonzero(sizes > 2 * len(sample) / cells)
+            light = np.argsort(sizes, kind="stable")[:len(heavy)]
+            for full, empty in zip(heavy, light):
+                if sizes[empty] < sizes[full] / 2:
+                    centres[empty] = sample[rng.choice(np.flatnonzero(near == full))]
+    return centres
+
+
+class InvertedFile:
+    """Cells of vectors around centres, and how far behind the best centre of a query a cell may lie
+    for the query to look into it."""
+
+    def __init__(self, centres: np.ndarray, slack: float):
+        self.centres, self.slack = centres, slack
+
+    def cells(self, vectors: np.ndarray) -> np.ndarray:
+        return np.argmax(vectors @ self.centres.T, axis=1)
+
+    def probes(self, queries: np.ndarray) -> list[np.ndarray]:
+        scores = queries @ self.centres.T
+        return [np.flatnonzero(row >= row.max() - self.slack) for row in scores]
+
+
+def fit_ivf(queries: DataFrame, vectors: DataFrame, k: int, *, dim: int, cell: int = 256,
+            most_rows: int = 50_000, sample: int = 256, recall: float = 0.9, margin: float = 0.03,
+            rounds: int = 12, seed: int = 7, query_id="query_id", query_vec="query_vec", id="id",
+            vec="embedding") -> InvertedFile:
+    """An inverted file fitted on at most ``most_rows`` vectors and ``sample`` queries.
+
+    Both samples are the rows with the smallest hashes of their ids, from the whole tables. There is
+    a cell per ``cell`` vectors, at most one per 16 sampled ones; beyond that cells grow with the
+    table, and crowded ones are searched in tiles. The exact neighbours of the sampled queries say
+    how far their cells lie behind the best one: the slack takes in ``recall`` + ``margin`` of them.
+    """
+    rows = vectors.select(id, vec).filter((F.size(vec) == dim) & F.col(id).isNotNull())
+    n = rows.count()
+    some = rows.orderBy(F.xxhash64(id), id).limit(most_rows).select(vec).collect()
+    known = _matrix([r[0] for r in some]) if some else np.zeros((0, dim))
+    cells = max(1, min(n // cell, len(known) // 16))
+    if cells == 1:
+        return InvertedFile(np.zeros((1, dim)), 0.0)
+    centres = _centres(known, cells, rounds, seed)
+    asked = queries.select(query_id, query_vec).filter(F.size(query_vec) == dim) \
+        .orderBy(F.xxhash64(query_id), query_id).limit(sample)
+    near = semantic_search(asked, rows, k, query_id=query_id, query_vec=query_vec, id=id, vec=vec)
+    pairs = near.select(query_id, id).join(asked, query_id).join(rows, id).select(query_vec, vec).collect()
+    if not pairs:
+        return InvertedFile(centres, 0.0)
+    file = InvertedFile(centres, 0.0)
+    q = _matrix([r[0] for r in pairs]) @ centres.T
+    cell_of = file.cells(_matrix([r[1] for r in pairs]))
+    behind = q.max(axis=1) - q[np.arange(len(q)), cell_of]
+    return InvertedFile(centres, float(np.quantile(behind, min(1.0, recall + margin), method="higher")) + 1e-9)
+
+
+def semantic_search_ivf(queries: DataFrame, vectors: DataFrame, k: int, file: InvertedFile | None = None, *,
+                        dim: int, query_id="query_id", query_vec="query_vec", id="id", vec="embedding",
+                        **fit) -> DataFrame:
+    """Approximate top-k: every vector lies in one cell, a query looks into all cells near enough.
+
+    Scores are exact. A vector is copied nowhere; a query goes to each of its cells, and a crowded
+    cell is cut into tiles, so no task holds more than a tile of either side.
+    """
+    names = dict(query_id=query_id, query_vec=query_vec, id=id, vec=vec)
+    file = file or fit_ivf(queries, vectors, k, dim=dim, **names, **fit)
+
+    @F.pandas_udf("int")
+    def cell(col: pd.Series) -> pd.Series:
+        return pd.Series(file.cells(_matrix(col)) if len(col) else [], dtype="int32")
+
+    @F.pandas_udf("array<int>")
+    def probes(col: pd.Series) -> pd.Series:
+        return pd.Series([x.astype(np.int32) for x in file.probes(_matrix(col))] if len(col) else [],
+                         dtype=object)
+
+    held = vectors.select(id, vec).filter(F.size(vec) == dim).withColumn("_cell", cell(vec))
+    asked = queries.select(query_id, query_vec).filter(F.size(query_vec) == dim) \
+        .withColumn("_cell", F.explode(probes(query_vec)))
+    cand = _tiled_knn(asked, held, k, query_id, query_vec, id, vec, ["_cell"], QUERY_ROWS, VECTOR_ROWS)
+    return materialize(top_per(cand, query_id, [F.desc("score"), F.asc(id)], k), "hits")
+
+
 def recall_against(approx: DataFrame, exact: DataFrame, query_id="query_id", id="id"):
     """Share of the exact neighbours that the approximate lists contain."""
     found = exact.join(approx.select(query_id, id).withColumn("_hit", F.lit(1)),

@@ -11,8 +11,8 @@ from ..functions.vectors import cosine
 from ..operators import fusion as fu, metrics as me
 from ..operators.lexical import bm25_search
 from ..operators.retrieve import STRATEGIES, block_overlap, graph_rag, graph_tool, retrieve, sweep, vector_tool
-from ..operators.vector import semantic_search, semantic_search_lsh, user_search
-from .common import (DOCS_SQL, HITS_SQL, VECTORS_SQL, WS, docs, gold, hits, query_rows,
+from ..operators.vector import semantic_search, semantic_search_ivf, semantic_search_lsh, user_search
+from .common import (DOCS_SQL, HITS_SQL, VECTORS_SQL, WS, docs, gold, hits, query_rows, with_vector,
                      query_vectors, rich_hits, s_passage, s_tokens, s_words, table, vectors)
 from .registry import query
 
@@ -58,6 +58,25 @@ def knn_lsh(spark, d):
     return semantic_search_lsh(q, vectors(spark, d), 10, dim=dim)
 
 
+def _every_20th(spark, d):
+    v = table(spark, d, "embeddings")
+    return v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_vec"))
+
+
+# the exact scores of what was found, and that enough of the true neighbours are among it
+@query("knn_ivf", """SELECT count(*) * 10 AS rows, true AS enough, true AS scores_exact FROM embeddings WHERE vec_id % 20 = 0""")
+def knn_ivf(spark, d):
+    """Every twentieth vector asks all vectors; compared with the exact lists."""
+    q, v = _every_20th(spark, d), vectors(spark, d)
+    dim = q.select(F.size("query_vec")).first()[0]
+    found, exact = semantic_search_ivf(q, v, 10, dim=dim, cell=64), semantic_search(q, v, 10)
+    both = found.select("query_id", "id", F.col("score").alias("s")).join(
+        exact.select("query_id", "id", "score"), ["query_id", "id"], "full")
+    return both.agg(F.count("s").alias("rows"), (F.count_if(F.col("s").isNotNull() & F.col("score").isNotNull())
+                                                 >= 0.9 * F.count("score")).alias("enough"),
+                    F.coalesce(F.bool_and(F.abs(F.col("s") - F.col("score")) < 1e-9), F.lit(True)).alias("scores_exact"))
+
+
 @query("cosine_pairs", f"""WITH {VECTORS_SQL}
 SELECT query_id, id, round(score, 6) AS cosine FROM sims WHERE label = query_id""")
 def cosine_pairs(spark, d):
@@ -369,7 +388,7 @@ def graph_tool_query(spark, d):
 WEB_SQL = """web0 AS (SELECT page_id AS pos, doc.label AS query_id, url,
     regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1) AS ten, html AS noidung
     FROM pages JOIN (SELECT vec_id, label::BIGINT AS label FROM embeddings) doc
-      ON doc.vec_id = page_id)"""
+      ON doc.vec_id = page_id % (SELECT count(*) FROM embeddings))"""
 TRUST_LISTS = dict(trusted={"example.org": 1.0, "example.net": 0.85}, untrusted=["blog", "forum"],
                    keywords=["the", "and", "une", "der", "para", "nicht", "with"])
 TRUST_SQL = """round(0.7 * (CASE WHEN contains(host, 'blog') OR contains(host, 'forum') THEN 0.1
@@ -382,11 +401,9 @@ HOST_SQL = "replace(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)',
 
 def web_rows(spark, d):
     """Pages as web results of the query their page's vector belongs to."""
-    p = table(spark, d, "pages")
-    e = table(spark, d, "embeddings").select(F.col("vec_id").alias("page_id"),
-                                             F.col("label").cast("long").alias("query_id"))
     from ..operators.extract import page_title
-    return p.join(e, "page_id").select(
+    p = with_vector(spark, d, table(spark, d, "pages"), "page_id").withColumn("query_id", F.col("label").cast("long"))
+    return p.select(
         "query_id", F.col("page_id").alias("pos"), F.lit(None).cast("string").alias("mapc"),
         page_title().alias("ten"), F.col("html").alias("noidung"), F.col("html").alias("passage"),
         F.lit(0.5).alias("score"), "url")

@@ -131,6 +131,34 @@ def test_lsh_recall_with_the_hyperplanes_of_a_large_table(spark, bits):
     assert ve.recall_against(approx, exact).first()[0] >= 0.9
 
 
+@pytest.mark.parametrize("spread", [0.1, 0.7, 3.0])
+def test_ivf_recall_and_cells(spark, spread):
+    rng = np.random.default_rng(9)
+    base = rng.standard_normal((30, 24))
+    rows = [(i, [float(x) for x in base[0 if i % 3 else i % 30] + spread * rng.standard_normal(24)]) for i in range(2000)]
+    vec = spark.createDataFrame(rows + [(9001, None), (9002, [1.0]), (9003, [0.0] * 24)], "id long, embedding array<float>")
+    q = vec.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    file = ve.fit_ivf(q, vec, 10, dim=24, cell=40, sample=60)
+    assert 20 < len(file.centres) <= 50
+    found = ve.semantic_search_ivf(q, vec, 10, file, dim=24)
+    exact = ve.semantic_search(q, vec, 10)
+    assert ve.recall_against(found, exact).first()[0] >= 0.9
+    true = {(r.query_id, r.id): r.score for r in ve.semantic_search(q, vec, 2003).collect()}
+    assert all(true[r.query_id, r.id] == pytest.approx(r.score, abs=1e-11) for r in found.collect())
+    unit = ve._matrix([v for _, v in rows])
+    assert np.bincount(file.cells(unit)).max() < 700          # the hot third is split
+    if spread == 0.1:                                         # outside the crowd, near neighbours need few cells
+        assert np.mean([len(p) for p in file.probes(unit[::3])]) < len(file.centres) / 3
+
+
+def test_ivf_edges(spark):
+    vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
+    q = vec.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    assert ve.semantic_search_ivf(q, vec, 1, dim=2).count() == 2
+    assert ve.semantic_search_ivf(q, vec.limit(0), 1, dim=2).count() == 0
+    assert ve.semantic_search_ivf(q.limit(0), vec, 1, dim=2).count() == 0
+
+
 # ---- metrics -----------------------------------------------------------------------------------
 
 
