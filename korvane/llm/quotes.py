@@ -6,10 +6,13 @@ what that message quoted itself. Its normalised text is hashed and looked up amo
 what the messages say themselves. A message answers the message of its first level-1 passage that
 links inside its conversation.
 
-Rules: a passage links to the first earlier message of its own conversation with that text, else to
-the smallest (conversation, turn) with that text anywhere, never to itself or a later turn of its
-conversation. Both are minima, so they are aggregated before any join and a text that a third of
-all messages share meets no pairs. Threads follow the answers: a thread is named by its first turn
+Rules: a passage links to the first earlier message of its own conversation that says just that, else
+to the first earlier one there that says it in lines that follow each other (a quoted part, or the
+parts that an answer was written between), else to the smallest (conversation, turn) of another
+conversation that says just that; never to itself or a later turn of its conversation. All are
+minima, of the two smallest conversations in the last case, so they are aggregated before any join
+and a text that a third of all messages share meets no pairs. Runs of lines are indexed only at
+the lengths that unlinked passages of their conversation have. Threads follow the answers: a thread is named by its first turn
 and lists its messages by turn, so every answer stands behind what it answers.
 
 Edge cases: null texts are empty messages; quotes of unknown texts are removed and stay unlinked;
@@ -22,6 +25,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from korvane.dist import top_per
 from korvane.session import materialize
 
 PREFIX = r"^\s*((?:>\s?)*)"
@@ -47,17 +51,24 @@ def text_hash(text: Column) -> Column:
     return F.sha2(normal(text), 256)
 
 
-def passages(messages: DataFrame, max_level: int) -> DataFrame:
-    """(conv, turn, level, start, passage): the quoted runs of every level, within each row.
+def said(lines: Column) -> Column:
+    """The lines that hold words."""
+    return F.filter(lines, lambda x: normal(x) != "")
+
+
+def passages(messages: DataFrame) -> DataFrame:
+    """(conv, turn, level, start, passage, n): the quoted runs of every level, within each row, and
+    their lines that hold words.
 
     A message's lines are folded in the row itself; a message is as long as it is, and no group
     of messages ever meets in one task for this.
     """
     lines = F.filter(F.transform(F.split("text", "\r?\n"), lambda x, i: F.struct(
         i.alias("pos"), quote_level(x).alias("level"), x.alias("line"))), lambda x: x["level"] > 0)
-    rows = messages.filter(F.col("text").contains(">")).select("conv", "turn", lines.alias("lines"))
+    rows = messages.filter(F.col("text").contains(">")).select("conv", "turn", lines.alias("lines")) \
+        .filter(F.size("lines") > 0)
     rows = rows.select("conv", "turn", "lines", F.explode(
-        F.sequence(F.lit(1), F.lit(max_level))).alias("level"))
+        F.sequence(F.lit(1), F.array_max("lines.level"))).alias("level"))
     deep = F.filter("lines", lambda x: x["level"] >= F.col("level"))
     rows = rows.select("conv", "turn", "level", deep.alias("deep")).filter(F.size("deep") > 0)
     # a run starts where the line before is missing from the level
@@ -75,8 +86,8 @@ def passages(messages: DataFrame, max_level: int) -> DataFrame:
                                & (x["pos"] < F.col("r.end")) & (x["level"] == F.col("level"))),
                       lambda x: unquoted(x["line"], F.col("level")))
     return rows.select("conv", "turn", "level", F.col("r.start").alias("start"),
-                       F.array_join(own, "\n").alias("passage")) \
-        .filter(normal(F.col("passage")) != "")
+                       F.array_join(own, "\n").alias("passage"), F.size(said(own)).alias("n")) \
+        .filter(F.col("n") > 0)
 
 
 def own_text(text: Column) -> Column:
@@ -95,21 +106,38 @@ def places(messages: DataFrame, conv: str, turn: str, role: str, text: str) -> D
         .withColumn("own", own_text(F.col("text")))
 
 
-def link(messages: DataFrame, max_level: int = 8) -> DataFrame:
+def parts(messages: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(conv, h, part_turn): runs of lines, of the lengths ``wanted`` (conv, n) by conversation."""
+    lengths = materialize(wanted.groupBy("conv").agg(F.collect_set("n").alias("lengths")), "quote-lengths")
+    lines = messages.join(lengths, "conv").select(
+        "conv", "turn", "lengths", said(F.split("own", "\r?\n")).alias("lines"))
+    runs = lines.select("conv", "turn", "lines", F.explode("lengths").alias("n")) \
+        .filter(F.size("lines") > F.col("n")) \
+        .select("conv", "turn", "n", "lines", F.explode(
+            F.sequence(F.lit(1), F.size("lines") - F.col("n") + 1)).alias("i")) \
+        .select("conv", "turn", text_hash(F.array_join(F.slice("lines", F.col("i"), F.col("n")), "\n")).alias("h"))
+    return runs.groupBy("conv", "h").agg(F.min("turn").alias("part_turn"))
+
+
+def link(messages: DataFrame) -> DataFrame:
     """(conv, turn, level, start, passage, to_conv, to_turn): passages and their originals."""
-    quotes = passages(messages, max_level).withColumn("h", text_hash(F.col("passage")))
+    quotes = passages(messages).withColumn("h", text_hash(F.col("passage")))
     known = messages.filter(normal(F.col("own")) != "") \
         .select("conv", "turn", text_hash(F.col("own")).alias("h"))
-    inside = known.groupBy("conv", "h").agg(F.min("turn").alias("in_turn"))
-    anywhere = known.groupBy("h").agg(F.min(F.struct("conv", "turn")).alias("any"))
-    quotes = quotes.join(materialize(inside, "quotes-inside"), ["conv", "h"], "left")
-    quotes = quotes.join(materialize(anywhere, "quotes-any"), "h", "left")
-    near = F.col("in_turn") < F.col("turn")
-    far = F.col("any.conv") != F.col("conv")
+    inside = materialize(known.groupBy("conv", "h").agg(F.min("turn").alias("in_turn")), "quotes-inside")
+    two = top_per(inside, "h", ["conv"], 2, "r").groupBy("h").agg(*[
+        F.max(F.when(F.col("r") == r, F.struct("conv", F.col("in_turn").alias("turn")))).alias(f"any{r}")
+        for r in (1, 2)])
+    quotes = materialize(quotes.join(inside, ["conv", "h"], "left"), "quotes")
+    whole = F.coalesce(F.col("in_turn") < F.col("turn"), F.lit(False))
+    quotes = quotes.join(parts(messages, quotes.filter(~whole).select("conv", "n")), ["conv", "h"], "left") \
+        .join(materialize(two, "quotes-any"), "h", "left")
+    part = F.coalesce(F.col("part_turn") < F.col("turn"), F.lit(False))
+    far = F.when(F.col("any1.conv") != F.col("conv"), F.col("any1")).otherwise(F.col("any2"))
     return quotes.select(
         "conv", "turn", "level", "start", "passage",
-        F.when(near, F.col("conv")).when(far, F.col("any.conv")).alias("to_conv"),
-        F.when(near, F.col("in_turn")).when(far, F.col("any.turn")).alias("to_turn"))
+        F.when(whole | part, F.col("conv")).otherwise(far["conv"]).alias("to_conv"),
+        F.when(whole, F.col("in_turn")).when(part, F.col("part_turn")).otherwise(far["turn"]).alias("to_turn"))
 
 
 def answers(messages: DataFrame, links: DataFrame) -> DataFrame:
@@ -146,10 +174,10 @@ def answers(messages: DataFrame, links: DataFrame) -> DataFrame:
 
 
 def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn", role: str = "role",
-                  text: str = "text", page: int = 64, max_level: int = 8) -> DataFrame:
+                  text: str = "text", page: int = 64) -> DataFrame:
     """One row per thread and page of at most ``page`` turns: its messages in reply order."""
     rows = materialize(places(messages, conv, turn, role, text), "messages")
-    rows = answers(rows, link(rows, max_level))
+    rows = answers(rows, link(rows))
     message = F.struct("turn", "depth", "reply_to", "role", "text", "n_quotes", "n_linked")
     return (rows.withColumn("page", F.floor((F.col("turn") - F.col("thread")) / page))
             .groupBy("conv", "thread", "page")
@@ -161,7 +189,8 @@ def conversations(messages: DataFrame, conv: str = "conv_id", turn: str = "turn"
 def as_mail(chats: DataFrame, levels: int = 2) -> DataFrame:
     """Chats as a mail list would hold them: every message quotes the one it answers, which quoted too.
 
-    A message answers its predecessor, every third one the message two turns before.
+    A message answers its predecessor, every third one the message two turns before. One in four is
+    written between the halves of what it quotes, one in four quotes the last half only.
     """
     base = chats.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("own")).distinct()
     made = base.withColumn("text", F.col("own"))
@@ -171,7 +200,14 @@ def as_mail(chats: DataFrame, levels: int = 2) -> DataFrame:
             .agg(F.min("text").alias("quoted"))
         made = (base.withColumn("asked", F.col("turn") - back)
                 .join(before, ["conv_id", "asked"], "left")
-                .withColumn("text", F.when(F.col("quoted").isNull(), F.col("own")).otherwise(
-                    F.concat(F.regexp_replace("quoted", "(?m)^", "> "), F.lit("\n"), F.col("own"))))
+                .withColumn("lines", F.transform(F.split("quoted", "\n"), lambda x: F.concat(F.lit("> "), x)))
+                .withColumn("half", F.floor(F.size("lines") / 2).cast("int"))
+                .withColumn("text", F.when(F.col("quoted").isNull(), F.col("own")).otherwise(F.array_join(
+                    F.when(F.col("turn") % 4 == 1, F.concat(
+                        F.slice("lines", F.lit(1), F.col("half")), F.array("own"),
+                        F.slice("lines", F.col("half") + 1, F.size("lines"))))
+                    .when(F.col("turn") % 4 == 2, F.concat(
+                        F.slice("lines", F.col("half") + 1, F.size("lines")), F.array("own")))
+                    .otherwise(F.concat("lines", F.array("own"))), "\n")))
                 .select("conv_id", "turn", "role", "own", "text"))
     return made.drop("own")

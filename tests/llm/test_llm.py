@@ -374,6 +374,66 @@ def test_quotes_link_and_order(spark):
     assert quotes.conversations(chats.limit(0)).count() == 0
 
 
+def plain_links(rows):
+    """What every passage links to, by reading all messages for each."""
+    mark = re.compile(r"^\s*((?:>\s?)*)")
+    depth = lambda x: mark.match(x).group(1).count(">")
+    flat = lambda x: re.sub(r"[\s>]+", " ", x.lower()).strip()
+    lines = {k: [x for x in re.split("\r?\n", t) if depth(x) == 0] for *k, t in map(list, rows) for k in [tuple(k)]}
+    own = {k: flat(" ".join(x)) for k, x in lines.items()}
+    runs = {k: {flat(" ".join(said[i:j])) for i in range(len(said)) for j in range(i + 1, len(said) + 1)}
+            for k, x in lines.items() for said in [[y for y in x if flat(y)]]}
+    out = {}
+    for conv, turn, text in rows:
+        all_ = re.split("\r?\n", text)
+        deepest = max(map(depth, all_))
+        for level in range(1, deepest + 1):
+            start = None
+            for i, x in enumerate([*all_, ""]):
+                deep = i < len(all_) and depth(x) >= level
+                if deep and start is None:
+                    start = i
+                if not deep and start is not None:
+                    body = [re.sub(r"^(?:\s*>){%d} ?" % level, "", y) for y in all_[start:i] if depth(y) == level]
+                    want = flat(" ".join(body))
+                    if want:
+                        whole = [k for k in own if k[0] == conv and k[1] < turn and own[k] == want]
+                        part = [k for k in own if k[0] == conv and k[1] < turn and want in runs[k]]
+                        far = [k for k in own if k[0] != conv and own[k] == want]
+                        out[conv, turn, level, start] = min(whole or part or far, default=(None, None))
+                    start = None
+    return out
+
+
+def test_quotes_against_plain_links(spark):
+    rng = random.Random(12)
+    lines = ["Yes", "no  way", "second sentence here.", "A b c", "the END", "", "On it"]
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(9):
+            body = [rng.choice(lines) for _ in range(rng.randint(0, 4))]
+            for _ in range(rng.randint(0, 2)):
+                old = rng.choice(texts).split("\n") if texts and rng.random() < 0.8 else [rng.choice(lines)]
+                lo = rng.randrange(len(old))
+                old = old[lo:lo + rng.randint(1, 5)] if rng.random() < 0.6 else old
+                at = rng.randint(0, len(body))
+                body[at:at] = [">" + rng.choice(["", " "]) + x for x in old]
+            texts.append("\n".join(body))
+            rows.append((conv, turn, texts[-1]))
+    deep = "> " * 11 + "A b c\nfine"
+    rows += [(20, 0, "A b c"), (20, 1, deep), (21, 0, "> shared words\nx"), (21, 5, "shared words"), (22, 3, "shared words"),
+             (23, 0, "w " * 200_000), (23, 1, "> " + "w " * 200_000 + "\nlong")]
+    chats = spark.createDataFrame([(c, t, "user", x) for c, t, x in rows],
+                                  "conv_id long, turn long, role string, text string").repartition(5)
+    got = {(r.conv, r.turn, r.level, r.start): (r.to_conv, r.to_turn) for r in quotes.link(
+        quotes.places(chats, "conv_id", "turn", "role", "text")).collect()}
+    want = plain_links(rows)
+    assert got == want
+    assert got[20, 1, 11, 0] == (20, 0) and got[21, 0, 1, 0] == (22, 3) and got[23, 1, 1, 0] == (23, 0)
+    assert sum(t != (None, None) for t in got.values()) > 60
+
+
 def test_quotes_stay_native(spark):
     q, _ = load()
     plan = q["op7_quotation_links"](spark, SF)._jdf.queryExecution().toString()
