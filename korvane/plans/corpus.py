@@ -625,6 +625,36 @@ def json_roundtrip(spark, d):
     return catalog.union(found).union(chats)
 
 
+@query("chats_json_list", """SELECT conv_id::VARCHAR AS title, (turn // 4)::VARCHAR AS chat_id, turn % 4 AS n,
+    md5(role || text) AS message FROM conversations""")
+def chats_json_list(spark, d):
+    """Chats in list form, a JSON list of pages per conversation; their keys are their places."""
+    base = scratch_path(spark, "json-list")
+    c = table(spark, d, "conversations").withColumn("page", F.floor(F.col("turn") / 4))
+    pages = c.groupBy("conv_id", "page").agg(F.transform(F.array_sort(
+        F.collect_list(F.struct("turn", "role", "text"))),
+        lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content"))).alias("messages"))
+    lists = pages.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("page", "messages"))).alias("p"))
+    chat = F.transform("p", lambda x: F.struct(F.col("conv_id").cast("string").alias("title"), x["messages"].alias("messages")))
+    lists.select(F.to_json(chat).alias("value")).write.text(f"{base}/chats")
+    return rd.parse_chats_json(spark.read.text(f"{base}/chats")).select(
+        "title", "chat_id", F.posexplode("messages").alias("n", "m")).select(
+        "title", "chat_id", "n", F.md5(F.concat("m.role", "m.content")).alias("message"))
+
+
+@query("evaluation_set", """SELECT md5(text) AS query, item_id || ',' || (item_id + 1) AS gold_docs,
+    md5('answer to ' || text) AS gold_response FROM benchmark""")
+def evaluation_set(spark, d):
+    """Questions with their gold documents and answer, as JSON and read again."""
+    path = scratch_path(spark, "eval")
+    table(spark, d, "benchmark").select(
+        F.col("text").alias("query"), F.array(F.col("item_id"), F.col("item_id") + 1).alias("gold_docs"),
+        F.concat(F.lit("answer to "), "text").alias("gold_response")).write.json(path)
+    return rd.read_eval(spark, path, lines=True).select(
+        F.md5("query").alias("query"), F.array_join(F.col("gold_docs").cast("array<string>"), ",").alias("gold_docs"),
+        F.md5("gold_response").alias("gold_response"))
+
+
 RESULT_SQL = f"""WITH {HITS_SQL}
 SELECT {{q}} AS query, id AS "offset", round(score, 6) AS score, 'semantic_search' AS strategy,
     md5(ten) AS ten, md5(substr(noidung, 1, 500)) AS noidung FROM hits WHERE rank <= 10"""

@@ -409,7 +409,7 @@ def web_rows(spark, d):
         F.lit(0.5).alias("score"), "url")
 
 
-@query("graph_rag", f"""WITH {HITS_SQL}, {DOC_EDGES_SQL}, {WEB_SQL},
+GRAPH_RAG_SQL = f"""WITH {HITS_SQL}, {DOC_EDGES_SQL}, {WEB_SQL},
 seeds AS (SELECT query_id, mapc AS key FROM hits WHERE rank <= 5 AND id IN (SELECT id FROM docs)),
 {grow_sql('seeds', 'ue')},
 rr AS (SELECT g.query_id, d.mapc, d.ten, d.noidung, g.rank, qt.q_text, g.base + 0.05 * {SUBSTR} AS s
@@ -429,23 +429,52 @@ UNION ALL SELECT query_id, 3, row_number() OVER (PARTITION BY query_id ORDER BY
     FROM w JOIN qv USING (query_id) WHERE t >= 0.4
     AND query_id IN (SELECT item_id FROM benchmark)
     AND query_id NOT IN (SELECT query_id FROM ok WHERE good)
-UNION ALL SELECT qv.query_id, 0, 1, '', 1.0, '', NULL, NULL FROM qv JOIN qt USING (query_id)""")
-def graph_rag_query(spark, d):
+UNION ALL SELECT qv.query_id, 0, 1, '', 1.0, '', NULL, NULL FROM qv JOIN qt USING (query_id)"""
+
+
+def _graph_rag(spark, d, realtime=None):
     q = query_rows(spark, d)
     hints = q.select("query_id", F.concat(F.lit("sum of "), F.length("q_text").cast("string"))
                      .alias("hint"))
     return graph_rag(q, vectors(spark, d), _doc_edges(spark, d), docs(spark, d),
-                     web_rows(spark, d), hints=hints, recent=("that",), **TRUST_LISTS).select(
+                     web_rows(spark, d), realtime, hints, recent=("that",), **TRUST_LISTS).select(
         "query_id", "block", "rank", F.coalesce("mapc", F.lit("")).alias("mapc"),
         F.round("score", 6).alias("score"), "url", "trust_score", "source_label")
 
 
+@query("graph_rag", GRAPH_RAG_SQL)
+def graph_rag_query(spark, d):
+    return _graph_rag(spark, d)
+
+
+@query("graph_rag_realtime", f"""{GRAPH_RAG_SQL}
+UNION ALL SELECT query_id, 1, row_number() OVER (PARTITION BY query_id ORDER BY t DESC, pos), '', 0.5, url,
+    t, CASE WHEN t >= 0.7 THEN '[Web]' ELSE '[Web - tham khảo]' END FROM w WHERE t >= 0.4 AND pos % 5 = 0""")
+def graph_rag_realtime(spark, d):
+    """Realtime rows stand in front of the articles, behind the calculation hint."""
+    return _graph_rag(spark, d, web_rows(spark, d).filter("pos % 5 = 0"))
+
+
 @query("retrieve", f"""WITH {SWEEP_CTE.split('ng AS (')[0].rstrip().rstrip(',')}
-SELECT strategy, query_id, id, rank FROM lists WHERE k = 10""")
+SELECT strategy, query_id, id, rank FROM lists WHERE k = 10
+UNION ALL SELECT * FROM (SELECT 'two_stage_search_v2', h.query_id, h.id, row_number() OVER (
+    PARTITION BY h.query_id ORDER BY c.score DESC, h.rank) AS rank FROM hits h JOIN sims c ON c.query_id = h.query_id
+    AND c.id = (h.id * 7 + 1) % (SELECT count(*) FROM embeddings) WHERE h.rank <= 20) WHERE rank <= 10
+UNION ALL SELECT * FROM (SELECT 'hybrid_rerank', query_id, id, row_number() OVER (PARTITION BY query_id ORDER BY
+    CASE WHEN id % 9 = 0 THEN 0 ELSE (query_id * 31 + id * 17) % 11 END DESC, rank) AS rank FROM hits WHERE rank <= 20)
+    WHERE rank <= 10""")
 def retrieve_query(spark, d):
+    """Every strategy by its name. Context vectors and relevance texts are given: another vector, a number."""
     from functools import reduce
-    parts = [retrieve(query_rows(spark, d), vectors(spark, d), docs(spark, d), s, 10).select(
-        "strategy", "query_id", "id", "rank") for s in SWEPT if s in STRATEGIES]
+    v = vectors(spark, d)
+    contexts = v.select("id", F.pmod(F.col("id") * 7 + 1, F.lit(v.count())).alias("_c")).join(
+        v.select(F.col("id").alias("_c"), F.col("embedding").alias("context_vec")), "_c").drop("_c")
+    number = ((F.col("query_id") * 31 + F.col("id") * 17) % 11 / 10).cast("string")
+    scores = hits(spark, d, 20).filter("id % 9 <> 0").select(
+        "query_id", "id", F.concat(F.lit("score: "), number).alias("raw_score"))
+    given = {"two_stage_search_v2": {"contexts": contexts}, "hybrid_rerank": {"scores": scores}}
+    parts = [retrieve(query_rows(spark, d), v, docs(spark, d), s, 10, **given.get(s, {})).select(
+        "strategy", "query_id", "id", "rank") for s in STRATEGIES]
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
