@@ -2,8 +2,11 @@
 
 import collections
 import hashlib
+import os
 import random
 import re
+import subprocess
+import sys
 
 import duckdb
 import numpy as np
@@ -650,3 +653,21 @@ def test_entry_has_all_queries():
     have = entry.queries()
     assert "pipeline" in have and all(any(k.startswith(f"op{n}_") for k in have) for n in range(1, 14))
     assert isinstance(T.StructType(), T.StructType) and set(entry.oracle_sql()) <= set(have)
+
+
+@pytest.mark.parametrize("names", ["op3_feistel_shards op8_suffix_array_pieces op11_bidiagonal_whitening "
+                                   "op12_licence_automaton", "op2_segment_edit_join"])
+def test_workers_need_not_have_the_package(tmp_path, names):
+    """Only the driver's own path has the package; the workers start elsewhere, without it."""
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = f"""import sys
+sys.path.insert(0, {root!r})
+from korvane.session import local_session
+from korvane.llm.queries import load
+spark = local_session(4, memory="3g")
+for name in {names.split()!r}:
+    print(name, load()[0][name](spark, {SF!r}).count())"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True)
+    assert done.returncode == 0, done.stderr[-2000:]
+    assert all(int(line.split()[1]) > 0 for line in done.stdout.splitlines() if line.startswith("op"))
