@@ -428,10 +428,10 @@ LINES_SQL = f"""ln AS (SELECT doc_id AS page_id, lang, source, i - 1 AS pos, l[i
       SELECT doc_id, lang, source, string_split(text, chr(10)) AS l FROM documents)))"""
 
 
-def law_pages(spark, d):
+def law_pages(spark, d, docs=None):
     esc = lambda c: F.replace(F.replace(c, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
     num = lambda c: c.cast("string")
-    t = table(spark, d, "documents")
+    t = table(spark, d, "documents") if docs is None else docs
     page = num(F.col("doc_id"))
 
     def article(line, i):

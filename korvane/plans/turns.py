@@ -951,3 +951,25 @@ def stream_ingest(spark, d):
     run()
     pages.filter(late).write.mode("append").parquet(f"{base}/in")
     return run()
+
+
+# four lots: each brings its pages and the lot before again; the last one also changed pages of all lots
+@query("stream_ingest_changes", f"""WITH d AS (SELECT doc_id, string_split(CASE WHEN doc_id % 8 < 2 THEN text || chr(10)
+    || 'changed' ELSE text END, chr(10)) AS l FROM documents)
+SELECT doc_id AS page_id, i - 1 AS pos, doc_id || '-' || (i - 1) AS mapc, md5({s_strip('l[i]')} || chr(10)) AS body
+FROM (SELECT *, unnest(range(1, len(l) + 1)) AS i FROM d)""")
+def stream_ingest_changes(spark, d):
+    base = scratch_path(spark, "changes")
+    docs = table(spark, d, "documents")
+    lot = F.pmod(F.xxhash64("doc_id"), F.lit(LOTS))
+    changed = docs.filter("doc_id % 8 < 2").withColumn("text", F.concat("text", F.lit("\nchanged")))
+    read = None
+    for k in range(LOTS):
+        sent = docs.filter((lot == k) | (lot == k - 1))
+        if k == LOTS - 1:
+            sent = sent.filter("doc_id % 8 >= 2").unionByName(changed)
+        pages = law_pages(spark, d, sent)
+        pages.write.mode("append").parquet(f"{base}/in")
+        read = st.ingest_changes(spark.readStream.schema(pages.schema).parquet(f"{base}/in"), f"{base}/table",
+                                 f"{base}/check", buckets=16)
+    return read().select("page_id", "pos", "mapc", F.md5("noidung").alias("body"))

@@ -12,6 +12,7 @@ from ..operators.extract import extract_articles
 from ..operators.gate import route_turns
 from ..operators.memory import apply_decisions
 from ..schemas import HISTORY, MEMORY_SCHEMA, REPORT
+from ..session import discard, materialize
 from ..sources.readers import shape_pages
 from .store import PieceTable
 
@@ -113,6 +114,38 @@ def ingest_stream(spark: SparkSession, path: str, files_per_batch: int | None =
     return extract_articles(page_stream(spark, path, files_per_batch))
 
 
+def ingest_changes(pages: DataFrame, root: str, checkpoint: str, page_id: str = "page_id", html: str = "html",
+                   order: str | None = None, buckets: int = 256) -> Callable[[], DataFrame]:
+    """Keep a table of articles up to date from a stream of pages. Returns its reader.
+
+    A digest is kept per page: a page sent again as it was changes nothing and is not parsed, a
+    changed one replaces its articles, also by none. Of a page that a batch holds several times the
+    one last in ``order`` counts (without it, the one with the largest text). Only the buckets of
+    changed pages are written, and a replayed batch overwrites its own output.
+    """
+    spark = pages.sparkSession
+    articles = PieceTable(spark, f"{root}/articles", extract_articles(pages, page_id, html).schema, "page_id", buckets)
+    seen = PieceTable(spark, f"{root}/seen", T.StructType([
+        T.StructField("page_id", pages.schema[page_id].dataType), T.StructField("digest", T.StringType())]),
+        "page_id", buckets)
+
+    def apply(batch: DataFrame, n: int) -> None:
+        last = first_per(batch.filter(F.col(page_id).isNotNull()), page_id, [*([F.desc(order)] if order else []), F.desc(html)]) \
+            .select(F.col(page_id).alias("page_id"), F.coalesce(html, F.lit("")).alias("html"))
+        known = seen.read(n)
+        new = materialize(last.withColumn("digest", F.sha2("html", 256))
+                          .join(known, ["page_id", "digest"], "left_anti"), "changed-pages")
+        touched = [r[0] for r in new.select(seen.bucket()).distinct().collect()]     # at most ``buckets``
+        if touched:
+            ids = new.select("page_id")
+            for table, rows in ((articles, extract_articles(new)), (seen, new.select("page_id", "digest"))):
+                table.write(table.read(n, touched).join(ids, "page_id", "left_anti").unionByName(rows), n, touched)
+        discard(new)
+
+    _drain(pages, apply, checkpoint)
+    return articles.read
+
+
 def run_to_table(sdf: DataFrame, out: str, checkpoint: str) -> DataFrame:
     """Drain what is there into parquet with exactly-once file output, then read it."""
     query = (sdf.writeStream.format("parquet").option("path", out)

@@ -663,6 +663,27 @@ def test_page_stream_resumes(spark, tmp_path):
     assert {(r.page_id, r.mapc) for r in run().collect()} == {(p, m) for p in "ab" for m in ("101", "102")}
 
 
+def test_ingest_replaces_changed_pages_only(spark, tmp_path):
+    from korvane.streaming.streams import ingest_changes
+
+    def run(*rows):
+        spark.createDataFrame(rows, "page_id string, html string, sent int").coalesce(1) \
+            .write.mode("append").parquet(str(tmp_path / "in"))
+        sdf = spark.readStream.schema("page_id string, html string, sent int").parquet(str(tmp_path / "in"))
+        read = ingest_changes(sdf, str(tmp_path / "table"), str(tmp_path / "check"), order="sent", buckets=4)
+        return sorted((r.page_id, r.mapc) for r in read().collect())
+
+    one = "<p class='pDieu'><a name='7'></a>t</p><p>n</p><p class='pNoiDung'>body</p>"
+    a = [("a", "101"), ("a", "102")]
+    assert run(("a", PAGE, 1), ("b", one, 1)) == [*a, ("b", "7")]
+    assert run(("a", PAGE, 2), ("c", one.replace("7", "8"), 2)) == [*a, ("b", "7"), ("c", "8")]
+    versions = {p.name for p in (tmp_path / "table/articles/data").iterdir()}
+    assert run(("a", PAGE, 3)) == [*a, ("b", "7"), ("c", "8")]                     # nothing new, nothing written
+    assert {p.name for p in (tmp_path / "table/articles/data").iterdir()} == versions
+    assert run(("b", one.replace("7", "9"), 5), ("b", one.replace("7", "3"), 4), ("a", None, 4)) == [("b", "9"), ("c", "8")]
+    assert run(("a", PAGE, 6), (None, PAGE, 6)) == [*a, ("b", "9"), ("c", "8")]
+
+
 def test_memory_stream_replays_and_restarts(spark, tmp_path):
     from korvane.streaming.streams import memory_stream
     fields = ("user_id string, seq long, action string, fact string, mem_type string, target_id long, merged_fact string, "
