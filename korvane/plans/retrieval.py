@@ -525,8 +525,9 @@ def _terms_sql(col):
 def _grown_sql(keys, rows):
     """Terms and synonym groups of token lists ``l``."""
     return f"""SELECT {keys}, len(l) AS len, unnest(l) AS term FROM {rows}
-    UNION ALL SELECT {keys}, len, g AS term FROM (SELECT {keys}, len(l) AS len, unnest(flatten(list_transform([1, 2, 3, 4],
-        lambda n: list_transform(range(1, greatest(len(l) - n + 2, 1)), lambda i: array_to_string(l[i:i + n - 1], ' ')))))
+    UNION ALL SELECT {keys}, len, g AS term FROM (SELECT {keys}, len(l) AS len, unnest(flatten(list_transform(
+        list_zip(l, l[2:], l[3:], l[4:]), lambda x: [x[1], x[1] || ' ' || x[2], x[1] || ' ' || x[2] || ' ' || x[3],
+        x[1] || ' ' || x[2] || ' ' || x[3] || ' ' || x[4]])))
         AS phrase FROM {rows}) JOIN (VALUES {GROUPS_SQL}) AS syn(phrase, g) USING (phrase)"""
 
 
