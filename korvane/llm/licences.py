@@ -16,7 +16,7 @@ follows the templates, which are a parameter.
 
 Edge cases: a null or empty text has no words and a score of 0. Texts of any length are read whole. A
 repeated notice gives a span each time, phrases inside each other count each, repeated rows are
-judged alike. Templates without words are left out. An empty table gives no rows. Other columns are
+judged alike. Templates without words are left out, of one word are refused. An empty table gives no rows. Other columns are
 never read.
 """
 
