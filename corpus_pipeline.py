@@ -10,42 +10,35 @@ from korvane.session import materialize
 
 PIECES = "/opt/tokenizers/piece_bpe_32k.model"
 NEAR = jaccard.Scheme(n=5, p=80, q=100)
-#: The stages follow each other on executors whose heaps are full by then; small batches leave the workers room.
-BATCH_BYTES = str(4 << 20)
-
-
-def small(spark: SparkSession) -> SparkSession:
-    bounded(spark).conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
-    return spark
 
 
 def rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Quality rules: documents outside the compression bands go."""
-    small(spark)
+    bounded(spark)
     return quality_rules.keep_good(docs)
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Line dedup: lines that repeat an earlier line go; what is left is counted anew."""
-    small(spark)
+    bounded(spark)
     left = line_dedup.drop_lines(docs)
     return left.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """N-gram Jaccard join on five words and 0.8: the first document of each group stays."""
-    small(spark)
+    bounded(spark)
     return jaccard.keep_one(docs, scheme=NEAR)
 
 
 def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Benchmark decontamination: documents that hold a window of an item go."""
-    return winnowing.drop_contaminated(docs, table(small(spark), sf_dir, "benchmark"))
+    return winnowing.drop_contaminated(docs, table(bounded(spark), sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document, and whether they decode to its text."""
-    small(spark)
+    bounded(spark)
     model = sentencepiece_sa.Model.read(PIECES)
     both = sentencepiece_sa.decode(sentencepiece_sa.encode(docs.select("doc_id", "text"), model),
                                    model)
@@ -62,7 +55,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole ``documents`` table, each written and read again."""
-    docs = table(small(spark), sf_dir, "documents")
+    docs = table(bounded(spark), sf_dir, "documents")
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
