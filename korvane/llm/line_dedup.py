@@ -2,18 +2,20 @@
 
 Two lines link when at most ``tau`` edits (by the shorter one's length) turn one into the other. A
 line of length l is cut into tau + 1 segments; within tau edits one of them stays intact, so a
-longer or equal line has it as a substring at one of the few starts that its length allows. Index
-keys of all lines are counted once; probes that no other line's key can answer are dropped in the
-task, what is left meets in buckets, and links are verified by a banded bit-parallel edit distance
-over many pairs at a time. A class is a connected component; its first line by (document, line)
-stays and the others go.
-
-Edge cases: lines of fewer than ``Rule.least`` characters are never compared or removed, so empty
+longer or equal line has it as a substring at one of the few starts that its length allows. Both
+kinds of keys, a dozen longs per different line of a slice, are hashed at once from prefix sums and
+written with the line; keys that two different lines have and one of them is indexed under are kept
+by one count over all keys, so rows and shuffles grow with the lines. What meets in these buckets is
+verified by a banded bit-parallel edit distance over many pairs at a time. A class is a connected
+component; its first line by (document, line) stays and the others go.
+
+Edge cases: lines of fewer than ``Rule.least`` characters allow no edit, so only equal ones link, and
+those without a letter, digit or character beyond ASCII are never compared or removed; so empty
 lines stay. A null or empty text has no lines to compare and stays as it is. Rows with the same id
 and text are one document and get the same result; of equal lines of different documents with the
-same id the order of the texts' hashes decides. Null ids come first. Very long lines are cut like
-any other. Empty tables give no rows. Other columns are passed on by ``drop_lines``, whatever
-their names.
+same id the order of the texts' hashes decides. Null ids come first. Lines of more than ``BLOCK``
+characters are hashed piece by piece instead of from prefix sums, which bounds memory. Empty tables
+give no rows. Other columns are passed on by ``drop_lines``, whatever their names.
 """
 
 from __future__ import annotations
@@ -27,24 +29,24 @@ from pyspark.sql import DataFrame, functions as F
 
 from korvane.session import materialize, release
 
-from .arrays import on_document, packed, slices, text_hash
+from .arrays import (ALNUM_SPLIT, RangeHash, mix, on_document, owner, packed, signed, slices, text_bytes,
+                     text_hash)
 from .bitmaps import Bitmap, build
 from .links import cluster, near_pairs
 
 BITS = 26
 CELLS = 1 << 20           # characters of one side in a block of pairs
-
-
+BLOCK = 1 << 19           # characters whose prefix sums are held at once
 GRAM = 4                  # letters of the grams that keep variants of one line apart
 
 
 @dataclass(frozen=True)
 class Rule:
-    least: int = 24       # characters of the shortest line that is compared
+    least: int = 24       # shorter lines must be equal
     long: int = 64        # from here on two edits are allowed, below one
 
     def tau(self, length: int) -> int:
-        return 1 if length < self.long else 2
+        return 0 if length < self.least else 1 if length < self.long else 2
 
 
 def cuts(length: int, tau: int) -> list[tuple[int, int]]:
@@ -54,35 +56,15 @@ def cuts(length: int, tau: int) -> list[tuple[int, int]]:
     return [(i * size + max(0, i - short), size + (i >= short)) for i in range(tau + 1)]
 
 
-class Slices:
-    """Hashes of a line's substrings, cut from its encoded bytes."""
-
-    def __init__(self, line: str):
-        self.raw = line.encode("utf-8", "surrogatepass")
-        self.at = None
-        if len(self.raw) != len(line):                    # where each character starts
-            code = np.frombuffer(self.raw, np.uint8)
-            self.at = [*np.flatnonzero((code & 0xC0) != 0x80).tolist(), len(self.raw)]
-
-    def key(self, length: int, i: int, start: int, size: int) -> int:
-        end = start + size
-        if self.at is not None:
-            start, end = self.at[start], self.at[end]
-        return xxhash.xxh3_64_intdigest(self.raw[start:end], length * 8 + i)
-
+def places(n: int, rule: Rule) -> np.ndarray:
+    """(start, length, indexed length, segment) of a line's keys; the tau + 1 it is indexed under first.
 
-def index_keys(line: str, rule: Rule, cut: Slices | None = None) -> list[int]:
-    n, cut = len(line), cut or Slices(line)
-    return [cut.key(n, i, s, size) for i, (s, size) in enumerate(cuts(n, rule.tau(n)))]
-
-
-def probe_keys(line: str, rule: Rule, cut: Slices | None = None):
-    """Keys under which a line no longer than this one, within its edits, may be indexed.
-
-    The starts are those at which segment i can stand if the edits left of it are fewer than its
-    number and those right of it fewer than the segments there.
+    Under the others a line no longer than this one, within its edits, may be indexed. Their starts
+    are those at which segment i can stand if the edits left of it are fewer than its number and
+    those right of it fewer than the segments there.
     """
-    n, cut = len(line), cut or Slices(line)
+    own = [(start, size, n, i) for i, (start, size) in enumerate(cuts(n, rule.tau(n)))]
+    found = dict.fromkeys(own)
     for length in range(n, rule.least - 1, -1):
         tau, gap = rule.tau(length), n - length
         if gap > tau:       # shorter lines allow no more edits, so the gap stays too wide
@@ -90,95 +72,149 @@ def probe_keys(line: str, rule: Rule, cut: Slices | None = None):
         for i, (start, size) in enumerate(cuts(length, tau)):
             lo = max(start - i, start + gap - (tau - i), 0)
             hi = min(start + i, start + gap + (tau - i), n - size)
-            for at in range(lo, hi + 1):
-                yield cut.key(length, i, at, size)
-
-
-def _name(line: str) -> bytes:
-    return xxhash.xxh3_128_digest(line.encode("utf-8", "surrogatepass"))
-
-
-def _signed(values) -> pa.Array:
-    return pa.array(np.array(values, np.uint64).view(np.int64))
+            found.update(dict.fromkeys((at, size, length, i) for at in range(lo, hi + 1)))
+    return np.array(list(found), np.int64)
+
+
+def _code_points(data: np.ndarray) -> np.ndarray:
+    text = data.tobytes().decode("utf-8", "surrogatepass")
+    return data if len(text) == len(data) else np.frombuffer(
+        text.encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def line_keys(code: np.ndarray, starts: np.ndarray, ends: np.ndarray, rule: Rule,
+              hasher: RangeHash) -> tuple[np.ndarray, np.ndarray]:
+    """The keys of all lines, given as ascending ranges of characters, and how many each has."""
+    of_length = {int(n): places(int(n), rule) for n in np.unique(ends - starts)}
+    keys, counts, lo = [np.zeros(0, np.uint64)], [], 0
+    while lo < len(starts):
+        hi = max(lo + 1, int(np.searchsorted(ends, starts[lo] + BLOCK, "right")))
+        block = [of_length[int(n)] for n in ends[lo:hi] - starts[lo:hi]]
+        counts += map(len, block)
+        many = np.concatenate(block)
+        at = many[:, 0] + np.repeat(starts[lo:hi], [len(x) for x in block])
+        to = at + many[:, 1]
+        out = np.zeros(len(many), np.uint64)
+        short = many[:, 2] <= BLOCK                     # by the indexed line, so both sides agree
+        if short.any():
+            base = starts[lo]
+            out[short] = hasher(code[base:ends[hi - 1]], at[short] - base, to[short] - base)
+        for i in np.flatnonzero(~short):
+            out[i] = xxhash.xxh3_64_intdigest(code[at[i]:to[i]].astype(np.uint32).tobytes())
+        keys.append(mix(out ^ mix((many[:, 2] * 8 + many[:, 3]).astype(np.uint64))))
+        lo = hi
+    return np.concatenate(keys), np.array(counts, np.int64)
+
+
+def _keys(line: str, rule: Rule) -> np.ndarray:
+    code = _code_points(np.frombuffer(line.encode("utf-8", "surrogatepass"), np.uint8))
+    return line_keys(code, np.array([0]), np.array([len(code)]), rule, RangeHash())[0]
+
+
+def index_keys(line: str, rule: Rule) -> list[int]:
+    return _keys(line, rule)[:rule.tau(len(line)) + 1].tolist()
+
+
+def probe_keys(line: str, rule: Rule) -> list[int]:
+    """Keys under which a line no longer than this one, within its edits, may be indexed."""
+    return _keys(line, rule).tolist()
+
+
+class Lines:
+    """The compared lines of a slice of texts: row, number, range of characters and of bytes."""
+
+    def __init__(self, column: pa.Array, rule: Rule):
+        data, offsets = text_bytes(column)
+        self.raw, self.code = data.tobytes(), _code_points(data)
+        first = np.arange(len(data) + 1)                  # the byte where each character starts
+        if len(self.code) != len(data):
+            first = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+            offsets = np.searchsorted(first, offsets)
+        breaks = np.flatnonzero(self.code == 10)
+        of = owner(breaks, offsets)
+        head = np.searchsorted(breaks, offsets[:-1])      # each text's first break
+        row = np.concatenate([np.arange(len(offsets) - 1), of])
+        number = np.concatenate([np.zeros(len(head), np.int64),
+                                 np.arange(len(breaks)) - head[of] + 1])
+        starts = np.concatenate([offsets[:-1], breaks + 1])
+        after = np.append(breaks, len(self.code))
+        ends = np.minimum(np.concatenate([after[head], after[1:]]), offsets[1:][row])
+        word = ALNUM_SPLIT[np.minimum(self.code, 255)]
+        words = np.append(0, np.cumsum(word, dtype=np.int32))
+        keep = np.flatnonzero((ends - starts >= rule.least)
+                              | (words[np.maximum(ends, starts)] > words[starts]))
+        keep = keep[np.argsort(starts[keep], kind="stable")]
+        self.row, self.number, self.starts, self.ends = row[keep], number[keep], starts[keep], ends[keep]
+        self.bytes = list(zip(first[self.starts].tolist(), first[self.ends].tolist()))
+        self.names = [xxhash.xxh3_128_digest(self.raw[a:b]) for a, b in self.bytes]
+
+    def first(self) -> np.ndarray:
+        """Which lines are the first of their name in the slice."""
+        place = {name: i for i, name in zip(range(len(self.names) - 1, -1, -1), reversed(self.names))}
+        return np.sort(np.fromiter(place.values(), np.int64, len(place)))
+
+    def low(self) -> np.ndarray:
+        """The second eight bytes of each name."""
+        both = np.frombuffer(b"".join(self.names), ">u8").astype(np.uint64)
+        return both[1::2]
 
 
 def line_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFrame:
-    """(id, h, line, node, n, keys) of all compared lines; the keys once per slice and line."""
+    """(id, h, line, node, low, n, keys) of all compared lines; the keys once per slice and line."""
     id_type = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
+        hasher = RangeHash()
         for batch in batches:
             for part in slices(batch, "_text"):
-                at, number, node, size, keys, seen = [], [], [], [], [], set()
-                for row, text in enumerate(part.column(2).to_pylist()):
-                    for i, line in enumerate((text or "").split("\n")):
-                        if len(line) < rule.least:
-                            continue
-                        name = _name(line)
-                        at.append(row), number.append(i), node.append(name), size.append(len(line))
-                        keys.append(None if name in seen else
-                                    np.array(index_keys(line, rule), np.uint64).view(np.int64))
-                        seen.add(name)
-                some = pa.array(at, pa.int64())
+                lines = Lines(part.column(2), rule)
+                size, some = lines.ends - lines.starts, pa.array(lines.row)
+                first = lines.first()
+                first = first[size[first] >= rule.least]
+                keys, counts = line_keys(lines.code, lines.starts[first], lines.ends[first], rule, hasher)
+                has, per = np.zeros(len(size), bool), np.zeros(len(size) + 1, np.int64)
+                has[first], per[first + 1] = True, counts
+                lists = pa.ListArray.from_arrays(pa.array(np.cumsum(per).astype(np.int32)),
+                                                 pa.array(signed(keys)), mask=pa.array(~has))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0).take(some), part.column(1).take(some),
-                     pa.array(number, pa.int32()), pa.array(node, pa.binary()),
-                     pa.array(size, pa.int32()), pa.array(keys, pa.list_(pa.int64()))],
-                    names=["id", "h", "line", "node", "n", "keys"])
+                     pa.array(lines.number.astype(np.int32)), pa.array(lines.names, pa.binary()),
+                     pa.array(signed(lines.low())), pa.array(size.astype(np.int32)), lists],
+                    names=["id", "h", "line", "node", "low", "n", "keys"])
 
     return docs.select(F.col(id_col).alias("_id"), text_hash(text_col).alias("_h"),
                        F.col(text_col).alias("_text")).mapInArrow(
-        run, f"id {id_type}, h long, line int, node binary, n int, keys array<long>")
+        run, f"id {id_type}, h long, line int, node binary, low long, n int, keys array<long>")
 
 
-def probe_rows(docs: DataFrame, text_col: str, rule: Rule, some, several) -> DataFrame:
-    """(bucket, node, size): probes that another line's key may answer."""
-    def run(batches):
-        there, twice = Bitmap(some), Bitmap(several)
-        for batch in batches:
-            for part in slices(batch, "_text"):
-                lines = {x for t in part.column(0).to_pylist() if t for x in t.split("\n")
-                         if len(x) >= rule.least}
-                key, node, size, own = [], [], [], []
-                for line in lines:
-                    name, cut = _name(line), Slices(line)
-                    mine = set(index_keys(line, rule, cut))
-                    for k in set(probe_keys(line, rule, cut)):
-                        key.append(k), node.append(name), size.append(len(line))
-                        own.append(k in mine)
-                keys = np.array(key, np.uint64)
-                keep = np.where(np.array(own, bool), twice(keys), there(keys)) if key \
-                    else np.zeros(0, bool)
-                yield pa.RecordBatch.from_arrays(
-                    [_signed(keys[keep]), pa.array(node, pa.binary()).filter(pa.array(keep)),
-                     pa.array(size, pa.int32()).filter(pa.array(keep))],
-                    names=["bucket", "node", "size"])
-
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(
-        run, "bucket long, node binary, size int")
-
+def bucket_rows(lines: DataFrame, rule: Rule) -> DataFrame:
+    """(bucket, node, size, full, level): keys that a line is indexed under and another one has."""
+    tau = F.when(F.col("n") < rule.long, 1).otherwise(2)
+    rows = lines.filter("keys is not null").select("node", "low", "n", F.posexplode("keys").alias("i", "k")) \
+        .select("k", "node", "low", F.col("n").alias("size"), (F.col("i") <= tau).alias("full"))
+    met = rows.groupBy("k").agg(F.min("low").alias("lo"), F.max("low").alias("hi"),
+                                F.max("full").alias("full")).filter("full and lo <> hi").select("k")
+    met = materialize(met, "keys")
+    return rows.join(met, "k", "left_semi").groupBy(F.col("k").alias("bucket"), "node", "size") \
+        .agg(F.max("full").alias("full")).withColumn("level", F.lit(2))
 
-def _low_half(node):
-    """The second eight bytes of a name as a long."""
-    return F.conv(F.hex(F.substring(node, 9, 8)), 16, -10).cast("long")
 
-
-def line_texts(docs: DataFrame, text_col: str, rule: Rule, wanted) -> DataFrame:
-    """(node, text) of the lines whose name may be wanted."""
+def line_texts(docs: DataFrame, text_col: str, rule: Rule, sources, wanted) -> DataFrame:
+    """(node, text) of the lines whose document and name may be wanted."""
     def run(batches):
-        want = Bitmap(wanted)
+        source, want = Bitmap(sources), Bitmap(wanted)
         for batch in batches:
-            for part in slices(batch, "_text"):
-                lines = list({x for t in part.column(0).to_pylist() if t for x in t.split("\n")
-                              if len(x) >= rule.least})
-                names = [_name(x) for x in lines]
-                low = np.array([int.from_bytes(x[8:], "big") for x in names], np.uint64)
-                keep = pa.array(want(low) if names else np.zeros(0, bool))
+            h = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            for part in slices(batch.filter(pa.array(source(h))), "_text"):
+                lines = Lines(part.column(1), rule)
+                keep = np.flatnonzero(want(lines.low()))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(names, pa.binary()).filter(keep),
-                     pa.array(lines, pa.string()).filter(keep)], names=["node", "text"])
+                    [pa.array([lines.names[i] for i in keep], pa.binary()),
+                     pa.array([lines.raw[slice(*lines.bytes[i])] for i in keep], pa.binary())
+                     .cast(pa.string())], names=["node", "text"])
 
-    return docs.select(F.col(text_col).alias("_text")).mapInArrow(run, "node binary, text string")
+    return docs.select(text_hash(text_col).alias("_h"), F.col(text_col).alias("_text")).mapInArrow(
+        run, "node binary, text string")
 
 
 def within(pairs: list[tuple[str, str]], tau: np.ndarray) -> np.ndarray:
@@ -261,25 +297,13 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
              bits: int = BITS) -> DataFrame:
     """(id, h, n_lines, removed): per document its compared lines and the numbers of those to go."""
     lines = materialize(line_rows(docs, id_col, text_col, rule), "lines")
-    index = lines.filter("keys is not null").select("node", "n", F.explode("keys").alias("k"))
-    low = _low_half(F.col("node"))
-    keys = materialize(index.groupBy("k").agg(F.min(low).alias("lo"), F.max(low).alias("hi"))
-                       .select("k", "lo", (F.col("lo") != F.col("hi")).alias("several")), "keys")
-    probes = probe_rows(docs, text_col, rule, build(keys, "k", bits),
-                        build(keys.filter("several"), "k", bits)).distinct()
-    # the bitmaps let some pass; what stays shares a key with another line for certain
-    probes = materialize(
-        probes.join(keys.withColumnRenamed("k", "bucket"), "bucket")
-        .filter(F.col("several") | (F.col("lo") != low)).select("bucket", "node", "size"), "probes")
-    full = index.join(probes.select(F.col("bucket").alias("k")).distinct(), "k", "left_semi") \
-        .select(F.col("k").alias("bucket"), "node", F.col("n").alias("size"), F.lit(True).alias("full"),
-                F.lit(0).alias("level")).distinct()
-    rows = materialize(full.union(probes.select("bucket", "node", "size", F.lit(False),
-                                                F.lit(2))), "candidates")
+    rows = materialize(bucket_rows(lines, rule), "candidates")
     release(docs.sparkSession)
-    wanted = build(rows.select(_low_half(F.col("node")).alias("name")).distinct(), "name", bits)
-    texts = materialize(line_texts(docs, text_col, rule, wanted).groupBy("node")
-                        .agg(F.any_value("text").alias("text")), "texts")
+    # a line's text is taken from one of its documents
+    origin = materialize(lines.join(rows.select("node").distinct(), "node", "left_semi")
+                         .groupBy("node", "low").agg(F.min("h").alias("h")), "origins")
+    texts = line_texts(docs, text_col, rule, build(origin, "h", bits), build(origin, "low", bits))
+    texts = materialize(texts.groupBy("node").agg(F.any_value("text").alias("text")), "texts")
 
     def test(pairs: DataFrame) -> DataFrame:
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")

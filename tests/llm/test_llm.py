@@ -135,7 +135,7 @@ def brute_lines(rows, rule=line_dedup.Rule()):
     where = collections.defaultdict(list)
     for i, t in rows:
         for k, x in enumerate((t or "").split("\n")):
-            if len(x) >= rule.least:
+            if len(x) >= rule.least or any(c.isascii() and c.isalnum() or c > "\x7f" for c in x):
                 where[x].append((i, k))
     lines, parent = list(where), {}
 
@@ -166,7 +166,7 @@ def test_line_dedup_matches_brute_force(spark):
     base = [words(rng, rng.randint(4, 14), 60) for _ in range(25)]
     rows = [(i, "\n".join(edited(rng, rng.choice(base), rng.randint(0, 2), "abw1")
                           for _ in range(rng.randint(1, 5)))) for i in range(40)]
-    rows += [(100, None), (101, ""), (102, "short\nshort")]
+    rows += [(100, None), (101, ""), (102, "short\nshort\n\n{\n}\n}\né\né"), (103, "shor\nshort\n")]
     got = {r.doc_id: set(r.removed) for r in line_dedup.report(docs_frame(spark, rows)).collect()}
     want = brute_lines(rows)
     assert got == {i: want.get(i, set()) for i, _ in rows}
