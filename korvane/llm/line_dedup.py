@@ -188,15 +188,50 @@ def line_rows(docs: DataFrame, id_col: str, text_col: str, rule: Rule) -> DataFr
 
 
 def bucket_rows(lines: DataFrame, rule: Rule) -> DataFrame:
-    """(bucket, node, size, full, level): keys that a line is indexed under and another one has."""
+    """(bucket, node, size, full, level): keys that a line is indexed under and another one has.
+
+    Keys travel with half a name and one number; whole names come back for those that met. The join
+    is a merge at every size, as at scale neither side is small.
+    """
+    keyed = lines.filter("keys is not null")
     tau = F.when(F.col("n") < rule.long, 1).otherwise(2)
-    rows = lines.filter("keys is not null").select("node", "low", "n", F.posexplode("keys").alias("i", "k")) \
-        .select("k", "node", "low", F.col("n").alias("size"), (F.col("i") <= tau).alias("full"))
+    rows = keyed.select("low", "n", F.posexplode("keys").alias("i", "k")) \
+        .select("k", "low", (2 * F.col("n") + (F.col("i") <= tau).cast("int")).alias("tag"))
     met = rows.groupBy("k").agg(F.min("low").alias("lo"), F.max("low").alias("hi"),
-                                F.max("full").alias("full")).filter("full and lo <> hi").select("k")
-    met = materialize(met, "keys")
-    return rows.join(met, "k", "left_semi").groupBy(F.col("k").alias("bucket"), "node", "size") \
-        .agg(F.max("full").alias("full")).withColumn("level", F.lit(2))
+                                F.max(F.col("tag") % 2).alias("full")) \
+        .filter("full = 1 and lo <> hi").select("k")
+    met = rows.join(materialize(met, "keys").hint("merge"), "k", "left_semi") \
+        .groupBy("k", "low").agg(F.max("tag").alias("tag"))
+    return materialize(met, "met").join(keyed.select("low", "node").distinct(), "low") \
+        .select(F.col("k").alias("bucket"), "node", F.floor(F.col("tag") / 2).cast("int").alias("size"),
+                (F.col("tag") % 2 == 1).alias("full"), F.lit(2).alias("level"))
+
+
+def gram_rows(texts: DataFrame) -> DataFrame:
+    """(node, grams): the different runs of ``GRAM`` letters of every line."""
+    def run(batches):
+        hasher = RangeHash()
+        for batch in batches:
+            for part in slices(batch, "text", BLOCK):
+                data, offsets = text_bytes(part.column(1))
+                code = _code_points(data)
+                if len(code) != len(data):
+                    offsets = np.append(0, np.cumsum((data & 0xC0) != 0x80))[offsets]
+                start = np.arange(max(0, len(code) - GRAM + 1))
+                of = owner(start, offsets)
+                start, of = start[start + GRAM <= offsets[of + 1]], of[start + GRAM <= offsets[of + 1]]
+                gram = hasher(code, start, start + GRAM)
+                order = np.lexsort((gram, of))
+                gram, of = gram[order], of[order]
+                new = np.ones(len(gram), bool)
+                new[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
+                ends = np.append(0, np.cumsum(np.bincount(of[new], minlength=part.num_rows)))
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)),
+                                                              pa.array(signed(gram[new])))],
+                    names=["node", "grams"])
+
+    return texts.select("node", "text").mapInArrow(run, "node binary, grams array<long>")
 
 
 def line_texts(docs: DataFrame, text_col: str, rule: Rule, sources, wanted) -> DataFrame:
@@ -309,9 +344,7 @@ def removals(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ru
         both = pairs.join(texts.toDF("a", "ta"), "a").join(texts.toDF("b", "tb"), "b")
         return linked(both, rule)
 
-    grams = texts.select("node", F.array_distinct(F.transform(
-        F.sequence(F.lit(1), F.length("text") - GRAM + 1),
-        lambda i: F.xxhash64(F.substr("text", i, F.lit(GRAM))))).alias("grams"))
+    grams = materialize(gram_rows(texts), "grams")
 
     def differ(one, two):       # an edit takes at most four grams and brings at most four
         return 2 * GRAM * F.when(F.least(one, two) < rule.long, 1).otherwise(2)
