@@ -151,6 +151,41 @@ def test_ivf_recall_and_cells(spark, spread):
         assert np.mean([len(p) for p in file.probes(unit[::3])]) < len(file.centres) / 3
 
 
+def test_block_matches_a_plain_ranking_with_ties():
+    rng = np.random.default_rng(3)
+    v = ve._matrix(np.concatenate([rng.integers(-1, 2, (9_000, 4)), np.full((1, 4), np.nan)]))
+    q, ids = v[:40], rng.permutation(len(v))
+    q_ids, found, scores = ve._block(np.arange(40), q, ids, v, 7)
+    for i in range(40):
+        s = np.round(q[i] @ v[:-1].T, ve.DIGITS)
+        want = np.lexsort((ids[:-1], -s))[:7]
+        assert found[q_ids == i].tolist() == ids[want].tolist() and scores[q_ids == i].tolist() == s[want].tolist()
+
+
+def test_lsh_copies_pay_for_both_sides(spark):
+    rng = np.random.default_rng(8)
+    rows = [(i, [float(x) for x in rng.standard_normal(16)]) for i in range(4_000)]
+    vec = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = vec.filter("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    found = ve.semantic_search_lsh(q, vec, 10, dim=16, bucket=64)
+    assert _lists(found) == _lists(ve.semantic_search(q, vec, 10))      # far neighbours, few queries: no hyperplane pays
+
+
+def test_ivf_sends_a_query_once_to_a_shard(spark):
+    rng = np.random.default_rng(10)
+    rows = [(i, [float(x) for x in rng.standard_normal(8)]) for i in range(1_000)]
+    vec = spark.createDataFrame(rows, "id long, embedding array<float>")
+    q = vec.filter("id < 30").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
+    file = ve.InvertedFile(ve._matrix(rng.standard_normal((150, 8))), 9.0)     # every cell of all three shards
+    seen, old = [], ve._tiled_knn
+    ve._tiled_knn = lambda asked, *a: (seen.append(asked.count()), old(asked, *a))[1]
+    try:
+        found = ve.semantic_search_ivf(q, vec, 10, file, dim=8)
+    finally:
+        ve._tiled_knn = old
+    assert seen == [90] and _lists(found) == _lists(ve.semantic_search(q, vec, 10))
+
+
 def test_ivf_edges(spark):
     vec = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 1.0])], "id long, embedding array<float>")
     q = vec.select(F.col("id").alias("query_id"), F.col("embedding").alias("query_vec"))
