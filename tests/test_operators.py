@@ -5,6 +5,7 @@ import math
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -684,6 +685,40 @@ def test_load_and_resume(spark, tmp_path):
     assert co.load_increment(good, spark.read.parquet(out), resume=False).count() == 2
 
 
+def _flat(tree):
+    tree.finish()
+    return [(n.tag, n.attrs, n.up.no, n.at, n.last, [k for k in n.kids if isinstance(k, str)], n.html()) for n in tree.flat]
+
+
+def test_plain_pages_read_as_by_the_parser():
+    import random
+    rng = random.Random(5)
+    bits = ["<p class='a b'>", "<p>", "</p>", "<a href=\"x'y>\" name=''>", "</a>", "<br>", "</br>", "t &amp; u", "&lt", " \n", "Điều &#7;", "<td>", "</td>",
+            "x; &am"]
+    odd = ["<P>", "<a b>", "<br/>", "< p", "<!-- c -->", "<script>", "</script>", "<a href='&amp;'>", "<title>", "<", "</p >"]
+    for turn in range(400):
+        page = "".join(rng.choice(bits if turn % 2 or rng.random() < 0.9 else odd) for _ in range(rng.randrange(40)))
+        plain, full = ex._Tree(), ex._Tree()
+        full.feed(page)
+        read = plain.read(page)
+        assert read or turn % 2 == 0
+        if read:
+            assert _flat(plain) == _flat(full), page
+
+
+def test_walk_holds_no_batch_of_articles(spark):
+    one = "<p class='pDieu'><a name='%d'></a>t</p><p>n</p><p class='pNoiDung'>" + "x" * 50_000 + "</p>"
+    pages = spark.createDataFrame([(i, "".join(one % n for n in range(8))) for i in range(30)], "page_id long, html string")
+    sizes = ex.extract_articles(pages.coalesce(1)).mapInArrow(
+        lambda batches: (b.append_column("n", pa.array([b.num_rows] * b.num_rows)).select(["n"]) for b in batches), "n long")
+    assert sizes.count() == 240 and sizes.agg(F.max("n")).first()[0] < 100     # 50 KB each
+
+
+def test_workers_are_handed_bounded_batches(spark):
+    from korvane.session import prepare
+    assert int(prepare(spark).conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 4 << 20
+
+
 def test_page_stream_resumes(spark, tmp_path):
     from korvane.streaming.streams import ingest_stream, run_to_table
     src = tmp_path / "in"
