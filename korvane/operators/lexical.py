@@ -60,22 +60,28 @@ def expand(tokens: Column, groups=tuple(fixed.SYNONYM_GROUPS)) -> Column:
 
 
 ANY = "~any"
+TASK_CHARS, TASK_SUMS = 4 << 20, 1 << 20    # of texts to count and of (query, document, term) rows to add up
 
 
 def postings(docs: DataFrame, fields: list[str], vocabulary: DataFrame, id: str, stop,
              synonyms) -> DataFrame:
     """(id, field, len, term, tf) of the terms in ``vocabulary``; ``~any`` marks every field with words.
 
-    Every field is tokenised once. Counts are combined in the scan, so a document's postings travel
-    as (term, count) and its text does not.
+    Every field is tokenised once. Documents are dealt out first, to tasks of about ``TASK_CHARS``
+    characters: what a task counts stays bounded however large the table, and postings need no
+    further shuffle.
     """
+    chars = docs.agg(F.sum(sum((F.coalesce(F.length(f), F.lit(0)) for f in fields), F.lit(0)).cast("long"))).first()[0]
+    dealt = docs.repartition(1 + (chars or 0) // TASK_CHARS, id)
     per_field = F.array(*[F.struct(F.lit(i).alias("field"), analyze(f, stop).alias("t"))
                           for i, f in enumerate(fields)])
-    flat = docs.select(id, F.explode(per_field).alias("f")).filter(F.size("f.t") > 0)
+    flat = dealt.select(id, F.explode(per_field).alias("f")).filter(F.size("f.t") > 0)
     terms = F.concat(expand(F.col("f.t"), synonyms), F.array(F.lit(ANY)))
     rows = flat.select(id, "f.field", F.size("f.t").alias("len"), F.explode(terms).alias("term"))
     marker = vocabulary.sparkSession.createDataFrame([(ANY,)], "term string")
-    return rows.join(vocabulary.union(marker), "term", "left_semi") \
+    # written out, as its true size lets the planner broadcast it where it is small
+    known = materialize(vocabulary.union(marker), "vocabulary")
+    return rows.join(known, "term", "left_semi") \
         .groupBy(id, "field", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
@@ -86,6 +92,7 @@ def impacts(posts: DataFrame, boosts: list[float], k1: float, b: float, id: str)
     df = posts.filter(F.col("term") != ANY).groupBy("field", "term").agg(F.count(F.lit(1)).alias("df"))
     weights = df.join(F.broadcast(whole), "field").select(     # a row per field
         "field", "term", "avglen", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    weights = materialize(weights, "weights")        # a row per field and term of the queries
     boost = F.array(*[F.lit(float(w)) for w in boosts])
     tf = F.col("tf")
     gain = F.col("idf") * tf / (tf + k1 * (1 - b + b * F.col("len") / F.col("avglen")))
@@ -100,7 +107,8 @@ def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k
 
     One plan for any number of queries: impact postings of the queries' terms are written once, dealt
     out by document and summed there, so (query, document) pairs are never shuffled; each task hands
-    on ``k`` rows per query, cut by the score that is returned.
+    on ``k`` rows per query, cut by the score that is returned. Tasks are as many as keep the rows that
+    one adds up at about ``TASK_SUMS``, counted beforehand from the postings and queries of each term.
     """
     terms = expand(analyze(q_text, stop), synonyms)
     q = materialize(queries.select(query_id, F.explode(terms).alias("term"))
@@ -108,7 +116,10 @@ def bm25_search(queries: DataFrame, docs: DataFrame, boosts: dict[str, float], k
     posts = materialize(postings(docs.select(id, *boosts), list(boosts), q.select("term").distinct(), id,
                                  stop, synonyms), "postings")
     gains = impacts(posts, list(boosts.values()), k1, b, id)
-    field = (gains.repartition(id).join(q, "term").groupBy(query_id, id, "field")
+    per_term = posts.groupBy("term").agg(F.count(F.lit(1)).alias("n")).join(
+        q.groupBy("term").agg(F.count(F.lit(1)).alias("m")), "term")
+    sums = per_term.agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0
+    field = (gains.repartition(1 + sums // TASK_SUMS, id).join(q, "term").groupBy(query_id, id, "field")
              .agg(F.sum(F.col("g") * F.col("qtf")).alias("s")))
     best = field.groupBy(query_id, id).agg(F.round(F.max("s"), 9).alias("score")).filter("score > 0")
     return top_per(best, query_id, [F.desc("score"), F.asc(id)], k)

@@ -319,6 +319,19 @@ def test_sweep_equals_single_runs(spark):
 # ---- lexical -----------------------------------------------------------------------------------
 
 
+def test_bm25_tasks_grow_with_the_rows(spark, monkeypatch):
+    d = spark.createDataFrame([(i, f"a b{i % 7} c" * (1 + i % 3)) for i in range(60)], "id long, t string")
+    q = spark.createDataFrame([(1, "a b1"), (2, "c b2 a")], "query_id long, q_text string")
+    want = sorted(map(tuple, lx.bm25_search(q, d, {"t": 1.0}, 5).collect()))
+    numbers = []
+    deal = type(d).repartition
+    monkeypatch.setattr(type(d), "repartition", lambda df, *a: (numbers.append(a[0]), deal(df, *a))[1])
+    monkeypatch.setattr(lx, "TASK_CHARS", 100)
+    monkeypatch.setattr(lx, "TASK_SUMS", 10)
+    assert sorted(map(tuple, lx.bm25_search(q, d, {"t": 1.0}, 5).collect())) == want
+    assert all(n > 5 for n in numbers) and len(numbers) == 2
+
+
 def test_bm25_matches_brute_force(spark):
     rnd = random.Random(3)
     words = ["thuế", "nhà", "đất", "luật", "pháp luật", "tòa án", "xe", "là", "a_b"]
