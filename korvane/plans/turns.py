@@ -9,7 +9,7 @@ from ..dist import position_within
 from ..functions import text as tx
 from ..operators import cache as ca, chats as ch, extract as ex, gate as ga, memory as mm, trust as tr
 from ..operators.answers import answer_similarity, with_bleu, rouge_l
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..streaming import streams as st
 from .common import (HITS_SQL, VECTORS_SQL, WCLS, WS, query_vectors, s_strip, s_tokens, s_words, table,
                      vectors, with_vector)
@@ -881,18 +881,24 @@ def stream_cache(spark, d):
     return found.select("query_id", "entry_id")
 
 
+def _lot_files(rows, most=250_000):
+    """Files of a lot, so that one task writes or reads about ``most`` rows of it."""
+    return max(1, -(-rows // (LOTS * most)))
+
+
 @query("stream_cache_put", """SELECT event_id AS entry_id, strftime(ts + INTERVAL 1 DAY, '%Y-%m-%d %H:%M:%S') AS expires_at
 FROM events WHERE event_type <> 'signup'""")
 def stream_cache_put(spark, d):
-    """Events as turns in shuffled files, a micro-batch each; every one arrives twice and is stored once."""
+    """Events as turns in shuffled files, a micro-batch per lot of them; every one arrives twice and is stored once."""
     base = scratch_path(spark, "put")
+    files = _lot_files(table(spark, d, "events").count() * 2)
     text = F.when(F.col("event_type") == "signup", F.lit("xin chào")).otherwise(F.col("event_type"))
     sent = table(spark, d, "events").select(
         F.col("event_id").alias("entry_id"), text.alias("text"), F.col("ts").cast("timestamp").alias("created_at"),
         F.explode(F.array(F.lit(1), F.lit(2))).alias("copy"))
-    sent.repartition(LOTS, F.xxhash64("entry_id", "copy")).drop("copy").write.parquet(f"{base}/in")
+    sent.repartition(LOTS * files, F.xxhash64("entry_id", "copy")).drop("copy").write.parquet(f"{base}/in")
     schema = ca.cache_put(sent).select("entry_id", "created_at", "expires_at").schema
-    incoming = spark.readStream.schema(sent.drop("copy").schema).option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    incoming = spark.readStream.schema(sent.drop("copy").schema).option("maxFilesPerTrigger", files).parquet(f"{base}/in")
     stored = st.cache_put_stream(incoming, st.cache_table(spark, f"{base}/table", schema), f"{base}/check",
                                  most_pieces=3)
     return stored().select("entry_id", F.date_format("expires_at", "yyyy-MM-dd HH:mm:ss").alias("expires_at"))
@@ -923,7 +929,8 @@ def stream_memory(spark, d):
     PARTITION BY o_custkey ORDER BY o_orderkey) AS depth, 1000000000 + o_orderkey AS mem_id, 'UPDATE' AS action,
     'fact ' || o_orderpriority AS fact, 'r' AS reason FROM orders JOIN customer ON c_custkey = o_custkey""")
 def stream_memory_history(spark, d):
-    tables = _streamed(spark, d, _linked(spark, d), lambda o: _chained(spark, d, o))
+    # every lot reads the links; written out, they are joined once
+    tables = _streamed(spark, d, materialize(_linked(spark, d), "linked"), lambda o: _chained(spark, d, o))
     return tables.history().select("user_id", "root", "depth", "mem_id", "action", "fact", "reason")
 
 

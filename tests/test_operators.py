@@ -857,6 +857,11 @@ def test_cache_stream_sees_new_entries_and_its_clock(spark, tmp_path):
     assert all(p.until > (day + dt.timedelta(hours=61)).replace(tzinfo=None) for p in cache.pieces())
 
 
+def test_lots_are_files_of_bounded_rows():
+    from korvane.plans import turns
+    assert [turns._lot_files(n) for n in (0, 200_000, 1_000_000, 1_000_001, 72_000_000)] == [1, 1, 1, 2, 72]
+
+
 def test_retag_needs_valid_claims(spark):
     df = spark.createDataFrame([(1, "demo_a"), (2, "x_b"), (3, "demo_c")], "id int, user_id string")
     claims = spark.createDataFrame([("demo_a", "U"), ("x_b", "V"), ("demo_c", "")], "anonymous_id string, uid string")
