@@ -37,6 +37,7 @@ from .links import cluster, near_pairs
 BITS = 26
 CELLS = 1 << 20           # characters of one side in a block of pairs
 BLOCK = 1 << 19           # characters whose prefix sums are held at once
+BINS = 64                 # classes of letters that are counted before a pair's distance
 GRAM = 4                  # letters of the grams that keep variants of one line apart
 
 
@@ -314,14 +315,33 @@ def _block(pairs: list[tuple[str, str]], tau: np.ndarray) -> np.ndarray:
     return distance <= tau
 
 
+def letter_counts(column: pa.Array) -> np.ndarray:
+    """How often each text has the letters of each of ``BINS`` classes."""
+    out = np.zeros((len(column), BINS), np.int32)
+    texts = pa.RecordBatch.from_arrays([pa.array(np.arange(len(column))), column], names=["i", "t"])
+    for part in slices(texts, "t", BLOCK):
+        data, offsets = text_bytes(part.column(1))
+        code, row = _code_points(data), np.repeat(np.arange(part.num_rows), np.diff(offsets))
+        if len(code) != len(data):
+            row = row[(data & 0xC0) != 0x80]
+        first = part.column(0)[0].as_py()
+        out[first:first + part.num_rows] = np.bincount(
+            row * BINS + (code & (BINS - 1)), minlength=part.num_rows * BINS).reshape(-1, BINS)
+    return out
+
+
 def linked(pairs: DataFrame, rule: Rule) -> DataFrame:
     """The pairs (a, b, ta, tb) whose lines are within the edits of the shorter one."""
     def run(batches):
         for batch in batches:
-            texts = list(zip(batch.column(2).to_pylist(), batch.column(3).to_pylist()))
-            tau = np.array([rule.tau(min(map(len, p))) for p in texts], int)
-            near = np.array([abs(len(x) - len(y)) <= t for (x, y), t in zip(texts, tau)], bool)
-            near[near] = within([p for p, ok in zip(texts, near) if ok], tau[near])
+            one, two = letter_counts(batch.column(2)), letter_counts(batch.column(3))
+            sizes = one.sum(1), two.sum(1)
+            tau = np.array([rule.tau(int(n)) for n in np.minimum(*sizes)], int)
+            # an edit changes the lengths by one at most, and takes a letter or brings one or both
+            near = (np.abs(sizes[0] - sizes[1]) <= tau) & (np.abs(one - two).sum(1) <= 2 * tau)
+            some = batch.filter(pa.array(near))
+            texts = list(zip(some.column(2).to_pylist(), some.column(3).to_pylist()))
+            near[near] = within(texts, tau[near])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(i).filter(pa.array(near)) for i in (0, 1)], names=["a", "b"])
 

@@ -10,6 +10,7 @@ import sys
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 import zstandard
 from pyspark.sql import functions as F, types as T
@@ -130,6 +131,28 @@ def test_banded_distance_and_segment_keys():
     assert [distance(a, b) <= t for (a, b), t in zip(pairs, tau)] == got.tolist()
 
 
+def test_letter_counts_drop_no_near_pair():
+    rng, tau, pairs = random.Random(5), [], []
+    for n in (24, 63, 64, 200):
+        for _ in range(150):
+            a = "".join(rng.choice("abcdé日 \U0001F600") for _ in range(n))
+            b = list(a)
+            for _ in range(rng.randint(0, 4)):
+                at = rng.randrange(len(b))
+                b[at:at + rng.randint(0, 1)] = rng.choice(["", "x", "é"])
+            pairs.append((a, "".join(b)))
+            tau.append(line_dedup.Rule().tau(min(len(a), len(b))))
+    one, two = (line_dedup.letter_counts(pa.array(side)) for side in zip(*pairs))
+    assert one.sum(1).tolist() == [len(a) for a, _ in pairs]
+    short = np.abs(one.sum(1) - two.sum(1)) <= tau
+    near = np.zeros(len(pairs), bool)
+    near[short] = line_dedup.within([p for p, ok in zip(pairs, short) if ok], np.array(tau)[short])
+    may = np.abs(one - two).sum(1) <= 2 * np.array(tau)
+    assert near.any() and not may.all() and may[near].all()
+    other = line_dedup.letter_counts(pa.array(["the quick brown fox", None, ""]))
+    assert other.sum(1).tolist() == [19, 0, 0]
+
+
 def brute_lines(rows, rule=line_dedup.Rule()):
     """{(id, text): numbers of removed lines}, with ids known and unique per text."""
     where = collections.defaultdict(list)
