@@ -33,6 +33,7 @@ from .arrays import slices
 BLANK = "▁"
 SLICE = 8 << 20
 MATCHED = 300_000         # letters of one suffix array
+PACKED = 4                # letters that are compared as one number
 CACHED_WORDS = 200_000
 CACHED_PAIRS = 1_000_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6       # piece types of the model format that matter here
@@ -118,6 +119,13 @@ class Encoder:
         self.usable = sorted(usable, key=lambda p: (len(p), p))
         self.usable_ids = np.array([self.id_of[p] for p in self.usable], np.int64)
         self.longest = max(map(len, self.usable))
+        # letters of all pieces, a row each, as places in ``alphabet``; behind a piece's end stands NUL
+        width = -(-self.longest // PACKED) * PACKED
+        self.lengths = np.array([len(p) for p in self.usable], np.int64)
+        points = np.frombuffer("".join(p.ljust(width, "\0") for p in self.usable)
+                               .encode("utf-32-le", "surrogatepass"), np.int32)
+        self.alphabet, rows = np.unique(points, return_inverse=True)
+        self.rows = rows.reshape(len(self.usable), width).astype(np.int32)
         self._forget_pairs()
         self._clear()
 
@@ -192,8 +200,25 @@ class Encoder:
 
     def _ranges(self, codes: np.ndarray, suffixes: np.ndarray, pieces: np.ndarray,
                 lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """First and last + 1 suffix that starts with each piece: one search for all pieces."""
-        padded = np.concatenate([codes, np.zeros(self.longest, codes.dtype)])
+        """First and last + 1 suffix that starts with each piece: one search for all pieces.
+
+        ``pieces`` ascend by length. Letters are compared ``PACKED`` at a time, or one by one in a
+        text of very many different ones.
+        """
+        step = PACKED if codes.max() < 1 << 15 else 1
+        width = pieces.shape[1]
+        shifts = [15 * (step - 1 - j) for j in range(step)] if step > 1 else [0]
+        padded = np.concatenate([codes, np.zeros(width + step, codes.dtype)])
+        packed = sum(padded[j:len(codes) + width + j] << s for j, s in enumerate(shifts))
+        letter = (1 << 15) - 1 if step > 1 else -1
+        parts = []                          # (offset, first piece that reaches it, value, mask)
+        for at in range(0, width, step):
+            begin = int(np.searchsorted(lengths, at, "right"))
+            rows = pieces[begin:, at:at + step]
+            value = sum(rows[:, j] << s for j, s in enumerate(shifts))
+            mask = sum(np.where(lengths[begin:] > at + j, letter, 0) << s
+                       for j, s in enumerate(shifts))
+            parts.append((at, begin, value, mask))
         found = []
         for past in (False, True):
             lo = np.zeros(len(pieces), np.int64)
@@ -202,11 +227,13 @@ class Encoder:
                 mid = (lo + hi) // 2
                 at = suffixes[np.minimum(mid, len(suffixes) - 1)]
                 sign = np.zeros(len(pieces), np.int8)
-                for j in range(self.longest):
-                    open_ = (sign == 0) & (j < lengths)
-                    if not open_.any():
-                        break
-                    sign = np.where(open_, np.sign(padded[at + j] - pieces[:, j]), sign)
+                for offset, begin, value, mask in parts:
+                    rest = sign[begin:]
+                    even = np.flatnonzero(rest == 0)
+                    if not len(even):
+                        continue
+                    text = packed[at[begin:][even] + offset] & mask[even]
+                    rest[even] = np.sign(text - value[even])
                 right = live & ((sign < 0) | (past & (sign == 0)))
                 lo = np.where(right, mid + 1, lo)
                 hi = np.where(live & ~right, mid, hi)
@@ -220,12 +247,10 @@ class Encoder:
         alphabet, codes = np.unique(points, return_inverse=True)
         codes = codes.astype(np.int64)                     # the separator is the smallest: 0
         suffixes = self._suffixes(codes)
-        code_of = {chr(c): i for i, c in enumerate(alphabet.tolist())}
-        present = [i for i, p in enumerate(self.usable) if all(c in code_of for c in p)]
-        pieces = np.zeros((len(present), self.longest), np.int64)
-        lengths = np.array([len(self.usable[i]) for i in present], np.int64)
-        for row, i in enumerate(present):
-            pieces[row, :lengths[row]] = [code_of[c] for c in self.usable[i]]
+        place = np.minimum(np.searchsorted(alphabet, self.alphabet), len(alphabet) - 1)
+        rows = np.where(alphabet[place] == self.alphabet, place, -1)[self.rows]
+        present = np.flatnonzero((rows >= 0).all(1))
+        pieces, lengths = rows[present], self.lengths[present]
         lo, hi = self._ranges(codes, suffixes, pieces, lengths)
         count = hi - lo
         which = np.repeat(np.arange(len(present)), count)

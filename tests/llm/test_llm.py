@@ -468,6 +468,29 @@ def test_quotes_stay_native(spark):
 
 # -- 8 ------------------------------------------------------------------------------------
 
+def test_pieces_are_found_without_a_loop_over_the_vocabulary():
+    model = sentencepiece_sa.Model.read(PIECES)
+    encoder, calls = sentencepiece_sa.Encoder(model), 0
+
+    def count(*_):
+        nonlocal calls
+        calls += 1
+
+    sys.setprofile(count)
+    try:
+        ids = encoder.encode(["a few plain words"])
+    finally:
+        sys.setprofile(None)
+    assert "".join(model.pieces[i] for i in ids[0].as_py()).replace("▁", " ").strip() == "a few plain words"
+    assert calls < len(encoder.usable)
+    # letters compared one by one, as in a text of very many different ones, give the same
+    wide = "".join(map(chr, range(0x4E00, 0x4E00 + 20000))) + "".join(map(chr, range(0xAC00, 0xAC00 + 11000))) \
+        + "".join(map(chr, range(0x20000, 0x20000 + 3000)))
+    words = ["▁some", "▁words", "▁of▁pieces"]
+    plain, many = encoder._match(words), encoder._match([*words, wide])
+    assert many[0][:len(plain[0])].tolist() == plain[0].tolist() and many[1][:3].tolist() == plain[1].tolist()
+
+
 def test_pieces_equal_the_library(spark, small):
     import sentencepiece
     lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
