@@ -143,7 +143,7 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame, *, upsert: bool = Fals
                 F.col("seq").cast("bigint").alias("_born"), F.lit(False).alias("_base"))))
     hits = tries.join(born, ["user_id", "target_id"]).filter(
         F.col("_born").isNull() | (F.col("seq") > F.col("_born")))
-    # read by the chain rounds, the end states, the history and the report
+    # read by the chain rounds and for what they lead to
     first = materialize(first_per(hits, ["user_id", "target_id"], ["seq"]), "attempts")
     fresh = adds.withColumn("_version", F.lit(1))
     if upsert:
@@ -157,8 +157,10 @@ def apply_decisions(mem: DataFrame, decisions: DataFrame, *, upsert: bool = Fals
     roots = _resolve_chains(first.select(
         "user_id", F.col("new_id").alias("node"), F.col("target_id").alias("ptr"),
         F.lit(1).alias("depth"), F.col("_base").alias("done")))
-    applied = first.join(roots.select("user_id", F.col("node").alias("new_id"),
-                                      F.col("ptr").alias("root"), "depth"), ["user_id", "new_id"])
+    # read by the end states, the history and the report
+    applied = materialize(first.join(roots.select("user_id", F.col("node").alias("new_id"),
+                                                  F.col("ptr").alias("root"), "depth"), ["user_id", "new_id"]),
+                          "applied")
     upd = F.col("action") == "UPDATE"
     at_update = lambda c: F.max_by(c, F.when(upd, F.col("depth")))
     ends = applied.groupBy("user_id", "root").agg(

@@ -562,6 +562,20 @@ def test_decisions_equal_fold(spark, seed):
     assert history.filter("root = 0").count() == 30 and report.count() == len(decisions)
 
 
+def test_applied_decisions_are_joined_once(spark):
+    base = spark.createDataFrame([("u", 1, "a", "core", None, 1, False, None)],
+                                 "user_id string, mem_id long, fact string, mem_type string, timestamp timestamp, "
+                                 "version int, deleted boolean, deleted_at timestamp")
+    d = spark.createDataFrame([("u", 1, "UPDATE", "b", "core", 1, None, "r", 11), ("u", 2, "UPDATE", "c", "core", 11, None, "r", 12)],
+                              "user_id string, seq long, action string, fact string, mem_type string, target_id long, "
+                              "merged_fact string, reason string, new_id long").withColumn("at", F.timestamp_seconds("seq"))
+    parts = mm.apply_decisions(base, d)
+    for part in parts:         # memories, history and report read the same written step
+        assert any("/applied-" in f for f in part.inputFiles())
+        assert not any("/attempts-" in f for f in part.inputFiles())
+    assert [(r.mem_id, r.fact, r.version) for r in parts[0].collect()] == [(12, "c", 3)]
+
+
 def test_retrieve_memories(spark):
     mem = spark.createDataFrame([(1, "u", "core", "a", [1., 0.]), (2, "u", "core", "b", [0., 1.]),
                                  (3, "u", "semantic", "c", [.6, .8]), (4, "v", "core", "d", [1., 0.])],
