@@ -66,6 +66,13 @@ def owner(starts: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.searchsorted(offsets, starts, "right") - 1
 
 
+def grouped(texts: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """The order by text, then value: one fast sort of values and one by the short text numbers."""
+    order = np.argsort(values)
+    short = texts.astype(np.uint16 if texts.max(initial=0) < 1 << 16 else np.int64)
+    return order[np.argsort(short[order], kind="stable")]
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit numbers."""
     x = np.asarray(x, np.uint64)

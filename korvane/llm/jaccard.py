@@ -84,7 +84,7 @@ def shingle_sets(part: pa.RecordBatch, column: str, n: int, hasher: A.RangeHash)
         short = words[texts[first]] == size
         all_g.append(g[short]), all_t.append(texts[first][short])
     g, t = np.concatenate(all_g), np.concatenate(all_t)
-    order = np.lexsort((g, t))
+    order = A.grouped(t, g)
     g, t = g[order], t[order]
     new = np.ones(len(g), bool)
     new[1:] = (g[1:] != g[:-1]) | (t[1:] != t[:-1])
@@ -106,7 +106,7 @@ def names(g: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     return np.stack([one, two], 1)
 
 
-def signatures(g, sizes, rows: np.ndarray, scheme: Scheme):
+def signatures(g, sizes, rows: np.ndarray, scheme: Scheme, deletions: bool = True):
     """Per (set, band): plan arrays; per non-empty segment: its plan, number, key and elements.
 
     A set with no more non-empty segments than may differ ("lone") is indexed by its single
@@ -122,7 +122,7 @@ def signatures(g, sizes, rows: np.ndarray, scheme: Scheme):
     element = g[begin[doc][plan] + local]
     segment = (A.mix(element ^ np.uint64(0x5EED)) % scheme.segments[band][plan].astype(np.uint64)) \
         .astype(np.int64)
-    order = np.lexsort((segment, plan))
+    order = np.argsort(plan * (int(segment.max(initial=0)) + 1) + segment)
     element, segment, plan = element[order], segment[order], plan[order]
     new = np.ones(len(plan), bool)
     new[1:] = (plan[1:] != plan[:-1]) | (segment[1:] != segment[:-1])
@@ -137,7 +137,7 @@ def signatures(g, sizes, rows: np.ndarray, scheme: Scheme):
     may = scheme.most_differ(n, band)
     lone = filled <= may
     group = np.repeat(np.arange(len(head)), counts)
-    dels = A.mix((sums[group] - part) ^ salt[group])
+    dels = A.mix((sums[group] - part) ^ salt[group]) if deletions else None
     one = counts == 1
     single = A.mix(element ^ A.mix(band[plan].astype(np.uint64) + np.uint64(77)))
     return {"doc": doc, "band": band, "filled": filled, "may": may, "lone": lone,
@@ -155,7 +155,7 @@ def key_rows(docs: DataFrame, text_col: str, scheme: Scheme) -> DataFrame:
                 g, _, sizes = shingle_sets(part, "_text", scheme.n, hasher)
                 name = names(g, sizes)
                 _, rows = np.unique(name[:, 0], return_index=True)
-                s = signatures(g, sizes, rows, scheme)
+                s = signatures(g, sizes, rows, scheme, False)
                 lone = s["lone"][s["plan"]]
                 keys = np.concatenate([s["key"], s["single"][lone]])
                 plan = np.concatenate([s["seg_plan"], s["plan"][lone]])
@@ -321,7 +321,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def differ(one, two):
         return F.floor((one + two) * (scheme.q - scheme.p) / (scheme.q + scheme.p))
 
-    labels = cluster(bucket_rows(sets, scheme), test, sizes,
+    labels = cluster(bucket_rows(sets, scheme), test, sizes, stars=1, hubs=True,
                      narrow=lambda members: near_pairs(members, elements, differ, sizes, True))
     # classes of one document with no link have no entry here
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "h")

@@ -70,16 +70,33 @@ def _mixed(rows: DataFrame, seed: int) -> DataFrame:
         .select("bucket", "held", "c.*")
 
 
+def _hubs(crowded: DataFrame) -> DataFrame:
+    """The rows of ``crowded`` with their bucket's centre moved to its hub.
+
+    Buckets of one family of texts hold different nodes of it, so each has another centre and a node
+    meets as many centres as the family has buckets. Any node serves as a centre: the hub is the
+    bucket's node that already is the centre of the most nodes, so overlapping buckets choose the same.
+    """
+    reach = materialize(crowded.select("centre", "node").distinct().groupBy("centre")
+                        .agg(F.count("node").alias("reach")), "reach").withColumnRenamed("centre", "node")
+    hub = F.max(F.struct(F.coalesce("reach", F.lit(0)).alias("reach"), F.xxhash64("node").alias("h"),
+                         F.col("node").alias("centre"), F.col("size").alias("centre_size"))).alias("hub")
+    hub = materialize(crowded.join(reach, "node", "left").groupBy("bucket").agg(hub)
+                      .select("bucket", "hub.centre", "hub.centre_size"), "hubs")
+    return crowded.drop("centre", "centre_size").join(hub, "bucket")
+
+
 def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
             sizes: Callable[[Column, Column], Column], stars: int = 2,
-            narrow: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+            narrow: Callable[[DataFrame], DataFrame] | None = None, hubs: bool = False) -> DataFrame:
     """(node, comp) of all nodes with a link; ``test`` keeps the linked pairs of (a, b). ``rows`` are
     read several times, so they should be a written step.
 
     ``sizes(large, small)`` says whether nodes of these sizes can link at all. ``narrow`` takes
     the nodes that share undecided buckets of more than ``SMALL`` rows with a centre (centre, centre_size, node, comp, size) and gives all
     pairs (a, b) of different components among each centre's nodes that may link; without it
-    these are the pairs of the bucket rows.
+    these are the pairs of the bucket rows. With ``hubs`` buckets that overlap share a centre, so that
+    a node has few of them.
     """
     labels, linked = None, None
 
@@ -103,10 +120,9 @@ def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
                             F.greatest("node", "centre").alias("b")))
     now = _labelled(rows, labels)
     mixed = materialize(_mixed(now, -1), "mixed")
-    left = now.join(mixed.select("bucket", "held"), "bucket")
-    if narrow is not None:
-        left = left.filter(F.col("held") <= SMALL)
-    left = materialize(left, "left")
+    undecided = materialize(now.join(mixed.select("bucket", "held", "centre", "centre_size"), "bucket"),
+                            "left")
+    left = undecided if narrow is None else undecided.filter(F.col("held") <= SMALL)
     one, two = left.filter("level > 0").alias("one"), left.alias("two")
     meets = (F.col("two.full") & (F.col("one.full") | (F.col("one.level") > 1))) \
         | (F.col("one.full") & (F.col("one.level") > 1))
@@ -117,9 +133,10 @@ def cluster(rows: DataFrame, test: Callable[[DataFrame], DataFrame],
     pairs = pairs.select(F.least("one.node", "two.node").alias("a"),
                          F.greatest("one.node", "two.node").alias("b"))
     if narrow is not None:
-        pairs = pairs.union(narrow(materialize(
-            now.join(mixed.filter(F.col("held") > SMALL), "bucket")
-            .select("centre", "centre_size", "node", "comp", "size").distinct(), "members")))
+        crowded = undecided.filter(F.col("held") > SMALL) \
+            .select("bucket", "centre", "centre_size", "node", "comp", "size")
+        members = _hubs(crowded) if hubs else crowded
+        pairs = pairs.union(narrow(materialize(members.drop("bucket").distinct(), "members")))
     absorb(pairs)
     return labels
 

@@ -15,7 +15,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F, types as T
 
-from korvane.llm import (jaccard, line_dedup, quality_mil, quality_rules, quotes, sentencepiece_sa,
+from korvane.llm import (jaccard, line_dedup, links, quality_mil, quality_rules, quotes, sentencepiece_sa,
                          toxicity, training_order, warc, winnowing)
 from korvane.llm.queries import load
 
@@ -645,6 +645,29 @@ def test_jaccard_finds_every_small_pair(spark, p):
     assert len(want) > 4000 and found == want, (len(want), len(want - found), len(found - want))
 
 
+def test_overlapping_crowded_buckets_share_centres(spark):
+    """Every crowded bucket keeps its nodes under one centre, and a node has few centres."""
+    rng, rows, held, seen = random.Random(4), [], collections.defaultdict(set), []
+    for bucket in range(60):
+        for i, node in enumerate(rng.sample(range(120), 40)):
+            rows.append((bucket, node, 100, i < 4, 1 if i < 4 else 2))
+            held[bucket].add(node)
+    rows = spark.createDataFrame(rows, "bucket long, node long, size long, full boolean, level int")
+
+    def narrow(members):
+        seen.extend((r.centre, r.node) for r in members.collect())
+        return members.select(F.col("node").alias("a"), F.col("centre").alias("b")).limit(0)
+
+    labels = links.cluster(rows, lambda pairs: pairs.limit(0), lambda large, small: F.lit(True),
+                           narrow=narrow, hubs=True)
+    assert labels.count() == 0
+    under = collections.defaultdict(set)
+    for centre, node in seen:
+        under[centre].add(node)
+    assert all(any(nodes <= found for found in under.values()) for nodes in held.values())
+    assert len(seen) <= 11 * 120, len(seen)
+
+
 # -- queries and pipeline -------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["op5_winnowing", "op9_warc_transactions", "op13_merkle_climb"])
