@@ -2,8 +2,8 @@
 
 Rows ``(bucket, node, size, full, level)`` say which nodes a bucket holds. A row with ``full`` is
 one that others may meet there, one with ``level`` above 0 looks for partners: at level 1 it meets
-the full rows if it is full itself, at level 2 also those that are not. Two stars per bucket
-connect nearly all that belongs together; then only pairs of *different* components that still
+the full rows if it is full itself, at level 2 also those that are not. One or two stars per
+bucket connect nearly all that belongs together; then only pairs of *different* components that still
 share a bucket matter, and none of those that may link is left out, so the components are exact
 whatever the stars found.
 """
