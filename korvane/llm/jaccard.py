@@ -28,9 +28,10 @@ from korvane.session import discard, materialize, release
 
 from . import arrays as A
 from .bitmaps import Bitmap, build
-from .links import cluster, near_pairs
+from .links import cluster, rare_pairs
 
 BITS = 26                 # eight megabytes, whatever the number of keys
+SLICE_BYTES = 512 << 10   # a slice's signatures take a hundred times its text
 
 
 @dataclass(frozen=True)
@@ -151,7 +152,7 @@ def key_rows(docs: DataFrame, text_col: str, scheme: Scheme) -> DataFrame:
     def run(batches):
         hasher = A.RangeHash()
         for batch in batches:
-            for part in A.slices(batch, "_text"):
+            for part in A.slices(batch, "_text", SLICE_BYTES):
                 g, _, sizes = shingle_sets(part, "_text", scheme.n, hasher)
                 name = names(g, sizes)
                 _, rows = np.unique(name[:, 0], return_index=True)
@@ -193,7 +194,7 @@ def alive_sets(docs: DataFrame, id_col: str, text_col: str, scheme: Scheme, shar
     def run(batches):
         hasher, present = A.RangeHash(), Bitmap(shared)
         for batch in batches:
-            for part in A.slices(batch, "_text"):
+            for part in A.slices(batch, "_text", SLICE_BYTES):
                 rows = part.num_rows
                 g, _, sizes = shingle_sets(part, "_text", scheme.n, hasher)
                 name = names(g, sizes)
@@ -241,11 +242,10 @@ def bucket_rows(sets: DataFrame, scheme: Scheme) -> DataFrame:
     full = sets.select("node", "n", F.explode("segs").alias("s"), F.lit(True).alias("full"))
     less = sets.select("node", "n", F.explode("dels").alias("s"), F.lit(False).alias("full"))
     rows = full.union(less).select("node", "n", "s.*", "full")
-    count = rows.groupBy("k").agg(F.count_if("full").alias("n_full"), F.count("k").alias("n_all")) \
-        .filter("n_full > 0 and n_all > 1")
-    counts = materialize(count, "counts")
-    rows = materialize(rows.join(counts, "k"), "shared")
-    discard(counts)
+    bucket = W.partitionBy("k")          # one shuffle; counts joined to the rows would take three
+    rows = materialize(rows.withColumns({"n_full": F.count_if("full").over(bucket),
+                                         "n_all": F.count("k").over(bucket)})
+                       .filter("n_full > 0 and n_all > 1"), "shared")
     release(sets.sparkSession)
     exact = F.sum(F.when(F.col("full"), F.col("n_full") - 1).otherwise(0))
     one_off = F.sum(F.when(F.col("full"), F.col("n_all") - F.col("n_full"))
@@ -321,8 +321,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     def differ(one, two):
         return F.floor((one + two) * (scheme.q - scheme.p) / (scheme.q + scheme.p))
 
-    labels = cluster(bucket_rows(sets, scheme), test, sizes, stars=1, hubs=True,
-                     narrow=lambda members: near_pairs(members, elements, differ, sizes, True))
+    labels = cluster(bucket_rows(sets, scheme), test, sizes, stars=1,
+                     narrow=lambda members: rare_pairs(members, elements, scheme.p, scheme.q))
     # classes of one document with no link have no entry here
     place = F.struct(F.col("id").isNull().alias("unknown"), "id", "h")
     nodes = base.filter("n > 0").groupBy("node").agg(F.min(place).alias("least"),

@@ -195,3 +195,30 @@ def near_pairs(members: DataFrame, elements: DataFrame, differ: Callable[[Column
         found = found.union(named(one.join(
             two, both & (F.col("one.node") < F.col("two.node")) & (spare <= 0))))
     return found
+
+
+def rare_pairs(members: DataFrame, elements: DataFrame, p: int, q: int) -> DataFrame:
+    """Pairs of ``members`` (node, comp, size) in different components that may reach Jaccard ``p / q``.
+
+    Each element of a node is one row, however many buckets and centres the node has. Linked sets of
+    sizes x and y share S = p (x + y) / (p + q) elements or more. All elements have one order: those that
+    only one component has, then by how many nodes have them. The first element that two sets share
+    is followed by at least S - 1 more in both, so sets meet by these first ones only. What a
+    component has alone counts in its nodes' sizes and needs no row: a node with too much of its own meets
+    nobody, and variants of one text, which share most elements, meet by few of them.
+    """
+    nodes = members.select("node", "comp", "size").distinct()
+    tokens = materialize(nodes.join(elements.toDF("node", "e"), "node")
+                         .select("node", "comp", "size", F.explode("e").alias("t")), "tokens")
+    shared = tokens.groupBy("t").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"),
+                                     F.count("t").alias("df")).filter("lo <> hi").select("t", "df")
+    # ``rest``: elements of the node from this one to the last
+    order = W.partitionBy("node").orderBy(F.desc("df"), F.desc("t"))
+    first = materialize(tokens.join(shared, "t").withColumn("rest", F.row_number().over(order))
+                        .filter(q * F.col("rest") >= p * F.col("size"))
+                        .select("t", "node", "comp", "size", "rest"), "rare-tokens")
+    one, two = first.alias("one"), first.alias("two")
+    least = p * (F.col("one.size") + F.col("two.size"))
+    return one.join(two, (F.col("one.t") == F.col("two.t")) & (F.col("one.comp") < F.col("two.comp"))
+                    & ((p + q) * F.col("one.rest") >= least) & ((p + q) * F.col("two.rest") >= least)) \
+        .select(F.least("one.node", "two.node").alias("a"), F.greatest("one.node", "two.node").alias("b"))

@@ -668,6 +668,54 @@ def test_overlapping_crowded_buckets_share_centres(spark):
     assert len(seen) <= 11 * 120, len(seen)
 
 
+def test_crowded_buckets_take_each_element_once(spark, monkeypatch):
+    """A family whose members share many buckets and are not linked: its elements are not repeated."""
+    rng, rows, written = random.Random(8), [], {}
+    base = [f"b{i}" for i in range(120)]
+    for i in range(90):
+        t = list(base)
+        for at in rng.sample(range(120), 14):
+            t[at] = f"v{i}x{at}"
+        rows.append((3 * i, " ".join(t)))
+        t[rng.randrange(120)] = "near"
+        rows.append((3 * i + 1, " ".join(t)))
+        for at in rng.sample(range(120), 2):
+            t[at] = "far"
+        rows.append((3 * i + 2, " ".join(t)))
+    real = links.materialize
+
+    def count(df, name="step"):
+        step = real(df, name)
+        written[name] = written.get(name, 0) + step.count()
+        return step
+
+    monkeypatch.setattr(links, "materialize", count)
+    got = jaccard.join(docs_frame(spark, rows), scheme=jaccard.Scheme(n=1, p=90))
+    sets, groups = plain_components(rows, 1, 90)
+    want = {(rows[i][0], len(sets[i]), min(rows[j][0] for j in m)) for m in groups.values() for i in m}
+    assert set(map(tuple, got.collect())) == want and 1 < len(groups) < len(rows)
+    assert 0 < written["tokens"] <= sum(len(x) for x in sets), written
+
+
+@pytest.mark.parametrize("p", [85, 80])
+def test_rare_pairs_miss_no_linked_pair(spark, p):
+    rng, sets = random.Random(p), []
+    for i in range(240):
+        own = rng.choice([0, 1, 3, 6, 12])
+        some = rng.sample(range(50), rng.randint(20, 50)) if i % 3 else list(range(rng.randint(30, 50)))
+        sets.append(set(some) | {1000 * (i // 2) + j for j in range(100, 100 + own)})
+    comp = [rng.randrange(60) for _ in sets]
+    members = spark.createDataFrame([(c, i, comp[i], len(x)) for i, x in enumerate(sets) for c in (1, 2)],
+                                    "centre long, node long, comp long, size long")
+    elements = spark.createDataFrame([(i, sorted(x)) for i, x in enumerate(sets)],
+                                     "node long, elements array<long>")
+    found = {(r.a, r.b) for r in links.rare_pairs(members, elements, p, 100).collect()}
+    want = {(i, j) for j, y in enumerate(sets) for i, x in enumerate(sets[:j])
+            if comp[i] != comp[j] and 100 * len(x & y) >= p * len(x | y)}
+    assert len(want) > 50 and want <= found, (len(want), len(want - found))
+    assert all(i < j and comp[i] != comp[j] for i, j in found)
+
+
 # -- queries and pipeline -------------------------------------------------------------------
 
 @pytest.mark.parametrize("name", ["op5_winnowing", "op9_warc_transactions", "op13_merkle_climb"])
