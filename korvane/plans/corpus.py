@@ -8,7 +8,7 @@ from .. import fixed
 from ..functions import text as tx
 from ..operators import corpus as co, extract as ex, fusion as fu, graph as gr, metrics as me
 from ..operators.lexical import analyze
-from ..session import scratch_path
+from ..session import discard, release, scratch_path, unkept_listings
 from ..sources import readers as rd, writers as wr
 from .common import (DOCS_SQL, HITS_SQL, VECTORS_SQL, WCLS, WS, docs, hits, rich_hits, s_passage,
                      s_strip, s_tokens, s_words, table)
@@ -570,20 +570,51 @@ def table_read(spark, d):
                                                                  F.round("o_totalprice", 2).alias("o_totalprice"))
 
 
-def _page_files(spark, d, path):
-    """Write the pages as one text file each, the stem being the page id."""
+# Pages whose files the driver lists at a time, and the tasks that write and read them. Folders of more than 32
+# tasks are listed by tasks.
+PAGE_LOT, PAGE_PARTS = 10_000, 64
+
+
+def _page_lots(spark, d):
+    """(stem, value, lot) of the pages, written once; the pages of an id are in one lot."""
     p = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("stem"),
                                         F.concat(F.lit("﻿"), "html").alias("value"))
-    # one folder per page keeps the writer parallel; the reader lists them all
-    p.repartition("stem").write.partitionBy("stem").option("lineSep", "\u0001").text(path)
+    lots = max(-(-p.count() // PAGE_LOT), 1)
+    dealt = p.withColumn("lot", F.pmod(F.xxhash64("stem"), F.lit(lots)))
+    path = scratch_path(spark, "page-lots")
+    # a lot is a few files, however many tasks deal
+    dealt.repartition("lot", F.pmod(F.hash("stem"), F.lit(8))).write.partitionBy("lot").parquet(path)
+    step = spark.read.schema(dealt.schema).parquet(path)
+    step.step_path = path
+    return step
+
+
+def _page_files(p, path):
+    """Write the pages as one text file each, the stem being the page id."""
+    # one folder per page keeps the writer parallel; the folders of a task lie in one, which is committed as a whole
+    part = F.pmod(F.hash("stem"), F.lit(PAGE_PARTS))
+    (p.select("stem", "value", part.alias("part")).repartition(PAGE_PARTS, "stem")
+     .write.partitionBy("part", "stem").option("lineSep", "\u0001").text(path))
     return path
 
 
 @query("page_read", """SELECT page_id::VARCHAR AS page_id, md5(html || chr(1)) AS html FROM pages""")
 def page_read(spark, d):
-    path = _page_files(spark, d, scratch_path(spark, "pages"))
-    raw = spark.read.text(path, wholetext=True).select("value", "_metadata", "stem")
-    return rd.shape_pages(raw, F.col("stem").cast("string")).select("page_id", F.md5("html").alias("html"))
+    """A lot of pages at a time is written as files and read, so the driver never lists the files of all."""
+    dealt, path, schema = _page_lots(spark, d), scratch_path(spark, "page-rows"), "page_id string, html string"
+    spark.createDataFrame([], schema).write.parquet(path)
+    for lot in [r.lot for r in dealt.select("lot").distinct().collect()]:
+        files = _page_files(dealt.filter(F.col("lot") == lot), scratch_path(spark, "pages"))
+        with unkept_listings(spark):
+            raw = spark.read.schema("value string, part int, stem string").text(files, wholetext=True)
+        raw.step_path = files
+        rows = rd.shape_pages(raw.select("value", "_metadata", "stem"), F.col("stem").cast("string"))
+        (rows.select("page_id", F.md5("html").alias("html")).coalesce(PAGE_PARTS)
+         .write.mode("append").parquet(path))
+        discard(raw)
+        release(spark)
+    discard(dealt)
+    return spark.read.schema(schema).parquet(path)
 
 
 @query("page_checkpoint", """SELECT page_id, url FROM pages

@@ -2,6 +2,7 @@
 
 import json
 import math
+import pathlib
 import random
 
 import numpy as np
@@ -466,6 +467,43 @@ def test_page_files(spark, tmp_path):
     assert [(r.dieu_id1, r.dieu_id2) for r in rel] == [("101", "102")]
 
 
+def test_page_files_are_listed_by_lots(spark, tmp_path, monkeypatch):
+    import hashlib
+
+    from korvane.plans import corpus
+    from korvane.session import shared_dir
+    rows = [(i, f"u{i}", f"<p>{i} ố\n</p>" * (i % 5)) for i in range(-3, 97)] + [(None, "u", "lost"), (500, "u", None)]
+    rows += [(600, "u", "twice")] * 2 + [(700, "u", "a"), (700, "u", "b")]
+    schema = "page_id long, url string, html string"
+    spark.createDataFrame(rows, schema).write.parquet(str(tmp_path / "pages.parquet"))
+    listed, shape = [], corpus.rd.shape_pages
+    monkeypatch.setattr(corpus, "PAGE_LOT", 12, raising=False)
+    monkeypatch.setattr(corpus.rd, "shape_pages", lambda raw, *a: listed.append(len(raw.inputFiles())) or shape(raw, *a))
+    kept = {p.name for p in pathlib.Path(shared_dir(spark), "korvane").glob("page*")}
+    cache = spark.conf.get("spark.sql.hive.filesourcePartitionFileCacheSize")
+    got = sorted(((r.page_id, r.html) for r in corpus.page_read(spark, str(tmp_path)).collect()), key=str)
+    assert sum(listed) == 104 and max(listed) <= 30 and len(listed) > 4     # a file per id, never all at once
+
+    def md5(x):
+        return hashlib.md5(x.encode()).hexdigest()
+    want = [(None if i is None else str(i), md5((h or "") + "\u0001")) for i, _, h in rows[:101]] + [("500", md5("\u0001"))]
+    mark = "﻿"
+    assert [g for g in got if g[0] not in ("600", "700")] == sorted(want, key=str)
+    # pages of one id are one file; only its first mark goes
+    both = {md5(f"{a}\u0001{mark}{b}\u0001") for a, b in ("ab", "ba")}
+    assert dict(got)["600"] == md5(f"twice\u0001{mark}twice\u0001") and dict(got)["700"] in both
+    left = {p.name for p in pathlib.Path(shared_dir(spark), "korvane").glob("page*")} - kept
+    assert [x[:9] for x in left] == ["page-rows"]       # the files of a lot go when it is read
+    assert spark.conf.get("spark.sql.hive.filesourcePartitionFileCacheSize") == cache
+
+
+def test_page_read_of_no_pages(spark, tmp_path):
+    from korvane.plans import corpus
+    spark.createDataFrame([], "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
+    found = corpus.page_read(spark, str(tmp_path))
+    assert found.columns == ["page_id", "html"] and found.collect() == []
+
+
 def test_json_inputs(spark, tmp_path):
     from korvane.sources import readers as rd
     (tmp_path / "c.json").write_text(json.dumps([{"Value": "1", "Text": "A", "STT": "2"}]), encoding="utf-8")
